@@ -216,15 +216,23 @@ def _user_info(t: Tables) -> list[DataFrame]:
     )]
 
 
-_BRANCHES = [
-    _order_info, _order_detail, _order_detail_coupon, _order_detail_activity, _payment_info,
-    _order_refund_info, _refund_payment, _cart_info, _comment_info, _user_info,
-]
-
-
-def change_log(t: Tables) -> DataFrame:
-    """The change log of the whole business database."""
-    parts = [df for branch in _BRANCHES for df in branch(t)]
+_BRANCHES = {
+    "order_info": _order_info,
+    "order_detail": _order_detail,
+    "order_detail_coupon": _order_detail_coupon,
+    "order_detail_activity": _order_detail_activity,
+    "payment_info": _payment_info,
+    "order_refund_info": _order_refund_info,
+    "refund_payment": _refund_payment,
+    "cart_info": _cart_info,
+    "comment_info": _comment_info,
+    "user_info": _user_info,
+}
+
+
+def change_log(t: Tables, *names: str) -> DataFrame:
+    """The change log of the business database, or of the named tables only."""
+    parts = [df for name in names or _BRANCHES for df in _BRANCHES[name](t)]
     return reduce(DataFrame.unionByName, parts)
 
 

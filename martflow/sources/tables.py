@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,9 +15,12 @@ class Tables:
 
     spark: SparkSession
     root: str
+    _read: dict[str, DataFrame] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         prepare(self.spark)
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return self._read[name]
