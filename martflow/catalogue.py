@@ -18,6 +18,7 @@ from martflow.operators.windows import distinct_per_window, stamped, tumble
 from martflow.plans import ads, dwd, dws
 from martflow.plans.warehouse import Warehouse
 from martflow.sources import ods, replay
+from martflow.streaming.queries import QUERIES as STREAMS
 
 Query = Callable[[Warehouse], DataFrame]
 
@@ -415,4 +416,5 @@ def catalogue() -> dict[str, Query]:
         "g11_refund": _windows("refund"),
     }
     found.update({name: _report(name) for name in ads.REPORTS})
+    found.update(STREAMS)
     return found

@@ -476,6 +476,19 @@ def _bodies() -> dict[str, str]:
         "r20": """SELECT cur_date, round_even(CAST(sum(coupon_reduce_amount) AS DOUBLE) / CAST(sum(original_amount) AS DOUBLE) * 100, 2) AS rate
             FROM d_sku GROUP BY ALL""",
     }
+    # A stream run to its end holds what the batch job computes.
+    q.update({
+        "t4_stream_keyword": q["g1_keyword"],
+        "t4_stream_register": q["g5_user_register"],
+        "t4_stream_cart_uu": q["g6_cart_add_uu"],
+        "t10_stream_interval_join": q["j5_interval_join"],
+        "t9_stream_traffic": q["g2_traffic"],
+        "t9_stream_home_detail": q["g3_home_detail"],
+        "t9_stream_user_login": q["g4_user_login"],
+        "t12_stream_split_log": q["d1_action"],
+        "t11_stream_dimensions": f"SELECT * EXCLUDE (columns) FROM ({q['d0_dimensions']})",
+        "s11_stream_routed_facts": f"SELECT * EXCLUDE (columns) FROM ({q['d9_routed_facts']})",
+    })
     return q
 
 

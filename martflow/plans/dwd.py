@@ -6,6 +6,8 @@ with its business columns as text, `ts` in epoch seconds, `et` and `seq`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,17 +38,20 @@ def named(df: DataFrame, dictionary: DataFrame, **codes_of: str) -> DataFrame:
 # --- behaviour log --------------------------------------------------------------------
 
 
-def split_log(lines: DataFrame) -> dict[str, DataFrame]:
+def split_log(
+    lines: DataFrame, fix: Callable[[DataFrame], DataFrame] = fix_first_visit
+) -> dict[str, DataFrame]:
     """The five traffic facts of raw behaviour lines, each (seq, [pos,] record MAP).
 
     A record with a start part is a start, otherwise it is a page; either may carry an error.
+    `fix` corrects is_new per mid.
     """
     logs = ods.valid_behaviour(ods.behaviour_log(lines))
     logs = (
         logs.withColumn("mid", F.col("common")["mid"])
         .withColumn("is_new", F.col("common")["is_new"])
     )
-    fixed = fix_first_visit(logs)
+    fixed = fix(logs)
     common = F.transform_values(
         "common", lambda k, v: F.when(k == "is_new", F.col("is_new")).otherwise(v)
     )
@@ -81,21 +86,23 @@ def cart_add(log: DataFrame) -> DataFrame:
 # --- orders ---------------------------------------------------------------------------
 
 
-def order_detail_parts(log: DataFrame) -> dict[str, DataFrame]:
+def order_detail_parts(log: DataFrame, keep_time: bool = False) -> dict[str, DataFrame]:
     """The four tables behind an order line, before they are joined."""
+    time = ["et"] if keep_time else []
     return {
         "detail": c.fields(c.rows_of(log, "order_detail", "insert"), *DETAIL),
         "order": c.rows_of(log, "order_info", "insert").select(
             c.d("id").alias("_order"), c.d("user_id").alias("user_id"),
-            c.d("province_id").alias("province_id"),
+            c.d("province_id").alias("province_id"), *time,
         ),
         "coupon": c.rows_of(log, "order_detail_coupon", "insert").select(
             c.d("order_detail_id").alias("_cd"), c.d("coupon_id").alias("coupon_id"),
-            c.d("coupon_use_id").alias("coupon_use_id"), F.col("seq").alias("_cd_seq"),
+            c.d("coupon_use_id").alias("coupon_use_id"), F.col("seq").alias("_cd_seq"), *time,
         ),
         "activity": c.rows_of(log, "order_detail_activity", "insert").select(
             c.d("order_detail_id").alias("_ad"), c.d("activity_id").alias("activity_id"),
             c.d("activity_rule_id").alias("activity_rule_id"), F.col("seq").alias("_ad_seq"),
+            *time,
         ),
     }
 
@@ -179,11 +186,12 @@ def granted_refunds(log: DataFrame) -> DataFrame:
     )
 
 
-def refunded_orders(log: DataFrame) -> DataFrame:
+def refunded_orders(log: DataFrame, keep_time: bool = False) -> DataFrame:
     rows = c.changed_to(
         c.rows_of(log, "order_info", "update"), "order_status", codes.ORDER_REFUNDED
     )
-    return rows.select(c.d("id").alias("_order"), c.d("province_id").alias("province_id"))
+    time = [F.col("et").alias("_et")] if keep_time else []
+    return rows.select(c.d("id").alias("_order"), c.d("province_id").alias("province_id"), *time)
 
 
 def refund(log: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -33,11 +33,15 @@ def search_words(page: DataFrame) -> DataFrame:
     return words(searched.select("et", "item"), "item")
 
 
-def keyword(page: DataFrame) -> DataFrame:
-    counted = tumble(search_words(page), "et", "word").agg(F.count("*").alias("keyword_count"))
+def count_words(found: DataFrame) -> DataFrame:
+    counted = tumble(found, "et", "word").agg(F.count("*").alias("keyword_count"))
     return stamped(counted).withColumnRenamed("word", "keyword")
 
 
+def keyword(page: DataFrame) -> DataFrame:
+    return count_words(search_words(page))
+
+
 def traffic_parts(page: DataFrame) -> DataFrame:
     """What each record adds to the traffic table: et, dimensions, uv, sv, pv, dur.
 

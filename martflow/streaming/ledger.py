@@ -1,0 +1,90 @@
+"""What earlier micro-batches have seen, for "first time" rules in streams.
+
+A ledger is a table of keys with the batch that brought them. A batch reduces itself to one
+row per key (pruned in the map tasks), drops keys an earlier batch has, and writes the rest;
+the written part is what goes on, so a repeated batch gives the same rows.
+
+Within a batch the order is event time, across batches it is arrival.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from martflow import codes
+from martflow.operators import first
+from martflow.streaming.sinks import read_part, read_parts, write_part
+
+
+@dataclass(frozen=True)
+class Ledger:
+    path: str
+    keys: tuple[str, ...]
+    day: str | None = None  # key that partitions the ledger, when keys live for one day
+
+    def earlier(self, like: DataFrame, batch_id: int) -> DataFrame:
+        rows = read_parts(like, self.path)
+        return rows.where(F.col("batch_id") < batch_id).select(*like.columns)
+
+    def fresh(
+        self, batch: DataFrame, batch_id: int, order: Sequence[str] = ("ts", "seq")
+    ) -> DataFrame:
+        """First row of each key no earlier batch has, written to the ledger."""
+        firsts = first.first_version(batch, list(self.keys), list(order))
+        seen = self.earlier(firsts, batch_id)
+        if self.day:
+            low, high = batch.agg(F.min(self.day), F.max(self.day)).first()
+            seen = seen.where(F.col(self.day).between(F.lit(low), F.lit(high)))
+        new = firsts.join(seen.select(*self.keys), list(self.keys), "left_anti")
+        write_part(new, self.path, batch_id, *([self.day] if self.day else []))
+        return read_part(firsts, self.path, batch_id)
+
+
+def user_days(batch: DataFrame, ledger: Ledger, key: str, batch_id: int) -> DataFrame:
+    """Fresh (user, day) rows with the user's previous day, `_before`, in any batch."""
+    new = ledger.fresh(batch, batch_id)
+    old = ledger.earlier(new, batch_id).join(new.select(key).distinct(), key, "left_semi")
+    both = new.withColumn("_new", F.lit(True)).unionByName(old.withColumn("_new", F.lit(False)))
+    before = F.lag("_day").over(Window.partitionBy(key).orderBy("_day"))
+    return both.withColumn("_before", before).where("_new").drop("_new")
+
+
+def back_flow(batch: DataFrame, ledger: Ledger, batch_id: int, key: str = "uid") -> DataFrame:
+    days = user_days(batch.withColumn("_day", first.day_of()), ledger, key, batch_id)
+    away = F.datediff("_day", "_before") > codes.BACK_AFTER_DAYS
+    return (
+        days.withColumn("back_ct", F.when(away, 1).otherwise(0)).withColumn("uu_ct", F.lit(1))
+        .drop("_day", "_before")
+    )
+
+
+def first_payment(batch: DataFrame, ledger: Ledger, batch_id: int, key: str = "user_id") -> DataFrame:
+    days = user_days(batch.withColumn("_day", first.day_of()), ledger, key, batch_id)
+    return (
+        days.withColumn("new_ct", F.when(F.col("_before").isNull(), 1).otherwise(0))
+        .withColumn("unique_ct", F.lit(1))
+        .drop("_day", "_before")
+    )
+
+
+def fix_first_visit(
+    batch: DataFrame, ledger: Ledger, batch_id: int, key: str = "mid", flag: str = "is_new"
+) -> DataFrame:
+    """The first-visit correction with first days carried over from earlier batches."""
+    day = first.day_of()
+    start = batch.select(
+        key, "ts", "seq",
+        F.when(F.col(flag) == "0", F.date_sub(day, 1)).otherwise(day).alias("_first"),
+    )
+    new = ledger.fresh(start, batch_id)
+    known = new.unionByName(ledger.earlier(new, batch_id)).select(F.col(key).alias("_key"), "_first")
+    late = (F.col(flag) == "1") & (F.col("_first") < day)
+    return (
+        batch.join(known, F.col(key) == F.col("_key"), "left")
+        .withColumn(flag, F.when(late, "0").otherwise(F.col(flag)))
+        .drop("_key", "_first")
+    )
