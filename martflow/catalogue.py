@@ -63,13 +63,13 @@ def p3(w: Warehouse) -> DataFrame:
 
 
 def p5(w: Warehouse) -> DataFrame:
-    rows = c.moved(c.rows_of(w.log("order_info"), "order_info", "update"), "order_status",
+    rows = c.moved(c.rows_of(w.log, "order_info", "update"), "order_status",
                    codes.ORDER_PLACED, codes.ORDER_CANCELLED)
     return c.fields(rows, "id", "operate_time").drop("et")
 
 
 def p6(w: Warehouse) -> DataFrame:
-    return dwd.refunded_orders(w.log("order_info")).withColumnRenamed("_order", "id")
+    return dwd.refunded_orders(w.log).withColumnRenamed("_order", "id")
 
 
 def p7(w: Warehouse) -> DataFrame:
@@ -77,7 +77,7 @@ def p7(w: Warehouse) -> DataFrame:
 
 
 def p11(w: Warehouse) -> DataFrame:
-    pruned = routing.prune(routing.route(w.log(), w.fact_config, normalise=False))
+    pruned = routing.prune(routing.route(w.mixed_log, w.fact_config, normalise=False))
     return pruned.select("sink_table", c.d("id").alias("id"), _keys())
 
 
@@ -103,18 +103,18 @@ def j1(w: Warehouse) -> DataFrame:
 
 
 def j2(w: Warehouse) -> DataFrame:
-    both = dwd.granted_refunds(w.log("order_refund_info")).join(
-        dwd.refunded_orders(w.log("order_info")), F.col("order_id") == F.col("_order"))
+    both = dwd.granted_refunds(w.log).join(
+        dwd.refunded_orders(w.log), F.col("order_id") == F.col("_order"))
     return both.select("id", "seq", "order_id", "sku_id", "province_id")
 
 
 def j3(w: Warehouse) -> DataFrame:
-    return dwd.cancel_detail(w.log("order_info"), w.detail_lines).select(
+    return dwd.cancel_detail(w.log, w.detail_lines).select(
         "id", "order_id", "seq", "cancel_time")
 
 
 def j4(w: Warehouse) -> DataFrame:
-    return dwd.refund_payment(w.log("refund_payment"), w.refund, w.dictionary).select(
+    return dwd.refund_payment(w.log, w.refund, w.dictionary).select(
         "id", "order_id", "sku_id", "refund_amount", "out_trade_no")
 
 
@@ -130,23 +130,23 @@ def j5(w: Warehouse) -> DataFrame:
 
 
 def j6(w: Warehouse) -> DataFrame:
-    return dwd.comment_info(w.log("comment_info"), w.dictionary).select("id", "appraise", "appraise_name")
+    return dwd.comment_info(w.log, w.dictionary).select("id", "appraise", "appraise_name")
 
 
 def j7(w: Warehouse) -> DataFrame:
-    named = dwd.named(dwd.payments(w.log("payment_info")), w.dictionary,
+    named = dwd.named(dwd.payments(w.log), w.dictionary,
                       payment_status_name="payment_status", payment_type_name="payment_type")
     return named.select("id", "payment_status", "payment_status_name", "payment_type", "payment_type_name")
 
 
 def j9(w: Warehouse) -> DataFrame:
-    rows = with_sku(dwd.granted_refunds(w.log("order_refund_info")).select("id", "seq", "sku_id"), w.flat_sku)
+    rows = with_sku(dwd.granted_refunds(w.log).select("id", "seq", "sku_id"), w.flat_sku)
     return rows.select("id", "seq", "sku_id", "trademark_name", "category3_name",
                        "category2_name", "category1_name")
 
 
 def j11(w: Warehouse) -> DataFrame:
-    return routing.route(w.log(), w.fact_config, normalise=False).select(
+    return routing.route(w.mixed_log, w.fact_config, normalise=False).select(
         "sink_table", "table", "op_type", c.d("id").alias("id"), "seq")
 
 
@@ -158,7 +158,7 @@ def j12(w: Warehouse) -> DataFrame:
 
 
 def j13(w: Warehouse) -> DataFrame:
-    paid = dwd.payments(w.log("payment_info")).groupBy("user_id").agg(
+    paid = dwd.payments(w.log).groupBy("user_id").agg(
         F.sum(F.col("total_amount").cast("decimal(16,2)")).alias("paid_amount"))
     carts = w.cart_add.groupBy("user_id").agg(F.sum("sku_num").alias("cart_num"))
     return full_outer(paid, carts, ["user_id"], [])
@@ -189,7 +189,7 @@ def a4(w: Warehouse) -> DataFrame:
 
 
 def a8(w: Warehouse) -> DataFrame:
-    refunds = dwd.granted_refunds(w.log("order_refund_info"))
+    refunds = dwd.granted_refunds(w.log)
     return stamped(tumble(refunds, "et", "sku_id", "user_id").agg(F.count("*").alias("refund_count")))
 
 
@@ -256,7 +256,7 @@ def w9(w: Warehouse) -> DataFrame:
 
 
 def w10(w: Warehouse) -> DataFrame:
-    paid = dwd.payments(w.log("payment_info")).select("seq", "user_id", (F.col("ts") * 1000).alias("ts"))
+    paid = dwd.payments(w.log).select("seq", "user_id", (F.col("ts") * 1000).alias("ts"))
     return first.first_payment(paid)
 
 
@@ -274,7 +274,7 @@ def m2(w: Warehouse) -> DataFrame:
 
 
 def m3(w: Warehouse) -> DataFrame:
-    routed = routing.route(w.log(), w.fact_config, normalise=False)
+    routed = routing.route(w.mixed_log, w.fact_config, normalise=False)
     return routed.groupBy("sink_table", "source_type", "op_type").agg(F.count("*").alias("n"))
 
 
@@ -305,7 +305,7 @@ def d0(w: Warehouse) -> DataFrame:
 
 
 def d9(w: Warehouse) -> DataFrame:
-    return dwd.routed_facts(w.log(), w.fact_config).select(
+    return dwd.routed_facts(w.mixed_log, w.fact_config).select(
         "sink_table", c.d("id").alias("id"), c.d("op_type").alias("op_type"), "ts", "seq", _keys())
 
 
@@ -394,14 +394,14 @@ def catalogue() -> dict[str, Query]:
         "d1_display": _log_part("display", "is_new", "item", "page_id", pos=True),
         "d1_action": _log_part("action", "is_new", "action_id", "page_id", pos=True),
         "d1_err": _log_part("err", "is_new", "error_code", "entry"),
-        "d2_comment_info": _fact(lambda w: dwd.comment_info(w.log("comment_info"), w.dictionary)),
+        "d2_comment_info": _fact(lambda w: dwd.comment_info(w.log, w.dictionary)),
         "d3_cart_add": _fact(lambda w: w.cart_add),
         "d4_order_detail": _fact(lambda w: w.order_detail),
-        "d5_cancel_detail": _fact(lambda w: dwd.cancel_detail(w.log("order_info"), w.detail_versions)),
+        "d5_cancel_detail": _fact(lambda w: dwd.cancel_detail(w.log, w.detail_versions)),
         "d6_pay_detail": _fact(lambda w: w.pay_detail),
         "d7_refund": _fact(lambda w: w.refund),
         "d8_refund_payment": _fact(
-            lambda w: dwd.refund_payment(w.log("refund_payment"), w.refund, w.dictionary)),
+            lambda w: dwd.refund_payment(w.log, w.refund, w.dictionary)),
         "d9_routed_facts": d9,
         "g1_keyword": _windows("keyword"),
         "g2_traffic": _windows("traffic"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,13 @@ def o(name: str) -> Column:
     return F.col("old")[name]
 
 
-def rows_of(changes: DataFrame, table: str, *ops: str) -> DataFrame:
-    return changes.where(
-        (F.col("database") == codes.DATABASE)
-        & (F.col("table") == table)
-        & F.col("type").isin(*ops)
-    )
+Log = DataFrame | Mapping[str, DataFrame]
+
+
+def rows_of(log: Log, table: str, *ops: str) -> DataFrame:
+    """Changes of one table from a mixed log, or from a log kept by table."""
+    rows = log.where(F.col("table") == table) if isinstance(log, DataFrame) else log[table]
+    return rows.where((F.col("database") == codes.DATABASE) & F.col("type").isin(*ops))
 
 
 def fields(changes: DataFrame, *names: str, **more: Column) -> DataFrame:

@@ -1,6 +1,6 @@
 """Detail facts from the change log and the behaviour log.
 
-Each function takes the typed change log (see `sources.ods.change_log`) and returns one fact
+Each function takes a typed change log, mixed or by table, and returns one fact
 with its business columns as text, `ts` in epoch seconds, `et` and `seq`.
 """
 
@@ -68,7 +68,7 @@ def split_log(
 # --- interaction, cart ----------------------------------------------------------------
 
 
-def comment_info(log: DataFrame, dictionary: DataFrame) -> DataFrame:
+def comment_info(log: c.Log, dictionary: DataFrame) -> DataFrame:
     rows = c.fields(
         c.rows_of(log, "comment_info", "insert"),
         "id", "user_id", "sku_id", "spu_id", "order_id", "appraise", "comment_txt", "create_time",
@@ -76,7 +76,7 @@ def comment_info(log: DataFrame, dictionary: DataFrame) -> DataFrame:
     return named(rows, dictionary, appraise_name="appraise")
 
 
-def cart_add(log: DataFrame) -> DataFrame:
+def cart_add(log: c.Log) -> DataFrame:
     rows = c.increase(c.rows_of(log, "cart_info", "insert", "update"), "sku_num", "_grown")
     return c.fields(
         rows, "id", "user_id", "sku_id", "cart_price", "sku_name", sku_num=F.col("_grown")
@@ -86,7 +86,7 @@ def cart_add(log: DataFrame) -> DataFrame:
 # --- orders ---------------------------------------------------------------------------
 
 
-def order_detail_parts(log: DataFrame, keep_time: bool = False) -> dict[str, DataFrame]:
+def order_detail_parts(log: c.Log, keep_time: bool = False) -> dict[str, DataFrame]:
     """The four tables behind an order line, before they are joined."""
     time = ["et"] if keep_time else []
     return {
@@ -126,14 +126,14 @@ def join_order_detail(parts: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def order_detail(log: DataFrame) -> DataFrame:
+def order_detail(log: c.Log) -> DataFrame:
     """One row per order line: the last state an upsert by line id would leave."""
     parts = order_detail_parts(log)
     parts["detail"] = latest_version(parts["detail"], ["id"])
     return join_order_detail(parts)
 
 
-def cancel_detail(log: DataFrame, detail: DataFrame) -> DataFrame:
+def cancel_detail(log: c.Log, detail: DataFrame) -> DataFrame:
     """Latest version of every line of a cancelled order."""
     moved = c.moved(
         c.rows_of(log, "order_info", "update"),
@@ -146,7 +146,7 @@ def cancel_detail(log: DataFrame, detail: DataFrame) -> DataFrame:
     return cancelled.join(lines, F.col("_order") == F.col("order_id")).drop("_order")
 
 
-def payments(log: DataFrame) -> DataFrame:
+def payments(log: c.Log) -> DataFrame:
     moved = c.moved(
         c.rows_of(log, "payment_info", "update"),
         "payment_status", codes.PAYMENT_OPEN, codes.PAYMENT_DONE,
@@ -157,7 +157,7 @@ def payments(log: DataFrame) -> DataFrame:
     )
 
 
-def pay_detail(log: DataFrame, detail: DataFrame, dictionary: DataFrame) -> DataFrame:
+def pay_detail(log: c.Log, detail: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Lines paid within half an hour of their order, one row per payment and line."""
     lines = latest_version(detail, ["id"]).select(
         F.col("id").alias("detail_id"), F.col("order_id").alias("_order"),
@@ -175,7 +175,7 @@ def pay_detail(log: DataFrame, detail: DataFrame, dictionary: DataFrame) -> Data
     )
 
 
-def granted_refunds(log: DataFrame) -> DataFrame:
+def granted_refunds(log: c.Log) -> DataFrame:
     moved = c.moved(
         c.rows_of(log, "order_refund_info", "update"),
         "refund_status", codes.REFUND_ASKED, codes.REFUND_GRANTED,
@@ -186,7 +186,7 @@ def granted_refunds(log: DataFrame) -> DataFrame:
     )
 
 
-def refunded_orders(log: DataFrame, keep_time: bool = False) -> DataFrame:
+def refunded_orders(log: c.Log, keep_time: bool = False) -> DataFrame:
     rows = c.changed_to(
         c.rows_of(log, "order_info", "update"), "order_status", codes.ORDER_REFUNDED
     )
@@ -194,7 +194,7 @@ def refunded_orders(log: DataFrame, keep_time: bool = False) -> DataFrame:
     return rows.select(c.d("id").alias("_order"), c.d("province_id").alias("province_id"), *time)
 
 
-def refund(log: DataFrame, dictionary: DataFrame) -> DataFrame:
+def refund(log: c.Log, dictionary: DataFrame) -> DataFrame:
     """Granted refunds of orders that were set to refunded."""
     both = granted_refunds(log).join(
         refunded_orders(log), F.col("order_id") == F.col("_order")
@@ -205,7 +205,7 @@ def refund(log: DataFrame, dictionary: DataFrame) -> DataFrame:
     )
 
 
-def refund_payment(log: DataFrame, refunds: DataFrame, dictionary: DataFrame) -> DataFrame:
+def refund_payment(log: c.Log, refunds: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Finished refund payments, one row per refunded line of their order."""
     rows = c.changed_to(
         c.rows_of(log, "refund_payment", "update"), "refund_status", codes.PAYMENT_DONE
@@ -241,7 +241,7 @@ def dimension_log(changes: DataFrame, config: DataFrame) -> DataFrame:
     return routing.dimension_changes(routing.prune(routing.route(valid, config)))
 
 
-def register(log: DataFrame) -> DataFrame:
+def register(log: c.Log) -> DataFrame:
     rows = c.rows_of(log, "user_info", "insert")
     return rows.select(
         c.d("id").alias("user_id"), c.d("create_time").cast("timestamp").alias("create_time"),

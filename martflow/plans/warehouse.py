@@ -15,10 +15,6 @@ from martflow.sources import replay
 from martflow.sources.tables import Tables
 
 
-ORDER_TABLES = ("order_info", "order_detail", "order_detail_coupon", "order_detail_activity")
-REFUND_TABLES = ("order_refund_info", "order_info")
-
-
 class WindowTables(Mapping[str, DataFrame]):
     """The window tables by name, each planned when it is first asked for."""
 
@@ -44,9 +40,14 @@ class Warehouse:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.tables = Tables(spark, root)
 
-    def log(self, *names: str) -> DataFrame:
-        """The change log of some tables, of all when none is named."""
-        return replay.change_log(self.tables, *names)
+    @cached_property
+    def log(self) -> replay.Changes:
+        """Change rows by table."""
+        return replay.Changes(self.tables)
+
+    @cached_property
+    def mixed_log(self) -> DataFrame:
+        return replay.change_log(self.tables)
 
     @cached_property
     def dictionary(self) -> DataFrame:
@@ -73,28 +74,28 @@ class Warehouse:
     @cached_property
     def detail_lines(self) -> DataFrame:
         """Order lines with repeated versions, columns of their own table only."""
-        return dwd.order_detail_parts(self.log(*ORDER_TABLES))["detail"]
+        return dwd.order_detail_parts(self.log)["detail"]
 
     @cached_property
     def detail_versions(self) -> DataFrame:
         """Order lines with repeated versions, as an upsert log delivers them."""
-        return dwd.join_order_detail(dwd.order_detail_parts(self.log(*ORDER_TABLES)))
+        return dwd.join_order_detail(dwd.order_detail_parts(self.log))
 
     @cached_property
     def order_detail(self) -> DataFrame:
-        return dwd.order_detail(self.log(*ORDER_TABLES))
+        return dwd.order_detail(self.log)
 
     @cached_property
     def cart_add(self) -> DataFrame:
-        return dwd.cart_add(self.log("cart_info"))
+        return dwd.cart_add(self.log)
 
     @cached_property
     def pay_detail(self) -> DataFrame:
-        return dwd.pay_detail(self.log("payment_info"), self.detail_versions, self.dictionary)
+        return dwd.pay_detail(self.log, self.detail_versions, self.dictionary)
 
     @cached_property
     def refund(self) -> DataFrame:
-        return dwd.refund(self.log(*REFUND_TABLES), self.dictionary)
+        return dwd.refund(self.log, self.dictionary)
 
     @cached_property
     def fact_config(self) -> DataFrame:
@@ -112,7 +113,7 @@ class Warehouse:
             "traffic": lambda: dws.traffic(self.page),
             "home_detail": lambda: dws.home_detail(self.raw_page),
             "user_login": lambda: dws.user_login(self.raw_page),
-            "user_register": lambda: dws.user_register(dwd.register(self.log("user_info"))),
+            "user_register": lambda: dws.user_register(dwd.register(self.log)),
             "cart_add_uu": lambda: dws.cart_add_uu(self.cart_add),
             "payment_suc": lambda: dws.payment_suc(self.pay_detail),
             "order": lambda: dws.order(self.detail_versions),

@@ -1,12 +1,14 @@
 """The given tables replayed as the streams and dimensions of the retail warehouse.
 
-Change records are typed rows with two text maps. Each source table is one branch of a
-union whose `table`/`type` columns are literals, so a job that selects one table leaves the
-other branches out of its plan, and a map lookup `data['x']` folds back to the plain column.
+A change comes in two shapes. `Changes` gives the rows of one table with `data` and `old` as
+structs: a job's `data['x']` folds back to the plain column, so unused columns are not read.
+`change_log` gives the mixed log with text maps, as needed where columns are configured.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -53,17 +55,47 @@ def _by_priority(values: list[str]) -> Column:
     return F.element_at(F.create_map(*pairs), level)
 
 
-def _change(df: DataFrame, table: str, op: str, ts: Column, seq: Column, data, old=None) -> DataFrame:
-    return df.select(
-        F.lit(table).alias("table"),
-        F.lit(codes.DATABASE).alias("database"),
-        F.lit(op).alias("type"),
-        ts.cast("bigint").alias("ts"),
-        data.alias("data"),
-        (F.lit(None).cast("map<string,string>") if old is None else old).alias("old"),
-        seq.cast("bigint").alias("seq"),
-        F.timestamp_seconds(ts).alias("et"),
-    )
+Cols = Mapping[str, Column]
+
+
+@dataclass(frozen=True)
+class Branch:
+    """Rows of a table as one kind of change; `old` holds NULL where nothing changed."""
+
+    rows: DataFrame
+    table: str
+    op: str
+    ts: Column
+    seq: Column
+    data: Cols
+    old: Cols | None = None
+
+    def _select(self, data: Column, old: Column) -> DataFrame:
+        return self.rows.select(
+            F.lit(self.table).alias("table"),
+            F.lit(codes.DATABASE).alias("database"),
+            F.lit(self.op).alias("type"),
+            self.ts.cast("bigint").alias("ts"),
+            data.alias("data"),
+            old.alias("old"),
+            self.seq.cast("bigint").alias("seq"),
+            F.timestamp_seconds(self.ts).alias("et"),
+        )
+
+    def as_maps(self) -> DataFrame:
+        if self.old is None:
+            old = F.lit(None).cast("map<string,string>")
+        else:
+            old = F.map_filter(text_map(**self.old), lambda _, v: v.isNotNull())
+        return self._select(text_map(**self.data), old)
+
+    def as_structs(self, data: list[str], old: list[str]) -> DataFrame:
+        return self._select(text_struct(data, self.data), text_struct(old, self.old or {}))
+
+
+def text_struct(names: list[str], cols: Cols) -> Column:
+    empty = F.lit(None)
+    return F.struct(*[cols.get(n, empty).cast("string").alias(n) for n in names])
 
 
 def _placed(t: Tables) -> DataFrame:
@@ -79,78 +111,78 @@ def _lines_of_orders(t: Tables) -> DataFrame:
     return items.join(orders, items.l_orderkey == orders.o_orderkey)
 
 
-def _order_info(t: Tables) -> list[DataFrame]:
+def _order_info(t: Tables) -> list[Branch]:
     placed, orders = _placed(t), t("orders")
     key, day = F.col("o_orderkey"), seconds("o_orderdate")
-    insert = _change(
+    insert = Branch(
         placed, "order_info", "insert", day, key,
-        text_map(id=key, user_id=F.col("o_custkey"), province_id=F.col("c_nationkey"),
+        dict(id=key, user_id=F.col("o_custkey"), province_id=F.col("c_nationkey"),
                  order_status=F.lit(codes.ORDER_PLACED)),
     )
-    cancel = _change(
+    cancel = Branch(
         orders.where("o_orderstatus = 'O'"), "order_info", "update", day + 600, key,
-        text_map(id=key, operate_time=F.date_format(F.timestamp_seconds(day + 600), STAMP),
+        dict(id=key, operate_time=F.date_format(F.timestamp_seconds(day + 600), STAMP),
                  order_status=F.lit(codes.ORDER_CANCELLED)),
-        text_map(order_status=F.lit(codes.ORDER_PLACED)),
+        dict(order_status=F.lit(codes.ORDER_PLACED)),
     )
     # Refunded orders; where the status was already set the update changed another column.
-    refunded = _change(
+    refunded = Branch(
         placed.where("o_orderstatus <> 'O'"), "order_info", "update", day + DAY, key,
-        text_map(id=key, province_id=F.col("c_nationkey"), order_status=F.lit(codes.ORDER_REFUNDED)),
-        F.when(F.col("o_orderstatus") == "F", text_map(order_status=F.lit("1002")))
-        .otherwise(text_map(operate_time=F.col("o_orderdate"))),
+        dict(id=key, province_id=F.col("c_nationkey"), order_status=F.lit(codes.ORDER_REFUNDED)),
+        dict(order_status=F.when(F.col("o_orderstatus") == "F", "1002"),
+             operate_time=F.when(F.col("o_orderstatus") == "P", F.col("o_orderdate"))),
     )
     return [insert, cancel, refunded]
 
 
-def _order_detail(t: Tables) -> list[DataFrame]:
+def _order_detail(t: Tables) -> list[Branch]:
     ts = seconds("o_orderdate") + F.col("l_linenumber")
-    return [_change(
+    return [Branch(
         _lines_of_orders(t), "order_detail", "insert", ts, arrival(),
-        text_map(id=detail_id(), order_id=F.col("l_orderkey"), sku_id=F.col("l_partkey"),
+        dict(id=detail_id(), order_id=F.col("l_orderkey"), sku_id=F.col("l_partkey"),
                  sku_num=F.col("l_quantity").cast("int"), **amounts(),
                  create_time=F.date_format("o_orderdate", STAMP)),
     )]
 
 
-def _order_detail_coupon(t: Tables) -> list[DataFrame]:
-    return [_change(
+def _order_detail_coupon(t: Tables) -> list[Branch]:
+    return [Branch(
         t("lineitem").where("l_tax > 0.04"), "order_detail_coupon", "insert",
         seconds("l_shipdate"), arrival(),
-        text_map(order_detail_id=detail_id(), coupon_id=F.col("l_suppkey"),
+        dict(order_detail_id=detail_id(), coupon_id=F.col("l_suppkey"),
                  coupon_use_id=F.col("l_orderkey")),
     )]
 
 
-def _order_detail_activity(t: Tables) -> list[DataFrame]:
-    return [_change(
+def _order_detail_activity(t: Tables) -> list[Branch]:
+    return [Branch(
         t("lineitem").where("l_discount > 0.05"), "order_detail_activity", "insert",
         seconds("l_shipdate"), arrival(),
-        text_map(order_detail_id=detail_id(), activity_id=F.col("l_suppkey"),
+        dict(order_detail_id=detail_id(), activity_id=F.col("l_suppkey"),
                  activity_rule_id=F.col("l_partkey")),
     )]
 
 
-def _payment_info(t: Tables) -> list[DataFrame]:
+def _payment_info(t: Tables) -> list[Branch]:
     key = F.col("o_orderkey")
     ts = seconds("o_orderdate") + F.floor(money(F.col("o_totalprice")) / 200).cast("bigint")
-    return [_change(
+    return [Branch(
         t("orders"), "payment_info", "update", ts, key,
-        text_map(id=key, user_id=F.col("o_custkey"), order_id=key,
+        dict(id=key, user_id=F.col("o_custkey"), order_id=key,
                  trade_no=F.concat(F.lit("T"), key.cast("string")),
                  total_amount=money(F.col("o_totalprice")),
                  payment_status=F.lit(codes.PAYMENT_DONE),
                  payment_type=_by_priority(["1101", "1102", "1103", "1104", "1199"]),
                  callback_time=F.date_format(F.timestamp_seconds(ts), STAMP)),
-        text_map(payment_status=F.when(F.col("o_orderstatus") == "P", "1600")
+        dict(payment_status=F.when(F.col("o_orderstatus") == "P", "1600")
                  .otherwise(codes.PAYMENT_OPEN)),
     )]
 
 
-def _order_refund_info(t: Tables) -> list[DataFrame]:
-    return [_change(
+def _order_refund_info(t: Tables) -> list[Branch]:
+    return [Branch(
         _lines_of_orders(t), "order_refund_info", "update", seconds("l_shipdate"), arrival(),
-        text_map(id=detail_id(), user_id=F.col("o_custkey"), order_id=F.col("l_orderkey"),
+        dict(id=detail_id(), user_id=F.col("o_custkey"), order_id=F.col("l_orderkey"),
                  sku_id=F.col("l_partkey"),
                  refund_type=F.when(F.col("l_linestatus") == "F", "1501").otherwise("1502"),
                  refund_num=F.col("l_quantity").cast("int"),
@@ -160,31 +192,31 @@ def _order_refund_info(t: Tables) -> list[DataFrame]:
                  operate_time=F.date_format("l_shipdate", STAMP),
                  refund_status=F.when(F.col("l_returnflag") == "R", codes.REFUND_GRANTED)
                  .otherwise("0705")),
-        text_map(refund_status=F.lit(codes.REFUND_ASKED)),
+        dict(refund_status=F.lit(codes.REFUND_ASKED)),
     )]
 
 
-def _refund_payment(t: Tables) -> list[DataFrame]:
+def _refund_payment(t: Tables) -> list[Branch]:
     key, ts = F.col("o_orderkey"), seconds("o_orderdate") + 2 * DAY
-    return [_change(
+    return [Branch(
         t("orders"), "refund_payment", "update", ts, key,
-        text_map(id=key, order_id=key, out_trade_no=F.concat(F.lit("O"), key.cast("string")),
+        dict(id=key, order_id=key, out_trade_no=F.concat(F.lit("O"), key.cast("string")),
                  refund_status=F.lit(codes.PAYMENT_DONE),
                  payment_type=_by_priority(["1101", "1102", "1103", "1104", "1199"]),
                  trade_no=F.concat(F.lit("T"), key.cast("string")),
                  callback_time=F.date_format(F.timestamp_seconds(ts), STAMP)),
-        F.when(F.col("o_orderstatus") == "F", text_map(refund_status=F.lit("1601")))
-        .otherwise(text_map(callback_time=F.col("o_orderdate"))),
+        dict(refund_status=F.when(F.col("o_orderstatus") == "F", codes.PAYMENT_OPEN),
+             callback_time=F.when(F.col("o_orderstatus") != "F", F.col("o_orderdate"))),
     )]
 
 
-def _cart_info(t: Tables) -> list[DataFrame]:
-    def branch(kind: str, op: str) -> DataFrame:
+def _cart_info(t: Tables) -> list[Branch]:
+    def branch(kind: str, op: str) -> Branch:
         rows = events(t).where(F.col("event_type") == kind)
-        old = None if op == "insert" else text_map(sku_num=F.floor("amount"))
-        return _change(
+        old = None if op == "insert" else dict(sku_num=F.floor("amount"))
+        return Branch(
             rows, "cart_info", op, F.floor(F.col("ts") / 1000), F.col("seq"),
-            text_map(id=F.col("seq"), user_id=F.col("user_id"), sku_id=F.col("k"),
+            dict(id=F.col("seq"), user_id=F.col("user_id"), sku_id=F.col("k"),
                      cart_price=F.col("amount"), sku_name=F.concat_ws("_", F.lit("sku"), "k"),
                      sku_num=F.col("k")),
             old,
@@ -193,24 +225,24 @@ def _cart_info(t: Tables) -> list[DataFrame]:
     return [branch("view", "insert"), branch("click", "update")]
 
 
-def _comment_info(t: Tables) -> list[DataFrame]:
+def _comment_info(t: Tables) -> list[Branch]:
     code = F.concat(F.lit("120"), F.least(F.col("turn") + 1, F.lit(4)).cast("string"))
     ts = F.lit(1_704_067_200) + F.col("conv_id")
-    return [_change(
+    return [Branch(
         t("conversations").where("role = 'user'"), "comment_info", "insert",
         ts, F.col("conv_id") * 1000 + F.col("turn"),
-        text_map(id=F.concat_ws("-", "conv_id", "turn"), user_id=F.col("conv_id"),
+        dict(id=F.concat_ws("-", "conv_id", "turn"), user_id=F.col("conv_id"),
                  sku_id=F.col("turn"), spu_id=F.col("turn"), order_id=F.col("conv_id"),
                  appraise=code, comment_txt=F.col("text"),
                  create_time=F.date_format(F.timestamp_seconds(ts), STAMP)),
     )]
 
 
-def _user_info(t: Tables) -> list[DataFrame]:
+def _user_info(t: Tables) -> list[Branch]:
     rows = events(t).where("event_type = 'signup'")
-    return [_change(
+    return [Branch(
         rows, "user_info", "insert", F.floor(F.col("ts") / 1000), F.col("seq"),
-        text_map(id=F.col("user_id"), name=F.concat_ws("_", F.lit("user"), "user_id"),
+        dict(id=F.col("user_id"), name=F.concat_ws("_", F.lit("user"), "user_id"),
                  level=F.col("k"),
                  create_time=F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd HH:mm:ss.SSS")),
     )]
@@ -231,11 +263,30 @@ _BRANCHES = {
 
 
 def change_log(t: Tables, *names: str) -> DataFrame:
-    """The change log of the business database, or of the named tables only."""
-    parts = [df for name in names or _BRANCHES for df in _BRANCHES[name](t)]
+    """The mixed change log of the business database, or of the named tables only."""
+    parts = [branch.as_maps() for name in names or _BRANCHES for branch in _BRANCHES[name](t)]
     return reduce(DataFrame.unionByName, parts)
 
 
+class Changes(Mapping[str, DataFrame]):
+    """Change rows by table, each planned when asked for."""
+
+    def __init__(self, t: Tables) -> None:
+        self._tables = t
+
+    def __getitem__(self, name: str) -> DataFrame:
+        branches = _BRANCHES[name](self._tables)
+        data = list(dict.fromkeys(c for b in branches for c in b.data))
+        old = list(dict.fromkeys(c for b in branches for c in (b.old or {}))) or ["id"]
+        return reduce(DataFrame.unionByName, [b.as_structs(data, old) for b in branches])
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(_BRANCHES)
+
+    def __len__(self) -> int:
+        return len(_BRANCHES)
+
+
 def change_lines(t: Tables) -> DataFrame:
     """Orders as raw change lines, some of them unusable: (seq, value).
 
@@ -438,15 +489,15 @@ def dimension_changes(t: Tables) -> DataFrame:
     ):
         rows, cols = t(table), {n: F.col(c) for n, c in more.items()}
         seq = F.col(key)
-        data = text_map(id=seq, name=F.col(name), **cols)
-        parts.append(_change(rows, table, "bootstrap-insert", F.lit(1), seq, data))
+        data = dict(id=seq, name=F.col(name), **cols)
+        parts.append(Branch(rows, table, "bootstrap-insert", F.lit(1), seq, data))
         if balance:
-            renamed = text_map(id=seq, name=F.upper(name), **cols)
-            parts.append(_change(
+            renamed = dict(id=seq, name=F.upper(name), **cols)
+            parts.append(Branch(
                 rows.where(F.col(balance) >= 5000), table, "update", F.lit(2), seq, renamed,
-                text_map(name=F.col(name))))
-            parts.append(_change(rows.where(F.col(balance) < 0), table, "delete", F.lit(3), seq, data))
-    return reduce(DataFrame.unionByName, parts)
+                dict(name=F.col(name))))
+            parts.append(Branch(rows.where(F.col(balance) < 0), table, "delete", F.lit(3), seq, data))
+    return reduce(DataFrame.unionByName, [p.as_maps() for p in parts])
 
 
 # --- dimensions -----------------------------------------------------------------------
