@@ -41,6 +41,10 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*[plain(f) for f in df.schema.fields])
 
 
+def _value(name: str) -> Column:
+    return F.col("data")[name].alias(name)
+
+
 def _keys(data: str = "data") -> Column:
     return F.array_join(F.array_sort(F.map_keys(data)), ",").alias("columns")
 
@@ -51,7 +55,7 @@ def _keys(data: str = "data") -> Column:
 def _valid_changes(ops: tuple[str, ...]) -> Query:
     def query(w: Warehouse) -> DataFrame:
         valid = ods.valid_changes(ods.change_log(replay.change_lines(w.tables)), ops)
-        return valid.select("seq", "table", "type", "ts", c.d("id").alias("id"), c.d("user_id").alias("user_id"))
+        return valid.select("seq", "table", "type", "ts", _value("id"), _value("user_id"))
 
     return query
 
@@ -78,7 +82,7 @@ def p7(w: Warehouse) -> DataFrame:
 
 def p11(w: Warehouse) -> DataFrame:
     pruned = routing.prune(routing.route(w.mixed_log, w.fact_config, normalise=False))
-    return pruned.select("sink_table", c.d("id").alias("id"), _keys())
+    return pruned.select("sink_table", _value("id"), _keys())
 
 
 def p14(w: Warehouse) -> DataFrame:
@@ -147,7 +151,7 @@ def j9(w: Warehouse) -> DataFrame:
 
 def j11(w: Warehouse) -> DataFrame:
     return routing.route(w.mixed_log, w.fact_config, normalise=False).select(
-        "sink_table", "table", "op_type", c.d("id").alias("id"), "seq")
+        "sink_table", "table", "op_type", _value("id"), "seq")
 
 
 def j12(w: Warehouse) -> DataFrame:
@@ -301,12 +305,12 @@ def m4_increment(w: Warehouse) -> DataFrame:
 def d0(w: Warehouse) -> DataFrame:
     changes = dwd.dimension_log(replay.dimension_changes(w.tables), w.dimension_config)
     rows = routing.compact(changes, ["sink_table", "row_key"])
-    return rows.select("sink_table", "row_key", c.d("name").alias("name"), "op_type", _keys())
+    return rows.select("sink_table", "row_key", _value("name"), "op_type", _keys())
 
 
 def d9(w: Warehouse) -> DataFrame:
     return dwd.routed_facts(w.mixed_log, w.fact_config).select(
-        "sink_table", c.d("id").alias("id"), c.d("op_type").alias("op_type"), "ts", "seq", _keys())
+        "sink_table", _value("id"), _value("op_type"), "ts", "seq", _keys())
 
 
 # --- facts ----------------------------------------------------------------------------

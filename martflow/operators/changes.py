@@ -11,14 +11,18 @@ from martflow import codes
 from martflow.functions.scalar import merge
 
 
-def d(name: str) -> Column:
-    """Current value of a business column."""
-    return F.col("data")[name]
+def _value(rows: DataFrame, side: str, name: str) -> Column:
+    return F.col(side)[name] if side in rows.columns else F.col(f"{side}_{name}")
 
 
-def o(name: str) -> Column:
+def d(rows: DataFrame, name: str) -> Column:
+    """Current value of a business column, of a map `data` or a column `data_name`."""
+    return _value(rows, "data", name)
+
+
+def o(rows: DataFrame, name: str) -> Column:
     """Value before the change; NULL where the column did not change."""
-    return F.col("old")[name]
+    return _value(rows, "old", name)
 
 
 Log = DataFrame | Mapping[str, DataFrame]
@@ -33,7 +37,7 @@ def rows_of(log: Log, table: str, *ops: str) -> DataFrame:
 def fields(changes: DataFrame, *names: str, **more: Column) -> DataFrame:
     """Business columns by name, more columns by expression, then ts, et and seq."""
     return changes.select(
-        *[d(n).alias(n) for n in names],
+        *[d(changes, n).alias(n) for n in names],
         *[c.alias(n) for n, c in more.items()],
         "ts", "et", "seq",
     )
@@ -41,17 +45,17 @@ def fields(changes: DataFrame, *names: str, **more: Column) -> DataFrame:
 
 def moved(changes: DataFrame, column: str, before: str, after: str) -> DataFrame:
     """Updates that took a column from one value to another."""
-    return changes.where((o(column) == before) & (d(column) == after))
+    return changes.where((o(changes, column) == before) & (d(changes, column) == after))
 
 
 def changed_to(changes: DataFrame, column: str, after: str) -> DataFrame:
     """Updates that changed a column, whatever it was, to a value."""
-    return changes.where(o(column).isNotNull() & (d(column) == after))
+    return changes.where(o(changes, column).isNotNull() & (d(changes, column) == after))
 
 
 def increase(changes: DataFrame, column: str, out: str) -> DataFrame:
     """Inserts and growing updates, with the growth as an integer."""
-    new, old = d(column).try_cast("int"), o(column).try_cast("int")
+    new, old = d(changes, column).try_cast("int"), o(changes, column).try_cast("int")
     grown = (F.col("type") == "insert") | ((F.col("type") == "update") & (new > old))
     return changes.where(grown).withColumn(out, new - F.coalesce(old, F.lit(0)))
 

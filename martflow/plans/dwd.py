@@ -89,21 +89,24 @@ def cart_add(log: c.Log) -> DataFrame:
 def order_detail_parts(log: c.Log, keep_time: bool = False) -> dict[str, DataFrame]:
     """The four tables behind an order line, before they are joined."""
     time = ["et"] if keep_time else []
+
+    def inserted(table: str, *names: str) -> DataFrame:
+        return c.fields(c.rows_of(log, table, "insert"), *names)
+
+    orders = inserted("order_info", "id", "user_id", "province_id")
+    coupons = inserted("order_detail_coupon", "order_detail_id", "coupon_id", "coupon_use_id")
+    activities = inserted(
+        "order_detail_activity", "order_detail_id", "activity_id", "activity_rule_id")
     return {
-        "detail": c.fields(c.rows_of(log, "order_detail", "insert"), *DETAIL),
-        "order": c.rows_of(log, "order_info", "insert").select(
-            c.d("id").alias("_order"), c.d("user_id").alias("user_id"),
-            c.d("province_id").alias("province_id"), *time,
-        ),
-        "coupon": c.rows_of(log, "order_detail_coupon", "insert").select(
-            c.d("order_detail_id").alias("_cd"), c.d("coupon_id").alias("coupon_id"),
-            c.d("coupon_use_id").alias("coupon_use_id"), F.col("seq").alias("_cd_seq"), *time,
-        ),
-        "activity": c.rows_of(log, "order_detail_activity", "insert").select(
-            c.d("order_detail_id").alias("_ad"), c.d("activity_id").alias("activity_id"),
-            c.d("activity_rule_id").alias("activity_rule_id"), F.col("seq").alias("_ad_seq"),
-            *time,
-        ),
+        "detail": inserted("order_detail", *DETAIL),
+        "order": orders.select(
+            F.col("id").alias("_order"), "user_id", "province_id", *time),
+        "coupon": coupons.select(
+            F.col("order_detail_id").alias("_cd"), "coupon_id", "coupon_use_id",
+            F.col("seq").alias("_cd_seq"), *time),
+        "activity": activities.select(
+            F.col("order_detail_id").alias("_ad"), "activity_id", "activity_rule_id",
+            F.col("seq").alias("_ad_seq"), *time),
     }
 
 
@@ -139,8 +142,8 @@ def cancel_detail(log: c.Log, detail: DataFrame) -> DataFrame:
         c.rows_of(log, "order_info", "update"),
         "order_status", codes.ORDER_PLACED, codes.ORDER_CANCELLED,
     )
-    cancelled = moved.select(
-        c.d("id").alias("_order"), c.d("operate_time").alias("cancel_time"), "ts", "et"
+    cancelled = c.fields(moved, "id", "operate_time").select(
+        F.col("id").alias("_order"), F.col("operate_time").alias("cancel_time"), "ts", "et"
     )
     lines = latest_version(detail, ["id"]).drop("ts", "et")
     return cancelled.join(lines, F.col("_order") == F.col("order_id")).drop("_order")
@@ -191,7 +194,8 @@ def refunded_orders(log: c.Log, keep_time: bool = False) -> DataFrame:
         c.rows_of(log, "order_info", "update"), "order_status", codes.ORDER_REFUNDED
     )
     time = [F.col("et").alias("_et")] if keep_time else []
-    return rows.select(c.d("id").alias("_order"), c.d("province_id").alias("province_id"), *time)
+    return c.fields(rows, "id", "province_id").select(
+        F.col("id").alias("_order"), "province_id", *time)
 
 
 def refund(log: c.Log, dictionary: DataFrame) -> DataFrame:
@@ -244,6 +248,7 @@ def dimension_log(changes: DataFrame, config: DataFrame) -> DataFrame:
 def register(log: c.Log) -> DataFrame:
     rows = c.rows_of(log, "user_info", "insert")
     return rows.select(
-        c.d("id").alias("user_id"), c.d("create_time").cast("timestamp").alias("create_time"),
+        c.d(rows, "id").alias("user_id"),
+        c.d(rows, "create_time").cast("timestamp").alias("create_time"),
         plain_op(F.col("type")).alias("op_type"), "seq",
     )

@@ -1,8 +1,8 @@
 """The given tables replayed as the streams and dimensions of the retail warehouse.
 
-A change comes in two shapes. `Changes` gives the rows of one table with `data` and `old` as
-structs: a job's `data['x']` folds back to the plain column, so unused columns are not read.
-`change_log` gives the mixed log with text maps, as needed where columns are configured.
+A change comes in two shapes. `Changes` gives the rows of one table with a column per value,
+so Spark reads only what a job uses. `change_log` gives the mixed log with text maps, as
+needed where the columns are configured.
 """
 
 from __future__ import annotations
@@ -70,32 +70,35 @@ class Branch:
     data: Cols
     old: Cols | None = None
 
-    def _select(self, data: Column, old: Column) -> DataFrame:
+    def as_columns(self, data: list[str], old: list[str]) -> DataFrame:
+        """Columns data_x and old_x; NULL for a name this kind of change lacks."""
+
+        def side(prefix: str, names: list[str], known: Cols) -> list[Column]:
+            absent = F.lit(None)
+            return [known.get(n, absent).cast("string").alias(f"{prefix}_{n}") for n in names]
+
         return self.rows.select(
             F.lit(self.table).alias("table"),
             F.lit(codes.DATABASE).alias("database"),
             F.lit(self.op).alias("type"),
             self.ts.cast("bigint").alias("ts"),
-            data.alias("data"),
-            old.alias("old"),
             self.seq.cast("bigint").alias("seq"),
             F.timestamp_seconds(self.ts).alias("et"),
+            *side("data", data, self.data),
+            *side("old", old, self.old or {}),
         )
 
     def as_maps(self) -> DataFrame:
+        data = text_map(**{n: F.col(f"data_{n}") for n in self.data})
         if self.old is None:
             old = F.lit(None).cast("map<string,string>")
         else:
-            old = F.map_filter(text_map(**self.old), lambda _, v: v.isNotNull())
-        return self._select(text_map(**self.data), old)
-
-    def as_structs(self, data: list[str], old: list[str]) -> DataFrame:
-        return self._select(text_struct(data, self.data), text_struct(old, self.old or {}))
-
-
-def text_struct(names: list[str], cols: Cols) -> Column:
-    empty = F.lit(None)
-    return F.struct(*[cols.get(n, empty).cast("string").alias(n) for n in names])
+            old = F.map_filter(
+                text_map(**{n: F.col(f"old_{n}") for n in self.old}), lambda _, v: v.isNotNull()
+            )
+        return self.as_columns(list(self.data), list(self.old or {})).select(
+            "table", "database", "type", "ts", data.alias("data"), old.alias("old"), "seq", "et"
+        )
 
 
 def _placed(t: Tables) -> DataFrame:
@@ -277,8 +280,8 @@ class Changes(Mapping[str, DataFrame]):
     def __getitem__(self, name: str) -> DataFrame:
         branches = _BRANCHES[name](self._tables)
         data = list(dict.fromkeys(c for b in branches for c in b.data))
-        old = list(dict.fromkeys(c for b in branches for c in (b.old or {}))) or ["id"]
-        return reduce(DataFrame.unionByName, [b.as_structs(data, old) for b in branches])
+        old = list(dict.fromkeys(c for b in branches for c in (b.old or {})))
+        return reduce(DataFrame.unionByName, [b.as_columns(data, old) for b in branches])
 
     def __iter__(self) -> Iterator[str]:
         return iter(_BRANCHES)

@@ -9,7 +9,6 @@ from uuid import uuid4
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martflow.operators.changes import d
 from martflow.plans import dwd, dws
 from martflow.plans.warehouse import Warehouse
 from martflow.session import scratch
@@ -58,13 +57,13 @@ def keyword(w: Warehouse) -> DataFrame:
 
 def user_register(w: Warehouse) -> DataFrame:
     s = Stage(w)
-    signed = dwd.register(replay.change_log(s.tables, "user_info"))
+    signed = dwd.register(replay.Changes(s.tables))
     return s.windows(dws.user_register(s.flushed(signed, "create_time")))
 
 
 def cart_add_uu(w: Warehouse) -> DataFrame:
     s = Stage(w)
-    carts = dwd.cart_add(replay.change_log(s.tables, "cart_info"))
+    carts = dwd.cart_add(replay.Changes(s.tables))
     return s.windows(dws.cart_add_uu(s.flushed(carts.select("user_id", "et"), "et")))
 
 
@@ -117,7 +116,7 @@ def dimensions(w: Warehouse) -> DataFrame:
         jobs.dimensions(s.out, lambda batch: replay.dimension_config(w.tables)),
     )
     rows = jobs.current_dimensions(s.spark.read.parquet(s.out), w.dimension_config)
-    return rows.select("sink_table", "row_key", d("name").alias("name"), "op_type")
+    return rows.select("sink_table", "row_key", F.col("data")["name"].alias("name"), "op_type")
 
 
 def routed_facts(w: Warehouse) -> DataFrame:
@@ -125,7 +124,7 @@ def routed_facts(w: Warehouse) -> DataFrame:
     changes = replay.change_log(s.tables, "user_info", "cart_info", "comment_info", "payment_info")
     s.run(changes, jobs.routed_facts(s.out, lambda batch: replay.fact_config(w.tables)))
     return s.spark.read.parquet(s.out).select(
-        "sink_table", d("id").alias("id"), d("op_type").alias("op_type"), "ts", "seq")
+        "sink_table", F.col("data")["id"].alias("id"), F.col("data")["op_type"].alias("op_type"), "ts", "seq")
 
 
 QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
