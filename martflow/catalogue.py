@@ -113,7 +113,7 @@ def j2(w: Warehouse) -> DataFrame:
 
 
 def j3(w: Warehouse) -> DataFrame:
-    return dwd.cancel_detail(w.log, w.detail_lines).select(
+    return dwd.cancel_detail(w.log, first.latest_version(w.detail_lines, ["id"])).select(
         "id", "order_id", "seq", "cancel_time")
 
 
@@ -401,7 +401,7 @@ def catalogue() -> dict[str, Query]:
         "d2_comment_info": _fact(lambda w: dwd.comment_info(w.log, w.dictionary)),
         "d3_cart_add": _fact(lambda w: w.cart_add),
         "d4_order_detail": _fact(lambda w: w.order_detail),
-        "d5_cancel_detail": _fact(lambda w: dwd.cancel_detail(w.log, w.detail_versions)),
+        "d5_cancel_detail": _fact(lambda w: dwd.cancel_detail(w.log, w.order_detail)),
         "d6_pay_detail": _fact(lambda w: w.pay_detail),
         "d7_refund": _fact(lambda w: w.refund),
         "d8_refund_payment": _fact(

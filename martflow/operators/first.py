@@ -65,29 +65,35 @@ def session_first(df: DataFrame, key: str = "sid", flag: str = "sv_ct") -> DataF
     return flag_first(df, [key], flag)
 
 
-def fix_first_visit(df: DataFrame, key: str = "mid", flag: str = "is_new") -> DataFrame:
-    """Reset a "new visitor" mark on records after the day of the first visit.
+def first_days(df: DataFrame, key: str = "mid", flag: str = "is_new") -> DataFrame:
+    """First day of each device, one row per device: (_key, _first).
 
-    The first record of a device sets its first day; an "old" first record means the day
-    before. The table of first days has one row per device; a device with very many records
-    is split by the adaptive skew join.
+    The first record of a device sets it; an "old" first record means the day before.
     """
     day = day_of()
-    first = (
-        first_version(df.select(key, flag, "ts", "seq"), [key], ["ts", "seq"])
-        .select(
-            F.col(key).alias("_key"),
-            F.when(F.col(flag) == "0", F.date_sub(day, 1)).otherwise(day).alias("_first"),
-        )
+    return first_version(df.select(key, flag, "ts", "seq"), [key], ["ts", "seq"]).select(
+        F.col(key).alias("_key"),
+        F.when(F.col(flag) == "0", F.date_sub(day, 1)).otherwise(day).alias("_first"),
     )
-    late = (F.col(flag) == "1") & (F.col("_first") < day)
+
+
+def correct_new(df: DataFrame, days: DataFrame, key: str = "mid", flag: str = "is_new") -> DataFrame:
+    """Reset a "new visitor" mark on records after the device's first day.
+
+    A device with very many records is split by the adaptive skew join.
+    """
+    late = (F.col(flag) == "1") & (F.col("_first") < day_of())
     return (
-        df.join(first, F.col(key) == F.col("_key"), "left")
+        df.join(days, F.col(key) == F.col("_key"), "left")
         .withColumn(flag, F.when(late, "0").otherwise(F.col(flag)))
         .drop("_key", "_first")
     )
 
 
+def fix_first_visit(df: DataFrame, key: str = "mid", flag: str = "is_new") -> DataFrame:
+    return correct_new(df, first_days(df, key, flag), key, flag)
+
+
 def page_unique(df: DataFrame, key: str = "mid", page: str = "page_id") -> DataFrame:
     """First record of each device and page on each day."""
     return first_version(df, [key, page, day_of()], ["ts", "seq"])

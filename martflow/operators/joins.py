@@ -80,14 +80,14 @@ def interval_join(
     """Pairs of equal key whose right time lies in [left time - within, left time].
 
     Time is cut into bins of the interval's length and the bin is part of the join key: a
-    right row goes to its own bin and the next, so a hot key is spread over its bins and
-    only rows of neighbouring bins meet. Column names of the two sides must differ.
+    left row looks into its own bin and the one before, so a hot key is spread over its bins
+    and only rows of neighbouring bins meet. The left side, which is doubled, should be the
+    smaller one. Column names of the two sides must differ.
     """
     micros = within_seconds * 1_000_000
     lbin = F.floor(F.unix_micros(left_time) / micros)
-    rbin = F.floor(F.unix_micros(right_time) / micros)
-    lhs = left.withColumn("_lbin", lbin)
-    rhs = right.withColumn("_rbin", F.explode(F.array(rbin, rbin + 1)))
+    lhs = left.withColumn("_lbin", F.explode(F.array(lbin - 1, lbin)))
+    rhs = right.withColumn("_rbin", F.floor(F.unix_micros(right_time) / micros))
     cond = F.col("_lbin") == F.col("_rbin")
     for a, b in on.items():
         cond = cond & (F.col(a) == F.col(b))

@@ -16,7 +16,7 @@ from martflow.functions.scalar import plain_op
 from martflow.operators import changes as c
 from martflow.operators import routing
 from martflow.operators.first import fix_first_visit, latest_values, latest_version
-from martflow.operators.joins import lookup
+from martflow.operators.joins import interval_join, lookup
 from martflow.sources import ods
 
 DETAIL = (
@@ -136,8 +136,8 @@ def order_detail(log: c.Log) -> DataFrame:
     return join_order_detail(parts)
 
 
-def cancel_detail(log: c.Log, detail: DataFrame) -> DataFrame:
-    """Latest version of every line of a cancelled order."""
+def cancel_detail(log: c.Log, lines: DataFrame) -> DataFrame:
+    """Every line of a cancelled order; `lines` holds the latest version of each."""
     moved = c.moved(
         c.rows_of(log, "order_info", "update"),
         "order_status", codes.ORDER_PLACED, codes.ORDER_CANCELLED,
@@ -145,8 +145,7 @@ def cancel_detail(log: c.Log, detail: DataFrame) -> DataFrame:
     cancelled = c.fields(moved, "id", "operate_time").select(
         F.col("id").alias("_order"), F.col("operate_time").alias("cancel_time"), "ts", "et"
     )
-    lines = latest_version(detail, ["id"]).drop("ts", "et")
-    return cancelled.join(lines, F.col("_order") == F.col("order_id")).drop("_order")
+    return cancelled.join(lines.drop("ts", "et"), F.col("_order") == F.col("order_id")).drop("_order")
 
 
 def payments(log: c.Log) -> DataFrame:
@@ -160,18 +159,18 @@ def payments(log: c.Log) -> DataFrame:
     )
 
 
-def pay_detail(log: c.Log, detail: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Lines paid within half an hour of their order, one row per payment and line."""
-    lines = latest_version(detail, ["id"]).select(
+def pay_detail(log: c.Log, lines: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Lines paid within half an hour of their order, one row per payment and line.
+
+    `lines` holds the latest version of each line.
+    """
+    mine = lines.select(
         F.col("id").alias("detail_id"), F.col("order_id").alias("_order"),
         *[x for x in (*DETAIL, *DETAIL_MORE) if x not in ("id", "order_id", "user_id")],
         F.col("et").alias("_line_et"),
     )
-    span = F.expr(f"INTERVAL {codes.PAY_WITHIN_SECONDS} SECONDS")
-    paid = payments(log).join(
-        lines,
-        (F.col("order_id") == F.col("_order"))
-        & F.col("_line_et").between(F.col("et") - span, F.col("et")),
+    paid = interval_join(
+        payments(log), mine, {"order_id": "_order"}, "et", "_line_et", codes.PAY_WITHIN_SECONDS
     ).drop("_order", "_line_et")
     return named(
         paid, dictionary, payment_status_name="payment_status", payment_type_name="payment_type"

@@ -43,13 +43,13 @@ def keyword(page: DataFrame) -> DataFrame:
 
 
 def traffic_parts(page: DataFrame) -> DataFrame:
-    """What each record adds to the traffic table: et, dimensions, uv, sv, pv, dur.
+    """What each record adds to the traffic table: et, dimensions, device, uv, sv, pv, dur.
 
     Views and time come from all records, visitors and sessions only from the first record
     of a device's day and of a session, which are pruned before any shuffle. The parts are
     summed afterwards, so no step sorts all records of one device.
     """
-    dims = ["et", *TRAFFIC]
+    dims = ["et", "ts", "mid", *TRAFFIC]
 
     def part(rows: DataFrame, uv=0, sv=0, pv=0, dur=None) -> DataFrame:
         return rows.select(
@@ -57,8 +57,8 @@ def traffic_parts(page: DataFrame) -> DataFrame:
             (F.lit(0) if dur is None else F.coalesce(dur, F.lit(0))).cast("bigint").alias("dur"),
         )
 
-    visits = page.select(*dims, "mid", "ts", "seq")
-    sessions = page.select(*dims, "sid", "ts", "seq")
+    visits = page.select(*dims, "seq")
+    sessions = page.select(*dims, "sid", "seq")
     return reduce(DataFrame.unionByName, [
         part(page, pv=1, dur=F.col("during_time")),
         part(first.first_version(visits, ["mid", first.day_of()], ["ts", "seq"]), uv=1),
@@ -66,8 +66,15 @@ def traffic_parts(page: DataFrame) -> DataFrame:
     ])
 
 
-def traffic(page: DataFrame) -> DataFrame:
-    sums = tumble(traffic_parts(page), "et", *TRAFFIC).agg(
+def traffic(page: DataFrame, first_days: DataFrame | None = None) -> DataFrame:
+    """Traffic sums; with `first_days` after the first-visit correction of is_new.
+
+    The correction is one join over all parts, as it changes a dimension only.
+    """
+    parts = traffic_parts(page)
+    if first_days is not None:
+        parts = first.correct_new(parts, first_days)
+    sums = tumble(parts, "et", *TRAFFIC).agg(
         F.sum("uv").alias("uv_ct"), F.sum("sv").alias("sv_ct"),
         F.sum("pv").alias("pv_ct"), F.sum("dur").alias("dur_sum"),
     )
@@ -126,7 +133,8 @@ def order(detail: DataFrame) -> DataFrame:
     rows = (
         detail.where("user_id IS NOT NULL")
         .select("user_id", "et", F.col("create_time").cast("timestamp").alias("create_time"))
-        .withColumn("_created", F.to_date("create_time"))
+        .groupBy("user_id", F.to_date("create_time").alias("_created"), "et")
+        .agg(F.min("create_time").alias("create_time"))
     )
     today = first.first_so_far(rows, ["user_id", "_created"], "et", "create_time", "_first")
     ever = first.first_so_far(rows, ["user_id"], "et", "create_time", "_first")

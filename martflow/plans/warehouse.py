@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from martflow.operators import routing
-from martflow.operators.first import fix_first_visit
+from martflow.operators.first import first_days
 from martflow.operators.joins import flat_sku
 from martflow.plans import dwd, dws
 from martflow.sources import replay
@@ -67,9 +67,9 @@ class Warehouse:
         return replay.traffic(self.tables).where("page_id IS NOT NULL")
 
     @cached_property
-    def page(self) -> DataFrame:
-        """Page records after the first-visit correction over the whole log."""
-        return fix_first_visit(replay.traffic(self.tables)).where("page_id IS NOT NULL")
+    def first_days(self) -> DataFrame:
+        """First day of each device, over the whole behaviour log."""
+        return first_days(replay.traffic(self.tables))
 
     @cached_property
     def detail_lines(self) -> DataFrame:
@@ -91,7 +91,7 @@ class Warehouse:
 
     @cached_property
     def pay_detail(self) -> DataFrame:
-        return dwd.pay_detail(self.log, self.detail_versions, self.dictionary)
+        return dwd.pay_detail(self.log, self.order_detail, self.dictionary)
 
     @cached_property
     def refund(self) -> DataFrame:
@@ -110,7 +110,7 @@ class Warehouse:
         t = self.tables
         return WindowTables({
             "keyword": lambda: dws.keyword(replay.searches(t)),
-            "traffic": lambda: dws.traffic(self.page),
+            "traffic": lambda: dws.traffic(self.raw_page, self.first_days),
             "home_detail": lambda: dws.home_detail(self.raw_page),
             "user_login": lambda: dws.user_login(self.raw_page),
             "user_register": lambda: dws.user_register(dwd.register(self.log)),

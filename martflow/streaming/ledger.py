@@ -82,9 +82,4 @@ def fix_first_visit(
     )
     new = ledger.fresh(start, batch_id)
     known = new.unionByName(ledger.earlier(new, batch_id)).select(F.col(key).alias("_key"), "_first")
-    late = (F.col(flag) == "1") & (F.col("_first") < day)
-    return (
-        batch.join(known, F.col(key) == F.col("_key"), "left")
-        .withColumn(flag, F.when(late, "0").otherwise(F.col(flag)))
-        .drop("_key", "_first")
-    )
+    return first.correct_new(batch, known, key, flag)
