@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,20 +45,12 @@ def text_map(**cols: Column) -> Column:
 
 
 def merge(*maps: Column) -> Column:
-    """Union of maps; a later map wins over an earlier one, absent maps are skipped."""
-
-    def two(left: Column, right: Column) -> Column:
-        return (
-            F.when(right.isNull(), left)
-            .when(left.isNull(), right)
-            .otherwise(
-                F.map_concat(
-                    F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right
-                )
-            )
-        )
-
-    return reduce(two, maps)
+    """Union of text maps; a later map wins over an earlier one, absent maps are empty.
+
+    Needs `spark.sql.mapKeyDedupPolicy` = LAST_WIN, see `session`.
+    """
+    empty = F.create_map().cast("map<string,string>")
+    return F.map_concat(*[F.coalesce(m, empty) for m in maps])
 
 
 def keep_keys(data: Column, listed: Column) -> Column:

@@ -79,8 +79,8 @@ def explode_part(logs: DataFrame, part: str) -> DataFrame:
     rows = logs.where("page IS NOT NULL AND start IS NULL").select(
         "seq", page.alias("_page"), F.posexplode(part).alias("pos", "_item")
     )
-    record = merge(F.col("_item"), F.col("_page"))
+    maps = [F.col("_item"), F.col("_page")]
     if part == "actions":
-        own = F.create_map(F.lit("ts"), F.col("_item")["ts"])
-        record = merge(record, own)
+        maps.append(F.create_map(F.lit("ts"), F.col("_item")["ts"]))
+    record = merge(*maps)
     return rows.select("seq", "pos", record.alias("record"))

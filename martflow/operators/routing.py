@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martflow.functions.scalar import keep_keys, plain_op
+from martflow.functions.scalar import keep_keys, merge, plain_op
 from martflow.operators.first import latest_version
 
 
@@ -49,10 +49,7 @@ def route(changes: DataFrame, config: DataFrame, normalise: bool = True) -> Data
 
 def prune(routed: DataFrame) -> DataFrame:
     """Only the configured columns of each record, plus its operation."""
-    marked = F.map_concat(
-        F.map_filter("data", lambda k, _: k != "op_type"),
-        F.create_map(F.lit("op_type"), F.col("op_type")),
-    )
+    marked = merge(F.col("data"), F.create_map(F.lit("op_type"), F.col("op_type")))
     return routed.withColumn("data", keep_keys(marked, F.col("sink_columns")))
 
 

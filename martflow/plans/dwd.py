@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martflow import codes
-from martflow.functions.scalar import plain_op
+from martflow.functions.scalar import merge, plain_op
 from martflow.operators import changes as c
 from martflow.operators import routing
 from martflow.operators.first import fix_first_visit, latest_values, latest_version
@@ -52,9 +52,7 @@ def split_log(
         .withColumn("is_new", F.col("common")["is_new"])
     )
     fixed = fix(logs)
-    common = F.transform_values(
-        "common", lambda k, v: F.when(k == "is_new", F.col("is_new")).otherwise(v)
-    )
+    common = merge(F.col("common"), F.create_map(F.lit("is_new"), F.col("is_new")))
     logs = fixed.withColumn("common", common).drop("mid", "is_new")
     return {
         "start": c.flatten(logs, "start"),

@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 # Runtime SQL settings: safe to apply to a session somebody else has built.
 RUNTIME = {
     "spark.sql.session.timeZone": "UTC",
+    # A later map wins where two maps are merged.
+    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

@@ -47,12 +47,16 @@ def read_line_stream(spark: SparkSession, path: str, files_per_trigger: int = 1)
 
 
 def parse_json(lines: DataFrame, schema: str, line: str = "value") -> DataFrame:
-    """Declared fields of a JSON text column beside the other columns of the input."""
+    """Declared fields of a JSON text column beside the other columns of the input.
+
+    The record is unpacked by a generator, so that a filter on its fields stays above it and
+    a line is parsed once; pushed below, the filter would parse it again for each field.
+    """
     rest = [c for c in lines.columns if c != line]
     parsed = F.from_json(
         line, f"{schema}, _broken STRING", {"columnNameOfCorruptRecord": "_broken"}
     )
-    return lines.select(*rest, parsed.alias("_json")).select(*rest, "_json.*")
+    return lines.select(*rest, F.inline(F.array(parsed)))
 
 
 def change_log(lines: DataFrame) -> DataFrame:
