@@ -229,12 +229,12 @@ def _picked(pick) -> Query:
     return lambda w: pick(w.detail_lines, ["id"]).select("id", "seq", "sku_id", "split_total_amount")
 
 
-def _running(*keys: str) -> Query:
+def _running(job, *keys: str) -> Query:
     def query(w: Warehouse) -> DataFrame:
         rows = replay.traffic(w.tables).select(
             "uid", "ch", F.date_trunc("second", "et").alias("et"), "during_time",
             F.to_date("et").alias("day"))
-        return first.first_so_far(rows, list(keys), "et", "during_time", "least_so_far")
+        return job(rows, list(keys), "et", "during_time", "least_so_far")
 
     return query
 
@@ -378,8 +378,8 @@ def catalogue() -> dict[str, Query]:
         "a13_global_sum": a13,
         "w1_first_version": _picked(first.first_version),
         "w2_latest_version": _picked(first.latest_version),
-        "w3_first_of_day": _running("uid", "day"),
-        "w4_first_ever": _running("uid"),
+        "w3_first_of_day": _running(first.first_of_day, "uid", "day"),
+        "w4_first_ever": _running(first.first_ever, "uid"),
         "w5_first_visit_fix": w5,
         "w6_daily_unique": w6,
         "w7_session_first": w7,

@@ -122,25 +122,32 @@ def first_payment(df: DataFrame, key: str = "user_id") -> DataFrame:
     )
 
 
-def first_so_far(df: DataFrame, keys: Sequence[str], time: str, value: str, out: str) -> DataFrame:
+def _moments(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
+    return df.groupBy(*keys, time).agg(F.min(value).alias(value))
+
+
+def first_of_day(df: DataFrame, keys: Sequence[str], time: str, value: str, out: str) -> DataFrame:
     """Running minimum of `value` per key in order of `time`, one row per key and time.
 
-    Returns keys, time, the minimum at that time (`value`) and the running minimum (`out`).
+    For keys that hold a day: a window then has one row per second at most. Returns keys,
+    time, the minimum at that time (`value`) and the running minimum (`out`).
     """
+    so_far = Window.partitionBy(*keys).orderBy(time)
+    return _moments(df, keys, time, value).withColumn(out, F.min(value).over(so_far))
+
+
+def first_ever(df: DataFrame, keys: Sequence[str], time: str, value: str, out: str) -> DataFrame:
+    """The same for keys without a day: running within days, then over earlier days."""
     by = [*keys, "_day"]
-    moments = (
-        df.groupBy(*keys, F.to_date(time).alias("_day"), time).agg(F.min(value).alias(value))
-    )
+    moments = first_of_day(df.withColumn("_day", F.to_date(time)), by, time, value, "_today")
     before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     days = (
         df.groupBy(*keys, F.to_date(time).alias("_day")).agg(F.min(value).alias("_best"))
         .withColumn("_earlier", F.min("_best").over(before))
         .drop("_best")
     )
-    today = Window.partitionBy(*by).orderBy(time)
     return (
-        moments.withColumn("_today", F.min(value).over(today))
-        .join(days, by)
+        moments.join(days, by)
         .withColumn(out, F.least("_today", "_earlier"))
         .drop("_day", "_today", "_earlier")
     )

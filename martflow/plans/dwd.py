@@ -84,6 +84,11 @@ def cart_add(log: c.Log) -> DataFrame:
 # --- orders ---------------------------------------------------------------------------
 
 
+def detail_rows(log: c.Log) -> DataFrame:
+    """Rows of the order line table, repeated versions included."""
+    return c.fields(c.rows_of(log, "order_detail", "insert"), *DETAIL)
+
+
 def order_detail_parts(log: c.Log, keep_time: bool = False) -> dict[str, DataFrame]:
     """The four tables behind an order line, before they are joined."""
     time = ["et"] if keep_time else []
@@ -96,9 +101,8 @@ def order_detail_parts(log: c.Log, keep_time: bool = False) -> dict[str, DataFra
     activities = inserted(
         "order_detail_activity", "order_detail_id", "activity_id", "activity_rule_id")
     return {
-        "detail": inserted("order_detail", *DETAIL),
-        "order": orders.select(
-            F.col("id").alias("_order"), "user_id", "province_id", *time),
+        "detail": detail_rows(log),
+        "order": orders.select(F.col("id").alias("_order"), "user_id", "province_id", *time),
         "coupon": coupons.select(
             F.col("order_detail_id").alias("_cd"), "coupon_id", "coupon_use_id",
             F.col("seq").alias("_cd_seq"), *time),

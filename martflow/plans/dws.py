@@ -136,8 +136,8 @@ def order(detail: DataFrame) -> DataFrame:
         .groupBy("user_id", F.to_date("create_time").alias("_created"), "et")
         .agg(F.min("create_time").alias("create_time"))
     )
-    today = first.first_so_far(rows, ["user_id", "_created"], "et", "create_time", "_first")
-    ever = first.first_so_far(rows, ["user_id"], "et", "create_time", "_first")
+    today = first.first_of_day(rows, ["user_id", "_created"], "et", "create_time", "_first")
+    ever = first.first_ever(rows, ["user_id"], "et", "create_time", "_first")
     is_first = F.col("create_time") == F.col("_first")
     return window_join(
         distinct_per_window(today, "et", "user_id", "order_unique_user_count", only=is_first),

@@ -74,7 +74,7 @@ class Warehouse:
     @cached_property
     def detail_lines(self) -> DataFrame:
         """Order lines with repeated versions, columns of their own table only."""
-        return dwd.order_detail_parts(self.log)["detail"]
+        return dwd.detail_rows(self.log)
 
     @cached_property
     def detail_versions(self) -> DataFrame:
