@@ -4,10 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martflow import codes
 
 
+def event_time(df: DataFrame, name: str) -> Column:
+    """A text time as a timestamp; a timestamp as it is, so that it keeps its watermark."""
+    col = F.col(name)
+    if not isinstance(df.schema[name].dataType, T.TimestampType):
+        col = col.cast("timestamp")
+    return col.alias(name)
+
+
 def tumble(df: DataFrame, time: str, *keys: str, size: str = codes.WINDOW) -> GroupedData:
     """Rows grouped by window and keys, on batch and streaming data alike."""
     return df.groupBy(F.window(time, size).alias("window"), *keys)

@@ -15,7 +15,7 @@ from martflow.functions.scalar import count_if, money, not_blank
 from martflow.functions.words import words
 from martflow.operators import first
 from martflow.operators.joins import lookup, window_join, with_sku
-from martflow.operators.windows import distinct_per_window, stamped, tumble
+from martflow.operators.windows import distinct_per_window, event_time, stamped, tumble
 
 TRAFFIC = ("vc", "ch", "ar", "is_new")
 
@@ -132,7 +132,7 @@ def order(detail: DataFrame) -> DataFrame:
     """
     rows = (
         detail.where("user_id IS NOT NULL")
-        .select("user_id", "et", F.col("create_time").cast("timestamp").alias("create_time"))
+        .select("user_id", "et", event_time(detail, "create_time"))
         .groupBy("user_id", F.to_date("create_time").alias("_created"), "et")
         .agg(F.min("create_time").alias("create_time"))
     )
@@ -148,7 +148,7 @@ def order(detail: DataFrame) -> DataFrame:
 def sku_amounts(detail: DataFrame) -> DataFrame:
     """Amounts per window and sku over the first version of each line."""
     rows = detail.select(
-        "id", "sku_id", F.col("create_time").cast("timestamp").alias("create_time"), "sku_num",
+        "id", "sku_id", event_time(detail, "create_time"), "sku_num",
         "split_total_amount", "split_activity_amount", "split_coupon_amount", "seq",
     )
     return stamped(tumble(first.first_version(rows, ["id"]), "create_time", "sku_id").agg(
@@ -179,7 +179,7 @@ def province_amounts(detail: DataFrame) -> DataFrame:
     """Orders and amount per window and province; versions of a line are averaged first."""
     rows = detail.where("province_id IS NOT NULL").select(
         "id", "province_id", "order_id", money(F.col("split_total_amount")).alias("amount"),
-        F.col("create_time").cast("timestamp").alias("create_time"),
+        event_time(detail, "create_time"),
     )
     lines = tumble(rows, "create_time", "id", "province_id", "order_id").agg(
         F.avg("amount").alias("amount")

@@ -15,7 +15,7 @@ from martflow.session import scratch
 from martflow.sources import replay
 from martflow.streaming import jobs
 from martflow.streaming.sinks import Batch, append_sink, read_sums, run
-from martflow.streaming.sources import StreamTables, end_of_stream, flushed
+from martflow.streaming.sources import StreamTables, end_of_stream, finish, flushed
 
 
 @dataclass
@@ -38,33 +38,35 @@ class Stage:
     def state(self) -> str:
         return f"{self.folder}/state"
 
-    def flushed(self, stream: DataFrame, time: str) -> DataFrame:
-        return flushed(stream, end_of_stream(self.spark, f"{self.folder}/end", time), time)
-
     def run(self, stream: DataFrame, sink: Batch) -> None:
         run(stream, sink, f"{self.folder}/checkpoint")
 
-    def windows(self, stream: DataFrame) -> DataFrame:
-        self.run(stream, append_sink(self.out, "cur_date"))
+    def windows(self, stream: DataFrame, time: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """A native window job, run to its last window."""
+        end = f"{self.folder}/end"
+        sums = job(flushed(stream, end_of_stream(self.spark, end, time), time))
+        self.run(sums, append_sink(self.out, "cur_date"))
+        finish(self.spark, end, time)
+        self.run(sums, append_sink(self.out, "cur_date"))
         return self.spark.read.parquet(self.out).drop("batch_id")
 
 
 def keyword(w: Warehouse) -> DataFrame:
     s = Stage(w)
     found = dws.search_words(replay.searches(s.tables))
-    return s.windows(dws.count_words(s.flushed(found, "et")))
+    return s.windows(found, "et", dws.count_words)
 
 
 def user_register(w: Warehouse) -> DataFrame:
     s = Stage(w)
     signed = dwd.register(replay.Changes(s.tables))
-    return s.windows(dws.user_register(s.flushed(signed, "create_time")))
+    return s.windows(signed, "create_time", dws.user_register)
 
 
 def cart_add_uu(w: Warehouse) -> DataFrame:
     s = Stage(w)
     carts = dwd.cart_add(replay.Changes(s.tables))
-    return s.windows(dws.cart_add_uu(s.flushed(carts.select("user_id", "et"), "et")))
+    return s.windows(carts.select("user_id", "et"), "et", dws.cart_add_uu)
 
 
 def interval_join(w: Warehouse) -> DataFrame:

@@ -12,18 +12,22 @@ from martflow.sources.tables import Tables
 
 @dataclass(frozen=True)
 class StreamTables(Tables):
-    """The given tables as file streams; files `name*.parquet` arrive oldest first."""
+    """The given tables as file streams.
 
-    files_per_trigger: int = 1
+    Files `name*.parquet` arrive oldest first, `files_per_trigger` at a time; 0 takes all at
+    once, so that nothing is late whatever the order of the files.
+    """
+
+    files_per_trigger: int = 0
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._read:
             files = {"pathGlobFilter": f"{name}*.parquet"}
             schema = self.spark.read.options(**files).parquet(self.root).schema
+            if self.files_per_trigger:
+                files["maxFilesPerTrigger"] = str(self.files_per_trigger)
             self._read[name] = (
-                self.spark.readStream.schema(schema)
-                .options(maxFilesPerTrigger=self.files_per_trigger, **files)
-                .parquet(self.root)
+                self.spark.readStream.schema(schema).options(**files).parquet(self.root)
             )
         return self._read[name]
 
@@ -66,17 +70,22 @@ LAST = "TIMESTAMP '2200-01-01 00:00:00'"
 
 
 def end_of_stream(spark: SparkSession, folder: str, time: str) -> DataFrame:
-    """A stream of one record later than any other."""
-    spark.range(1).select(F.expr(LAST).alias(time)).write.mode("overwrite").parquet(folder)
+    """A stream without records until `finish` writes the last one."""
+    spark.range(0).select(F.expr(LAST).alias(time)).write.mode("overwrite").parquet(folder)
     return spark.readStream.schema(f"{time} TIMESTAMP").parquet(folder)
 
 
+def finish(spark: SparkSession, folder: str, time: str) -> None:
+    """Write the last record: later than any other, to be read after all of them."""
+    spark.range(1).select(F.expr(LAST).alias(time)).write.mode("append").parquet(folder)
+
+
 def flushed(stream: DataFrame, end: DataFrame, time: str, delay: str = "0 seconds") -> DataFrame:
     """A watermarked stream that its last record runs dry.
 
-    The record of `end` moves the watermark past the last window and is then dropped, by its
-    time, so that Spark keeps the filter behind the watermark. A stream that never ends needs
-    `withWatermark` only.
+    Run it over all data first, then `finish` the end stream and run again: its record moves
+    the watermark past the last window. It is dropped by its time, so that Spark keeps the
+    filter behind the watermark. A stream that never ends needs `withWatermark` only.
     """
     both = stream.unionByName(end, allowMissingColumns=True)
     return both.withWatermark(time, delay).where(F.col(time) < F.expr(LAST))
