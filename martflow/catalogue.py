@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from martflow import codes
 from martflow.functions.scalar import ratio, two_places
-from martflow.functions.words import words
+from martflow.functions.words import lexicon_words, words
 from martflow.operators import changes as c
 from martflow.operators import first, routing
 from martflow.operators.joins import full_outer, interval_join, with_sku
@@ -172,6 +172,11 @@ def j14(w: Warehouse) -> DataFrame:
     return words(replay.searches(w.tables).select("seq", "item"), "item")
 
 
+def x1(w: Warehouse) -> DataFrame:
+    items = replay.searches(w.tables).select("seq", "item")
+    return lexicon_words(items, "item", replay.lexicon(w.tables))
+
+
 # --- aggregations ---------------------------------------------------------------------
 
 
@@ -363,6 +368,7 @@ def catalogue() -> dict[str, Query]:
         "j12_window_join": j12,
         "j13_full_outer": j13,
         "j14_explode_words": j14,
+        "x1_lexicon_words": x1,
         "a1_window_count": a1,
         "a2_window_key_count": a2,
         "a3_window_distinct": a3,

@@ -19,3 +19,25 @@ def words(df: DataFrame, text: str, out: str = "word") -> DataFrame:
     """One row per distinct word of each row; rows without words vanish."""
     rest = [c for c in df.columns if c != text]
     return df.select(*rest, F.explode(word_set(F.col(text))).alias(out))
+
+
+def lexicon_words(df: DataFrame, text: str, lexicon: DataFrame, out: str = "word") -> DataFrame:
+    """Words of a lexicon found inside the words of each row, once per row.
+
+    For scripts without spaces: every substring of a run of letters, up to the length of the
+    longest lexicon word, is looked up in the lexicon (column `word`). Rows must be
+    distinguishable by their other columns.
+    """
+    longest = lexicon.agg(F.max(F.length("word"))).first()[0] or 0
+    size = F.length("_run")
+
+    def starting_at(i: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1))
+        return F.transform(sizes, lambda n: F.substr(F.col("_run"), i, n))
+
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), starting_at))
+    runs = words(df, text, "_run")
+    rest = [c for c in runs.columns if c != "_run"]
+    found = runs.select(*rest, F.explode(F.array_distinct(pieces)).alias(out))
+    known = lexicon.select(F.col("word").alias(out)).distinct()
+    return found.join(known, out, "left_semi").distinct()

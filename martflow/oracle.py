@@ -340,6 +340,8 @@ def _bodies() -> dict[str, str]:
             (SELECT user_id, sum(CAST(total_amount AS DECIMAL(16,2))) AS paid_amount FROM pay GROUP BY ALL) FULL JOIN
             (SELECT user_id, CAST(sum(sku_num) AS BIGINT) AS cart_num FROM carts GROUP BY ALL) USING (user_id)""",
         "j14_explode_words": "SELECT seq, word FROM doc_words",
+        "x1_lexicon_words": """SELECT doc_id AS seq, word FROM documents JOIN (SELECT DISTINCT
+            unnest(string_split(lower(p_name), ' ')) AS word FROM part) ON contains(lower(text), word)""",
         "a1_window_count": f"SELECT {stamp()}, n FROM (SELECT {bucket('et')} AS w, count(*) AS n FROM traf GROUP BY ALL)",
         "a2_window_key_count": f"""SELECT {stamp()}, event_type, n FROM
             (SELECT {bucket('et')} AS w, event_type, count(*) AS n FROM traf GROUP BY ALL)""",

@@ -36,8 +36,10 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a private one only where none is named (tests)."""
+    """The shared folder of the cluster; a private one only in local mode where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if not named:
         named = tempfile.mkdtemp(prefix="martflow-")
         spark.conf.set("spark.checkpoint.dir", named)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from martflow import codes
 from martflow.functions.scalar import money, text_map
+from martflow.functions.words import words
 from martflow.sources.tables import Tables
 
 DAY = 86400
@@ -417,6 +418,11 @@ def searches(t: Tables) -> DataFrame:
     )
 
 
+def lexicon(t: Tables) -> DataFrame:
+    """Words of the sku names: (word)."""
+    return words(t("part").select("p_name"), "p_name").distinct()
+
+
 def config_changes(t: Tables) -> DataFrame:
     """Orders as changes of a routing table, one route per customer."""
     route = F.struct(

@@ -37,7 +37,10 @@ def rows(columns, data) -> Counter:
 
 def compare(spark, con, name: str, sf_dir: str) -> str | None:
     """None when the two results agree, else what differs."""
-    df = entry.queries()[name](spark, sf_dir)
+    return differences(entry.queries()[name](spark, sf_dir), con, name)
+
+
+def differences(df, con, name: str) -> str | None:
     mine = rows(df.columns, [tuple(r) for r in df.collect()])
     cur = con.execute(entry.oracle_sql()[name])
     names = [d[0] for d in cur.description]

