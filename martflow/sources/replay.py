@@ -175,7 +175,8 @@ def _payment_info(t: Tables) -> list[Branch]:
         dict(id=key, user_id=F.col("o_custkey"), order_id=key,
                  trade_no=F.concat(F.lit("T"), key.cast("string")),
                  total_amount=money(F.col("o_totalprice")),
-                 payment_status=F.lit(codes.PAYMENT_DONE),
+                 payment_status=F.when(F.col("o_orderstatus") == "P", codes.PAYMENT_OPEN)
+                 .otherwise(codes.PAYMENT_DONE),
                  payment_type=_by_priority(["1101", "1102", "1103", "1104", "1199"]),
                  callback_time=F.date_format(F.timestamp_seconds(ts), STAMP)),
         dict(payment_status=F.when(F.col("o_orderstatus") == "P", "1600")
@@ -205,7 +206,8 @@ def _refund_payment(t: Tables) -> list[Branch]:
     return [Branch(
         t("orders"), "refund_payment", "update", ts, key,
         dict(id=key, order_id=key, out_trade_no=F.concat(F.lit("O"), key.cast("string")),
-                 refund_status=F.lit(codes.PAYMENT_DONE),
+                 refund_status=F.when(F.col("o_orderstatus") == "O", codes.PAYMENT_OPEN)
+                 .otherwise(codes.PAYMENT_DONE),
                  payment_type=_by_priority(["1101", "1102", "1103", "1104", "1199"]),
                  trade_no=F.concat(F.lit("T"), key.cast("string")),
                  callback_time=F.date_format(F.timestamp_seconds(ts), STAMP)),
