@@ -24,16 +24,26 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def two_places(col: Column) -> Column:
-    return F.bround(col, 2)
+    """Two decimal places, half-even on the exact binary value of a double.
+
+    Rounding functions go by the shortest decimal text instead, which shows 75.165 as a tie
+    although the double lies beside it. The fraction is taken in units of 2^-56.
+    """
+    whole = F.floor(col)
+    units = F.floor((col - whole) * 2.0**56).cast("bigint") * 100
+    cents, rest = F.shiftright(units, 56), units.bitwiseAND(2**56 - 1)
+    half = 2**55
+    up = (rest > half) | ((rest == half) & (cents % 2 == 1))
+    return (whole * 100 + cents + up.cast("int")).cast("double") / 100
 
 
 def percent(col: Column) -> Column:
     return two_places(col * 100)
 
 
-def safe_average(total: Column, count: Column) -> Column:
-    """Average to two places, 0.0 when there is nothing to divide by."""
-    return F.when(count == 0, F.lit(0.0)).otherwise(two_places(ratio(total, count)))
+def safe_average(total: Column, count: Column, unit: int = 1) -> Column:
+    """Average in a unit, to two places; 0.0 when there is nothing to divide by."""
+    return F.when(count == 0, F.lit(0.0)).otherwise(two_places(ratio(total, count) / unit))
 
 
 def text_map(**cols: Column) -> Column:

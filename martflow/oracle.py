@@ -23,6 +23,14 @@ def bucket(ts: str) -> str:
     return f"time_bucket(INTERVAL 5 SECONDS, {ts})"
 
 
+def two_places(x: str) -> str:
+    """Half-even on the exact binary value: the fraction in units of 2^-56."""
+    units = f"(CAST(floor((({x}) - floor({x})) * 72057594037927936.0) AS BIGINT) * 100)"
+    cents, rest = f"({units} >> 56)", f"({units} & 72057594037927935)"
+    up = f"({rest} > 36028797018963968 OR ({rest} = 36028797018963968 AND {cents} % 2 = 1))"
+    return f"(floor({x}) * 100 + {cents} + CASE WHEN {up} THEN 1 ELSE 0 END) / 100.0"
+
+
 def priority(values: list[str]) -> str:
     cases = " ".join(f"WHEN '{i}' THEN '{v}'" for i, v in enumerate(values, 1))
     return f"CASE o_orderpriority[1] {cases} END"
@@ -298,8 +306,8 @@ _REFUND = (
 )
 _R6 = """SELECT cur_date, is_new, CAST(sum(uv_ct) AS BIGINT) AS uv_ct, CAST(sum(pv_ct) AS BIGINT) AS pv_ct,
     CAST(sum(sv_ct) AS BIGINT) AS sv_ct, CAST(sum(dur_sum) AS BIGINT) AS dur_sum FROM d_traffic GROUP BY ALL"""
-_R6 = f"""SELECT *, CASE WHEN sv_ct = 0 THEN 0.0 ELSE round_even(CAST(dur_sum AS DOUBLE) / 1000 / sv_ct, 2) END AS avg_dur_sum,
-    CASE WHEN sv_ct = 0 THEN 0.0 ELSE round_even(CAST(pv_ct AS DOUBLE) / sv_ct, 2) END AS avg_pv_ct FROM ({_R6})"""
+_R6 = f"""SELECT *, CASE WHEN sv_ct = 0 THEN 0.0 ELSE {two_places("CAST(dur_sum AS DOUBLE) / sv_ct / 1000")} END AS avg_dur_sum,
+    CASE WHEN sv_ct = 0 THEN 0.0 ELSE {two_places("CAST(pv_ct AS DOUBLE) / sv_ct")} END AS avg_pv_ct FROM ({_R6})"""
 
 
 def _bodies() -> dict[str, str]:
@@ -364,7 +372,7 @@ def _bodies() -> dict[str, str]:
             CAST(sum(during_time) AS BIGINT) AS dur_sum FROM raw_page GROUP BY ALL""",
         "a11_conditional_sum": """SELECT hour(et) AS hr, CAST(sum(CASE WHEN is_new = '1' THEN during_time ELSE 0 END) AS BIGINT) AS new_dur
             FROM raw_page GROUP BY ALL""",
-        "a12_ratio": """SELECT ch, round_even(CAST(sum(during_time) AS DOUBLE) / count(*), 2) AS dur_per_page
+        "a12_ratio": f"""SELECT ch, {two_places("CAST(sum(during_time) AS DOUBLE) / count(*)")} AS dur_per_page
             FROM raw_page GROUP BY ALL""",
         "a13_global_sum": "SELECT CAST(sum(total) AS DOUBLE) AS order_amount FROM lines",
         "w1_first_version": "SELECT id, seq, sku_id, split_total_amount FROM first_lines",
@@ -434,9 +442,9 @@ def _bodies() -> dict[str, str]:
         "g11_refund": _window("w_refund", _REFUND),
         "r1": "SELECT cur_date, ch, CAST(sum(uv_ct) AS BIGINT) AS uv_ct FROM d_traffic WHERE ch IS NOT NULL GROUP BY ALL",
         "r2": "SELECT cur_date, ch, CAST(sum(sv_ct) AS BIGINT) AS sv_ct FROM d_traffic GROUP BY ALL",
-        "r3": """SELECT cur_date, ch, round_even(CAST(sum(pv_ct) AS DOUBLE) / nullif(sum(sv_ct), 0), 2) AS pv_per_session
+        "r3": f"""SELECT cur_date, ch, {two_places("CAST(sum(pv_ct) AS DOUBLE) / nullif(sum(sv_ct), 0)")} AS pv_per_session
             FROM d_traffic GROUP BY ALL""",
-        "r4": """SELECT cur_date, ch, round_even(CAST(sum(dur_sum) AS DOUBLE) / nullif(sum(sv_ct), 0) / 1000, 2) AS dur_per_session
+        "r4": f"""SELECT cur_date, ch, {two_places("CAST(sum(dur_sum) AS DOUBLE) / nullif(sum(sv_ct), 0) / 1000")} AS dur_per_session
             FROM d_traffic GROUP BY ALL""",
         "r5": """SELECT cur_date, hour(w) AS hr, CAST(sum(uv_ct) AS BIGINT) AS uv_ct, CAST(sum(pv_ct) AS BIGINT) AS pv_ct,
             CAST(sum(CASE WHEN is_new = '1' THEN uv_ct ELSE 0 END) AS BIGINT) AS new_uv_ct FROM d_traffic GROUP BY ALL""",
@@ -473,9 +481,9 @@ def _bodies() -> dict[str, str]:
             FROM d_province GROUP BY cur_date, province_id, province_name""",
         "r18": """SELECT cur_date, province_name AS name, CAST(sum(cents) AS DOUBLE) / 100 AS value
             FROM d_province GROUP BY cur_date, province_id, province_name""",
-        "r19": """SELECT cur_date, round_even(CAST(sum(activity_reduce_amount) AS DOUBLE) / CAST(sum(original_amount) AS DOUBLE) * 100, 2) AS rate
+        "r19": f"""SELECT cur_date, {two_places("CAST(sum(activity_reduce_amount) AS DOUBLE) / CAST(sum(original_amount) AS DOUBLE) * 100")} AS rate
             FROM d_sku GROUP BY ALL""",
-        "r20": """SELECT cur_date, round_even(CAST(sum(coupon_reduce_amount) AS DOUBLE) / CAST(sum(original_amount) AS DOUBLE) * 100, 2) AS rate
+        "r20": f"""SELECT cur_date, {two_places("CAST(sum(coupon_reduce_amount) AS DOUBLE) / CAST(sum(original_amount) AS DOUBLE) * 100")} AS rate
             FROM d_sku GROUP BY ALL""",
     }
     # A stream run to its end holds what the batch job computes.

@@ -90,7 +90,7 @@ def r6(dws: Dws, by: Sequence[str] = ALL_DAYS) -> DataFrame:
     )
     return rows.select(
         "*",
-        safe_average(F.col("dur_sum") / 1000, F.col("sv_ct")).alias("avg_dur_sum"),
+        safe_average(F.col("dur_sum"), F.col("sv_ct"), 1000).alias("avg_dur_sum"),
         safe_average(F.col("pv_ct"), F.col("sv_ct")).alias("avg_pv_ct"),
     )
 

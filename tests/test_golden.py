@@ -1,10 +1,11 @@
 """The worked examples as literal rows."""
 
 from datetime import date, datetime, timezone
+from decimal import ROUND_HALF_EVEN, Decimal
 
 from pyspark.sql import functions as F
 
-from martflow.functions.scalar import safe_average
+from martflow.functions.scalar import safe_average, two_places
 from martflow.functions.words import words
 from martflow.operators import changes, first, routing
 from martflow.operators.joins import interval_join
@@ -191,6 +192,13 @@ def test_no_sessions_average_to_zero(spark):
     assert row.x == 0.0
 
 
+def test_two_places_go_by_the_exact_value(spark):
+    values = [75.165, 0.125, 0.375, 2.675, 1.005, 100.0, 99.995, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "x DOUBLE").select(two_places(F.col("x")))
+    want = [float(Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_EVEN)) for v in values]
+    assert [r[0] for r in df.collect()] == want
+
+
 def test_day_without_data_gives_null(spark):
     empty = spark.sql("SELECT DATE '2024-01-01' AS cur_date, CAST(1 AS DECIMAL(16,2)) AS order_amount")
     tables = {"province_order": empty}
