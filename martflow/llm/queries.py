@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martflow.llm.common import table
+from martflow.llm.common import folder, table
+from martflow.llm.merge_replay import decode, encode
 from martflow.llm.substring_dedup import remove_repeats
+from martflow.llm.token_counts import count_tokens
 
 
 def op1_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
@@ -16,8 +18,23 @@ def op1_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op4_token_counts(spark: SparkSession, root: str) -> DataFrame:
+    """With a cache of its own that begins empty, so every call encodes every distinct text."""
+    found = count_tokens(table(spark, root, "documents"), folder(spark, "token-cache"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op7_merge_replay(spark: SparkSession, root: str) -> DataFrame:
+    found = decode(encode(table(spark, root, "documents")))
+    line = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.encode(line, "utf-8"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup,)
+    f.__name__: f for f in (op1_substring_dedup, op4_token_counts, op7_merge_replay)
 }
 
 ORACLES: dict[str, str] = {}

@@ -35,3 +35,25 @@ def op1(docs: list[tuple], size: int = 20) -> list[tuple]:
                 gone.update(range(k, k + size))
         out.append((i, len(ws), len(gone), digest(" ".join(w for k, w in enumerate(ws) if k not in gone))))
     return out
+
+
+def op4(docs: list[tuple]) -> list[tuple]:
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    return [(i, len((t or "").encode()), n := count(t or ""), n > 1024) for i, t in docs]
+
+
+def op7(docs: list[tuple]) -> list[tuple]:
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = [own.encode_ordinary(t or "") for _, t in docs]
+    return [(i, len(x), digest(" ".join(map(str, x))), digest(t or "")) for (i, t), x in zip(docs, ids)]
