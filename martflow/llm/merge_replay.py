@@ -28,6 +28,10 @@ from martflow.llm.pretokens import chunks, pretokens
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 KEPT_WORDS = 600_000
+#: Bytes; longer words are replayed one by one.
+LONG_WORD = 256
+#: Characters of text whose words make one corpus.
+CORPUS = 8 << 20
 
 
 @cache
@@ -42,12 +46,27 @@ def vocabulary(path: str) -> dict[int, bytes]:
     return {i: token for token, i in ranks(path).items()}
 
 
+@cache
+def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys (left id << 32 | right id) of all pairs that make a token, and the token's rank."""
+    rank, keys, made = ranks(path), [], []
+    for token, r in rank.items():
+        for k in range(1, len(token)):
+            left, right = rank.get(token[:k]), rank.get(token[k:])
+            if left is not None and right is not None:
+                keys.append(left << 32 | right)
+                made.append(r)
+    order = np.argsort(keys)
+    return np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
+
+
 class Replay:
     """Token ids of words. Ids of word number k are flat[at[k]:at[k + 1]]."""
 
     def __init__(self, path: str):
         self.rank, self.token = ranks(path), vocabulary(path)
-        self.pairs: dict[int, int] = {}
+        self.keys, self.made = pair_table(path)
+        self.single = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         self.clear()
 
     def clear(self) -> None:
@@ -55,79 +74,131 @@ class Replay:
         self.flat, self.at = array("i"), array("q", [0])
 
     def add(self, words: set[str]) -> None:
+        """Replay the words that are not known yet."""
         if len(self.number) + len(words) > KEPT_WORDS:
             self.clear()
-        rest = []
+        corpus, long = [], []
         for word in words - self.number.keys():
             raw = word.encode()
             if (whole := self.rank.get(raw)) is not None:
                 self._put(word, [whole])
             else:
-                rest.append((word, raw))
-        for (word, _), ids in zip(rest, self._merged([raw for _, raw in rest])):
-            self._put(word, ids)
+                (corpus if len(raw) <= LONG_WORD else long).append((word, raw))
+        for part, replay in ((corpus, self._merge_corpus), (long, self._merge_long)):
+            for (word, _), ids in zip(part, replay([raw for _, raw in part])):
+                self._put(word, ids)
 
     def _put(self, word: str, ids: list[int]) -> None:
         self.number[word] = len(self.number)
         self.flat.extend(ids)
         self.at.append(len(self.flat))
 
-    def _merged(self, words: list[bytes]) -> list[list[int]]:
-        rank, token, pairs = self.rank, self.token, self.pairs
-        single = [rank[bytes([b])] for b in range(256)]
-        symbol: list[int] = []
-        for raw in words:
-            symbol += [single[b] for b in raw]
-            symbol.append(-1)  # an edge: it joins nothing
+    def _lay_out(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words' bytes, an edge (-1) after each word; each position's word."""
+        lengths = np.array([len(w) + 1 for w in words], np.int64)
+        symbol = self.single[np.frombuffer(b"\0".join([*words, b""]), np.uint8)]
+        symbol[np.cumsum(lengths) - 1] = -1
+        return symbol, np.repeat(np.arange(len(words)), lengths)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the token that each pair of neighbours makes, or -1."""
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], -1)
+
+    def _merge_corpus(self, words: list[bytes]) -> list[list[int]]:
+        if not words:
+            return []
+        symbol, owner = self._lay_out(words)
         n = len(symbol)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[int, list[int]] = {}
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        found = np.append(self._ranks(symbol[:-1], symbol[1:]), -1)
+        places = np.flatnonzero(found >= 0)
+        places = places[np.argsort(found[places], kind="stable")]
+        order, begins = np.unique(found[places], return_index=True)
+        index = dict(zip(order.tolist(), np.split(places, begins[1:])))
+        pushed: dict[int, list[int]] = {}
+        order = order.tolist()  # ascending, so a heap
+        while order:
+            r = order[0]
+            at = index.pop(r, None)
+            if r in pushed:
+                more = np.array(pushed.pop(r), np.int64)
+                at = np.unique(more if at is None else np.concatenate([at, more]))
+            at = at[symbol[at] >= 0]  # others went into another merge meanwhile
+            at = at[self._ranks(symbol[at], symbol[after[at]]) == r]
+            if not len(at):
+                heappop(order)
+                continue
+            # The leftmost of each word; its others wait, as this merge may make a pair of lower rank.
+            first = np.ones(len(at), bool)
+            first[1:] = owner[at[1:]] != owner[at[:-1]]
+            if not first.all():
+                index[r], at = at[~first], at[first]
+            else:
+                heappop(order)
+            gone = after[at]
+            then = after[gone]
+            symbol[at], symbol[gone], after[at], before[then] = r, -2, then, at
+            left = before[at]
+            left = left[left >= 0]
+            left = left[symbol[left] >= 0]
+            touched = np.concatenate([left, at])
+            new = self._ranks(symbol[touched], symbol[after[touched]])
+            some = new >= 0
+            for x, p in zip(new[some].tolist(), touched[some].tolist()):
+                if x in pushed:
+                    pushed[x].append(p)
+                else:
+                    pushed[x] = [p]
+                    if x not in index:
+                        heappush(order, x)
+        alive = symbol >= 0
+        ends = np.cumsum(np.bincount(owner[alive], minlength=len(words)))
+        ids = symbol[alive].tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def _merge_long(self, words: list[bytes]) -> list[list[int]]:
+        """The same for long words, position by position, so that a word of one repeated sign stays fast."""
+        return [self._merge_word(raw) for raw in words]
+
+    def _merge_word(self, raw: bytes) -> list[int]:
+        rank, token, known = self.rank, self.token, {}
+        symbol = [*self.single[np.frombuffer(raw, np.uint8)].tolist(), -1]
+        after, before = list(range(1, len(symbol) + 1)), list(range(-1, len(symbol) - 1))
+
+        def made(p: int) -> int:
+            a, b = symbol[p], symbol[after[p]]
+            if a < 0 or b < 0:
+                return -1
+            if (a, b) not in known:
+                known[a, b] = rank.get(token[a] + token[b], -1)
+            return known[a, b]
 
-        def made(a: int, b: int) -> int:
-            """The token that two neighbours make, or -1."""
-            key = a << 32 | b
-            found = pairs.get(key)
-            if found is None:
-                found = pairs[key] = rank.get(token[a] + token[b], -1)
-            return found
-
-        for p in range(n - 1):
-            a, b = symbol[p], symbol[p + 1]
-            if a >= 0 and b >= 0 and (r := made(a, b)) >= 0:
+        index: dict[int, list[int]] = {}
+        for p in range(len(raw)):
+            if (r := made(p)) >= 0:
                 index.setdefault(r, []).append(p)  # ascending, so a heap
         order = sorted(index)
         while order:
             r = order[0]
             places = index[r]
-            while places:
+            while places and order[0] == r:  # until a pair of lower rank turns up
                 p = heappop(places)
-                a = symbol[p]
+                if made(p) != r:
+                    continue
                 q = after[p]
-                if a < 0 or symbol[q] < 0 or made(a, symbol[q]) != r:
-                    continue  # a neighbour went into another merge meanwhile
-                s = after[q]
-                symbol[p], symbol[q], after[p], before[s] = r, -2, s, p
-                for left, right in ((before[p], p), (p, s)):
-                    if left >= 0 and symbol[left] >= 0 and symbol[right] >= 0 and (x := made(symbol[left], symbol[right])) >= 0:
-                        if x in index:
-                            heappush(index[x], left)
-                        else:
-                            index[x] = [left]
+                symbol[p], symbol[q], after[p], before[after[q]] = r, -2, after[q], p
+                for t in (before[p], p):
+                    if t >= 0 and (x := made(t)) >= 0:
+                        if x not in index:
+                            index[x] = []
                             heappush(order, x)
-                if order[0] < r:
-                    break
-            else:
+                        heappush(index[x], t)
+            if not places and order[0] == r:
                 heappop(order)
                 del index[r]
-        out, p = [], 0
-        for raw in words:
-            ids, q = [], p
-            while symbol[q] != -1:
-                ids.append(symbol[q])
-                q = after[q]
-            out.append(ids)
-            p += len(raw) + 1
-        return out
+        return [x for x in symbol if x >= 0]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and where each text's ids begin (one more entry than texts)."""
@@ -150,7 +221,7 @@ def _encode(path: str):
         replay = _REPLAYS.setdefault(path, Replay(path)) if path not in _REPLAYS else _REPLAYS[path]
         for batch in batches:
             flat, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-            for texts in chunks([t or "" for t in batch["text"].to_pylist()]):
+            for texts in chunks([t or "" for t in batch["text"].to_pylist()], CORPUS):
                 ids, at = replay.encode(texts)
                 flat.append(ids)
                 ends.append(at[1:] + ends[-1][-1])
