@@ -51,6 +51,24 @@ def string_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.nda
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def row_slices(column: pa.Array, size: int = 4 << 20):
+    """The column in runs of rows of about `size` bytes, at least one row each."""
+    at = np.frombuffer(column.cast(pa.large_string()).buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
+        yield column.slice(i, j - i)
+        i = j
+
+
+def batch_slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20):
+    """The batch in runs of rows with about `size` bytes in the column."""
+    i = 0
+    for part in row_slices(batch[column], size):
+        yield batch.slice(i, len(part))
+        i += len(part)
+
+
 _BLANK = np.zeros(256, bool)
 _BLANK[list(BLANKS)] = True
 

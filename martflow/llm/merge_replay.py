@@ -24,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martflow.llm.pretokens import chunks, pretokens
+from martflow.llm.common import batch_slices
+from martflow.llm.pretokens import pretokens
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-KEPT_WORDS = 600_000
+KEPT_WORDS = 500_000
 #: Bytes; longer words are replayed one by one.
 LONG_WORD = 256
-#: Characters of text whose words make one corpus.
-CORPUS = 8 << 20
+#: Bytes of text whose words make one corpus.
+CORPUS = 2 << 20
 
 
 @cache
@@ -96,13 +97,13 @@ class Replay:
     def _lay_out(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words' bytes, an edge (-1) after each word; each position's word."""
         lengths = np.array([len(w) + 1 for w in words], np.int64)
-        symbol = self.single[np.frombuffer(b"\0".join([*words, b""]), np.uint8)]
+        symbol = self.single.astype(np.int32)[np.frombuffer(b"\0".join([*words, b""]), np.uint8)]
         symbol[np.cumsum(lengths) - 1] = -1
-        return symbol, np.repeat(np.arange(len(words)), lengths)
+        return symbol, np.repeat(np.arange(len(words), dtype=np.int32), lengths)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the token that each pair of neighbours makes, or -1."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], -1)
 
@@ -111,7 +112,7 @@ class Replay:
             return []
         symbol, owner = self._lay_out(words)
         n = len(symbol)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         found = np.append(self._ranks(symbol[:-1], symbol[1:]), -1)
         places = np.flatnonzero(found >= 0)
         places = places[np.argsort(found[places], kind="stable")]
@@ -220,13 +221,9 @@ def _encode(path: str):
         # Kept for the worker's later tasks.
         replay = _REPLAYS.setdefault(path, Replay(path)) if path not in _REPLAYS else _REPLAYS[path]
         for batch in batches:
-            flat, ends = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
-            for texts in chunks([t or "" for t in batch["text"].to_pylist()], CORPUS):
-                ids, at = replay.encode(texts)
-                flat.append(ids)
-                ends.append(at[1:] + ends[-1][-1])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(flat), pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch["id"], lists], ["id", "ids"])
+            for part in batch_slices(batch, "text", CORPUS):
+                ids, at = replay.encode([t or "" for t in part["text"].to_pylist()])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], ["id", "ids"])
 
     return run
 
@@ -235,8 +232,10 @@ def _decode(path: str):
     def run(batches):
         token = vocabulary(path)
         for batch in batches:
-            decoded = [b"".join(map(token.__getitem__, ids)) for ids in batch["ids"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*batch.schema.names, "decoded"])
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                decoded = [b"".join(map(token.__getitem__, ids.values.to_numpy().tolist())) for ids in part["ids"]]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary())], [*part.schema.names, "decoded"])
 
     return run
 
