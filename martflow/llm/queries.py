@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martflow.llm.common import folder, table
+from martflow.llm.host_rules import judge
+from martflow.llm.license_scan import scan_licenses
 from martflow.llm.merge_replay import decode, encode
+from martflow.llm.secret_scan import KINDS, find_secrets, span_list
 from martflow.llm.substring_dedup import remove_repeats
 from martflow.llm.token_counts import count_tokens
 
@@ -18,12 +21,24 @@ def op1_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
 
 
+def op2_host_rules(spark: SparkSession, root: str) -> DataFrame:
+    found = judge(table(spark, root, "documents"))
+    return found.select(
+        "doc.doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words",
+        F.col("hard").alias("base_failed"), "kept", F.col("soft").alias("n_soft_failed"), F.col("verdict").alias("host_verdict"),
+    )
+
+
 def op4_token_counts(spark: SparkSession, root: str) -> DataFrame:
     """With a cache of its own that begins empty, so every call encodes every distinct text."""
     found = count_tokens(table(spark, root, "documents"), folder(spark, "token-cache"))
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op5_license_scan(spark: SparkSession, root: str) -> DataFrame:
+    return scan_licenses(table(spark, root, "documents")).drop("spans")
+
+
 def op7_merge_replay(spark: SparkSession, root: str) -> DataFrame:
     found = decode(encode(table(spark, root, "documents")))
     line = F.concat_ws(" ", F.col("ids").cast("array<string>"))
@@ -33,8 +48,16 @@ def op7_merge_replay(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op10_secret_scan(spark: SparkSession, root: str) -> DataFrame:
+    found, base = find_secrets(table(spark, root, "documents")), [kind for kind, *_ in KINDS]
+    return found.select(
+        "doc_id", *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in base],
+        F.sha2(F.encode(span_list(base), "utf-8"), 256).alias("base_sha256"), span_list([*base, "entropy"]).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op4_token_counts, op7_merge_replay)
+    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op4_token_counts, op5_license_scan, op7_merge_replay, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {}

@@ -24,10 +24,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martflow.llm.pretokens import chunks, pretokens
+from martflow.llm.common import batch_slices
+from martflow.llm.pretokens import pretokens
 
 TOKENIZER = "byte_bpe_50k.json"
-KEPT_WORDS = 600_000
+KEPT_WORDS = 500_000
 _CACHE = "digest binary, n_tokens long"
 
 
@@ -87,8 +88,9 @@ def _count(path: str):
     def run(batches):
         counter = _counter(path)
         for batch in batches:
-            n = [x for texts in chunks(batch["text"].to_pylist()) for x in counter(texts)]
-            yield pa.RecordBatch.from_arrays([batch["digest"], pa.array(n, pa.int64())], ["digest", "n_tokens"])
+            for part in batch_slices(batch, "text", 2 << 20):
+                n = counter(part["text"].to_pylist())
+                yield pa.RecordBatch.from_arrays([part["digest"], pa.array(n, pa.int64())], ["digest", "n_tokens"])
 
     return run
 

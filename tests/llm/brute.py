@@ -57,3 +57,42 @@ def op7(docs: list[tuple]) -> list[tuple]:
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     ids = [own.encode_ordinary(t or "") for _, t in docs]
     return [(i, len(x), digest(" ".join(map(str, x))), digest(t or "")) for (i, t), x in zip(docs, ids)]
+
+
+def op2_base(docs: list[tuple]) -> list[tuple]:
+    out = []
+    for i, t in docs:
+        ws, t = words(t), t or ""
+        places: dict[tuple, list[int]] = {}
+        for k in range(len(ws) - 2):
+            places.setdefault(tuple(ws[k : k + 3]), []).append(k)
+        again = {k + j for own in places.values() if len(own) > 1 for k in own for j in range(3)}
+        lines = [line for line in t.split("\n") if words(line)]
+        n = len(ws)
+        out.append((i, n, sum(map(len, ws)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again), n < 50 or 100 * len(again) > 50 * n))
+    return out
+
+
+def op5_base(docs: list[tuple]) -> list[tuple]:
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    out = []
+    for i, t in docs:
+        ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        found = sorted((k, label) for p, label in phrases.items() for k in range(len(ws)) if tuple(ws[k : k + len(p)]) == p)
+        first, last = (found[0][0], found[-1][0]) if found else (None, None)
+        out.append((i, len(ws), len(found), first, last, ",".join(sorted({x for _, x in found}))))
+    return out
+
+
+def op10_base(docs: list[tuple]) -> list[tuple]:
+    kinds = [
+        ("assign", r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ]
+    out = []
+    for i, t in docs:
+        spans = sorted((m.start(), k, m.end()) for k, (_, pattern, fits) in enumerate(kinds) for m in re.finditer(pattern, t or "") if fits(m))
+        counts = [sum(s[1] == k for s in spans) for k in range(3)]
+        out.append((i, *counts, digest(",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in spans))))
+    return out
