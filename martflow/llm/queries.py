@@ -11,6 +11,8 @@ from martflow.llm.common import folder, table
 from martflow.llm.host_rules import judge
 from martflow.llm.license_scan import scan_licenses
 from martflow.llm.merge_replay import decode, encode
+from martflow.llm.pii import KINDS as PERSONAL
+from martflow.llm.pii import find_personal_data
 from martflow.llm.secret_scan import KINDS, find_secrets, span_list
 from martflow.llm.substring_dedup import remove_repeats
 from martflow.llm.token_counts import count_tokens
@@ -48,6 +50,22 @@ def op7_merge_replay(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, root: str) -> DataFrame:
+    found, names = find_personal_data(table(spark, root, "documents")), F.array(*map(F.lit, PERSONAL))
+
+    def line(spans):
+        parts = F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string")))
+        return F.concat_ws(",", parts)
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["base"] & (x["kind"] == kind))).cast("long")
+
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{PERSONAL[k]}") for k in range(4)],
+        F.sha2(F.encode(line(F.filter("spans", lambda x: x["base"])), "utf-8"), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     found, base = find_secrets(table(spark, root, "documents")), [kind for kind, *_ in KINDS]
     return found.select(
@@ -57,7 +75,7 @@ def op10_secret_scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op4_token_counts, op5_license_scan, op7_merge_replay, op10_secret_scan)
+    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op4_token_counts, op5_license_scan, op7_merge_replay, op8_pii, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {}

@@ -96,3 +96,28 @@ def op10_base(docs: list[tuple]) -> list[tuple]:
         counts = [sum(s[1] == k for s in spans) for k in range(3)]
         out.append((i, *counts, digest(",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in spans))))
     return out
+
+
+def op8_base(docs: list[tuple]) -> list[tuple]:
+    def digits(s):
+        return re.sub("[^0-9]", "", s)
+
+    def luhn(s):
+        total = 0
+        for k, c in enumerate(reversed(s)):
+            d = int(c) * (1 + k % 2)
+            total += d - 9 if d > 9 else d
+        return total % 10 == 0
+
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(digits(s)) <= 15),
+    ]
+    out = []
+    for i, t in docs:
+        spans = [(name, m.start(), m.end()) for name, pattern, fits in kinds for m in re.finditer(pattern, t or "") if fits(m[0])]
+        counts = [sum(s[0] == name for s in spans) for name, *_ in kinds]
+        out.append((i, *counts, digest(",".join(f"{n}:{a}:{b}" for n, a, b in spans))))
+    return out
