@@ -73,11 +73,11 @@ _BLANK = np.zeros(256, bool)
 _BLANK[list(BLANKS)] = True
 
 
-def find_words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of each word, its length, and the row it is in. A row's end also ends a word."""
+def find_words(raw: np.ndarray, at: np.ndarray, blank: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of each word, its length, and the row it is in. `blank`: which bytes part words; a row's end does too."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ink = ~_BLANK[raw]
+    ink = ~blank[raw]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     edges = at[(at > 0) & (at < len(raw))]
@@ -107,7 +107,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 _LOW: dict[int, np.ndarray] = {}
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, seed: int, block: int = 1 << 20) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, seed: int, block: int = 1 << 20, blank: np.ndarray = _BLANK) -> np.ndarray:
     """A 64-bit hash of each word's bytes, `block` bytes at a time."""
     base = (0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * seed) % (1 << 64) | 1
     if base not in _LOW:
@@ -120,7 +120,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, seed: int, block: int = 1 <
         j = max(i + 1, int(np.searchsorted(starts, starts[i] + block, "left")))
         a, b = int(starts[i]), int(ends[j - 1])
         part = raw[a:b]
-        value = np.where(_BLANK[part], 0, part.astype(np.uint64) + np.uint64(1)).astype(np.uint64)
+        value = np.where(blank[part], 0, part.astype(np.uint64) + np.uint64(1)).astype(np.uint64)
         own = starts[i:j] - a
         place = np.arange(b - a) - np.repeat(own, np.diff(np.append(own, b - a)))
         weight = low[place & 0xFFFF]

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martflow.llm.common import folder, table
+from martflow.llm.decontaminate import find_contaminated
 from martflow.llm.host_rules import judge
+from martflow.llm.html_extract import extract
 from martflow.llm.license_scan import scan_licenses
 from martflow.llm.merge_replay import decode, encode
 from martflow.llm.pii import KINDS as PERSONAL
@@ -41,6 +43,11 @@ def op5_license_scan(spark: SparkSession, root: str) -> DataFrame:
     return scan_licenses(table(spark, root, "documents")).drop("spans")
 
 
+def op6_decontaminate(spark: SparkSession, root: str) -> DataFrame:
+    found = find_contaminated(table(spark, root, "documents"), table(spark, root, "benchmark"))
+    return found.select("doc_id", F.col("item").alias("item_id"), "score", F.col("question").alias("question_overlap"), F.col("answer").alias("answer_overlap"))
+
+
 def op7_merge_replay(spark: SparkSession, root: str) -> DataFrame:
     found = decode(encode(table(spark, root, "documents")))
     line = F.concat_ws(" ", F.col("ids").cast("array<string>"))
@@ -66,6 +73,10 @@ def op8_pii(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op9_html_extract(spark: SparkSession, root: str) -> DataFrame:
+    return extract(table(spark, root, "pages")).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     found, base = find_secrets(table(spark, root, "documents")), [kind for kind, *_ in KINDS]
     return found.select(
@@ -75,7 +86,7 @@ def op10_secret_scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op4_token_counts, op5_license_scan, op7_merge_replay, op8_pii, op10_secret_scan)
+    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op4_token_counts, op5_license_scan, op6_decontaminate, op7_merge_replay, op8_pii, op9_html_extract, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {}

@@ -121,3 +121,16 @@ def op8_base(docs: list[tuple]) -> list[tuple]:
         counts = [sum(s[0] == name for s in spans) for name, *_ in kinds]
         out.append((i, *counts, digest(",".join(f"{n}:{a}:{b}" for n, a, b in spans))))
     return out
+
+
+def op9(pages: list[tuple]) -> list[tuple]:
+    """For the given pages only, whose article element holds the main text in h1 and p elements."""
+    import html
+
+    out = []
+    for i, page in pages:
+        article = re.search(r"<article>(.*?)(?:</article>|$)", page or "", re.S)
+        blocks = re.split(r"</?(?:h1|p)>", article[1]) if article else []
+        lines = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in blocks]
+        out.append((i, "\n".join(line for line in lines if line)))
+    return out
