@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martflow.llm.chosen_path import near_duplicates
 from martflow.llm.common import folder, table
 from martflow.llm.decontaminate import find_contaminated
 from martflow.llm.host_rules import judge
@@ -33,6 +34,11 @@ def op2_host_rules(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op3_chosen_path(spark: SparkSession, root: str) -> DataFrame:
+    found = near_duplicates(table(spark, root, "documents"), size=2)
+    return found.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op4_token_counts(spark: SparkSession, root: str) -> DataFrame:
     """With a cache of its own that begins empty, so every call encodes every distinct text."""
     found = count_tokens(table(spark, root, "documents"), folder(spark, "token-cache"))
@@ -86,7 +92,7 @@ def op10_secret_scan(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op4_token_counts, op5_license_scan, op6_decontaminate, op7_merge_replay, op8_pii, op9_html_extract, op10_secret_scan)
+    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op3_chosen_path, op4_token_counts, op5_license_scan, op6_decontaminate, op7_merge_replay, op8_pii, op9_html_extract, op10_secret_scan)
 }
 
 ORACLES: dict[str, str] = {}
