@@ -14,6 +14,7 @@ from martflow.llm.host_rules import judge
 from martflow.llm.html_extract import extract
 from martflow.llm.license_scan import scan_licenses
 from martflow.llm.merge_replay import decode, encode
+from martflow.llm.oracles import ORACLES
 from martflow.llm.pii import KINDS as PERSONAL
 from martflow.llm.pii import find_personal_data
 from martflow.llm.secret_scan import KINDS, find_secrets, span_list
@@ -94,5 +95,4 @@ def op10_secret_scan(spark: SparkSession, root: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op3_chosen_path, op4_token_counts, op5_license_scan, op6_decontaminate, op7_merge_replay, op8_pii, op9_html_extract, op10_secret_scan)
 }
-
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

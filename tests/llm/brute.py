@@ -134,3 +134,36 @@ def op9(pages: list[tuple]) -> list[tuple]:
         lines = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in blocks]
         out.append((i, "\n".join(line for line in lines if line)))
     return out
+
+
+def sets(docs: list[tuple], size: int) -> dict:
+    out = {}
+    for k, (i, t) in enumerate(docs):
+        ws = words(lower(t))
+        out[k] = frozenset(zip(*(ws[j:] for j in range(size)))) if len(ws) >= size else frozenset([tuple(ws)] if ws else [])
+    return out
+
+
+def op3(docs: list[tuple], size: int = 2, percent: int = 80) -> list[tuple]:
+    """All pairs of rows; components by repeated passes."""
+    own = sets(docs, size)
+    label = {k: docs[k][0] for k in own}
+    links = [
+        (a, b) for a in own for b in range(a)
+        if own[a] and own[b] and 100 * len(own[a] & own[b]) >= percent * len(own[a] | own[b])
+    ]
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            known = [x for x in (label[a], label[b]) if x is not None]
+            least = min(known) if known else None
+            changed |= label[a] != least or label[b] != least
+            label[a] = label[b] = least
+    return [(docs[k][0], len(own[k]), label[k], docs[k][0] == label[k]) for k in own]
+
+
+def holds_item(text: str | None, items: list[tuple]) -> set:
+    """Items whose words stand in the text one after another."""
+    flat = lambda t: " " + " ".join(re.findall(r"[0-9a-z\x80-\U0010ffff]+", lower(t))) + " "
+    return {i for i, t in items if t and flat(t) in flat(text)}
