@@ -13,7 +13,7 @@ from martflow.functions.scalar import ratio, two_places
 from martflow.functions.words import lexicon_words, words
 from martflow.operators import changes as c
 from martflow.operators import first, routing
-from martflow.operators.joins import full_outer, interval_join, with_sku
+from martflow.operators.joins import full_outer, interval_join, window_join, with_sku
 from martflow.operators.windows import distinct_per_window, stamped, tumble
 from martflow.plans import ads, dwd, dws
 from martflow.plans.warehouse import Warehouse
@@ -81,7 +81,7 @@ def p7(w: Warehouse) -> DataFrame:
 
 
 def p11(w: Warehouse) -> DataFrame:
-    pruned = routing.prune(routing.route(w.mixed_log, w.fact_config, normalise=False))
+    pruned = routing.prune(routing.route(w.routed_log, w.fact_config, normalise=False))
     return pruned.select("sink_table", _value("id"), _keys())
 
 
@@ -150,7 +150,7 @@ def j9(w: Warehouse) -> DataFrame:
 
 
 def j11(w: Warehouse) -> DataFrame:
-    return routing.route(w.mixed_log, w.fact_config, normalise=False).select(
+    return routing.route(w.routed_log, w.fact_config, normalise=False).select(
         "sink_table", "table", "op_type", _value("id"), "seq")
 
 
@@ -158,7 +158,7 @@ def j12(w: Warehouse) -> DataFrame:
     rows = replay.traffic(w.tables)
     views = stamped(tumble(rows.where("event_type = 'view'"), "et").agg(F.count("*").alias("views")))
     clicks = stamped(tumble(rows.where("event_type = 'click'"), "et").agg(F.count("*").alias("clicks")))
-    return dws.window_join(views, clicks)
+    return window_join(views, clicks)
 
 
 def j13(w: Warehouse) -> DataFrame:
@@ -236,10 +236,8 @@ def _picked(pick) -> Query:
 
 def _running(job, *keys: str) -> Query:
     def query(w: Warehouse) -> DataFrame:
-        rows = replay.traffic(w.tables).select(
-            "uid", "ch", F.date_trunc("second", "et").alias("et"), "during_time",
-            F.to_date("et").alias("day"))
-        return job(rows, list(keys), "et", "during_time", "least_so_far")
+        rows = replay.traffic(w.tables).select("seq", "uid", "et", "during_time", F.to_date("et").alias("day"))
+        return job(rows, list(keys), "et", "during_time", "least_so_far").select("seq", "uid", "least_so_far")
 
     return query
 
@@ -283,7 +281,7 @@ def m2(w: Warehouse) -> DataFrame:
 
 
 def m3(w: Warehouse) -> DataFrame:
-    routed = routing.route(w.mixed_log, w.fact_config, normalise=False)
+    routed = routing.route(w.routed_log, w.fact_config, normalise=False)
     return routed.groupBy("sink_table", "source_type", "op_type").agg(F.count("*").alias("n"))
 
 
@@ -299,12 +297,13 @@ def m4(w: Warehouse) -> DataFrame:
 
 
 def m4_increment(w: Warehouse) -> DataFrame:
-    """The same dimension, its first half built by a compaction and its second applied."""
+    """The same dimension, built from three parts of its changes that arrive in the wrong order."""
     states = _order_states(w)
-    cut = F.unix_timestamp(F.lit("1998-04-01"), "yyyy-MM-dd")
-    base = routing.compact(states.where(F.col("ts") < cut), ["row_key"])
-    return routing.apply_changes(base, states.where(F.col("ts") >= cut), ["row_key"]).select(
-        "row_key", "seq", "price")
+    part = F.pmod(F.xxhash64("seq"), F.lit(3))
+    table = first.latest_version(states.where(part == 0), ["row_key"], ["ts", "seq"])
+    for k in (1, 2):
+        table = routing.apply_changes(table, states.where(part == k), ["row_key"])
+    return routing.current(table).select("row_key", "seq", "price")
 
 
 def d0(w: Warehouse) -> DataFrame:
@@ -314,7 +313,7 @@ def d0(w: Warehouse) -> DataFrame:
 
 
 def d9(w: Warehouse) -> DataFrame:
-    return dwd.routed_facts(w.mixed_log, w.fact_config).select(
+    return dwd.routed_facts(w.routed_log, w.fact_config).select(
         "sink_table", _value("id"), _value("op_type"), "ts", "seq", _keys())
 
 

@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 
 def money(col: Column) -> Column:
-    return col.try_cast("decimal(16,2)")
+    """An amount; one that does not fit stops the job rather than become NULL."""
+    return col.cast("decimal(16,2)")
+
+
+def total(col: Column) -> Column:
+    """A sum of amounts."""
+    return col.cast("decimal(38,2)")
 
 
 def not_blank(col: Column) -> Column:

@@ -55,7 +55,7 @@ def changed_to(changes: DataFrame, column: str, after: str) -> DataFrame:
 
 def increase(changes: DataFrame, column: str, out: str) -> DataFrame:
     """Inserts and growing updates, with the growth as an integer."""
-    new, old = d(changes, column).try_cast("int"), o(changes, column).try_cast("int")
+    new, old = d(changes, column).cast("bigint"), o(changes, column).cast("bigint")
     grown = (F.col("type") == "insert") | ((F.col("type") == "update") & (new > old))
     return changes.where(grown).withColumn(out, new - F.coalesce(old, F.lit(0)))
 

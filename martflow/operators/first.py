@@ -4,14 +4,16 @@ One key may hold a large part of all rows, so nothing here sorts a whole key in
 
 * keeping one row per key is `row_number() = 1`, which Spark prunes to one row per key in
   every map task before the shuffle;
-* flags on all rows are joined back on the unique row number, which spreads evenly;
-* running values are taken over rows already reduced to one per key and second, then one
-  per key and day, so a window holds at most 86 400 rows or one per day.
+* flags on all rows are joined back on key and arrival number, which spreads evenly;
+* running values are taken within one second of a key, over a day's seconds (86 400 rows at
+  most) and over days, and joined; no window holds all rows of a key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,8 +55,11 @@ def flag_first(
     df: DataFrame, keys: Sequence, flag: str, order: Sequence[str] = ("ts", "seq"), row: str = "seq"
 ) -> DataFrame:
     """Every row with `flag` = 1 on the first row of its key and 0 elsewhere."""
-    first = first_version(df, keys, order).select(F.col(row), F.lit(1).alias(flag))
-    return df.join(first, row, "left").withColumn(flag, F.coalesce(flag, F.lit(0)))
+    by = [*keys, row]
+    first = first_version(df, keys, order).select(*[F.col(c).alias(f"_{c}_") for c in by], F.lit(1).alias(flag))
+    mine = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in by])
+    found = df.join(first, mine, "left").withColumn(flag, F.coalesce(flag, F.lit(0)))
+    return found.select(*df.columns, flag)
 
 
 def daily_unique(df: DataFrame, key: str = "mid", flag: str = "uv_ct") -> DataFrame:
@@ -122,32 +127,47 @@ def first_payment(df: DataFrame, key: str = "user_id") -> DataFrame:
     )
 
 
-def _moments(df: DataFrame, keys: Sequence[str], time: str, value: str) -> DataFrame:
-    return df.groupBy(*keys, time).agg(F.min(value).alias(value))
+def running_min(df: DataFrame, keys: Sequence[str], time: str, value: str, out: str) -> DataFrame:
+    """Running minimum of `value` per key, for keys of few rows: one per second of a day at most."""
+    return df.withColumn(out, F.min(value).over(Window.partitionBy(*keys).orderBy(time)))
+
+
+def _carried(df: DataFrame, keys: Sequence[str], part: Column, value: str) -> DataFrame:
+    """Of each key and part of time, the minimum of the parts before it, as `_earlier`; keys are null-safe."""
+    parts = df.groupBy(*keys, part.alias("_part")).agg(F.min(value).alias("_least"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_earlier", F.min("_least").over(before))
+    return parts.select(*[F.col(k).alias(f"_{k}_") for k in keys], "_part", "_earlier")
+
+
+def _with_earlier(df: DataFrame, keys: Sequence[str], part: Column, value: str, out: str, within: str) -> DataFrame:
+    """`out`: the least of `within` and of what earlier parts of time hold."""
+    carried = _carried(df, keys, part, value)
+    mine = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in keys] + [part == F.col("_part")])
+    found = df.join(carried, mine).withColumn(out, F.least(within, "_earlier"))
+    return found.drop(*[f"_{k}_" for k in keys], "_part", "_earlier", within)
 
 
 def first_of_day(df: DataFrame, keys: Sequence[str], time: str, value: str, out: str) -> DataFrame:
-    """Running minimum of `value` per key in order of `time`, one row per key and time.
+    """Every row with the running minimum of `value` per key in order of `time`; keys hold a day.
 
-    For keys that hold a day: a window then has one row per second at most. Returns keys,
-    time, the minimum at that time (`value`) and the running minimum (`out`).
+    The minimum is taken within the row's second, and joined with that of the day's earlier
+    seconds, of which there is one row each.
     """
-    so_far = Window.partitionBy(*keys).orderBy(time)
-    return _moments(df, keys, time, value).withColumn(out, F.min(value).over(so_far))
+    second = F.date_trunc("second", time)
+    within = df.withColumn("_within", F.min(value).over(Window.partitionBy(*keys, second).orderBy(time)))
+    return _with_earlier(within, keys, second, value, out, "_within")
 
 
 def first_ever(df: DataFrame, keys: Sequence[str], time: str, value: str, out: str) -> DataFrame:
     """The same for keys without a day: running within days, then over earlier days."""
-    by = [*keys, "_day"]
-    moments = first_of_day(df.withColumn("_day", F.to_date(time)), by, time, value, "_today")
-    before = Window.partitionBy(*keys).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = (
-        df.groupBy(*keys, F.to_date(time).alias("_day")).agg(F.min(value).alias("_best"))
-        .withColumn("_earlier", F.min("_best").over(before))
-        .drop("_best")
-    )
-    return (
-        moments.join(days, by)
-        .withColumn(out, F.least("_today", "_earlier"))
-        .drop("_day", "_today", "_earlier")
-    )
+    dated = df.withColumn("_day", F.to_date(time))
+    today = first_of_day(dated, [*keys, "_day"], time, value, "_today")
+    return _with_earlier(today, keys, F.col("_day"), value, out, "_today").drop("_day")
+
+
+def least_ever(df: DataFrame, keys: Sequence[str], time: str, value: str, out: str) -> DataFrame:
+    """`first_ever` for rows already reduced to one per key and second: no join within the day."""
+    dated = df.withColumn("_day", F.to_date(time))
+    today = running_min(dated, [*keys, "_day"], time, value, "_within")
+    return _with_earlier(today, keys, F.col("_day"), value, out, "_within").drop("_day")

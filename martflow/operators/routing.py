@@ -67,13 +67,20 @@ def dimension_changes(routed: DataFrame) -> DataFrame:
 
 def compact(changes: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """Current rows: the latest change per key, deleted keys left out."""
-    return latest_version(changes, list(keys), list(order)).where("op_type <> 'delete'")
+    return current(latest_version(changes, list(keys), list(order)))
 
 
 def apply_changes(
     table: DataFrame, changes: DataFrame, keys: Sequence[str], order: Sequence[str] = ("ts", "seq")
 ) -> DataFrame:
-    """A dimension after a set of later changes: untouched rows plus the latest new ones."""
-    latest = latest_version(changes, list(keys), list(order))
-    kept = table.join(latest.select(*keys), list(keys), "left_anti")
-    return kept.unionByName(latest.where("op_type <> 'delete'"))
+    """A dimension after a set of changes, which may be earlier than what the table holds.
+
+    The table keeps the latest change of each key by the same order as `compact`, deletions as
+    markers, so that a change overtaken by one stays overtaken; `current` gives the rows.
+    """
+    return latest_version(table.unionByName(changes), list(keys), list(order))
+
+
+def current(table: DataFrame) -> DataFrame:
+    """Rows of a dimension that keeps markers."""
+    return table.where("op_type <> 'delete'")

@@ -321,9 +321,11 @@ def _bodies() -> dict[str, str]:
         "p6_column_changed": "SELECT order_id AS id, province_id FROM refunded",
         "p7_cart_delta": "SELECT id, sku_num FROM carts",
         "p11_column_prune": "SELECT sink_table, id, columns FROM routed",
-        "p14_flatten": """SELECT seq, mid, ts, 'icon' AS entry, CAST(k AS VARCHAR) AS error_code,
-            'ar,ch,entry,error_code,is_new,loading_time,mid,sid,ts,uid,vc' AS columns
-            FROM traf WHERE event_type = 'error'""",
+        "p14_flatten": """SELECT seq, mid, ts, CASE WHEN event_type = 'error' THEN 'icon' END AS entry,
+            CAST(k AS VARCHAR) AS error_code, CASE WHEN event_type = 'error'
+              THEN 'ar,ch,entry,error_code,is_new,loading_time,mid,sid,ts,uid,vc'
+              ELSE 'ar,ch,during_time,error_code,is_new,last_page_id,mid,page_id,sid,ts,uid,vc' END AS columns
+            FROM traf WHERE event_type = 'error' OR event_type = 'click' AND k >= 90""",
         "j1_left_chain": """SELECT id, seq, order_id, user_id, province_id, coupon_id, coupon_use_id,
             activity_id, activity_rule_id FROM versions""",
         "j2_inner_updates": "SELECT id, seq, order_id, sku_id, province_id FROM granted JOIN refunded USING (order_id)",
@@ -378,12 +380,8 @@ def _bodies() -> dict[str, str]:
         "w1_first_version": "SELECT id, seq, sku_id, split_total_amount FROM first_lines",
         "w2_latest_version": """SELECT id, seq, sku_id, split_total_amount FROM lines QUALIFY
             row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1""",
-        "w3_first_of_day": f"""SELECT uid, strftime(day, '%Y-%m-%d') AS day, strftime(s, {STAMP}) AS et, during_time,
-            min(during_time) OVER (PARTITION BY uid, day ORDER BY s) AS least_so_far FROM
-            (SELECT uid, day, date_trunc('second', et) AS s, min(during_time) AS during_time FROM traf GROUP BY ALL)""",
-        "w4_first_ever": f"""SELECT uid, strftime(s, {STAMP}) AS et, during_time,
-            min(during_time) OVER (PARTITION BY uid ORDER BY s) AS least_so_far FROM
-            (SELECT uid, date_trunc('second', et) AS s, min(during_time) AS during_time FROM traf GROUP BY ALL)""",
+        "w3_first_of_day": """SELECT seq, uid, min(during_time) OVER (PARTITION BY uid, day ORDER BY et) AS least_so_far FROM traf""",
+        "w4_first_ever": "SELECT seq, uid, min(during_time) OVER (PARTITION BY uid ORDER BY et) AS least_so_far FROM traf",
         "w5_first_visit_fix": "SELECT seq, mid, is_new FROM fixed",
         "w6_daily_unique": """SELECT seq, mid, ts, CASE WHEN row_number() OVER
             (PARTITION BY mid, day ORDER BY ts, seq) = 1 THEN 1 ELSE 0 END AS uv_ct FROM raw_page""",
@@ -401,8 +399,8 @@ def _bodies() -> dict[str, str]:
         "m3_op_filter": "SELECT sink_table, source_type, op_type, count(*) AS n FROM routed GROUP BY ALL",
         "m4_dim_compaction": "SELECT row_key, seq, price FROM order_states WHERE o_orderstatus <> 'F'",
         "m4_dim_increment": "SELECT row_key, seq, price FROM order_states WHERE o_orderstatus <> 'F'",
-        "t13_explode_actions": """SELECT seq, 0 AS pos, mid, ts + 1000 AS ts, 'a1' AS action_id, page_id, is_new
-            FROM bfixed WHERE event_type IN ('click', 'purchase')""",
+        "t13_explode_actions": """SELECT seq, pos, mid, ts + 1000 * (pos + 1) AS ts, 'a' || (pos + 1) AS action_id, page_id, is_new
+            FROM bfixed, (VALUES (0), (1)) v(pos) WHERE event_type = 'purchase' OR event_type = 'click' AND pos = 0""",
         "d0_dimensions": """SELECT sink_table, CAST(k AS VARCHAR) AS row_key, name, op_type, columns FROM (SELECT * FROM dim_log
             QUALIFY row_number() OVER (PARTITION BY sink_table, k ORDER BY ts DESC) = 1) WHERE op_type <> 'delete'""",
         "d1_start": """SELECT seq, mid, ts, is_new, 'icon' AS entry, CAST(k AS VARCHAR) AS loading_time
@@ -411,10 +409,11 @@ def _bodies() -> dict[str, str]:
             CAST(during_time AS VARCHAR) AS during_time FROM bfixed WHERE page_id IS NOT NULL""",
         "d1_display": """SELECT seq, pos, mid, ts, is_new, CAST(k + pos AS VARCHAR) AS item, page_id
             FROM bfixed, (VALUES (0), (1)) v(pos) WHERE event_type IN ('view', 'purchase')""",
-        "d1_action": """SELECT seq, 0 AS pos, mid, ts + 1000 AS ts, is_new, 'a1' AS action_id, page_id
-            FROM bfixed WHERE event_type IN ('click', 'purchase')""",
-        "d1_err": """SELECT seq, mid, ts, is_new, CAST(k AS VARCHAR) AS error_code, 'icon' AS entry
-            FROM bfixed WHERE event_type = 'error'""",
+        "d1_action": """SELECT seq, pos, mid, ts + 1000 * (pos + 1) AS ts, is_new, 'a' || (pos + 1) AS action_id, page_id
+            FROM bfixed, (VALUES (0), (1)) v(pos) WHERE event_type = 'purchase' OR event_type = 'click' AND pos = 0""",
+        "d1_err": """SELECT seq, mid, ts, is_new, CAST(k AS VARCHAR) AS error_code,
+            CASE WHEN event_type = 'error' THEN 'icon' END AS entry
+            FROM bfixed WHERE event_type = 'error' OR event_type = 'click' AND k >= 90""",
         "d2_comment_info": "SELECT c.*, dic_name AS appraise_name FROM comments c LEFT JOIN dic ON appraise = dic.id",
         "d3_cart_add": "SELECT * EXCLUDE (et) FROM carts",
         "d4_order_detail": f"SELECT {_LINE}, ts, seq FROM last_lines",
@@ -495,7 +494,14 @@ def _bodies() -> dict[str, str]:
         "t9_stream_traffic": q["g2_traffic"],
         "t9_stream_home_detail": q["g3_home_detail"],
         "t9_stream_user_login": q["g4_user_login"],
-        "t12_stream_split_log": q["d1_action"],
+        "t12_stream_split_log": " UNION ALL ".join(
+            f"SELECT '{kind}' AS kind, seq, {'pos' if kind in ('display', 'action') else 'NULL'} AS pos, mid, ts, is_new FROM ({q['d1_' + kind]})"
+            for kind in ("start", "page", "display", "action", "err")),
+        "t9_stream_payment": q["g7_payment_suc"],
+        "d4_stream_order_detail": q["d4_order_detail"],
+        "d5_stream_cancel_detail": q["d5_cancel_detail"],
+        "d7_stream_refund": "SELECT id, order_id, sku_id, province_id, ts, seq FROM refunds",
+        "d8_stream_refund_payment": q["j4_refund_fanout"],
         "t11_stream_dimensions": f"SELECT * EXCLUDE (columns) FROM ({q['d0_dimensions']})",
         "s11_stream_routed_facts": f"SELECT * EXCLUDE (columns) FROM ({q['d9_routed_facts']})",
     })

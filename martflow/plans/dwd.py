@@ -19,6 +19,7 @@ from martflow.operators.first import fix_first_visit, latest_values, latest_vers
 from martflow.operators.joins import interval_join, lookup
 from martflow.sources import ods
 
+# Columns of an order line, its own and those joined to it.
 DETAIL = (
     "id", "order_id", "sku_id", "sku_num", "split_total_amount", "split_activity_amount",
     "split_coupon_amount", "create_time",
@@ -90,7 +91,7 @@ def detail_rows(log: c.Log) -> DataFrame:
 
 
 def order_detail_parts(log: c.Log, keep_time: bool = False) -> dict[str, DataFrame]:
-    """The four tables behind an order line, before they are joined."""
+    """The four tables behind an order line, before they are joined; `keep_time`: with their event times."""
     time = ["et"] if keep_time else []
 
     def inserted(table: str, *names: str) -> DataFrame:
@@ -138,15 +139,22 @@ def order_detail(log: c.Log) -> DataFrame:
     return join_order_detail(parts)
 
 
-def cancel_detail(log: c.Log, lines: DataFrame) -> DataFrame:
-    """Every line of a cancelled order; `lines` holds the latest version of each."""
+def cancelled_orders(log: c.Log) -> DataFrame:
     moved = c.moved(
         c.rows_of(log, "order_info", "update"),
         "order_status", codes.ORDER_PLACED, codes.ORDER_CANCELLED,
     )
-    cancelled = c.fields(moved, "id", "operate_time").select(
+    return c.fields(moved, "id", "operate_time").select(
         F.col("id").alias("_order"), F.col("operate_time").alias("cancel_time"), "ts", "et"
     )
+
+
+def cancel_detail(log: c.Log, lines: DataFrame) -> DataFrame:
+    """Every line of a cancelled order; `lines` holds the latest version of each."""
+    return of_cancelled(cancelled_orders(log), lines)
+
+
+def of_cancelled(cancelled: DataFrame, lines: DataFrame) -> DataFrame:
     return cancelled.join(lines.drop("ts", "et"), F.col("_order") == F.col("order_id")).drop("_order")
 
 
@@ -161,7 +169,7 @@ def payments(log: c.Log) -> DataFrame:
     )
 
 
-def pay_detail(log: c.Log, lines: DataFrame, dictionary: DataFrame) -> DataFrame:
+def paid_lines(log: c.Log, lines: DataFrame) -> DataFrame:
     """Lines paid within half an hour of their order, one row per payment and line.
 
     `lines` holds the latest version of each line.
@@ -171,11 +179,15 @@ def pay_detail(log: c.Log, lines: DataFrame, dictionary: DataFrame) -> DataFrame
         *[x for x in (*DETAIL, *DETAIL_MORE) if x not in ("id", "order_id", "user_id")],
         F.col("et").alias("_line_et"),
     )
-    paid = interval_join(
+    return interval_join(
         payments(log), mine, {"order_id": "_order"}, "et", "_line_et", codes.PAY_WITHIN_SECONDS
     ).drop("_order", "_line_et")
+
+
+def pay_detail(log: c.Log, lines: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Paid lines with the names of status and type."""
     return named(
-        paid, dictionary, payment_status_name="payment_status", payment_type_name="payment_type"
+        paid_lines(log, lines), dictionary, payment_status_name="payment_status", payment_type_name="payment_type"
     )
 
 
@@ -190,13 +202,11 @@ def granted_refunds(log: c.Log) -> DataFrame:
     )
 
 
-def refunded_orders(log: c.Log, keep_time: bool = False) -> DataFrame:
+def refunded_orders(log: c.Log) -> DataFrame:
     rows = c.changed_to(
         c.rows_of(log, "order_info", "update"), "order_status", codes.ORDER_REFUNDED
     )
-    time = [F.col("et").alias("_et")] if keep_time else []
-    return c.fields(rows, "id", "province_id").select(
-        F.col("id").alias("_order"), "province_id", *time)
+    return c.fields(rows, "id", "province_id").select(F.col("id").alias("_order"), "province_id")
 
 
 def refund(log: c.Log, dictionary: DataFrame) -> DataFrame:
@@ -210,21 +220,25 @@ def refund(log: c.Log, dictionary: DataFrame) -> DataFrame:
     )
 
 
-def refund_payment(log: c.Log, refunds: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Finished refund payments, one row per refunded line of their order."""
+def refund_payments(log: c.Log) -> DataFrame:
+    """Finished refund payments."""
     rows = c.changed_to(
         c.rows_of(log, "refund_payment", "update"), "refund_status", codes.PAYMENT_DONE
     )
-    paid = c.fields(
+    return c.fields(
         rows, "id", "order_id", "out_trade_no", "refund_status", "payment_type", "trade_no",
         "callback_time",
     )
+
+
+def refund_payment(log: c.Log, refunds: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Finished refund payments, one row per refunded line of their order."""
     lines = refunds.select(
         F.col("order_id").alias("_order"), "user_id", "sku_id", "refund_type", "refund_num",
         "refund_amount", "refund_reason_type", "refund_reason_txt", "province_id",
         "refund_type_name", "refund_reason_type_name",
     )
-    both = paid.join(lines, F.col("order_id") == F.col("_order")).drop("_order")
+    both = refund_payments(log).join(lines, F.col("order_id") == F.col("_order")).drop("_order")
     return named(
         both, dictionary, refund_status_name="refund_status", payment_type_name="payment_type"
     )

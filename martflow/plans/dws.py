@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from martflow import codes
-from martflow.functions.scalar import count_if, money, not_blank
+from martflow.functions.scalar import count_if, money, not_blank, total
 from martflow.functions.words import words
 from martflow.operators import first
-from martflow.operators.joins import lookup, window_join, with_sku
+from martflow.operators.joins import lookup, with_sku
 from martflow.operators.windows import distinct_per_window, event_time, stamped, tumble
 
 TRAFFIC = ("vc", "ch", "ar", "is_new")
@@ -136,13 +136,16 @@ def order(detail: DataFrame) -> DataFrame:
         .groupBy("user_id", F.to_date("create_time").alias("_created"), "et")
         .agg(F.min("create_time").alias("create_time"))
     )
-    today = first.first_of_day(rows, ["user_id", "_created"], "et", "create_time", "_first")
-    ever = first.first_ever(rows, ["user_id"], "et", "create_time", "_first")
-    is_first = F.col("create_time") == F.col("_first")
-    return window_join(
-        distinct_per_window(today, "et", "user_id", "order_unique_user_count", only=is_first),
-        distinct_per_window(ever, "et", "user_id", "order_new_user_count", only=is_first),
+    # Event times are whole seconds, so a day of a user is a window of bounded size.
+    rows = first.running_min(rows, ["user_id", "_created"], "et", "create_time", "_today")
+    rows = first.least_ever(rows, ["user_id"], "et", "create_time", "_ever")
+    users = tumble(rows, "et", "user_id").agg(
+        F.max((F.col("create_time") == F.col("_today")).cast("bigint")).alias("today"),
+        F.max((F.col("create_time") == F.col("_ever")).cast("bigint")).alias("ever"),
     )
+    return stamped(users.groupBy("window").agg(
+        F.sum("today").alias("order_unique_user_count"), F.sum("ever").alias("order_new_user_count")
+    ))
 
 
 def sku_amounts(detail: DataFrame) -> DataFrame:
@@ -152,7 +155,7 @@ def sku_amounts(detail: DataFrame) -> DataFrame:
         "split_total_amount", "split_activity_amount", "split_coupon_amount", "seq",
     )
     return stamped(tumble(first.first_version(rows, ["id"]), "create_time", "sku_id").agg(
-        F.sum(F.col("sku_num").try_cast("int")).alias("sku_num"),
+        F.sum(F.col("sku_num").cast("bigint")).alias("sku_num"),
         F.sum(money(F.col("split_activity_amount"))).alias("activity_reduce_amount"),
         F.sum(money(F.col("split_coupon_amount"))).alias("coupon_reduce_amount"),
         F.sum(money(F.col("split_total_amount"))).alias("order_amount"),
@@ -163,14 +166,14 @@ def sku_order(detail: DataFrame, flat_sku: DataFrame) -> DataFrame:
     rows = with_sku(sku_amounts(detail), flat_sku)
     return rows.select(
         "stt", "edt", "cur_date",
-        F.col("trademark_id").try_cast("smallint").alias("trademark_id"), "trademark_name",
-        F.col("category1_id").try_cast("smallint").alias("category1_id"), "category1_name",
-        F.col("category2_id").try_cast("smallint").alias("category2_id"), "category2_name",
-        F.col("category3_id").try_cast("smallint").alias("category3_id"), "category3_name",
-        F.col("sku_id").try_cast("int").alias("sku_id"), "sku_name",
-        F.col("spu_id").try_cast("int").alias("spu_id"), "spu_name",
-        money(F.col("sku_num") * money(F.col("price"))).alias("original_amount"),
-        *[money(F.col(x)).alias(x)
+        F.col("trademark_id").cast("bigint").alias("trademark_id"), "trademark_name",
+        F.col("category1_id").cast("bigint").alias("category1_id"), "category1_name",
+        F.col("category2_id").cast("bigint").alias("category2_id"), "category2_name",
+        F.col("category3_id").cast("bigint").alias("category3_id"), "category3_name",
+        F.col("sku_id").cast("bigint").alias("sku_id"), "sku_name",
+        F.col("spu_id").cast("bigint").alias("spu_id"), "spu_name",
+        total(F.col("sku_num") * money(F.col("price"))).alias("original_amount"),
+        *[total(F.col(x)).alias(x)
           for x in ("activity_reduce_amount", "coupon_reduce_amount", "order_amount")],
     )
 
@@ -193,11 +196,12 @@ def province_amounts(detail: DataFrame) -> DataFrame:
 def province_order(detail: DataFrame, province: DataFrame) -> DataFrame:
     rows = lookup(province_amounts(detail), province, "province_id", {"province_name": "name"})
     return rows.select(
-        "stt", "edt", "cur_date", F.col("province_id").try_cast("smallint").alias("province_id"),
-        "province_name", "order_count", money(F.col("order_amount")).alias("order_amount"),
+        "stt", "edt", "cur_date", F.col("province_id").cast("bigint").alias("province_id"),
+        "province_name", "order_count", total(F.col("order_amount")).alias("order_amount"),
     )
 
 
+# The grouping of the refund table.
 REFUND_KEYS = (
     "trademark_id", "trademark_name", "category1_id", "category1_name", "category2_id",
     "category2_name", "category3_id", "category3_name", "user_id",

@@ -49,6 +49,12 @@ class Warehouse:
     def mixed_log(self) -> DataFrame:
         return replay.change_log(self.tables)
 
+    @cached_property
+    def routed_log(self) -> DataFrame:
+        """The mixed log of the tables that some fact route names; the routes are one row a table."""
+        named = {r[0] for r in self.fact_config.select("source_table").distinct().collect()}
+        return replay.change_log(self.tables, *[name for name in self.log if name in named])
+
     @cached_property
     def dictionary(self) -> DataFrame:
         return replay.dictionary(self.tables)
@@ -115,7 +121,7 @@ class Warehouse:
             "user_login": lambda: dws.user_login(self.raw_page),
             "user_register": lambda: dws.user_register(dwd.register(self.log)),
             "cart_add_uu": lambda: dws.cart_add_uu(self.cart_add),
-            "payment_suc": lambda: dws.payment_suc(self.pay_detail),
+            "payment_suc": lambda: dws.payment_suc(dwd.paid_lines(self.log, self.order_detail)),
             "order": lambda: dws.order(self.detail_versions),
             "sku_order": lambda: dws.sku_order(self.detail_lines, self.flat_sku),
             "province_order": lambda: dws.province_order(

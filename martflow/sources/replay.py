@@ -103,14 +103,17 @@ class Branch:
 
 
 def _placed(t: Tables) -> DataFrame:
-    """Orders with the province of their customer."""
-    customer = t("customer").select("c_custkey", "c_nationkey")
+    """Orders with the province of their customer.
+
+    One row per customer, stated so that Spark drops the join where no province is asked for.
+    """
+    customer = t.whole("customer").groupBy("c_custkey").agg(F.max("c_nationkey").alias("c_nationkey"))
     orders = t("orders")
     return orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
 
 
 def _lines_of_orders(t: Tables) -> DataFrame:
-    orders = t("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    orders = t.whole("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     items = t("lineitem")
     return items.join(orders, items.l_orderkey == orders.o_orderkey)
 
@@ -375,8 +378,9 @@ def traffic(t: Tables) -> DataFrame:
 def behaviour_lines(t: Tables) -> DataFrame:
     """The same records as raw behaviour lines: (seq, value).
 
-    Errors are a failing start, views show two items, clicks carry one action, purchases
-    both; sign-ups with a counter of 0 are cut off.
+    Errors are a failing start, views show two items, clicks carry one action, purchases two items
+    and two actions; clicks with a counter from 90 on carry an error too; sign-ups with a counter of
+    0 are cut off.
     """
     ev = events(t)
     kind, k = F.col("event_type"), F.col("k")
@@ -396,8 +400,9 @@ def behaviour_lines(t: Tables) -> DataFrame:
             _page_id().alias("page_id"), _last_page().alias("last_page_id"),
             during_time().alias("during_time"))).alias("page"),
         F.when(kind.isin("view", "purchase"), F.array(shown(0), shown(1))).alias("displays"),
-        F.when(kind.isin("click", "purchase"), F.array(action(1))).alias("actions"),
-        F.when(kind == "error", F.struct(k.alias("error_code"))).alias("err"),
+        F.when(kind == "click", F.array(action(1)))
+        .when(kind == "purchase", F.array(action(1), action(2))).alias("actions"),
+        F.when((kind == "error") | (kind == "click") & (k >= 90), F.struct(k.alias("error_code"))).alias("err"),
     ))
     cut = F.expr("substring(line, 1, length(line) - 1)")
     broken = (kind == "signup") & (k == 0)

@@ -9,22 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from martflow.session import prepare
 
 
-FACTS = {
-    "events": "event_id", "lineitem": "l_orderkey", "orders": "o_orderkey",
-    "documents": "doc_id", "conversations": "conv_id",
-}
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """A fact of fewer files than cores dealt out to all cores; larger ones as they are.
-
-    A file may be one row group, which one task has to read. The check keeps the extra
-    shuffle to inputs of a few files; a table of a cluster's size never takes it.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
-
-
 @dataclass(frozen=True)
 class Tables:
     """A folder of Parquet tables, read lazily: `Tables(spark, root)("orders")`."""
@@ -38,6 +22,9 @@ class Tables:
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._read:
-            df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
-            self._read[name] = spread(df, FACTS[name]) if name in FACTS else df
+            self._read[name] = self.spark.read.parquet(f"{self.root}/{name}.parquet")
         return self._read[name]
+
+    def whole(self, name: str) -> DataFrame:
+        """The table as a finished one, also where tables arrive as streams: the side of a join that is there."""
+        return self(name)

@@ -8,9 +8,8 @@ without a time bound work batch by batch with the operators of the batch jobs.
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martflow import codes
@@ -24,6 +23,7 @@ from martflow.streaming import ledger as led
 from martflow.streaming.ledger import Ledger
 from martflow.streaming.sinks import Batch, read_part, read_parts, write_part
 
+Side = Callable[[DataFrame, int], DataFrame]
 TRAFFIC_SUMS = ("uv_ct", "sv_ct", "pv_ct", "dur_sum")
 
 
@@ -117,25 +117,19 @@ def split_log(state: str, out: str) -> Batch:
     return batch
 
 
-def order_detail(state: str, out: str, keep: timedelta | None = None) -> Batch:
+def order_detail(state: str, out: str) -> Batch:
     """Order lines joined as their four tables arrive, in any order; an upsert table by id.
 
-    Each batch stores its rows and recomputes the lines they touch. `keep` bounds how far
-    back, in event time, stored rows still find partners; by default all of them do.
+    Each batch stores its rows and recomputes the lines they touch, however old those are.
     """
 
     def batch(log: DataFrame, batch_id: int) -> None:
         new, stored = {}, {}
         for name, rows in dwd.order_detail_parts(log, keep_time=True).items():
-            dated, path = rows.withColumn("dt", F.to_date("et")), f"{state}/{name}"
-            write_part(dated, path, batch_id, "dt")
-            stored[name] = read_parts(dated, path).where(F.col("batch_id") <= batch_id)
+            path = f"{state}/{name}"
+            write_part(rows, path, batch_id)
+            stored[name] = read_parts(rows, path).where(F.col("batch_id") <= batch_id)
             new[name] = stored[name].where(F.col("batch_id") == batch_id)
-        if keep is not None:
-            latest = log.agg(F.max("et")).first()[0]
-            if latest is not None:
-                oldest = (latest - keep).date()
-                stored = {n: df.where(F.col("dt") >= F.lit(oldest)) for n, df in stored.items()}
         lines = stored["detail"]
         touched = (
             new["detail"].select("id")
@@ -155,6 +149,29 @@ def order_detail(state: str, out: str, keep: timedelta | None = None) -> Batch:
     return batch
 
 
+def joined(state: str, out: str, left: Side, right: Side, on: Callable[[], Column]) -> Batch:
+    """Inner join of two change kinds that arrive in any order and at any distance.
+
+    A batch stores its rows of both sides and joins its left rows with all right ones so far, and
+    the earlier left rows with its right ones, so every pair comes out once. A side gets the batch
+    and its number.
+    """
+
+    def batch(log: DataFrame, batch_id: int) -> None:
+        sides = []
+        for name, side in (("left", left), ("right", right)):
+            rows = side(log, batch_id)
+            write_part(rows, f"{state}/{name}", batch_id)
+            sides.append(read_parts(rows, f"{state}/{name}").where(F.col("batch_id") <= batch_id))
+        mine, theirs = sides
+        now = F.col("batch_id") == batch_id
+        pairs = mine.where(now).drop("batch_id").join(theirs.drop("batch_id"), on())
+        late = mine.where(~now).drop("batch_id").join(theirs.where(now).drop("batch_id"), on())
+        write_part(pairs.unionByName(late), out, batch_id)
+
+    return batch
+
+
 def dimensions(out: str, config: Callable[[DataFrame], DataFrame]) -> Batch:
     """Dimension changes by the routes in force when the batch runs.
 
@@ -195,12 +212,48 @@ def paid_views(
     )
 
 
-def refunds(log: DataFrame, retention: str = "10 seconds", delay: str = "10 seconds") -> DataFrame:
-    """Granted refunds with their orders, both updates at most `retention` apart."""
-    granted = dwd.granted_refunds(log).withWatermark("et", delay)
-    orders = dwd.refunded_orders(log, keep_time=True).withWatermark("_et", delay)
-    near = F.expr(f"_et BETWEEN et - INTERVAL {retention} AND et + INTERVAL {retention}")
-    return granted.join(orders, (F.col("order_id") == F.col("_order")) & near).drop("_order", "_et")
+def refunds(state: str, out: str) -> Batch:
+    """Granted refunds of orders that were set to refunded, whichever comes first."""
+    return joined(
+        state, out, lambda log, _: dwd.granted_refunds(log), lambda log, _: dwd.refunded_orders(log),
+        lambda: F.col("order_id") == F.col("_order"))
+
+
+def refund_payments(state: str, out: str) -> Batch:
+    """Finished refund payments with the refunded lines of their order, whichever comes first."""
+    refunded = f"{state}/refunded"
+    pairs = refunds(f"{state}/refunds", refunded)
+
+    def lines(log: DataFrame, batch_id: int) -> DataFrame:
+        pairs(log, batch_id)  # also those whose other half came with an earlier batch
+        like = dwd.granted_refunds(log).join(dwd.refunded_orders(log), F.col("order_id") == F.col("_order"))
+        return read_part(like, refunded, batch_id).select("_order", "sku_id", "refund_amount")
+
+    return joined(
+        state, out, lambda log, _: dwd.refund_payments(log), lines,
+        lambda: F.col("order_id") == F.col("_order"))
+
+
+def cancel_detail(state: str, out: str) -> Batch:
+    """Lines of cancelled orders, whichever comes first; an upsert table by line."""
+    lines, cancels = f"{state}/lines", f"{state}/cancels"
+    detail = order_detail(f"{state}/parts", lines)
+
+    def batch(log: DataFrame, batch_id: int) -> None:
+        detail(log, batch_id)
+        new = dwd.cancelled_orders(log)
+        write_part(new, cancels, batch_id)
+        known = read_parts(new, cancels).where(F.col("batch_id") <= batch_id)
+        versions = log.sparkSession.read.parquet(lines).where(F.col("batch_id") <= batch_id)
+        fresh = known.where(F.col("batch_id") == batch_id)
+        touched = (
+            versions.where(F.col("batch_id") == batch_id).select("id")
+            .union(versions.join(fresh, F.col("order_id") == F.col("_order"), "left_semi").select("id"))
+        )
+        mine = first.latest_version(versions.join(touched.distinct(), "id", "left_semi"), ["id"], ["batch_id"])
+        write_part(dwd.of_cancelled(known.drop("batch_id"), mine.drop("batch_id")), out, batch_id)
+
+    return batch
 
 
 def validated(lines: DataFrame) -> DataFrame:

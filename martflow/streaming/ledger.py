@@ -4,6 +4,9 @@ A ledger is a table of keys with the batch that brought them. A batch reduces it
 row per key (pruned in the map tasks), drops keys an earlier batch has, and writes the rest;
 the written part is what goes on, so a repeated batch gives the same rows.
 
+Keys are dealt to `BUCKETS` folders by hash, and a batch reads only the folders (and, where keys live
+for a day, the days) that its own keys fall into. No key is ever dropped.
+
 Within a batch the order is event time, across batches it is arrival.
 """
 
@@ -12,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martflow import codes
@@ -20,15 +23,25 @@ from martflow.operators import first
 from martflow.streaming.sinks import read_part, read_parts, write_part
 
 
+BUCKETS = 64
+
+
 @dataclass(frozen=True)
 class Ledger:
     path: str
     keys: tuple[str, ...]
     day: str | None = None  # key that partitions the ledger, when keys live for one day
 
-    def earlier(self, like: DataFrame, batch_id: int) -> DataFrame:
-        rows = read_parts(like, self.path)
-        return rows.where(F.col("batch_id") < batch_id).select(*like.columns)
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.keys[0]), F.lit(BUCKETS)).cast("int")
+
+    def earlier(self, like: DataFrame, batch_id: int, batch: DataFrame | None = None) -> DataFrame:
+        """What earlier batches hold in the folders that the batch's keys (else those of `like`) fall into."""
+        rows = like if batch is None else batch
+        touched = [r[0] for r in rows.select(self._bucket()).distinct().collect()]  # at most BUCKETS
+        rows = read_parts(like.withColumn("bucket", self._bucket()), self.path)
+        rows = rows.where(F.col("bucket").isin(touched) & (F.col("batch_id") < batch_id))
+        return rows.select(*like.columns)
 
     def fresh(
         self, batch: DataFrame, batch_id: int, order: Sequence[str] = ("ts", "seq")
@@ -40,8 +53,9 @@ class Ledger:
             low, high = batch.agg(F.min(self.day), F.max(self.day)).first()
             seen = seen.where(F.col(self.day).between(F.lit(low), F.lit(high)))
         new = firsts.join(seen.select(*self.keys), list(self.keys), "left_anti")
-        write_part(new, self.path, batch_id, *([self.day] if self.day else []))
-        return read_part(firsts, self.path, batch_id)
+        kept = new.withColumn("bucket", self._bucket())
+        write_part(kept, self.path, batch_id, "bucket", *([self.day] if self.day else []))
+        return read_part(kept, self.path, batch_id).drop("bucket")
 
 
 def user_days(batch: DataFrame, ledger: Ledger, key: str, batch_id: int) -> DataFrame:
@@ -81,5 +95,5 @@ def fix_first_visit(
         F.when(F.col(flag) == "0", F.date_sub(day, 1)).otherwise(day).alias("_first"),
     )
     new = ledger.fresh(start, batch_id)
-    known = new.unionByName(ledger.earlier(new, batch_id)).select(F.col(key).alias("_key"), "_first")
+    known = new.unionByName(ledger.earlier(new, batch_id, start)).select(F.col(key).alias("_key"), "_first")
     return first.correct_new(batch, known, key, flag)

@@ -1,21 +1,27 @@
-"""The stream jobs run to the end over the given tables; each returns what its sink holds."""
+"""The stream jobs run over what the given tables hold; each returns what its sink holds then.
+
+A query runs its whole stream when it is called, before anybody asks for rows: a sink must be
+written to be read.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from martflow.operators.windows import stamped, tumble
 from martflow.plans import dwd, dws
 from martflow.plans.warehouse import Warehouse
 from martflow.session import scratch
 from martflow.sources import replay
 from martflow.streaming import jobs
-from martflow.streaming.sinks import Batch, append_sink, read_sums, run
-from martflow.streaming.sources import StreamTables, end_of_stream, finish, flushed
+from martflow.streaming.sinks import Batch, append_sink, read_current, read_sums, run
+from martflow.streaming.sources import StreamTables
 
 
 @dataclass
@@ -38,23 +44,26 @@ class Stage:
     def state(self) -> str:
         return f"{self.folder}/state"
 
-    def run(self, stream: DataFrame, sink: Batch) -> None:
-        run(stream, sink, f"{self.folder}/checkpoint")
+    def run(self, stream: DataFrame, sink: Batch, mode: str = "append") -> None:
+        run(stream, sink, f"{self.folder}/checkpoint", mode)
+
+    def windows(
+        self, stream: DataFrame, time: str, job: Callable[[DataFrame], DataFrame], *keys: str,
+        delay: str = "0 seconds",
+    ) -> DataFrame:
+        """A native window job whose sink holds the latest state of every window, open ones too.
 
-    def windows(self, stream: DataFrame, time: str, job: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """A native window job, run to its last window."""
-        end = f"{self.folder}/end"
-        sums = job(flushed(stream, end_of_stream(self.spark, end, time), time))
-        self.run(sums, append_sink(self.out, "cur_date"))
-        finish(self.spark, end, time)
-        self.run(sums, append_sink(self.out, "cur_date"))
-        return self.spark.read.parquet(self.out).drop("batch_id")
+        The watermark drops windows from the state and late records from the result; open windows
+        are given as they stand, and a later run from the same checkpoint goes on with them.
+        """
+        self.run(job(stream.withWatermark(time, delay)), append_sink(self.out, "cur_date"), "update")
+        return read_current(self.spark, self.out, ["stt", *keys])
 
 
 def keyword(w: Warehouse) -> DataFrame:
     s = Stage(w)
     found = dws.search_words(replay.searches(s.tables))
-    return s.windows(found, "et", dws.count_words)
+    return s.windows(found, "et", dws.count_words, "keyword")
 
 
 def user_register(w: Warehouse) -> DataFrame:
@@ -64,9 +73,15 @@ def user_register(w: Warehouse) -> DataFrame:
 
 
 def cart_add_uu(w: Warehouse) -> DataFrame:
+    """The state has a row for each window and user; the sink's rows are counted by window."""
     s = Stage(w)
     carts = dwd.cart_add(replay.Changes(s.tables))
-    return s.windows(carts.select("user_id", "et"), "et", dws.cart_add_uu)
+
+    def users(rows: DataFrame) -> DataFrame:
+        return stamped(tumble(rows, "et", "user_id").agg(F.count("*").alias("n")))
+
+    each = s.windows(carts.select("user_id", "et"), "et", users, "user_id")
+    return each.groupBy("stt", "edt", "cur_date").agg(F.count("user_id").alias("cart_add_uu_ct"))
 
 
 def interval_join(w: Warehouse) -> DataFrame:
@@ -102,13 +117,19 @@ user_login = _sums(jobs.user_login, "back_ct", "uu_ct")
 
 
 def split_log(w: Warehouse) -> DataFrame:
-    """The action facts of the split."""
+    """All five facts of the split, by kind."""
     s = Stage(w)
     s.run(replay.behaviour_lines(s.tables), jobs.split_log(s.state, s.out))
     r = F.col("record")
-    return s.spark.read.parquet(f"{s.out}/action").select(
-        "seq", "pos", r["mid"].alias("mid"), r["ts"].cast("bigint").alias("ts"),
-        *[r[n].alias(n) for n in ("is_new", "action_id", "page_id")])
+
+    def fact(kind: str) -> DataFrame:
+        rows = s.spark.read.parquet(f"{s.out}/{kind}")
+        pos = F.col("pos") if "pos" in rows.columns else F.lit(None)
+        return rows.select(
+            F.lit(kind).alias("kind"), "seq", pos.cast("int").alias("pos"), r["mid"].alias("mid"),
+            r["ts"].cast("bigint").alias("ts"), r["is_new"].alias("is_new"))
+
+    return reduce(DataFrame.unionByName, [fact(k) for k in ("start", "page", "display", "action", "err")])
 
 
 def dimensions(w: Warehouse) -> DataFrame:
@@ -122,13 +143,49 @@ def dimensions(w: Warehouse) -> DataFrame:
 
 
 def routed_facts(w: Warehouse) -> DataFrame:
+    """Every table of the log, as a route may come for any."""
     s = Stage(w)
-    changes = replay.change_log(s.tables, "user_info", "cart_info", "comment_info", "payment_info")
-    s.run(changes, jobs.routed_facts(s.out, lambda batch: replay.fact_config(w.tables)))
+    s.run(replay.change_log(s.tables), jobs.routed_facts(s.out, lambda batch: replay.fact_config(w.tables)))
     return s.spark.read.parquet(s.out).select(
         "sink_table", F.col("data")["id"].alias("id"), F.col("data")["op_type"].alias("op_type"), "ts", "seq")
 
 
+def payment(w: Warehouse) -> DataFrame:
+    """First payments of users; the lines come from the warehouse, the payments as a stream."""
+    s = Stage(w)
+    paid = dwd.paid_lines(replay.Changes(s.tables), w.order_detail)
+    s.run(paid.select("user_id", "et", "seq"), jobs.payment_suc(s.state, s.out))
+    return read_sums(s.spark, s.out, ["payment_suc_unique_user_count", "payment_suc_new_user_count"])
+
+
+def order_detail(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    names = ("order_info", "order_detail", "order_detail_coupon", "order_detail_activity")
+    s.run(replay.change_log(s.tables, *names), jobs.order_detail(s.state, s.out))
+    return read_current(s.spark, s.out, ["id"]).drop("et")
+
+
+def cancel_detail(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    names = ("order_info", "order_detail", "order_detail_coupon", "order_detail_activity")
+    s.run(replay.change_log(s.tables, *names), jobs.cancel_detail(s.state, s.out))
+    return read_current(s.spark, s.out, ["id"]).drop("et")
+
+
+def refund(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    s.run(replay.change_log(s.tables, "order_info", "order_refund_info"), jobs.refunds(s.state, s.out))
+    rows = s.spark.read.parquet(s.out)
+    return rows.select("id", "order_id", "sku_id", "province_id", "ts", "seq")
+
+
+def refund_payment(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    log = replay.change_log(s.tables, "order_info", "order_refund_info", "refund_payment")
+    s.run(log, jobs.refund_payments(s.state, s.out))
+    return s.spark.read.parquet(s.out).select("id", "order_id", "sku_id", "refund_amount", "out_trade_no")
+
+
 QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
     "t4_stream_keyword": keyword,
     "t4_stream_register": user_register,
@@ -140,4 +197,9 @@ QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
     "t12_stream_split_log": split_log,
     "t11_stream_dimensions": dimensions,
     "s11_stream_routed_facts": routed_facts,
+    "t9_stream_payment": payment,
+    "d4_stream_order_detail": order_detail,
+    "d5_stream_cancel_detail": cancel_detail,
+    "d7_stream_refund": refund,
+    "d8_stream_refund_payment": refund_payment,
 }

@@ -16,14 +16,13 @@ Batch = Callable[[DataFrame, int], None]
 
 
 def write_part(df: DataFrame, path: str, batch_id: int, *by: str) -> None:
-    """Rows of one batch under `by=…/batch_id=…`; other batches are left alone."""
-    (
-        df.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*by, "batch_id")
-        .parquet(path)
-    )
+    """Rows of one batch under `batch_id=…/by=…`.
+
+    The batch's folder is replaced whole, so nothing of an earlier try stays, whatever that one
+    wrote; other batches are left alone.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (writer.partitionBy(*by) if by else writer).parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_parts(like: DataFrame, path: str) -> DataFrame:
@@ -42,6 +41,31 @@ def read_part(like: DataFrame, path: str, batch_id: int) -> DataFrame:
     return read_parts(like, path).where(F.col("batch_id") == batch_id).select(*like.columns)
 
 
+def upsert_sink(path: str, every: int, keys: Sequence[str], order: Sequence[str] = ()) -> Batch:
+    """Rows of an upsert table, kept in generations; after `every` batches a new one begins.
+
+    `read_upserts` gives the current rows. A generation starts with the current rows of the one
+    before, tombstones included, as an earlier change may still arrive by `order`.
+    """
+
+    def write(df: DataFrame, batch_id: int) -> None:
+        generation = batch_id // every
+        if generation and batch_id % every == 0:
+            before = f"{path}/generation={generation - 1}"
+            kept = latest_version(df.sparkSession.read.parquet(before), keys, [*order, "batch_id"])
+            write_part(kept.drop("batch_id"), f"{path}/generation={generation}", -1)
+        write_part(df, f"{path}/generation={generation}", batch_id)
+
+    return write
+
+
+def read_upserts(
+    spark: SparkSession, path: str, batch_id: int, every: int, keys: Sequence[str], order: Sequence[str] = ()
+) -> DataFrame:
+    """Current rows of an upsert table after a batch: of its last generation only."""
+    return read_current(spark, f"{path}/generation={batch_id // every}", keys, order)
+
+
 def append_sink(path: str, *by: str) -> Batch:
     """Plain parts, e.g. one folder per destination or per day."""
     return lambda df, batch_id: write_part(df, path, batch_id, *by)
@@ -53,11 +77,8 @@ def text_sink(path: str, *by: str) -> Batch:
     def write(df: DataFrame, batch_id: int) -> None:
         rest = [c for c in df.columns if c not in by]
         lines = df.select(*by, F.to_json(F.struct(*rest)).alias("value"))
-        (
-            lines.withColumn("batch_id", F.lit(batch_id))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(*by, "batch_id").text(path)
-        )
+        writer = lines.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        (writer.partitionBy(*by) if by else writer).text(f"{path}/batch_id={batch_id}")
 
     return write
 
@@ -65,8 +86,12 @@ def text_sink(path: str, *by: str) -> Batch:
 def read_current(
     spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str] = ()
 ) -> DataFrame:
-    """Latest row per key of an upsert table."""
-    return latest_version(spark.read.parquet(path), keys, [*order, "batch_id"]).drop("batch_id")
+    """Latest row per key of an upsert table; a key whose latest row is a tombstone is gone.
+
+    A tombstone is a row whose `deleted` is true; tables without that column have none.
+    """
+    rows = latest_version(spark.read.parquet(path), keys, [*order, "batch_id"]).drop("batch_id")
+    return rows.where("NOT coalesce(deleted, false)").drop("deleted") if "deleted" in rows.columns else rows
 
 
 def read_sums(spark: SparkSession, path: str, measures: Sequence[str]) -> DataFrame:

@@ -4,39 +4,48 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martflow.sources.tables import Tables
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any file system Spark reads is a file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isFile()
+
+
 @dataclass(frozen=True)
 class StreamTables(Tables):
-    """The given tables as file streams.
+    """The given tables as file streams: a file, or a folder of files, of exactly that name.
 
-    Files `name*.parquet` arrive oldest first, `files_per_trigger` at a time; 0 takes all at
-    once, so that nothing is late whatever the order of the files.
+    Files arrive oldest first, `files_per_trigger` at a time; 0 takes all at once.
     """
 
     files_per_trigger: int = 0
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._read:
-            files = {"pathGlobFilter": f"{name}*.parquet"}
-            schema = self.spark.read.options(**files).parquet(self.root).schema
+            path = f"{self.root}/{name}.parquet"
+            stream = self.spark.readStream.schema(self.spark.read.parquet(path).schema)
             if self.files_per_trigger:
-                files["maxFilesPerTrigger"] = str(self.files_per_trigger)
-            self._read[name] = (
-                self.spark.readStream.schema(schema).options(**files).parquet(self.root)
-            )
+                stream = stream.option("maxFilesPerTrigger", str(self.files_per_trigger))
+            if is_file(self.spark, path):  # a file source takes folders only: its folder, and this name
+                path, stream = self.root, stream.option("pathGlobFilter", f"{name}.parquet")
+            self._read[name] = stream.parquet(path)
         return self._read[name]
 
+    def whole(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+
 
 def topic_lines(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """Committed text records of a topic from its beginning, with their arrival number.
 
-    Needs Spark's Kafka package on the cluster. The arrival number orders the records of one
-    key, which live in one partition.
+    Needs Spark's Kafka package on the cluster. Offsets repeat across partitions, so the number
+    is made of the offset and the partition: no two records share it, and it orders the records
+    of one key, which live in one partition.
     """
     return (
         spark.readStream.format("kafka")
@@ -46,10 +55,15 @@ def topic_lines(spark: SparkSession, servers: str, topic: str) -> DataFrame:
         .option("startingOffsets", "earliest")
         .load()
         .where("value IS NOT NULL")
-        .select(F.col("value").cast("string").alias("value"), F.col("offset").alias("seq"))
+        .select(F.col("value").cast("string").alias("value"), arrival_number(F.col("offset"), F.col("partition")).alias("seq"))
     )
 
 
+def arrival_number(offset: Column, partition: Column) -> Column:
+    """Offset first, then partition (below 65 536), in one number."""
+    return F.shiftleft(offset, 16) + partition
+
+
 def config_table(spark: SparkSession, url: str, table: str, sink_type: str, **options: str) -> DataFrame:
     """Routing table of a database, as snapshot rows of a configuration log.
 
@@ -65,27 +79,3 @@ def config_table(spark: SparkSession, url: str, table: str, sink_type: str, **op
         F.struct("*").alias("after"),
     )
 
-
-LAST = "TIMESTAMP '2200-01-01 00:00:00'"
-
-
-def end_of_stream(spark: SparkSession, folder: str, time: str) -> DataFrame:
-    """A stream without records until `finish` writes the last one."""
-    spark.range(0).select(F.expr(LAST).alias(time)).write.mode("overwrite").parquet(folder)
-    return spark.readStream.schema(f"{time} TIMESTAMP").parquet(folder)
-
-
-def finish(spark: SparkSession, folder: str, time: str) -> None:
-    """Write the last record: later than any other, to be read after all of them."""
-    spark.range(1).select(F.expr(LAST).alias(time)).write.mode("append").parquet(folder)
-
-
-def flushed(stream: DataFrame, end: DataFrame, time: str, delay: str = "0 seconds") -> DataFrame:
-    """A watermarked stream that its last record runs dry.
-
-    Run it over all data first, then `finish` the end stream and run again: its record moves
-    the watermark past the last window. It is dropped by its time, so that Spark keeps the
-    filter behind the watermark. A stream that never ends needs `withWatermark` only.
-    """
-    both = stream.unionByName(end, allowMissingColumns=True)
-    return both.withWatermark(time, delay).where(F.col(time) < F.expr(LAST))
