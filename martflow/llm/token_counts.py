@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martflow.llm.common import batch_slices
+from martflow.llm.common import batch_slices, stored
 from martflow.llm.pretokens import pretokens
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -120,6 +120,7 @@ def count_tokens(docs: DataFrame, cache_path: str, path: str | None = None, id:
     distinct = rows.groupBy("digest").agg(F.any_value("text").alias("text"))
     misses = distinct.join(read_cache(spark, cache_path), "digest", "left_anti")
     misses.mapInArrow(_count(path), _CACHE).write.mode("append").parquet(cache_path)
-    known = read_cache(spark, cache_path)
     slim = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    return slim.join(known, "digest").select(F.col("id").alias(id), "n_bytes", "n_tokens")
+    # Written, so that both sides of the last join are plain tables, of which a hot digest can be split.
+    known = read_cache(spark, cache_path).join(slim.select("digest").distinct(), "digest", "left_semi")
+    return slim.join(stored(known, "token-counts"), "digest").select(F.col("id").alias(id), "n_bytes", "n_tokens")
