@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from martflow.operators import first
 from martflow.operators.joins import lookup
-from martflow.plans import ads
+from martflow.plans import ads, dws
 from martflow.plans.warehouse import Warehouse
 from martflow.sources.store import stored_windows, write_windows
 
@@ -59,3 +59,37 @@ def test_hot_device(spark):
     assert found == want
     fixed = {r.seq: r.is_new for r in first.fix_first_visit(df).collect()}
     assert fixed == {s: "1" if t // 86_400_000 == start[m] else "0" for s, t, m, _ in rows}
+
+
+def initial(df):
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+
+
+def test_a_scan_is_not_dealt_out_again(spark, small):
+    assert initial(entry.queries()["a1_window_count"](spark, small)).count("Exchange ") == 1
+
+
+def test_order_windows_read_no_customer(spark, small):
+    text = initial(entry.queries()["g8_order"](spark, small))
+    assert "customer.parquet" not in text and text.count("lineitem.parquet") <= 2
+
+
+def test_payment_windows_look_nothing_up(spark, small):
+    assert "dic_name" not in initial(entry.queries()["g7_payment_suc"](spark, small))
+
+
+def test_router_reads_routed_tables_only(spark, small):
+    assert "lineitem.parquet" not in initial(entry.queries()["d9_routed_facts"](spark, small))
+
+
+def test_wide_ids_and_amounts_are_kept(spark):
+    rows = [("1-1", "3000000000", "2024-01-01 00:00:01", "40000", "99999999999999.99", "0", "0", k) for k in range(2)]  # two versions
+    names = "id STRING, sku_id STRING, create_time STRING, sku_num STRING, split_total_amount STRING, split_activity_amount STRING, split_coupon_amount STRING, seq BIGINT"
+    lines = spark.createDataFrame(rows + [("2-1", *rows[0][1:])], names)
+    sku = spark.createDataFrame(
+        [("3000000000", "3000000001", "s", "p", "9.50", "40000", "t", "70000", "a", "70001", "b", "70002", "c")],
+        "sku_id STRING, spu_id STRING, sku_name STRING, spu_name STRING, price STRING, trademark_id STRING, trademark_name STRING,"
+        " category1_id STRING, category1_name STRING, category2_id STRING, category2_name STRING, category3_id STRING, category3_name STRING")
+    row = dws.sku_order(lines, sku).first()
+    assert (row.sku_id, row.spu_id, row.trademark_id, row.category3_id) == (3000000000, 3000000001, 40000, 70002)
+    assert str(row.order_amount) == "199999999999999.98" and row.original_amount == 760000
