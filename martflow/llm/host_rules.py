@@ -81,7 +81,7 @@ def hard_failure(m: str) -> Column:
 def soft_failures(m: str) -> Column:
     """Soft rules failed: symbols, repeated lines, repeated word sequences, word length."""
     rules = [
-        f"10 * {m}.n_symbols > {m}.n_words", f"10 * {m}.n_dup_lines > 3 * {m}.n_lines",
+        f"10 * {m}.n_symbols > {m}.n_words", f"2 * {m}.n_dup_lines > {m}.n_lines",
         f"100 * {m}.n_repeat_words > 30 * {m}.n_words",
         f"{m}.word_chars < 2 * {m}.n_words OR {m}.word_chars > 12 * {m}.n_words",
     ]

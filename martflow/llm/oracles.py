@@ -37,7 +37,7 @@ m AS (
 ),
 f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    CAST(10 * n_symbols > n_words AS INT) + CAST(10 * n_dup_lines > 3 * n_lines AS INT)
+    CAST(10 * n_symbols > n_words AS INT) + CAST(2 * n_dup_lines > n_lines AS INT)
     + CAST(100 * n_repeat_words > 30 * n_words AS INT) + CAST(word_chars < 2 * n_words OR word_chars > 12 * n_words AS INT) AS n_soft_failed
   FROM m
 ),
