@@ -53,8 +53,8 @@ def string_bytes(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.nda
 
 def row_slices(column: pa.Array, size: int = 4 << 20):
     """The column in runs of rows of about `size` bytes, at least one row each."""
-    at = np.frombuffer(column.cast(pa.large_string()).buffers()[1], np.int64, len(column) + 1, column.offset * 8) if len(column) else np.zeros(1, np.int64)
-    i = 0
+    wide, i = column.cast(pa.large_string()), 0
+    at = np.frombuffer(wide.buffers()[1], np.int64, len(wide) + 1, wide.offset * 8) if len(wide) else np.zeros(1, np.int64)
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
         yield column.slice(i, j - i)

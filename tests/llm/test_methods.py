@@ -16,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from martflow.llm import chosen_path, decontaminate, host_rules, html_extract, license_scan, merge_replay, pii, secret_scan, token_counts
-from martflow.llm.common import folder, word_hashes, find_words, string_bytes
+from martflow.llm.common import find_words, folder, row_slices, string_bytes, word_hashes
 from martflow.llm.components import components
 from martflow.llm.pretokens import pretokens
 from tests.llm import brute
@@ -292,3 +292,11 @@ def test_no_kept_text_below_a_dropped_node(seed):
         assert text == "\n".join(t for _, t in page.blocks)
     if (gain < 0).all():
         assert text == ""
+
+
+def test_slices_of_slices():
+    texts = pa.array(["x" * k for k in range(50)])
+    for begin in (0, 7, 49, 50):
+        part = texts.slice(begin)
+        found = [t for run in row_slices(part, 100) for piece in row_slices(run, 30) for t in piece.to_pylist()]
+        assert found == part.to_pylist()
