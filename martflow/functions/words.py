@@ -24,20 +24,21 @@ def words(df: DataFrame, text: str, out: str = "word") -> DataFrame:
 def lexicon_words(df: DataFrame, text: str, lexicon: DataFrame, out: str = "word") -> DataFrame:
     """Words of a lexicon found inside the words of each row, once per row.
 
-    For scripts without spaces: every substring of a run of letters, up to the length of the
-    longest lexicon word, is looked up in the lexicon (column `word`). Rows must be
-    distinguishable by their other columns.
+    For scripts without spaces. A run of letters is searched once, in however many rows it is: its
+    substrings of the lengths that the lexicon (column `word`) has are looked up, and what is found
+    is joined back to the rows. Rows must be distinguishable by their other columns.
     """
-    longest = lexicon.agg(F.max(F.length("word"))).first()[0] or 0
+    # As many numbers as the longest word has letters, at most.
+    lengths = sorted(r[0] for r in lexicon.select(F.length("word")).distinct().collect())
     size = F.length("_run")
 
-    def starting_at(i: Column) -> Column:
-        sizes = F.sequence(F.lit(1), F.least(F.lit(longest), size - i + 1))
-        return F.transform(sizes, lambda n: F.substr(F.col("_run"), i, n))
+    def of_length(n: Column) -> Column:
+        last = size - n + 1
+        starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.substr(F.col("_run"), i, n))
 
-    pieces = F.flatten(F.transform(F.sequence(F.lit(1), size), starting_at))
     runs = words(df, text, "_run")
-    rest = [c for c in runs.columns if c != "_run"]
-    found = runs.select(*rest, F.explode(F.array_distinct(pieces)).alias(out))
+    pieces = F.flatten(F.transform(F.array(*map(F.lit, lengths)).cast("array<int>"), of_length))
     known = lexicon.select(F.col("word").alias(out)).distinct()
-    return found.join(known, out, "left_semi").distinct()
+    found = runs.select("_run").distinct().select("_run", F.explode(F.array_distinct(pieces)).alias(out))
+    return runs.join(found.join(known, out, "left_semi"), "_run").drop("_run").distinct()
