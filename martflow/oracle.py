@@ -498,6 +498,10 @@ def _bodies() -> dict[str, str]:
             f"SELECT '{kind}' AS kind, seq, {'pos' if kind in ('display', 'action') else 'NULL'} AS pos, mid, ts, is_new FROM ({q['d1_' + kind]})"
             for kind in ("start", "page", "display", "action", "err")),
         "t9_stream_payment": q["g7_payment_suc"],
+        "d6_stream_pay_detail": q["d6_pay_detail"],
+        "g9_stream_sku_order": q["g9_sku_order"],
+        "g10_stream_province_order": q["g10_province_order"],
+        "g11_stream_refund": q["g11_refund"],
         "d4_stream_order_detail": q["d4_order_detail"],
         "d5_stream_cancel_detail": q["d5_cancel_detail"],
         "d7_stream_refund": "SELECT id, order_id, sku_id, province_id, ts, seq FROM refunds",

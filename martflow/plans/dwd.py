@@ -174,13 +174,17 @@ def paid_lines(log: c.Log, lines: DataFrame) -> DataFrame:
 
     `lines` holds the latest version of each line.
     """
+    return paid_with(payments(log), lines)
+
+
+def paid_with(paid: DataFrame, lines: DataFrame) -> DataFrame:
     mine = lines.select(
         F.col("id").alias("detail_id"), F.col("order_id").alias("_order"),
         *[x for x in (*DETAIL, *DETAIL_MORE) if x not in ("id", "order_id", "user_id")],
         F.col("et").alias("_line_et"),
     )
     return interval_join(
-        payments(log), mine, {"order_id": "_order"}, "et", "_line_et", codes.PAY_WITHIN_SECONDS
+        paid, mine, {"order_id": "_order"}, "et", "_line_et", codes.PAY_WITHIN_SECONDS
     ).drop("_order", "_line_et")
 
 

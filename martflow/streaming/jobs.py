@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martflow import codes
@@ -172,6 +172,103 @@ def joined(state: str, out: str, left: Side, right: Side, on: Callable[[], Colum
     return batch
 
 
+def windowed(state: str, out: str, rows: Side, time: str, sums: Callable[[DataFrame], DataFrame]) -> Batch:
+    """A window table kept up to date as its rows arrive, in any order and however late.
+
+    A batch stores its rows by month and recomputes the windows they fall into, of which the table
+    then holds a newer version; `read_windows` gives the latest.
+    """
+
+    def batch(log: DataFrame, batch_id: int) -> None:
+        new = rows(log, batch_id)
+        new = new.withColumn("_window", F.window(F.col(time).cast("timestamp"), codes.WINDOW)["start"])
+        new = new.withColumn("_month", F.date_format("_window", "yyyyMM").cast("int"))
+        write_part(new, f"{state}/rows", batch_id, "_month")
+        fresh = read_part(new, f"{state}/rows", batch_id)
+        low, high = fresh.agg(F.min("_month"), F.max("_month")).first()
+        if low is None:
+            return
+        known = read_parts(new, f"{state}/rows").where(F.col("batch_id") <= batch_id)
+        known = known.where(F.col("_month").between(F.lit(low), F.lit(high)))
+        known = known.join(fresh.select("_window").distinct(), "_window", "left_semi")
+        write_part(sums(known.drop("_window", "_month", "batch_id")), out, batch_id)
+
+    return batch
+
+
+def read_windows(spark: SparkSession, out: str) -> DataFrame:
+    """Of each window all rows of its latest version."""
+    rows = spark.read.parquet(out)
+    latest = rows.groupBy(F.col("stt").alias("_stt")).agg(F.max("batch_id").alias("_latest"))
+    mine = (F.col("stt") == F.col("_stt")) & (F.col("batch_id") == F.col("_latest"))
+    return rows.join(latest, mine, "left_semi").drop("batch_id")
+
+
+def written(job: Callable[[str, str], Batch], state: str, out: str, like: Side) -> Side:
+    """What another job writes in this batch, as the rows of the next; `like` gives its columns."""
+    write = job(state, out)
+
+    def rows(log: DataFrame, batch_id: int) -> DataFrame:
+        write(log, batch_id)
+        return read_part(like(log, batch_id), out, batch_id)
+
+    return rows
+
+
+def _refunded(log: DataFrame, _: int = 0) -> DataFrame:
+    return dwd.granted_refunds(log).join(dwd.refunded_orders(log), F.col("order_id") == F.col("_order"))
+
+
+def _ordered(log: DataFrame, _: int = 0) -> DataFrame:
+    parts = dwd.order_detail_parts(log)
+    return parts["detail"].join(parts["order"], F.col("order_id") == F.col("_order"))
+
+
+def _lines(log: DataFrame, _: int = 0) -> DataFrame:
+    return dwd.join_order_detail(dwd.order_detail_parts(log))
+
+
+def sku_order(state: str, out: str, flat_sku: DataFrame) -> Batch:
+    return windowed(
+        state, out, lambda log, _: dwd.detail_rows(log), "create_time", lambda rows: dws.sku_order(rows, flat_sku))
+
+
+def province_order(state: str, out: str, province: DataFrame) -> Batch:
+    """From all versions of order lines; one counts once its order, and so its province, is there."""
+
+    def pairs(state: str, out: str) -> Batch:
+        return joined(
+            state, out, lambda log, _: dwd.detail_rows(log), lambda log, _: dwd.order_detail_parts(log)["order"],
+            lambda: F.col("order_id") == F.col("_order"))
+
+    rows = written(pairs, f"{state}/sides", f"{state}/pairs", _ordered)
+    return windowed(state, out, rows, "create_time", lambda known: dws.province_order(known, province))
+
+
+def refund_windows(state: str, out: str, flat_sku: DataFrame) -> Batch:
+    rows = written(refunds, f"{state}/sides", f"{state}/refunds", _refunded)
+    return windowed(state, out, rows, "et", lambda known: dws.refund(known, flat_sku))
+
+
+def paid_lines(state: str, out: str) -> Batch:
+    """Payments with the lines of their order, whichever comes first; an upsert table by payment and line."""
+    lines = written(order_detail, f"{state}/parts", f"{state}/lines", _lines)
+
+    def batch(log: DataFrame, batch_id: int) -> None:
+        new = {"paid": dwd.payments(log), "line": lines(log, batch_id)}
+        known = {}
+        for name, rows in new.items():
+            write_part(rows, f"{state}/{name}", batch_id)
+            known[name] = read_parts(rows, f"{state}/{name}").where(F.col("batch_id") <= batch_id)
+        latest = first.latest_version(known["line"], ["id"], ["batch_id"])
+        now = F.col("batch_id") == batch_id
+        late = dwd.paid_with(known["paid"].where(~now).drop("batch_id"), latest.where(now).drop("batch_id"))
+        fresh = dwd.paid_with(known["paid"].where(now).drop("batch_id"), latest.drop("batch_id"))
+        write_part(fresh.unionByName(late), out, batch_id)
+
+    return batch
+
+
 def dimensions(out: str, config: Callable[[DataFrame], DataFrame]) -> Batch:
     """Dimension changes by the routes in force when the batch runs.
 

@@ -160,15 +160,13 @@ def payment(w: Warehouse) -> DataFrame:
 
 def order_detail(w: Warehouse) -> DataFrame:
     s = Stage(w)
-    names = ("order_info", "order_detail", "order_detail_coupon", "order_detail_activity")
-    s.run(replay.change_log(s.tables, *names), jobs.order_detail(s.state, s.out))
+    s.run(replay.change_log(s.tables, *LINE_TABLES), jobs.order_detail(s.state, s.out))
     return read_current(s.spark, s.out, ["id"]).drop("et")
 
 
 def cancel_detail(w: Warehouse) -> DataFrame:
     s = Stage(w)
-    names = ("order_info", "order_detail", "order_detail_coupon", "order_detail_activity")
-    s.run(replay.change_log(s.tables, *names), jobs.cancel_detail(s.state, s.out))
+    s.run(replay.change_log(s.tables, *LINE_TABLES), jobs.cancel_detail(s.state, s.out))
     return read_current(s.spark, s.out, ["id"]).drop("et")
 
 
@@ -186,6 +184,34 @@ def refund_payment(w: Warehouse) -> DataFrame:
     return s.spark.read.parquet(s.out).select("id", "order_id", "sku_id", "refund_amount", "out_trade_no")
 
 
+LINE_TABLES = ("order_info", "order_detail", "order_detail_coupon", "order_detail_activity")
+
+
+def paid_lines(w: Warehouse) -> DataFrame:
+    """Payments and their lines, both as streams, before names are looked up."""
+    s = Stage(w)
+    s.run(replay.change_log(s.tables, *LINE_TABLES, "payment_info"), jobs.paid_lines(s.state, s.out))
+    rows = read_current(s.spark, s.out, ["id", "detail_id"])
+    return dwd.named(
+        rows, w.dictionary, payment_status_name="payment_status", payment_type_name="payment_type"
+    ).drop("et")
+
+
+def _windows(job: Callable[[Stage, Warehouse], Batch], *names: str) -> Callable[[Warehouse], DataFrame]:
+    def query(w: Warehouse) -> DataFrame:
+        s = Stage(w)
+        s.run(replay.change_log(s.tables, *names), job(s, w))
+        return jobs.read_windows(s.spark, s.out)
+
+    return query
+
+
+sku_order = _windows(lambda s, w: jobs.sku_order(s.state, s.out, w.flat_sku), "order_detail")
+province_order = _windows(
+    lambda s, w: jobs.province_order(s.state, s.out, replay.province(w.tables)), "order_info", "order_detail")
+refund_windows = _windows(
+    lambda s, w: jobs.refund_windows(s.state, s.out, w.flat_sku), "order_info", "order_refund_info")
+
 QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
     "t4_stream_keyword": keyword,
     "t4_stream_register": user_register,
@@ -202,4 +228,8 @@ QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
     "d5_stream_cancel_detail": cancel_detail,
     "d7_stream_refund": refund,
     "d8_stream_refund_payment": refund_payment,
+    "d6_stream_pay_detail": paid_lines,
+    "g9_stream_sku_order": sku_order,
+    "g10_stream_province_order": province_order,
+    "g11_stream_refund": refund_windows,
 }

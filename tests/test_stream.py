@@ -41,7 +41,8 @@ def spring(spark, small, tmp_path_factory):
     items = spark.read.parquet(f"{small}/lineitem.parquet")
     orders.write.parquet(f"{root}/orders.parquet")
     items.join(orders, items.l_orderkey == orders.o_orderkey, "left_semi").write.parquet(f"{root}/lineitem.parquet")
-    spark.read.parquet(f"{small}/customer.parquet").write.parquet(f"{root}/customer.parquet")
+    for name in ("customer", "part", "supplier", "nation", "region"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{root}/{name}.parquet")
     return root
 
 
@@ -174,6 +175,7 @@ def test_dimensions_follow_the_configuration(spark, small, tmp_path):
     (jobs.refunds, ("order_info", "order_refund_info"), "d7_refund"),
     (jobs.refund_payments, ("order_info", "order_refund_info", "refund_payment"), "d8_refund_payment"),
     (jobs.cancel_detail, ("order_info", "order_detail", "order_detail_coupon", "order_detail_activity"), "d5_cancel_detail"),
+    (jobs.paid_lines, ("order_info", "order_detail", "order_detail_coupon", "order_detail_activity", "payment_info"), "d6_pay_detail"),
 ])
 def test_joins_in_any_order_of_arrival(spark, spring, tmp_path, job, names, want):
     """Halves of a pair that come with different batches, at any distance in time, find each other."""
@@ -184,14 +186,30 @@ def test_joins_in_any_order_of_arrival(spark, spring, tmp_path, job, names, want
         write(log.where(F.pmod(F.xxhash64("table", "seq"), F.lit(3)) == batch_id), batch_id)
     write(log.where(F.pmod(F.xxhash64("table", "seq"), F.lit(3)) == 2), 2)  # a repeated batch
     rows = spark.read.parquet(f"{tmp_path}/out")
-    if job is jobs.cancel_detail:
-        rows = read_current(spark, f"{tmp_path}/out", ["id"])
+    if job in (jobs.cancel_detail, jobs.paid_lines):
+        rows = read_current(spark, f"{tmp_path}/out", ["id"] if job is jobs.cancel_detail else ["id", "detail_id"])
     from martflow.catalogue import catalogue
     full = catalogue()[want](w)
     shared = [c for c in rows.columns if c in full.columns]
     assert len(shared) > 3 and same(rows.select(shared), full.select(shared))
 
 
+@pytest.mark.parametrize("name, tables", [
+    ("sku_order", ("order_detail",)),
+    ("province_order", ("order_info", "order_detail")),
+    ("refund", ("order_info", "order_refund_info")),
+])
+def test_windows_of_facts_in_any_order_of_arrival(spark, spring, tmp_path, name, tables):
+    w = Warehouse(spark, spring)
+    other = {"sku_order": w.flat_sku, "province_order": replay.province(w.tables), "refund": w.flat_sku}[name]
+    job = {"sku_order": jobs.sku_order, "province_order": jobs.province_order, "refund": jobs.refund_windows}[name]
+    log = replay.change_log(w.tables, *tables).persist()
+    write = job(f"{tmp_path}/state", f"{tmp_path}/out", other)
+    for batch_id in (0, 1, 2, 2):
+        write(log.where(F.pmod(F.xxhash64("table", "seq"), F.lit(3)) == batch_id), batch_id)
+    assert same(jobs.read_windows(spark, f"{tmp_path}/out"), w.windows[name])
+
+
 def test_repeated_batch_after_a_route_changed(spark, tmp_path):
     """Only the rows of the last try stay."""
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id INT, sink_table STRING")
