@@ -13,7 +13,7 @@ from martflow.llm.chosen_path import drop_near_duplicates
 from martflow.llm.common import stored, table
 from martflow.llm.decontaminate import drop_contaminated
 from martflow.llm.host_rules import keep_good
-from martflow.llm.merge_replay import decode, encode
+from martflow.llm.merge_replay import round_trip
 from martflow.llm.pii import redact
 
 
@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """`doc_id`, `n_tokens`, `ids`, and whether decoding them gives the text again."""
     own = F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
     keyed = docs.select(F.struct("doc_id", own.alias("digest")).alias("key"), "text")
-    encoded = decode(encode(keyed, id="key"), id="key")
+    encoded = round_trip(keyed, id="key")
     same = F.md5("decoded") == F.col("key.digest")
     return encoded.select("key.doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 

@@ -13,7 +13,7 @@ from martflow.llm.decontaminate import find_contaminated
 from martflow.llm.host_rules import judge
 from martflow.llm.html_extract import extract
 from martflow.llm.license_scan import scan_licenses
-from martflow.llm.merge_replay import decode, encode
+from martflow.llm.merge_replay import round_trip
 from martflow.llm.oracles import ORACLES
 from martflow.llm.pii import KINDS as PERSONAL
 from martflow.llm.pii import find_personal_data
@@ -56,7 +56,7 @@ def op6_decontaminate(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op7_merge_replay(spark: SparkSession, root: str) -> DataFrame:
-    found = decode(encode(table(spark, root, "documents")))
+    found = round_trip(table(spark, root, "documents"))
     line = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return found.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),

@@ -28,7 +28,7 @@ from martflow.llm.common import batch_slices, stored
 from martflow.llm.pretokens import pretokens
 
 TOKENIZER = "byte_bpe_50k.json"
-KEPT_WORDS = 500_000
+KEPT_WORDS = 300_000
 _CACHE = "digest binary, n_tokens long"
 
 
