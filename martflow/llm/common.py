@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Return free memory to the system: Python workers stay for later tasks and keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def giving_back(run):
+    """A function over batches that gives its free memory back when it is through."""
+
+    def inner(batches):
+        yield from run(batches)
+        give_back()
+
+    return inner
+
+
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
     """Bytes of all texts: one number, to size partitions and sketches."""
     return docs.agg(F.sum(F.octet_length(text))).first()[0] or 0

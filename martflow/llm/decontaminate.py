@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martflow.llm.common import batch_slices, find_words, stored, string_bytes, word_hashes
+from martflow.llm.common import batch_slices, find_words, give_back, giving_back, stored, string_bytes, word_hashes
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, RUN = 0.6, 0.6, 3
 #: Items in a block; postings and bytes of item text in a shard, which bounds what a task is handed.
 BLOCK, SHARD_POSTINGS, SHARD_BYTES = 16, 1_000_000, 16 << 20
+#: Bytes of text whose passages are searched at once; postings of all their terms are in memory.
+SLICE = 1 << 19
 
 # Words are runs of letters, digits and bytes beyond ASCII, in lower case.
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -202,7 +204,7 @@ def _search(index: Index, threshold: float, overlap: float):
 
     def run(batches):
         for batch in batches:
-            for part in batch_slices(batch, "text", 2 << 20):
+            for part in batch_slices(batch, "text", SLICE):
                 words, row = terms(part["text"])
                 ends = np.cumsum(np.bincount(row, minlength=part.num_rows))
                 best: dict[tuple[int, int], tuple] = {}
@@ -245,7 +247,7 @@ def find_contaminated(
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     found = None
     for index in build_shards(items, item_id, item_text):
-        part = rows.mapInArrow(_search(index, threshold, overlap), _MATCH)
+        part = rows.mapInArrow(giving_back(_search(index, threshold, overlap)), _MATCH)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], _MATCH)
@@ -258,13 +260,14 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") ->
 
     def run(texts: pa.Array) -> pa.Array:
         out = []
-        for part in batch_slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", 2 << 20):
+        for part in batch_slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SLICE):
             clean = np.ones(part.num_rows, bool)
             ids = pa.array(np.arange(part.num_rows))
             for index in indexes:
                 for hit in _search(index, THRESHOLD, OVERLAP)([pa.RecordBatch.from_arrays([ids, part["text"]], ["id", "text"])]):
                     clean[hit["id"].to_numpy()] = False
             out += clean.tolist()
+        give_back()
         return pa.array(out, pa.bool_())
 
     if not indexes:

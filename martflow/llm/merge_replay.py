@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from martflow.llm.common import batch_slices
+from martflow.llm.common import batch_slices, giving_back
 from martflow.llm.pretokens import pretokens
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 #: Bytes; longer words are replayed one by one.
 LONG_WORD = 256
 #: Bytes of text whose words make one corpus.
-CORPUS = 2 << 20
+CORPUS = 1 << 20
 
 
 @cache
@@ -266,4 +266,4 @@ def round_trip(docs: DataFrame, path: str | None = None, id: str = "doc_id", tex
     rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     forth, back = _encode(path), _decode(path)
-    return rows.mapInArrow(lambda batches: back(forth(batches)), f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id)
+    return rows.mapInArrow(giving_back(lambda batches: back(forth(batches))), f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id)
