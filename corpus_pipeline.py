@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martflow.llm.chosen_path import drop_near_duplicates
-from martflow.llm.common import stored, table
+from martflow.llm.common import bounded, stored, table
 from martflow.llm.decontaminate import drop_contaminated
 from martflow.llm.host_rules import keep_good
 from martflow.llm.merge_replay import round_trip
@@ -39,6 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """`doc_id`, `n_tokens`, `ids`, and whether decoding them gives the text again."""
+    bounded(spark)
     own = F.md5(F.encode(F.coalesce("text", F.lit("")), "utf-8"))
     keyed = docs.select(F.struct("doc_id", own.alias("digest")).alias("key"), "text")
     encoded = round_trip(keyed, id="key")

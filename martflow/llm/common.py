@@ -19,8 +19,15 @@ BLANKS = b"\t\n\x0b\x0c\r "
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """Rows handed to Python at a time: whole texts are long, so a thousand, which bounds both sides' buffers."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) != "1000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    return spark
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    return bounded(spark).read.parquet(f"{root}/{name}.parquet")
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -30,7 +37,7 @@ def folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read back: a lost executor costs no recomputation."""
-    path = folder(df.sparkSession, name)
+    path = folder(bounded(df.sparkSession), name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
