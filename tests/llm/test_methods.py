@@ -134,6 +134,35 @@ def test_near_duplicate_groups(spark, same, monkeypatch, small, deep):
     same(found, ["doc_id", "n_shingles", "component"], [r[:3] for r in brute.op3(docs)])
 
 
+def _isolated_pairs():
+    """A crowd of 1500 texts of similarities near 0.6, 150 of them with one copy at 0.80 to 0.85."""
+    rng = random.Random(8)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(120)]
+    docs = [_mutated(rng, base, 0.09) for _ in range(1350)]
+    pairs = []
+    while len(pairs) < 150:
+        k = rng.randrange(1350)
+        twin = _mutated(rng, docs[k], 0.05)
+        a, b = (set(zip(x, x[1:])) for x in (docs[k], twin))
+        if 0.80 <= len(a & b) / len(a | b) <= 0.85:
+            pairs.append((k, 1350 + len(pairs)))
+            docs.append(twin)
+    return [(k, " ".join(words)) for k, words in enumerate(docs)], pairs
+
+
+def test_pairs_in_a_crowd_are_found(spark):
+    """With so few trees that a pair must not be lost while a crowd branches."""
+    docs, pairs = _isolated_pairs()
+    found = chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=2, trees=4).collect()
+    found = {r.doc_id: r.component for r in found}
+    assert [p for p in pairs if found[p[0]] != found[p[1]]] == []
+
+
+def test_stated_recall():
+    assert chosen_path.miss(0.8, 0) < 1e-7 and chosen_path.miss(0.8, 1) < 1e-7
+    assert chosen_path.miss(0.8, chosen_path.DEEP) < 5e-5
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 360)] + [(rng.randrange(400, 500), rng.randrange(400, 500)) for _ in range(60)]
