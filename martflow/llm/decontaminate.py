@@ -15,7 +15,8 @@ The test items are indexed, the training passages are the queries.
    are taken at once, as arrays. Every item at or above the threshold is found.
 4. A hit stands if the share of the question's word sequences that the passage has, and that of the answer's,
    reach `OVERLAP`. The question is the item without its last sentence, which is the answer; an item of one
-   sentence is both.
+   sentence is both. As a last sentence may be a word, a hit also stands if the share of the whole item's word
+   sequences reaches `WHOLE`: a copy that lacks the end, or has another, is a copy.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from martflow.llm.common import batch_slices, find_words, give_back, giving_back
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, RUN = 0.6, 0.6, 3
+#: Share of the whole item's word sequences from which a hit stands whatever its answer.
+WHOLE = 0.8
 #: Items in a block; postings and bytes of item text in a shard, which bounds what a task is handed.
 BLOCK, SHARD_POSTINGS, SHARD_BYTES = 16, 1_000_000, 16 << 20
 #: Bytes of text whose passages are searched at once; postings of all their terms are in memory.
@@ -109,6 +112,7 @@ class Index:
     window: int
     question: list[np.ndarray]
     answer: list[np.ndarray]
+    whole: list[np.ndarray]
 
     @staticmethod
     def build(postings, texts) -> Index:
@@ -120,9 +124,9 @@ class Index:
         number, term, impact = number[order], term[order], postings["impact"].to_numpy()[order]
         key = term * (len(items) // BLOCK + 1) + number // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
-        parts = [[], []]
+        parts = [[], [], []]
         for text in texts.sort_by("item")["text"].to_pylist():
-            for side, words in zip(parts, _sentences(text or "")):
+            for side, words in zip(parts, (*_sentences(text or ""), text or "")):
                 side.append(terms(pa.array([words]))[0])
         return Index(
             items, vocabulary, np.maximum.reduceat(impact, np.searchsorted(term, np.arange(len(vocabulary)))) if len(term) else impact,
@@ -182,9 +186,9 @@ class Index:
         own = np.searchsorted(passages, passage, "right") - 1
         return own, begin[own] + (passage - passages[own]) * half, item, score
 
-    def overlaps(self, words: np.ndarray, item: int) -> tuple[float, float]:
-        """Shares of the question's and of the answer's runs of words that the passage has."""
-        return _share(self.question[item], words), _share(self.answer[item], words)
+    def overlaps(self, words: np.ndarray, item: int) -> tuple[float, float, float]:
+        """Shares of the question's, of the answer's and of the whole item's runs of words that the passage has."""
+        return _share(self.question[item], words), _share(self.answer[item], words), _share(self.whole[item], words)
 
 
 def _share(part: np.ndarray, words: np.ndarray) -> float:
@@ -209,8 +213,8 @@ def _search(index: Index, threshold: float, overlap: float):
                 ends = np.cumsum(np.bincount(row, minlength=part.num_rows))
                 best: dict[tuple[int, int], tuple] = {}
                 for own, at, item, score in zip(*(x.tolist() for x in index.search(words, row, threshold))):
-                    q, a = index.overlaps(words[at : min(at + index.window, ends[own])], item)
-                    if q >= overlap and a >= overlap:
+                    q, a, whole = index.overlaps(words[at : min(at + index.window, ends[own])], item)
+                    if q >= overlap and a >= overlap or whole >= max(WHOLE, overlap):
                         best[own, item] = max(best.get((own, item), (0.0,)), (score, q, a))
                 keys = list(best)
                 yield pa.RecordBatch.from_arrays([

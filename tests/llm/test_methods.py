@@ -329,3 +329,13 @@ def test_slices_of_slices():
         part = texts.slice(begin)
         found = [t for run in row_slices(part, 100) for piece in row_slices(run, 30) for t in piece.to_pylist()]
         assert found == part.to_pylist()
+
+
+def test_copies_without_the_last_short_sentence(spark):
+    body = " ".join(f"w{k}" for k in range(30))
+    items = spark.createDataFrame([(1, f"{body}. Er."), (2, f"{body.replace('w', 'v')}. one two three")], "item_id long, text string")
+    texts = [body, f"{body}. Um.", body.replace("w", "v") + ". one four three", " ".join(body.split()[:18]), "Er. one two three"]
+    docs = spark.createDataFrame([(k, f"before {t} after") for k, t in enumerate(texts)], "doc_id long, text string")
+    found = {(r.doc_id, r.item) for r in decontaminate.find_contaminated(docs, items).collect()}
+    assert found == {(0, 1), (1, 1), (2, 2)}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {3, 4}
