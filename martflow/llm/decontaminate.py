@@ -97,7 +97,10 @@ def _sentences(text: str) -> tuple[str, str]:
 
 @dataclass(frozen=True)
 class Index:
-    """A shard of the items, by number: postings by term and item, and the same by block."""
+    """A shard of the items, by number: postings by term and item, and the same by block.
+
+    Each text of an item is an item here; `items` are their ids, which may repeat.
+    """
 
     items: np.ndarray
     vocabulary: np.ndarray  # sorted hashes
@@ -116,16 +119,17 @@ class Index:
 
     @staticmethod
     def build(postings, texts) -> Index:
-        """postings: table of item, term, impact, length; texts: table of item, text."""
-        items = np.unique(texts["item"].to_numpy())
-        number = np.searchsorted(items, postings["item"].to_numpy())
+        """postings: table of entry, term, impact, length; texts: table of entry, item, text, a row per entry."""
+        texts = texts.sort_by("entry")
+        items = texts["item"].to_numpy()
+        number = np.searchsorted(texts["entry"].to_numpy(), postings["entry"].to_numpy())
         vocabulary, term = np.unique(postings["term"].to_numpy().view(np.uint64), return_inverse=True)
         order = np.lexsort((number, term))
         number, term, impact = number[order], term[order], postings["impact"].to_numpy()[order]
         key = term * (len(items) // BLOCK + 1) + number // BLOCK
         first = np.flatnonzero(np.diff(key, prepend=-1))
         parts = [[], [], []]
-        for text in texts.sort_by("item")["text"].to_pylist():
+        for text in texts["text"].to_pylist():
             for side, words in zip(parts, (*_sentences(text or ""), text or "")):
                 side.append(terms(pa.array([words]))[0])
         return Index(
@@ -215,10 +219,11 @@ def _search(index: Index, threshold: float, overlap: float):
                 for own, at, item, score in zip(*(x.tolist() for x in index.search(words, row, threshold))):
                     q, a, whole = index.overlaps(words[at : min(at + index.window, ends[own])], item)
                     if q >= overlap and a >= overlap or whole >= max(WHOLE, overlap):
-                        best[own, item] = max(best.get((own, item), (0.0,)), (score, q, a))
+                        key = own, int(index.items[item])
+                        best[key] = max(best.get(key, (0.0,)), (score, q, a))
                 keys = list(best)
                 yield pa.RecordBatch.from_arrays([
-                    part["id"].take(pa.array([k for k, _ in keys], pa.int64())), pa.array([int(index.items[i]) for _, i in keys], pa.int64()),
+                    part["id"].take(pa.array([k for k, _ in keys], pa.int64())), pa.array([i for _, i in keys], pa.int64()),
                     *[pa.array([best[k][j] for k in keys], pa.float64()) for j in range(3)],
                 ], ["id", "item", "score", "question", "answer"])
 
@@ -226,10 +231,11 @@ def _search(index: Index, threshold: float, overlap: float):
 
 
 def build_shards(items: DataFrame, id: str = "item_id", text: str = "text"):
-    """The indexes of all items, one after another; each is of bounded size."""
+    """The indexes of all texts of all items, one after another; each is of bounded size, an item's texts in one."""
     rows = items.select(F.col(id).cast("long").alias("item"), F.col(text).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
-    rows = stored(rows.groupBy("item").agg(F.min("text").alias("text")), "items")
-    postings = stored(impacts(rows), "index")
+    rows = stored(rows.distinct().withColumn("entry", F.monotonically_increasing_id()), "items")
+    own = impacts(rows.select(F.col("entry").alias("item"), "text")).withColumnRenamed("item", "entry")
+    postings = stored(own.join(rows.select("entry", "item"), "entry"), "index")
     n, size = postings.count(), rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-n // SHARD_POSTINGS), -(-size // SHARD_BYTES))
     for k in range(shards):
@@ -246,7 +252,7 @@ def find_contaminated(
     """`id`, `item`, `score`, `question` and `answer` (shares): the items that documents hold, a row each.
 
     Null and empty texts hold nothing. Items without an id or a word are no items; of items that share an id
-    the smaller text counts. Repeated documents give repeated rows. No rows, or no items, give no rows.
+    each text counts, with the best one's shares. Repeated documents give repeated rows. No rows, or no items, give no rows.
     """
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
     found = None

@@ -339,3 +339,14 @@ def test_copies_without_the_last_short_sentence(spark):
     found = {(r.doc_id, r.item) for r in decontaminate.find_contaminated(docs, items).collect()}
     assert found == {(0, 1), (1, 1), (2, 2)}
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {3, 4}
+
+
+def test_every_text_of_a_repeated_item_id_is_searched(spark, monkeypatch):
+    texts = [" ".join(f"{c}{k}" for k in range(20)) for c in "abc"]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[2])], "item_id long, text string")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, texts[0] + " " + texts[1], "none of them"])], "doc_id long, text string")
+    want = [(0, 1), (1, 1), (2, 2), (3, 1)]
+    assert sorted((r.doc_id, r.item) for r in decontaminate.find_contaminated(docs, items).collect()) == want
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [4]
+    monkeypatch.setattr(decontaminate, "SHARD_POSTINGS", 20)
+    assert sorted((r.doc_id, r.item) for r in decontaminate.find_contaminated(docs, items).collect()) == want
