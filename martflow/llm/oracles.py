@@ -75,4 +75,60 @@ SELECT d AS doc_id, coalesce(n, 0) AS n_shingles, min(m) AS component_id, d = mi
 FROM reach LEFT JOIN sizes ON sizes.doc_id = d GROUP BY d, n
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_host_rules": OP2, "op3_chosen_path": OP3}
+_SMALL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _tokens(column: str, mark: str) -> str:
+    found = rf"regexp_extract_all(translate({column}, {_SMALL}), '[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+')"
+    return f"list_transform({found}, lambda w: '{mark}' || regexp_replace(w, '^[0-9]+$', '#'))"
+
+
+OP13 = rf"""
+WITH cut AS (
+  SELECT page_id, row_number() OVER () AS r, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS u FROM pages
+),
+hosts AS (SELECT page_id, r, translate(regexp_extract(u, '^[^/?#]*'), {_SMALL}) AS host, substr(u, length(regexp_extract(u, '^[^/?#]*')) + 1) AS tail FROM cut),
+paths AS (SELECT page_id, r, host, regexp_extract(tail, '^[^?#]*') AS path, substr(tail, length(regexp_extract(tail, '^[^?#]*')) + 1) AS rest FROM hosts),
+fits AS (
+  SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
+    list_distinct(list_concat({_tokens('host', 'h:')}, {_tokens('path', 'p:')}, {_tokens('rest', 'q:')})) AS ts
+  FROM paths
+),
+judged AS (SELECT *, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' END AS said FROM fits),
+labelled AS (SELECT r, ts, said FROM judged WHERE said IS NOT NULL AND len(ts) > 0),
+sides AS (SELECT count(*) AS n, count(*) FILTER (WHERE said = 'allow') AS a, count(*) FILTER (WHERE said = 'block') AS b,
+  greatest(3, -((-count(*) * 100) // 10000)) AS enough FROM labelled),
+each AS (SELECT r, said, unnest(ts) AS t FROM labelled),
+known AS (
+  SELECT t, count(*) AS n, CASE WHEN any_value(a) = 0 OR any_value(b) = 0 THEN 0
+    ELSE abs(count(*) FILTER (WHERE said = 'allow') * any_value(b) - count(*) FILTER (WHERE said = 'block') * any_value(a)) END AS gain
+  FROM each, sides GROUP BY t HAVING count(*) >= any_value(enough)
+),
+best AS (SELECT r, said, list(t ORDER BY gain DESC, t)[1:8] AS ts FROM each JOIN known USING (t) GROUP BY r, said),
+masks AS (SELECT said, ts, unnest(range(1, CAST(pow(2, len(ts)) AS BIGINT))) AS m FROM best),
+sets AS (SELECT said, list_sort(list_filter(ts, lambda t, i: (m >> (i - 1)) & 1 = 1)) AS items FROM masks),
+counted AS (
+  SELECT items, array_to_string(items, ' ') AS text, count(*) AS n, count(*) FILTER (WHERE said = 'allow') AS na, count(*) FILTER (WHERE said = 'block') AS nb
+  FROM sets GROUP BY items
+),
+sure AS (
+  SELECT items, text, v AS verdict, k / n AS confidence, k / total AS support
+  FROM (SELECT items, text, CAST(c.n AS DOUBLE) AS n, CAST(s.n AS DOUBLE) AS total, enough, unnest(['allow', 'block']) AS v, unnest([na, nb]) AS k FROM counted c, sides s)
+  WHERE k >= enough AND k / n >= 0.8
+),
+less AS (SELECT text, verdict, confidence, array_to_string(list_filter(items, lambda y: y <> x), ' ') AS part FROM (SELECT *, unnest(items) AS x FROM sure) WHERE len(items) > 1),
+idle AS (SELECT DISTINCT l.text, l.verdict FROM less l JOIN sure s ON l.part = s.text AND l.verdict = s.verdict AND s.confidence >= l.confidence),
+rules AS (SELECT * FROM sure ANTI JOIN idle USING (text, verdict)),
+matched AS (
+  SELECT r, max({{'confidence': confidence, 'support': support, 'verdict': verdict, 'text': text}}) AS best
+  FROM judged j JOIN rules ON said IS NULL AND list_has_all(j.ts, items) GROUP BY r
+)
+SELECT page_id, host, path, rule, coalesce(said, best.verdict, 'allow') AS verdict, best.text AS matched, best.confidence AS confidence
+FROM judged LEFT JOIN matched USING (r)
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_host_rules": OP2, "op3_chosen_path": OP3, "op13_url_rules": OP13}

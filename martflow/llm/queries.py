@@ -20,6 +20,7 @@ from martflow.llm.pii import find_personal_data
 from martflow.llm.secret_scan import KINDS, find_secrets, span_list
 from martflow.llm.substring_dedup import remove_repeats
 from martflow.llm.token_counts import count_tokens
+from martflow.llm.url_rules import judge_urls
 
 
 def op1_substring_dedup(spark: SparkSession, root: str) -> DataFrame:
@@ -92,7 +93,11 @@ def op10_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op13_url_rules(spark: SparkSession, root: str) -> DataFrame:
+    return judge_urls(table(spark, root, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op3_chosen_path, op4_token_counts, op5_license_scan, op6_decontaminate, op7_merge_replay, op8_pii, op9_html_extract, op10_secret_scan)
+    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op3_chosen_path, op4_token_counts, op5_license_scan, op6_decontaminate, op7_merge_replay, op8_pii, op9_html_extract, op10_secret_scan, op13_url_rules)
 }
 __all__ = ["ORACLES", "QUERIES"]
