@@ -131,4 +131,39 @@ SELECT page_id, host, path, rule, coalesce(said, best.verdict, 'allow') AS verdi
 FROM judged LEFT JOIN matched USING (r)
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_host_rules": OP2, "op3_chosen_path": OP3, "op13_url_rules": OP13}
+
+def _assigned(books: str) -> str:
+    """Of each part of each row: its position, its values, its nearest entry and the distance."""
+    return f"""
+  SELECT vec_id, label, pos, v, min(struct_pack(d := list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := e)) AS near
+  FROM parts JOIN {books} USING (pos) GROUP BY r, vec_id, label, pos, v"""
+
+
+def _moved(assigned: str, books: str) -> str:
+    """The entries after an update."""
+    means = ", ".join(f"CAST(floor(sum(v[{k}])::DOUBLE / count(*)) AS BIGINT)" for k in range(1, 5))
+    return f"SELECT pos, e, coalesce(m, c) AS c FROM {books} LEFT JOIN (SELECT pos, near.e AS e, [{means}] AS m FROM {assigned} GROUP BY ALL) USING (pos, e)"
+
+
+OP12 = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (SELECT r, vec_id, label, p AS pos, v[4 * p + 1 : 4 * p + 4] AS v FROM kept, (SELECT unnest(range(16)) AS p)),
+books0 AS MATERIALIZED (SELECT pos, r - 1 AS e, v AS c FROM parts WHERE r <= 64),
+near0 AS MATERIALIZED ({_assigned('books0')}),
+books1 AS MATERIALIZED ({_moved('near0', 'books0')}),
+near1 AS MATERIALIZED ({_assigned('books1')}),
+books2 AS MATERIALIZED ({_moved('near1', 'books1')}),
+near2 AS MATERIALIZED ({_assigned('books2')}),
+codes AS (
+  SELECT vec_id, label, string_agg(lpad(lower(hex(near.e)), 2, '0'), '' ORDER BY pos) AS code, CAST(sum(near.d) AS BIGINT) AS error
+  FROM near2 GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY pos, e)) FROM books2) AS codebooks_sha256
+FROM codes
+"""
+
+ORACLES = {"op1_substring_dedup": OP1, "op2_host_rules": OP2, "op3_chosen_path": OP3, "op12_part_codes": OP12, "op13_url_rules": OP13}

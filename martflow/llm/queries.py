@@ -15,6 +15,7 @@ from martflow.llm.html_extract import extract
 from martflow.llm.license_scan import scan_licenses
 from martflow.llm.merge_replay import round_trip
 from martflow.llm.oracles import ORACLES
+from martflow.llm.part_codes import compress
 from martflow.llm.pii import KINDS as PERSONAL
 from martflow.llm.pii import find_personal_data
 from martflow.llm.secret_scan import KINDS, find_secrets, span_list
@@ -93,11 +94,17 @@ def op10_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op12_part_codes(spark: SparkSession, root: str) -> DataFrame:
+    found = compress(table(spark, root, "embeddings"))
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return found.select("vec_id", code.alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 def op13_url_rules(spark: SparkSession, root: str) -> DataFrame:
     return judge_urls(table(spark, root, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op3_chosen_path, op4_token_counts, op5_license_scan, op6_decontaminate, op7_merge_replay, op8_pii, op9_html_extract, op10_secret_scan, op13_url_rules)
+    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op3_chosen_path, op4_token_counts, op5_license_scan, op6_decontaminate, op7_merge_replay, op8_pii, op9_html_extract, op10_secret_scan, op12_part_codes, op13_url_rules)
 }
 __all__ = ["ORACLES", "QUERIES"]
