@@ -77,6 +77,25 @@ FROM reach LEFT JOIN sizes ON sizes.doc_id = d GROUP BY d, n
 
 _SMALL = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), {_SMALL}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS ts FROM documents),
+sizes AS (SELECT count(*) AS total, CAST(sum(len(ts)) AS BIGINT) AS words FROM docs WHERE len(ts) > 0),
+items AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS ts FROM benchmark),
+asked AS (SELECT i, item_id, t, count(*) AS times FROM (SELECT i, item_id, unnest(ts) AS t FROM items) GROUP BY ALL),
+postings AS MATERIALIZED (
+  SELECT d, doc_id, n, t, count(*) AS tf FROM (SELECT d, doc_id, len(ts) AS n, unnest(ts) AS t FROM docs) SEMI JOIN asked USING (t) GROUP BY ALL
+),
+weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(total) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, sizes GROUP BY t
+),
+worth AS (SELECT d, doc_id, t, w, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * total) // words)) AS v FROM postings JOIN weights USING (t), sizes),
+scores AS (SELECT i, item_id, d, doc_id, CAST(sum(times * w * v) AS BIGINT) AS score FROM worth JOIN asked USING (t) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 20
+"""
+
 
 def _tokens(column: str, mark: str) -> str:
     found = rf"regexp_extract_all(translate({column}, {_SMALL}), '[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+')"
@@ -166,4 +185,4 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM codes
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_host_rules": OP2, "op3_chosen_path": OP3, "op12_part_codes": OP12, "op13_url_rules": OP13}
+ORACLES = {"op1_substring_dedup": OP1, "op2_host_rules": OP2, "op3_chosen_path": OP3, "op11_ranked_search": OP11, "op12_part_codes": OP12, "op13_url_rules": OP13}

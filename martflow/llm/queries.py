@@ -18,6 +18,7 @@ from martflow.llm.oracles import ORACLES
 from martflow.llm.part_codes import compress
 from martflow.llm.pii import KINDS as PERSONAL
 from martflow.llm.pii import find_personal_data
+from martflow.llm.ranked_search import rank_documents
 from martflow.llm.secret_scan import KINDS, find_secrets, span_list
 from martflow.llm.substring_dedup import remove_repeats
 from martflow.llm.token_counts import count_tokens
@@ -94,6 +95,10 @@ def op10_secret_scan(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, root: str) -> DataFrame:
+    return rank_documents(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
 def op12_part_codes(spark: SparkSession, root: str) -> DataFrame:
     found = compress(table(spark, root, "embeddings"))
     code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
@@ -105,6 +110,6 @@ def op13_url_rules(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op3_chosen_path, op4_token_counts, op5_license_scan, op6_decontaminate, op7_merge_replay, op8_pii, op9_html_extract, op10_secret_scan, op12_part_codes, op13_url_rules)
+    f.__name__: f for f in (op1_substring_dedup, op2_host_rules, op3_chosen_path, op4_token_counts, op5_license_scan, op6_decontaminate, op7_merge_replay, op8_pii, op9_html_extract, op10_secret_scan, op11_ranked_search, op12_part_codes, op13_url_rules)
 }
 __all__ = ["ORACLES", "QUERIES"]
