@@ -224,7 +224,7 @@ def _search_block(index: DataFrame, block: DataFrame, documents: int, length: in
         queries[row.query].append((row.term, row.weight))
 
     def run(table: pa.Table) -> pa.Table:
-        postings, out = Postings(table, documents, length), ([], [], [])
+        postings, out = Postings(table, documents, length), tuple([np.zeros(0, np.int64)] for _ in range(3))
         for query, terms in queries.items():
             at, score = best_of(postings, terms, top)
             if len(at) > top:  # ties: the smaller ids
