@@ -55,8 +55,12 @@ def flag_first(
     df: DataFrame, keys: Sequence, flag: str, order: Sequence[str] = ("ts", "seq"), row: str = "seq"
 ) -> DataFrame:
     """Every row with `flag` = 1 on the first row of its key and 0 elsewhere."""
-    by = [*keys, row]
-    first = first_version(df, keys, order).select(*[F.col(c).alias(f"_{c}_") for c in by], F.lit(1).alias(flag))
+    return flagged(df, first_version(df, keys, order), [*keys, row], flag)
+
+
+def flagged(df: DataFrame, firsts: DataFrame, by: Sequence[str], flag: str) -> DataFrame:
+    """Every row with `flag` = 1 where `firsts` holds it, and 0 elsewhere."""
+    first = firsts.select(*[F.col(c).alias(f"_{c}_") for c in by], F.lit(1).alias(flag))
     mine = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in by])
     found = df.join(first, mine, "left").withColumn(flag, F.coalesce(flag, F.lit(0)))
     return found.select(*df.columns, flag)
@@ -75,8 +79,13 @@ def first_days(df: DataFrame, key: str = "mid", flag: str = "is_new") -> DataFra
 
     The first record of a device sets it; an "old" first record means the day before.
     """
+    return first_day_of(first_version(df.select(key, flag, "ts", "seq"), [key], ["ts", "seq"]), key, flag)
+
+
+def first_day_of(firsts: DataFrame, key: str = "mid", flag: str = "is_new") -> DataFrame:
+    """The same from the first record of each device."""
     day = day_of()
-    return first_version(df.select(key, flag, "ts", "seq"), [key], ["ts", "seq"]).select(
+    return firsts.select(
         F.col(key).alias("_key"),
         F.when(F.col(flag) == "0", F.date_sub(day, 1)).otherwise(day).alias("_first"),
     )
@@ -106,7 +115,11 @@ def page_unique(df: DataFrame, key: str = "mid", page: str = "page_id") -> DataF
 
 def back_flow(df: DataFrame, key: str = "uid") -> DataFrame:
     """First record of each user and day; back_ct = 1 after more than seven days away."""
-    days = first_version(df.withColumn("_day", day_of()), [key, "_day"], ["ts", "seq"])
+    return returns_of(first_version(df.withColumn("_day", day_of()), [key, "_day"], ["ts", "seq"]), key)
+
+
+def returns_of(days: DataFrame, key: str = "uid") -> DataFrame:
+    """The same from the first record of each user and day, which has its `_day`."""
     previous = F.lag("_day").over(Window.partitionBy(key).orderBy("_day"))
     away = F.datediff("_day", previous) > codes.BACK_AFTER_DAYS
     return (
@@ -118,7 +131,11 @@ def back_flow(df: DataFrame, key: str = "uid") -> DataFrame:
 
 def first_payment(df: DataFrame, key: str = "user_id") -> DataFrame:
     """First payment of each user and day; new_ct = 1 on the user's first day."""
-    days = first_version(df.withColumn("_day", day_of()), [key, "_day"], ["ts", "seq"])
+    return new_payers_of(first_version(df.withColumn("_day", day_of()), [key, "_day"], ["ts", "seq"]), key)
+
+
+def new_payers_of(days: DataFrame, key: str = "user_id") -> DataFrame:
+    """The same from the first payment of each user and day, which has its `_day`."""
     earliest = F.min("_day").over(Window.partitionBy(key))
     return (
         days.withColumn("new_ct", F.when(F.col("_day") == earliest, 1).otherwise(0))

@@ -136,6 +136,8 @@ COMMON: dict[str, str] = {
         FROM li JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'""",
     "refunded": """SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(c_nationkey AS VARCHAR) AS province_id
         FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F'""",
+    "refunded_at": """SELECT refunded.*, CAST(epoch(o_orderdate) AS BIGINT) + 86400 AS ts
+        FROM refunded JOIN orders ON order_id = CAST(o_orderkey AS VARCHAR)""",
     "refunds": """SELECT granted.*, province_id, d1.dic_name AS refund_type_name,
         d2.dic_name AS refund_reason_type_name FROM granted JOIN refunded USING (order_id)
         LEFT JOIN dic d1 ON refund_type = d1.id LEFT JOIN dic d2 ON refund_reason_type = d2.id""",
@@ -310,6 +312,16 @@ _R6 = f"""SELECT *, CASE WHEN sv_ct = 0 THEN 0.0 ELSE {two_places("CAST(dur_sum
     CASE WHEN sv_ct = 0 THEN 0.0 ELSE {two_places("CAST(pv_ct AS DOUBLE) / sv_ct")} END AS avg_pv_ct FROM ({_R6})"""
 
 
+# Joins with a span of 300 days, and what finds nobody within it.
+_WITHIN = {
+    "j2": """SELECT g.id, g.seq, g.order_id, g.sku_id, r.province_id, r.order_id IS NOT NULL AS matched FROM granted g
+        LEFT JOIN refunded_at r ON g.order_id = r.order_id AND abs(g.ts - r.ts) <= 300 * 86400""",
+    "j4": """SELECT p.id, p.order_id, r.sku_id, r.refund_amount, p.out_trade_no, r.order_id IS NOT NULL AS matched FROM refund_pays p
+        LEFT JOIN (SELECT g.* FROM granted g JOIN refunded_at r ON g.order_id = r.order_id AND abs(g.ts - r.ts) <= 300 * 86400) r
+        ON p.order_id = r.order_id AND abs(p.ts - r.ts) <= 300 * 86400""",
+}
+
+
 def _bodies() -> dict[str, str]:
     q: dict[str, str] = {
         "p1_valid_change_log": _CHANGE.format(
@@ -491,6 +503,23 @@ def _bodies() -> dict[str, str]:
         "t4_stream_register": q["g5_user_register"],
         "t4_stream_cart_uu": q["g6_cart_add_uu"],
         "t10_stream_interval_join": q["j5_interval_join"],
+        # what comes for a window that the batches but the last one have closed is lost
+        "t8_stream_late_counts": f"""SELECT * FROM (WITH late AS (SELECT et, event_type, {bucket('et')} AS w,
+              least(CAST(seq * 5 // (max(seq) OVER () + 1) AS INT) + CASE WHEN seq % 7 = 3 THEN 2 ELSE 0 END, 4) AS b FROM traf),
+            tops AS (SELECT b, max(et) AS top FROM late GROUP BY b),
+            marks AS (SELECT k.b, max(t.top) - INTERVAL 30 MINUTES AS mark FROM tops k LEFT JOIN tops t ON t.b <= k.b - 2 GROUP BY k.b),
+            judged AS (SELECT late.*, coalesce(w + INTERVAL 5 SECONDS <= mark, false) AS gone FROM late JOIN marks USING (b))
+            SELECT 'window' AS kind, strftime(w, {STAMP}) AS stt, event_type, count(*) AS n FROM judged WHERE NOT gone GROUP BY ALL
+            UNION ALL SELECT 'lost rows', NULL, NULL, count(*) FILTER (gone) FROM judged
+            UNION ALL SELECT 'lost groups', NULL, NULL, count(DISTINCT CASE WHEN gone THEN (w, event_type, b) END) FROM judged)""",
+        "w5_stream_first_visit": q["w5_first_visit_fix"],
+        "w6_stream_daily_unique": q["w6_daily_unique"],
+        "w7_stream_session_first": q["w7_session_first"],
+        "w8_stream_backflow": q["w8_backflow"],
+        "w9_stream_page_unique": q["w9_page_unique"],
+        "w10_stream_first_payment": q["w10_first_payment"],
+        "j2_stream_refund_within": _WITHIN["j2"],
+        "j4_stream_payment_within": _WITHIN["j4"],
         "t9_stream_traffic": q["g2_traffic"],
         "t9_stream_home_detail": q["g3_home_detail"],
         "t9_stream_user_login": q["g4_user_login"],

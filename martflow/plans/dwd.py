@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martflow import codes
@@ -29,6 +29,9 @@ DETAIL_MORE = (
 )
 
 
+_FACTS = "array<struct<kind:string,pos:int,record:map<string,string>>>"
+
+
 def named(df: DataFrame, dictionary: DataFrame, **codes_of: str) -> DataFrame:
     """Names of dictionary codes: `named(df, dic, payment_type_name="payment_type")`."""
     for out, code in codes_of.items():
@@ -47,12 +50,7 @@ def split_log(
     A record with a start part is a start, otherwise it is a page; either may carry an error.
     `fix` corrects is_new per mid.
     """
-    logs = ods.valid_behaviour(ods.behaviour_log(lines))
-    logs = (
-        logs.withColumn("mid", F.col("common")["mid"])
-        .withColumn("is_new", F.col("common")["is_new"])
-    )
-    fixed = fix(logs)
+    fixed = fix(device_logs(lines))
     common = merge(F.col("common"), F.create_map(F.lit("is_new"), F.col("is_new")))
     logs = fixed.withColumn("common", common).drop("mid", "is_new")
     return {
@@ -64,6 +62,38 @@ def split_log(
     }
 
 
+def device_logs(lines: DataFrame) -> DataFrame:
+    """Valid behaviour records with device and mark beside their parts."""
+    logs = ods.valid_behaviour(ods.behaviour_log(lines))
+    return logs.withColumn("mid", F.col("common")["mid"]).withColumn("is_new", F.col("common")["is_new"])
+
+
+def split_once(logs: DataFrame) -> DataFrame:
+    """All five facts in one pass: kind, seq, pos, mid, ts, is_new, record (its own mark still in it).
+
+    A record gives all its facts in one generator, so it is read and parsed once, whatever is asked for.
+    """
+    head = merge(F.col("common"), F.create_map(F.lit("ts"), F.col("ts").cast("string")))
+    page = F.col("page").isNotNull() & F.col("start").isNull()
+
+    def fact(kind: str, when: Column, *parts: str) -> Column:
+        one = F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("int").alias("pos"), merge(head, *[F.col(p) for p in parts]).alias("record"))
+        return F.when(when, F.array(one)).otherwise(F.array().cast(_FACTS))
+
+    def items(kind: str, part: str, *more) -> Column:
+        of = lambda x, k: F.struct(
+            F.lit(kind).alias("kind"), k.alias("pos"), merge(x, merge(head, F.col("page")), *[m(x) for m in more]).alias("record"))
+        return F.when(page & F.col(part).isNotNull(), F.transform(part, of)).otherwise(F.array().cast(_FACTS))
+
+    own_time = lambda x: F.create_map(F.lit("ts"), x["ts"])
+    facts = F.concat(
+        fact("start", F.col("start").isNotNull(), "start"), fact("page", page, "page"),
+        items("display", "displays"), items("action", "actions", own_time),
+        fact("err", F.col("err").isNotNull(), "err", "start", "page"),
+    )
+    return logs.select("seq", "mid", "is_new", "ts", F.inline(facts)).select("kind", "seq", "pos", "mid", "ts", "is_new", "record")
+
+
 # --- interaction, cart ----------------------------------------------------------------
 
 
@@ -206,11 +236,11 @@ def granted_refunds(log: c.Log) -> DataFrame:
     )
 
 
-def refunded_orders(log: c.Log) -> DataFrame:
+def refunded_orders(log: c.Log, *more: str) -> DataFrame:
     rows = c.changed_to(
         c.rows_of(log, "order_info", "update"), "order_status", codes.ORDER_REFUNDED
     )
-    return c.fields(rows, "id", "province_id").select(F.col("id").alias("_order"), "province_id")
+    return c.fields(rows, "id", "province_id").select(F.col("id").alias("_order"), "province_id", *more)
 
 
 def refund(log: c.Log, dictionary: DataFrame) -> DataFrame:

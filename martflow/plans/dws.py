@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martflow import codes
@@ -18,6 +18,7 @@ from martflow.operators.joins import lookup, with_sku
 from martflow.operators.windows import distinct_per_window, event_time, stamped, tumble
 
 TRAFFIC = ("vc", "ch", "ar", "is_new")
+TRAFFIC_ROW = ("et", "ts", "mid", *TRAFFIC)
 
 
 # --- traffic --------------------------------------------------------------------------
@@ -49,31 +50,32 @@ def traffic_parts(page: DataFrame) -> DataFrame:
     of a device's day and of a session, which are pruned before any shuffle. The parts are
     summed afterwards, so no step sorts all records of one device.
     """
-    dims = ["et", "ts", "mid", *TRAFFIC]
-
-    def part(rows: DataFrame, uv=0, sv=0, pv=0, dur=None) -> DataFrame:
-        return rows.select(
-            *dims, F.lit(uv).alias("uv"), F.lit(sv).alias("sv"), F.lit(pv).alias("pv"),
-            (F.lit(0) if dur is None else F.coalesce(dur, F.lit(0))).cast("bigint").alias("dur"),
-        )
-
-    visits = page.select(*dims, "seq")
-    sessions = page.select(*dims, "sid", "seq")
+    visits = page.select(*TRAFFIC_ROW, "seq")
+    sessions = page.select(*TRAFFIC_ROW, "sid", "seq")
     return reduce(DataFrame.unionByName, [
-        part(page, pv=1, dur=F.col("during_time")),
-        part(first.first_version(visits, ["mid", first.day_of()], ["ts", "seq"]), uv=1),
-        part(first.first_version(sessions, ["sid"], ["ts", "seq"]), sv=1),
+        traffic_part(page, pv=F.lit(1), dur=F.col("during_time")),
+        traffic_part(first.first_version(visits, ["mid", first.day_of()], ["ts", "seq"]), uv=F.lit(1)),
+        traffic_part(first.first_version(sessions, ["sid"], ["ts", "seq"]), sv=F.lit(1)),
     ])
 
 
+def traffic_part(rows: DataFrame, **adds: Column) -> DataFrame:
+    """Rows with what each adds to the sums named."""
+    return rows.select(
+        *TRAFFIC_ROW, *[F.coalesce(adds.get(n, F.lit(0)), F.lit(0)).cast("bigint").alias(n) for n in ("uv", "sv", "pv", "dur")]
+    )
+
+
 def traffic(page: DataFrame, first_days: DataFrame | None = None) -> DataFrame:
     """Traffic sums; with `first_days` after the first-visit correction of is_new.
 
     The correction is one join over all parts, as it changes a dimension only.
     """
     parts = traffic_parts(page)
-    if first_days is not None:
-        parts = first.correct_new(parts, first_days)
+    return traffic_sums(parts if first_days is None else first.correct_new(parts, first_days))
+
+
+def traffic_sums(parts: DataFrame) -> DataFrame:
     sums = tumble(parts, "et", *TRAFFIC).agg(
         F.sum("uv").alias("uv_ct"), F.sum("sv").alias("sv_ct"),
         F.sum("pv").alias("pv_ct"), F.sum("dur").alias("dur_sum"),
@@ -82,8 +84,15 @@ def traffic(page: DataFrame, first_days: DataFrame | None = None) -> DataFrame:
 
 
 def home_detail(page: DataFrame) -> DataFrame:
-    seen = page.where(F.col("page_id").isin(codes.HOME, codes.DETAIL))
-    firsts = first.page_unique(seen.select("mid", "page_id", "ts", "et", "seq"))
+    return home_detail_of(first.page_unique(home_or_detail(page).select("mid", "page_id", "ts", "et", "seq")))
+
+
+def home_or_detail(page: DataFrame) -> DataFrame:
+    return page.where(F.col("page_id").isin(codes.HOME, codes.DETAIL))
+
+
+def home_detail_of(firsts: DataFrame) -> DataFrame:
+    """The same from the first record of each device, page and day."""
     return stamped(tumble(firsts, "et").agg(
         count_if(F.col("page_id") == codes.HOME).alias("home_uv_ct"),
         count_if(F.col("page_id") == codes.DETAIL).alias("good_detail_uv_ct"),
@@ -96,7 +105,10 @@ def logins(page: DataFrame) -> DataFrame:
 
 
 def user_login(page: DataFrame) -> DataFrame:
-    days = first.back_flow(logins(page).select("uid", "ts", "et", "seq"))
+    return user_login_of(first.back_flow(logins(page).select("uid", "ts", "et", "seq")))
+
+
+def user_login_of(days: DataFrame) -> DataFrame:
     return stamped(tumble(days, "et").agg(
         F.sum("back_ct").alias("back_ct"), F.sum("uu_ct").alias("uu_ct")
     ))
@@ -115,7 +127,11 @@ def cart_add_uu(cart: DataFrame) -> DataFrame:
 
 def payment_suc(paid: DataFrame) -> DataFrame:
     rows = paid.select("user_id", "et", F.unix_millis("et").alias("ts"), "seq")
-    return stamped(tumble(first.first_payment(rows), "et").agg(
+    return payment_suc_of(first.first_payment(rows))
+
+
+def payment_suc_of(days: DataFrame) -> DataFrame:
+    return stamped(tumble(days, "et").agg(
         F.sum("unique_ct").alias("payment_suc_unique_user_count"),
         F.sum("new_ct").alias("payment_suc_new_user_count"),
     ))
@@ -154,7 +170,12 @@ def sku_amounts(detail: DataFrame) -> DataFrame:
         "id", "sku_id", event_time(detail, "create_time"), "sku_num",
         "split_total_amount", "split_activity_amount", "split_coupon_amount", "seq",
     )
-    return stamped(tumble(first.first_version(rows, ["id"]), "create_time", "sku_id").agg(
+    return sku_sums(first.first_version(rows, ["id"]), "create_time")
+
+
+def sku_sums(lines: DataFrame, time: str) -> DataFrame:
+    """Amounts per window and sku of lines that are there once."""
+    return stamped(tumble(lines, time, "sku_id").agg(
         F.sum(F.col("sku_num").cast("bigint")).alias("sku_num"),
         F.sum(money(F.col("split_activity_amount"))).alias("activity_reduce_amount"),
         F.sum(money(F.col("split_coupon_amount"))).alias("coupon_reduce_amount"),
@@ -163,7 +184,11 @@ def sku_amounts(detail: DataFrame) -> DataFrame:
 
 
 def sku_order(detail: DataFrame, flat_sku: DataFrame) -> DataFrame:
-    rows = with_sku(sku_amounts(detail), flat_sku)
+    return sku_order_of(sku_amounts(detail), flat_sku)
+
+
+def sku_order_of(amounts: DataFrame, flat_sku: DataFrame) -> DataFrame:
+    rows = with_sku(amounts, flat_sku)
     return rows.select(
         "stt", "edt", "cur_date",
         F.col("trademark_id").cast("bigint").alias("trademark_id"), "trademark_name",
@@ -194,7 +219,11 @@ def province_amounts(detail: DataFrame) -> DataFrame:
 
 
 def province_order(detail: DataFrame, province: DataFrame) -> DataFrame:
-    rows = lookup(province_amounts(detail), province, "province_id", {"province_name": "name"})
+    return province_order_of(province_amounts(detail), province)
+
+
+def province_order_of(amounts: DataFrame, province: DataFrame) -> DataFrame:
+    rows = lookup(amounts, province, "province_id", {"province_name": "name"})
     return rows.select(
         "stt", "edt", "cur_date", F.col("province_id").cast("bigint").alias("province_id"),
         "province_name", "order_count", total(F.col("order_amount")).alias("order_amount"),

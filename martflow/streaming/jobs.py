@@ -1,272 +1,189 @@
-"""The warehouse jobs as streams.
+"""The warehouse jobs as streams, on the state that Spark keeps.
 
-Window counts that need no history run as native event-time windows (see `plans.dws`, whose
-functions accept streams with a watermark). Jobs with "first time" rules, upserts or joins
-without a time bound work batch by batch with the operators of the batch jobs.
+* "First time" rules are aggregations that hold the earliest row of a key (`firsts`): whatever order rows
+  arrive in, the sink's latest state is the earliest row so far. Where a key lives for a day, the
+  watermark takes its state away.
+* Joins of two streams have watermarks on both sides and a stated span, after which a row is let go;
+  `unmatched` gives what found no partner within it.
+* Windows over joined or deduplicated rows are chained groupings, each result given once, when it is closed.
+
+State is dealt out by key; aggregations add up in the map tasks first, so a hot key is one row a task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martflow import codes
-from martflow.functions.scalar import count_if
-from martflow.operators import first, routing
+from martflow.operators import routing
 from martflow.operators.joins import interval_join
 from martflow.operators.windows import stamped, tumble
 from martflow.plans import dwd, dws
 from martflow.sources import ods
-from martflow.streaming import ledger as led
-from martflow.streaming.ledger import Ledger
-from martflow.streaming.sinks import Batch, read_part, read_parts, write_part
-
-Side = Callable[[DataFrame, int], DataFrame]
-TRAFFIC_SUMS = ("uv_ct", "sv_ct", "pv_ct", "dur_sum")
-
-
-def traffic(state: str, out: str) -> Batch:
-    """Traffic sums: corrected is_new, visitors and sessions counted at their first record."""
-    visits = Ledger(f"{state}/visits", ("mid", "_day"), "_day")
-    sessions = Ledger(f"{state}/sessions", ("sid",))
-    devices = Ledger(f"{state}/devices", ("mid",))
-
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        page = led.fix_first_visit(rows, devices, batch_id).where("page_id IS NOT NULL")
-        page = page.withColumn("_day", first.day_of()).persist()  # read four times below
-        dims = ["et", *dws.TRAFFIC]
-        cols = [*dims, "ts", "seq"]
-        uv = visits.fresh(page.select(*cols, "mid", "_day"), batch_id)
-        sv = sessions.fresh(page.select(*cols, "sid"), batch_id)
-
-        def part(df: DataFrame, *values) -> DataFrame:
-            named = zip(TRAFFIC_SUMS, values, strict=True)
-            return df.select(*dims, *[F.coalesce(v, F.lit(0)).cast("bigint").alias(n) for n, v in named])
-
-        one, none = F.lit(1), F.lit(0)
-        parts = (
-            part(page, none, none, one, F.col("during_time"))
-            .unionByName(part(uv, one, none, none, none))
-            .unionByName(part(sv, none, one, none, none))
-        )
-        sums = tumble(parts, "et", *dws.TRAFFIC).agg(*[F.sum(m).alias(m) for m in TRAFFIC_SUMS])
-        write_part(stamped(sums), out, batch_id, "cur_date")
-        page.unpersist()
+from martflow.streaming.arrivals import ticking
+from martflow.streaming.sinks import Batch, write_part
 
-    return batch
+#: How far behind the latest row another may come.
+DELAY = "1 day"
 
 
-def home_detail(state: str, out: str) -> Batch:
-    pages = Ledger(f"{state}/pages", ("mid", "page_id", "_day"), "_day")
+# --- first times ----------------------------------------------------------------------
 
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        seen = rows.where(F.col("page_id").isin(codes.HOME, codes.DETAIL))
-        seen = seen.select("mid", "page_id", "ts", "et", "seq", first.day_of().alias("_day"))
-        sums = tumble(pages.fresh(seen, batch_id), "et").agg(
-            count_if(F.col("page_id") == codes.HOME).alias("home_uv_ct"),
-            count_if(F.col("page_id") == codes.DETAIL).alias("good_detail_uv_ct"),
-        )
-        write_part(stamped(sums), out, batch_id, "cur_date")
 
-    return batch
+def firsts(rows: DataFrame, keys: Sequence[str], day: str | None = None, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+    """The earliest row of each key so far; with `day`, an event time, of each key and `_day`."""
+    kept = [c for c in rows.columns if c not in keys]
+    by = [F.window(day, "1 day").alias("_window"), *keys] if day else list(keys)
+    found = rows.groupBy(*by).agg(F.min_by(F.struct(*kept), F.struct(*order)).alias("_first"))
+    return found.select(*keys, *([F.to_date("_window.start").alias("_day")] if day else []), "_first.*")
 
 
-def user_login(state: str, out: str) -> Batch:
-    days = Ledger(f"{state}/logins", ("uid", "_day"))
+def views(page: DataFrame) -> DataFrame:
+    """Views and time per window and dimensions; of devices with a mark that may be wrong, also per device."""
+    sums = tumble(page.withColumn("mid", F.when(F.col("is_new") == "1", F.col("mid"))), "et", "mid", *dws.TRAFFIC).agg(
+        F.count("*").alias("pv"), F.sum("during_time").alias("dur"))
+    start = F.col("window.start")
+    return sums.select(start.alias("et"), F.unix_millis(start).alias("ts"), "mid", *dws.TRAFFIC, "pv", "dur")
 
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        seen = dws.logins(rows).select("uid", "ts", "et", "seq")
-        sums = tumble(led.back_flow(seen, days, batch_id), "et").agg(
-            F.sum("back_ct").alias("back_ct"), F.sum("uu_ct").alias("uu_ct")
-        )
-        write_part(stamped(sums), out, batch_id, "cur_date")
 
-    return batch
+# --- joins ----------------------------------------------------------------------------
 
 
-def payment_suc(state: str, out: str) -> Batch:
-    days = Ledger(f"{state}/payers", ("user_id", "_day"))
-
-    def batch(rows: DataFrame, batch_id: int) -> None:
-        paid = rows.select("user_id", "et", F.unix_millis("et").alias("ts"), "seq")
-        sums = tumble(led.first_payment(paid, days, batch_id), "et").agg(
-            F.sum("unique_ct").alias("payment_suc_unique_user_count"),
-            F.sum("new_ct").alias("payment_suc_new_user_count"),
-        )
-        write_part(stamped(sums), out, batch_id, "cur_date")
-
-    return batch
-
-
-def split_log(state: str, out: str) -> Batch:
-    """Raw behaviour lines to five facts, one folder each."""
-    devices = Ledger(f"{state}/devices", ("mid",))
-
-    def batch(lines: DataFrame, batch_id: int) -> None:
-        def fix(logs: DataFrame) -> DataFrame:
-            # Five facts leave one batch: correct and store it once, then read it five times.
-            fixed = led.fix_first_visit(logs, devices, batch_id)
-            write_part(fixed, f"{state}/fixed", batch_id)
-            return read_part(fixed, f"{state}/fixed", batch_id)
-
-        for name, fact in dwd.split_log(lines, fix).items():
-            write_part(fact, f"{out}/{name}", batch_id)
-
-    return batch
+def _span(days: int) -> Column:
+    return F.expr(f"INTERVAL {days} DAYS")
 
 
-def order_detail(state: str, out: str) -> Batch:
-    """Order lines joined as their four tables arrive, in any order; an upsert table by id.
+def refunds(log: DataFrame, clock: DataFrame, days: int, how: str = "inner") -> DataFrame:
+    """Granted refunds with the order that was set to refunded, at most so many days apart, whichever comes first.
 
-    Each batch stores its rows and recomputes the lines they touch, however old those are.
+    An outer join gives a refund without such an order once the watermarks have passed the span.
     """
+    left = ticking(dwd.granted_refunds(log), clock, "et", DELAY)
+    orders = dwd.refunded_orders(log, "et").withColumnRenamed("et", "_order_et")
+    right = ticking(orders, clock, "_order_et", DELAY)
+    near = F.col("et").between(F.col("_order_et") - _span(days), F.col("_order_et") + _span(days))
+    return left.join(right, (F.col("order_id") == F.col("_order")) & near, how).drop("_order_et")
 
-    def batch(log: DataFrame, batch_id: int) -> None:
-        new, stored = {}, {}
-        for name, rows in dwd.order_detail_parts(log, keep_time=True).items():
-            path = f"{state}/{name}"
-            write_part(rows, path, batch_id)
-            stored[name] = read_parts(rows, path).where(F.col("batch_id") <= batch_id)
-            new[name] = stored[name].where(F.col("batch_id") == batch_id)
-        lines = stored["detail"]
-        touched = (
-            new["detail"].select("id")
-            .union(new["coupon"].select("_cd")).union(new["activity"].select("_ad"))
-            .union(
-                lines.join(new["order"], F.col("order_id") == F.col("_order"), "left_semi").select("id")
-            )
-        )
-        parts = {
-            "detail": first.latest_version(lines.join(touched.distinct(), "id", "left_semi"), ["id"]),
-            "order": first.latest_version(stored["order"], ["_order"], ["et", "batch_id"])
-            .select("_order", "user_id", "province_id"),
-            "coupon": stored["coupon"], "activity": stored["activity"],
-        }
-        write_part(dwd.join_order_detail(parts), out, batch_id)
-
-    return batch
 
+def refund_payments(log: DataFrame, clock: DataFrame, days: int, how: str = "inner") -> DataFrame:
+    """Finished refund payments with the refunded lines of their order, within so many days of each other."""
+    lines = refunds(log, clock, days).select(
+        "_order", "sku_id", "refund_amount", F.col("et").alias("_line_et"))
+    paid = ticking(dwd.refund_payments(log), clock, "et", DELAY)
+    near = F.col("et").between(F.col("_line_et") - _span(days), F.col("_line_et") + _span(days))
+    return paid.join(lines, (F.col("order_id") == F.col("_order")) & near, how)
 
-def joined(state: str, out: str, left: Side, right: Side, on: Callable[[], Column]) -> Batch:
-    """Inner join of two change kinds that arrive in any order and at any distance.
 
-    A batch stores its rows of both sides and joins its left rows with all right ones so far, and
-    the earlier left rows with its right ones, so every pair comes out once. A side gets the batch
-    and its number.
-    """
+def lines_of(log: DataFrame, clock: DataFrame, time: str = "et") -> DataFrame:
+    """All versions of order lines, with a watermark."""
+    rows = dwd.detail_rows(log).withColumn("create_time", F.col("create_time").cast("timestamp"))
+    return ticking(rows, clock, time, DELAY)
 
-    def batch(log: DataFrame, batch_id: int) -> None:
-        sides = []
-        for name, side in (("left", left), ("right", right)):
-            rows = side(log, batch_id)
-            write_part(rows, f"{state}/{name}", batch_id)
-            sides.append(read_parts(rows, f"{state}/{name}").where(F.col("batch_id") <= batch_id))
-        mine, theirs = sides
-        now = F.col("batch_id") == batch_id
-        pairs = mine.where(now).drop("batch_id").join(theirs.drop("batch_id"), on())
-        late = mine.where(~now).drop("batch_id").join(theirs.where(now).drop("batch_id"), on())
-        write_part(pairs.unionByName(late), out, batch_id)
 
-    return batch
+def placed_lines(log: DataFrame, clock: DataFrame, how: str = "inner", time: str = "et") -> DataFrame:
+    """Order lines with their order, which is placed within a minute before or after."""
+    orders = dwd.order_detail_parts(log, keep_time=True)["order"].withColumnRenamed("et", "_order_et")
+    orders = ticking(orders, clock, "_order_et", DELAY)
+    minute = F.expr("INTERVAL 1 MINUTE")
+    near = F.col(time).between(F.col("_order_et") - minute, F.col("_order_et") + minute)
+    return lines_of(log, clock, time).join(orders, (F.col("order_id") == F.col("_order")) & near, how).drop("_order_et")
 
 
-def windowed(state: str, out: str, rows: Side, time: str, sums: Callable[[DataFrame], DataFrame]) -> Batch:
-    """A window table kept up to date as its rows arrive, in any order and however late.
+def line_parts(log: DataFrame, clock: DataFrame) -> DataFrame:
+    """What is known of order lines, as rows of an upsert table by line and part.
 
-    A batch stores its rows by month and recomputes the windows they fall into, of which the table
-    then holds a newer version; `read_windows` gives the latest.
+    A line is there as soon as it comes, without its order; the outer join then gives it anew with the
+    order, or without when none came. Coupon and activity name the line, so they need no join.
     """
+    parts = dwd.order_detail_parts(log)
 
-    def batch(log: DataFrame, batch_id: int) -> None:
-        new = rows(log, batch_id)
-        new = new.withColumn("_window", F.window(F.col(time).cast("timestamp"), codes.WINDOW)["start"])
-        new = new.withColumn("_month", F.date_format("_window", "yyyyMM").cast("int"))
-        write_part(new, f"{state}/rows", batch_id, "_month")
-        fresh = read_part(new, f"{state}/rows", batch_id)
-        low, high = fresh.agg(F.min("_month"), F.max("_month")).first()
-        if low is None:
-            return
-        known = read_parts(new, f"{state}/rows").where(F.col("batch_id") <= batch_id)
-        known = known.where(F.col("_month").between(F.lit(low), F.lit(high)))
-        known = known.join(fresh.select("_window").distinct(), "_window", "left_semi")
-        write_part(sums(known.drop("_window", "_month", "batch_id")), out, batch_id)
-
-    return batch
-
-
-def read_windows(spark: SparkSession, out: str) -> DataFrame:
-    """Of each window all rows of its latest version."""
-    rows = spark.read.parquet(out)
-    latest = rows.groupBy(F.col("stt").alias("_stt")).agg(F.max("batch_id").alias("_latest"))
-    mine = (F.col("stt") == F.col("_stt")) & (F.col("batch_id") == F.col("_latest"))
-    return rows.join(latest, mine, "left_semi").drop("batch_id")
-
+    def part(rows: DataFrame, name: str, version: str, **known: str | Column) -> DataFrame:
+        cols = {c: F.lit(None).cast("string") for c in (*dwd.DETAIL, *dwd.DETAIL_MORE)}
+        cols |= {c: F.col(v) if isinstance(v, str) else v for c, v in known.items()}
+        time = [F.col(c) if c in rows.columns else F.lit(None).cast(k) for c, k in (("ts", "bigint"), ("et", "timestamp"))]
+        return rows.select(
+            *[v.alias(c) for c, v in cols.items()], *[t.alias(c) for t, c in zip(time, ("ts", "et"))],
+            F.col(version).alias("seq"), F.lit(name).alias("part"))
+
+    own = {c: c for c in dwd.DETAIL}
+    joined = placed_lines(log, clock, "leftOuter")
+    return (
+        part(parts["detail"], "line", "seq", **own)
+        .unionByName(part(joined, "order", "seq", id="id", user_id="user_id", province_id="province_id"))
+        .unionByName(part(parts["coupon"], "coupon", "_cd_seq", id="_cd", coupon_id="coupon_id", coupon_use_id="coupon_use_id"))
+        .unionByName(part(
+            parts["activity"], "activity", "_ad_seq", id="_ad", activity_id="activity_id", activity_rule_id="activity_rule_id"))
+    )
 
-def written(job: Callable[[str, str], Batch], state: str, out: str, like: Side) -> Side:
-    """What another job writes in this batch, as the rows of the next; `like` gives its columns."""
-    write = job(state, out)
 
-    def rows(log: DataFrame, batch_id: int) -> DataFrame:
-        write(log, batch_id)
-        return read_part(like(log, batch_id), out, batch_id)
+LINE_KEYS, LINE_ORDER = ("id", "part"), ("seq",)
 
-    return rows
 
+def merged_lines(parts: DataFrame) -> DataFrame:
+    """Order lines from the current rows of their parts; parts of lines not yet there wait."""
+    groups = {
+        "line": [*dwd.DETAIL[1:], "ts", "et", "seq"], "order": ["user_id", "province_id"],
+        "coupon": ["coupon_id", "coupon_use_id"], "activity": ["activity_id", "activity_rule_id"],
+    }
+    found = parts.groupBy("id").agg(*[
+        F.max(F.when(F.col("part") == name, F.struct(*columns))).alias(f"_{name}") for name, columns in groups.items()])
+    return found.where("_line IS NOT NULL").select("id", *[F.col(f"_{n}.{c}").alias(c) for n, cs in groups.items() for c in cs])
 
-def _refunded(log: DataFrame, _: int = 0) -> DataFrame:
-    return dwd.granted_refunds(log).join(dwd.refunded_orders(log), F.col("order_id") == F.col("_order"))
 
+def cancelled_lines(log: DataFrame, clock: DataFrame) -> DataFrame:
+    """Lines of orders cancelled within a day."""
+    cancelled = dwd.cancelled_orders(log).withColumnRenamed("et", "_cancel_et")
+    cancelled = ticking(cancelled, clock, "_cancel_et", DELAY)
+    lines = lines_of(log, clock).select("id", "order_id", "seq", "et")
+    near = F.col("et").between(F.col("_cancel_et") - _span(1), F.col("_cancel_et"))
+    return cancelled.join(lines, (F.col("_order") == F.col("order_id")) & near).select("id", "cancel_time", "ts", "seq")
 
-def _ordered(log: DataFrame, _: int = 0) -> DataFrame:
-    parts = dwd.order_detail_parts(log)
-    return parts["detail"].join(parts["order"], F.col("order_id") == F.col("_order"))
 
+def paid_lines(log: DataFrame, clock: DataFrame) -> DataFrame:
+    """Payments with the lines of their order in the half hour before, whichever comes first."""
+    paid = ticking(dwd.payments(log), clock, "et", DELAY)
+    lines = lines_of(log, clock).select(
+        F.col("id").alias("detail_id"), F.col("order_id").alias("_order"), F.col("et").alias("_line_et"), F.col("seq").alias("_line_seq"))
+    half = F.expr(f"INTERVAL {codes.PAY_WITHIN_SECONDS} SECONDS")
+    near = F.col("_line_et").between(F.col("et") - half, F.col("et"))
+    return paid.join(lines, (F.col("order_id") == F.col("_order")) & near).drop("_order", "_line_et")
 
-def _lines(log: DataFrame, _: int = 0) -> DataFrame:
-    return dwd.join_order_detail(dwd.order_detail_parts(log))
 
-
-def sku_order(state: str, out: str, flat_sku: DataFrame) -> Batch:
-    return windowed(
-        state, out, lambda log, _: dwd.detail_rows(log), "create_time", lambda rows: dws.sku_order(rows, flat_sku))
+def paid_views(
+    paid: DataFrame, seen: DataFrame, on: dict[str, str], paid_time: str, seen_time: str, delay: str
+) -> DataFrame:
+    """Interval join of two streams; state is dropped half an hour behind the watermark."""
+    return interval_join(
+        paid.withWatermark(paid_time, delay), seen.withWatermark(seen_time, delay),
+        on, paid_time, seen_time, codes.PAY_WITHIN_SECONDS,
+    )
 
 
-def province_order(state: str, out: str, province: DataFrame) -> Batch:
-    """From all versions of order lines; one counts once its order, and so its province, is there."""
+# --- windows over facts ---------------------------------------------------------------
 
-    def pairs(state: str, out: str) -> Batch:
-        return joined(
-            state, out, lambda log, _: dwd.detail_rows(log), lambda log, _: dwd.order_detail_parts(log)["order"],
-            lambda: F.col("order_id") == F.col("_order"))
 
-    rows = written(pairs, f"{state}/sides", f"{state}/pairs", _ordered)
-    return windowed(state, out, rows, "create_time", lambda known: dws.province_order(known, province))
+def sku_amounts(log: DataFrame, clock: DataFrame) -> DataFrame:
+    """Amounts per window and sku: the first version of each line, then its window."""
+    lines = lines_of(log, clock, "create_time")
+    kept = ["sku_id", "sku_num", "split_total_amount", "split_activity_amount", "split_coupon_amount"]
+    once = tumble(lines, "create_time", "id").agg(F.min_by(F.struct(*kept), "seq").alias("_first"))
+    return dws.sku_sums(once.select(F.window_time("window").alias("create_time"), "id", "_first.*"), "create_time")
 
 
-def refund_windows(state: str, out: str, flat_sku: DataFrame) -> Batch:
-    rows = written(refunds, f"{state}/sides", f"{state}/refunds", _refunded)
-    return windowed(state, out, rows, "et", lambda known: dws.refund(known, flat_sku))
+def province_amounts(log: DataFrame, clock: DataFrame) -> DataFrame:
+    """Orders and amount per window and province: a join of streams, then three groupings."""
+    lines = placed_lines(log, clock, time="create_time")
+    return dws.province_amounts(lines.select("id", "order_id", "split_total_amount", "create_time", "province_id"))
 
 
-def paid_lines(state: str, out: str) -> Batch:
-    """Payments with the lines of their order, whichever comes first; an upsert table by payment and line."""
-    lines = written(order_detail, f"{state}/parts", f"{state}/lines", _lines)
+def refund_windows(log: DataFrame, clock: DataFrame, flat_sku: DataFrame, days: int) -> DataFrame:
+    return dws.refund(refunds(log, clock, days).select("et", "user_id", "sku_id"), flat_sku)
 
-    def batch(log: DataFrame, batch_id: int) -> None:
-        new = {"paid": dwd.payments(log), "line": lines(log, batch_id)}
-        known = {}
-        for name, rows in new.items():
-            write_part(rows, f"{state}/{name}", batch_id)
-            known[name] = read_parts(rows, f"{state}/{name}").where(F.col("batch_id") <= batch_id)
-        latest = first.latest_version(known["line"], ["id"], ["batch_id"])
-        now = F.col("batch_id") == batch_id
-        late = dwd.paid_with(known["paid"].where(~now).drop("batch_id"), latest.where(now).drop("batch_id"))
-        fresh = dwd.paid_with(known["paid"].where(now).drop("batch_id"), latest.drop("batch_id"))
-        write_part(fresh.unionByName(late), out, batch_id)
 
-    return batch
+# --- routing --------------------------------------------------------------------------
 
 
 def dimensions(out: str, config: Callable[[DataFrame], DataFrame]) -> Batch:
@@ -299,60 +216,6 @@ def routed_facts(out: str, config: Callable[[DataFrame], DataFrame]) -> Batch:
     return batch
 
 
-def paid_views(
-    paid: DataFrame, seen: DataFrame, on: dict[str, str], paid_time: str, seen_time: str, delay: str
-) -> DataFrame:
-    """Interval join of two streams; state is dropped half an hour behind the watermark."""
-    return interval_join(
-        paid.withWatermark(paid_time, delay), seen.withWatermark(seen_time, delay),
-        on, paid_time, seen_time, codes.PAY_WITHIN_SECONDS,
-    )
-
-
-def refunds(state: str, out: str) -> Batch:
-    """Granted refunds of orders that were set to refunded, whichever comes first."""
-    return joined(
-        state, out, lambda log, _: dwd.granted_refunds(log), lambda log, _: dwd.refunded_orders(log),
-        lambda: F.col("order_id") == F.col("_order"))
-
-
-def refund_payments(state: str, out: str) -> Batch:
-    """Finished refund payments with the refunded lines of their order, whichever comes first."""
-    refunded = f"{state}/refunded"
-    pairs = refunds(f"{state}/refunds", refunded)
-
-    def lines(log: DataFrame, batch_id: int) -> DataFrame:
-        pairs(log, batch_id)  # also those whose other half came with an earlier batch
-        like = dwd.granted_refunds(log).join(dwd.refunded_orders(log), F.col("order_id") == F.col("_order"))
-        return read_part(like, refunded, batch_id).select("_order", "sku_id", "refund_amount")
-
-    return joined(
-        state, out, lambda log, _: dwd.refund_payments(log), lines,
-        lambda: F.col("order_id") == F.col("_order"))
-
-
-def cancel_detail(state: str, out: str) -> Batch:
-    """Lines of cancelled orders, whichever comes first; an upsert table by line."""
-    lines, cancels = f"{state}/lines", f"{state}/cancels"
-    detail = order_detail(f"{state}/parts", lines)
-
-    def batch(log: DataFrame, batch_id: int) -> None:
-        detail(log, batch_id)
-        new = dwd.cancelled_orders(log)
-        write_part(new, cancels, batch_id)
-        known = read_parts(new, cancels).where(F.col("batch_id") <= batch_id)
-        versions = log.sparkSession.read.parquet(lines).where(F.col("batch_id") <= batch_id)
-        fresh = known.where(F.col("batch_id") == batch_id)
-        touched = (
-            versions.where(F.col("batch_id") == batch_id).select("id")
-            .union(versions.join(fresh, F.col("order_id") == F.col("_order"), "left_semi").select("id"))
-        )
-        mine = first.latest_version(versions.join(touched.distinct(), "id", "left_semi"), ["id"], ["batch_id"])
-        write_part(dwd.of_cancelled(known.drop("batch_id"), mine.drop("batch_id")), out, batch_id)
-
-    return batch
-
-
 def validated(lines: DataFrame) -> DataFrame:
     """Raw change lines to valid changes, on a stream as in batch."""
     return ods.valid_changes(ods.change_log(lines))

@@ -1,234 +1,396 @@
-"""The stream jobs run over what the given tables hold; each returns what its sink holds then.
+"""The stream jobs run over what the given tables hold; each returns what its sinks hold then.
 
-A query runs its whole stream when it is called, before anybody asks for rows: a sink must be
-written to be read.
+A query stages its input as topics that arrive in several slices (`arrivals`), runs its streams to the end
+when it is called, before anybody asks for rows, and reads the sinks. Streams of one query run side by side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from martflow.functions.scalar import merge
+from martflow.operators import first
 from martflow.operators.windows import stamped, tumble
 from martflow.plans import dwd, dws
 from martflow.plans.warehouse import Warehouse
 from martflow.session import scratch
 from martflow.sources import replay
 from martflow.streaming import jobs
-from martflow.streaming.sinks import Batch, append_sink, read_current, read_sums, run
-from martflow.streaming.sources import StreamTables
+from martflow.streaming.arrivals import Arrivals
+from martflow.streaming.sinks import Batch, UpsertTable, append_sink, start
 
+Query = Callable[[Warehouse], DataFrame]
+#: The given dates of an order and of its lines lie up to seven years apart; facts that must be whole wait for that.
+WHOLE_DAYS = 4000
 
-@dataclass
-class Stage:
-    """A private folder in the shared scratch space, and the tables as streams."""
 
-    warehouse: Warehouse
+class Stage:
+    """A private folder in the shared scratch space, topics of the given tables, and streams over them."""
 
-    def __post_init__(self) -> None:
-        tables = self.warehouse.tables
-        self.spark = tables.spark
+    def __init__(self, warehouse: Warehouse) -> None:
+        self.warehouse, self.spark = warehouse, warehouse.tables.spark
         self.folder = f"{scratch(self.spark)}/stream-{uuid4().hex}"
-        self.tables = StreamTables(tables.spark, tables.root)
+        self.arrivals = Arrivals(self.spark, self.folder)
+        self.running: dict[str, StreamingQuery] = {}
 
-    @property
-    def out(self) -> str:
-        return f"{self.folder}/out"
+    def topic(self, name: str, rows: DataFrame, time: str = "et", **how) -> DataFrame:
+        return self.arrivals.topic(name, rows, time, **how)
 
-    @property
-    def state(self) -> str:
-        return f"{self.folder}/state"
+    def log(self, *names: str) -> tuple[DataFrame, DataFrame]:
+        """The change log of some tables, and the clock beside it."""
+        return self.topic("changes", replay.change_log(self.warehouse.tables, *names)), self.arrivals.clock()
 
-    def run(self, stream: DataFrame, sink: Batch, mode: str = "append") -> None:
-        run(stream, sink, f"{self.folder}/checkpoint", mode)
+    def behaviour(self) -> DataFrame:
+        return self.topic("behaviour", replay.traffic(self.warehouse.tables))
 
-    def windows(
-        self, stream: DataFrame, time: str, job: Callable[[DataFrame], DataFrame], *keys: str,
-        delay: str = "0 seconds",
-    ) -> DataFrame:
-        """A native window job whose sink holds the latest state of every window, open ones too.
+    def run(self, name: str, stream: DataFrame, sink: Batch, mode: str = "append") -> None:
+        self.running[name] = start(stream, sink, f"{self.folder}/{name}/checkpoint", mode)
 
-        The watermark drops windows from the state and late records from the result; open windows
-        are given as they stand, and a later run from the same checkpoint goes on with them.
-        """
-        self.run(job(stream.withWatermark(time, delay)), append_sink(self.out, "cur_date"), "update")
-        return read_current(self.spark, self.out, ["stt", *keys])
+    def upserts(self, name: str, stream: DataFrame, *keys: str, order: tuple[str, ...] = (), mode: str = "update") -> Callable[[], DataFrame]:
+        """Start a stream into an upsert table; call the result, once all has run, for its current rows."""
+        table = UpsertTable(f"{self.folder}/{name}/rows", stream.schema, keys, order)
+        self.run(name, stream, table.write, mode)
+        return lambda: table.read(self.spark, self.finished(name)["batchId"])
 
+    def appended(self, name: str, stream: DataFrame, *by: str) -> Callable[[], DataFrame]:
+        """Start a stream into plain parts; call the result, once all has run, for its rows."""
+        path = f"{self.folder}/{name}/rows"
+        self.run(name, stream, append_sink(path, *by))
 
-def keyword(w: Warehouse) -> DataFrame:
-    s = Stage(w)
-    found = dws.search_words(replay.searches(s.tables))
-    return s.windows(found, "et", dws.count_words, "keyword")
+        def rows() -> DataFrame:
+            self.finished(name)
+            return self.spark.read.schema(stream.schema).parquet(path).select(*stream.columns)
 
+        return rows
+
+    def finished(self, name: str):
+        """Wait for a stream to end; its last progress."""
+        self.running[name].awaitTermination()
+        return self.running[name].lastProgress
+
+    def progress(self, name: str) -> list:
+        self.finished(name)
+        return self.running[name].recentProgress
+
+
+# --- native windows -------------------------------------------------------------------
+
+
+def _native(topic: Callable[[Stage], DataFrame], time: str, job: Callable[[DataFrame], DataFrame], *keys: str) -> Query:
+    """A window job whose table holds the latest state of every window, open ones too."""
+
+    def query(w: Warehouse) -> DataFrame:
+        s = Stage(w)
+        return s.upserts("windows", job(topic(s).withWatermark(time, jobs.DELAY)), "stt", *keys)()
+
+    return query
 
-def user_register(w: Warehouse) -> DataFrame:
-    s = Stage(w)
-    signed = dwd.register(replay.Changes(s.tables))
-    return s.windows(signed, "create_time", dws.user_register)
+
+keyword = _native(
+    lambda s: s.topic("searches", dws.search_words(replay.searches(s.warehouse.tables))), "et", dws.count_words, "keyword")
+user_register = _native(
+    lambda s: s.topic("register", dwd.register(replay.Changes(s.warehouse.tables)), "create_time"), "create_time", dws.user_register)
 
 
 def cart_add_uu(w: Warehouse) -> DataFrame:
     """The state has a row for each window and user; the sink's rows are counted by window."""
+    each = _native(
+        lambda s: s.topic("carts", dwd.cart_add(replay.Changes(w.tables)).select("user_id", "et")), "et",
+        lambda rows: stamped(tumble(rows, "et", "user_id").agg(F.count("*").alias("n"))), "user_id")(w)
+    return each.groupBy("stt", "edt", "cur_date").agg(F.count("user_id").alias("cart_add_uu_ct"))
+
+
+def late_counts(w: Warehouse) -> DataFrame:
+    """Counts per window and kind of events of which some come a slice or more late, and what that loses.
+
+    A watermark of half an hour drops what comes for windows it has closed. `lost` rows say how many groups of rows
+    (window, kind and batch) the state refused, by its own count, and how many rows no window holds.
+    """
     s = Stage(w)
-    carts = dwd.cart_add(replay.Changes(s.tables))
+    rows = replay.traffic(w.tables).select("seq", "et", "event_type")
+    n = rows.agg(F.max("seq")).first()[0] + 1
+    own = F.floor(F.col("seq") * s.arrivals.batches / n)
+    # One in seven comes two slices late, as far as there are slices.
+    slices = F.least(own + F.when(F.col("seq") % 7 == 3, 2).otherwise(0), F.lit(s.arrivals.batches - 1))
+    topic = s.topic("late", rows, slices=slices).withWatermark("et", "30 minutes")
+    counts = stamped(tumble(topic, "et", "event_type").agg(F.count("*").alias("n")))
+    found = s.upserts("windows", counts, "stt", "event_type")()
+    done = s.progress("windows")
+    refused = sum(o["numRowsDroppedByWatermark"] for p in done for o in p["stateOperators"])
+    came = sum(p["numInputRows"] for p in done)
+    windows = found.select(F.lit("window").alias("kind"), "stt", "event_type", "n")
+    gone = found.agg(F.lit("lost rows").alias("kind"), (F.lit(came) - F.sum("n")).alias("n"))
+    groups = w.tables.spark.range(1).select(F.lit("lost groups").alias("kind"), F.lit(refused).cast("bigint").alias("n"))
+    return windows.unionByName(gone, allowMissingColumns=True).unionByName(groups, allowMissingColumns=True)
 
-    def users(rows: DataFrame) -> DataFrame:
-        return stamped(tumble(rows, "et", "user_id").agg(F.count("*").alias("n")))
 
-    each = s.windows(carts.select("user_id", "et"), "et", users, "user_id")
-    return each.groupBy("stt", "edt", "cur_date").agg(F.count("user_id").alias("cart_add_uu_ct"))
+# --- first times ----------------------------------------------------------------------
 
 
-def interval_join(w: Warehouse) -> DataFrame:
-    s = Stage(w)
+def _page(rows: DataFrame) -> DataFrame:
+    return rows.where("page_id IS NOT NULL")
 
-    def side(kind: str, name: str) -> DataFrame:
-        rows = replay.traffic(s.tables).where(F.col("event_type") == kind)
-        return rows.select(*[F.col(c).alias(f"{name}_{c}") for c in ("uid", "seq", "et")])
 
-    pairs = jobs.paid_views(
-        side("purchase", "pay"), side("view", "view"), {"pay_uid": "view_uid"},
-        "pay_et", "view_et", "1 hour",
-    )
-    s.run(pairs.select("pay_uid", "pay_seq", "view_seq"), append_sink(s.out))
-    return s.spark.read.parquet(s.out).drop("batch_id")
+def _timed(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, "et").withWatermark("et", jobs.DELAY)
 
 
-def _sums(
-    job: Callable[[str, str], Batch], *measures: str, rows: str = "page_id IS NOT NULL"
-) -> Callable[[Warehouse], DataFrame]:
-    def query(w: Warehouse) -> DataFrame:
-        s = Stage(w)
-        s.run(replay.traffic(s.tables).where(rows), job(s.state, s.out))
-        return read_sums(s.spark, s.out, measures)
+def _devices(s: Stage, rows: DataFrame) -> Callable[[], DataFrame]:
+    """First day of each device; a device is remembered for ever, as its mark is about its first day."""
+    found = s.upserts("devices", jobs.firsts(rows.select("mid", "is_new", "ts", "seq"), ["mid"]), "mid")
+    return lambda: first.first_day_of(found())
 
-    return query
 
+def first_visit(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    rows = s.behaviour()
+    devices, records = _devices(s, rows), s.appended("records", rows.select("seq", "mid", "ts", "is_new"))
+    return first.correct_new(records(), devices()).select("seq", "mid", "is_new")
 
-# The first-visit rule sees all records, the others page records only.
-traffic = _sums(jobs.traffic, *jobs.TRAFFIC_SUMS, rows="true")
-home_detail = _sums(jobs.home_detail, "home_uv_ct", "good_detail_uv_ct")
-user_login = _sums(jobs.user_login, "back_ct", "uu_ct")
 
+def daily_unique(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    rows = _page(s.behaviour()).select("seq", "mid", "ts", "et")
+    days = s.upserts("visits", jobs.firsts(_timed(rows, "seq", "mid", "ts"), ["mid"], "et"), "mid", "_day")
+    return first.flagged(s.appended("records", rows.drop("et"))(), days(), ["mid", "seq"], "uv_ct")
 
-def split_log(w: Warehouse) -> DataFrame:
-    """All five facts of the split, by kind."""
+
+def session_first(w: Warehouse) -> DataFrame:
     s = Stage(w)
-    s.run(replay.behaviour_lines(s.tables), jobs.split_log(s.state, s.out))
-    r = F.col("record")
+    rows = _page(s.behaviour()).select("seq", "sid", "ts")
+    found = s.upserts("sessions", jobs.firsts(rows, ["sid"]), "sid")
+    return first.flagged(s.appended("records", rows)(), found(), ["sid", "seq"], "sv_ct")
 
-    def fact(kind: str) -> DataFrame:
-        rows = s.spark.read.parquet(f"{s.out}/{kind}")
-        pos = F.col("pos") if "pos" in rows.columns else F.lit(None)
-        return rows.select(
-            F.lit(kind).alias("kind"), "seq", pos.cast("int").alias("pos"), r["mid"].alias("mid"),
-            r["ts"].cast("bigint").alias("ts"), r["is_new"].alias("is_new"))
 
-    return reduce(DataFrame.unionByName, [fact(k) for k in ("start", "page", "display", "action", "err")])
+def back_flow(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    rows = _timed(dws.logins(_page(s.behaviour())), "seq", "uid", "ts")
+    days = s.upserts("logins", jobs.firsts(rows, ["uid"], "et"), "uid", "_day")
+    return first.returns_of(days().select("seq", "uid", "ts", "_day"))
 
 
-def dimensions(w: Warehouse) -> DataFrame:
+def page_unique(w: Warehouse) -> DataFrame:
     s = Stage(w)
-    s.run(
-        replay.dimension_changes(s.tables),
-        jobs.dimensions(s.out, lambda batch: replay.dimension_config(w.tables)),
-    )
-    rows = jobs.current_dimensions(s.spark.read.parquet(s.out), w.dimension_config)
-    return rows.select("sink_table", "row_key", F.col("data")["name"].alias("name"), "op_type")
+    rows = _timed(_page(s.behaviour()), "seq", "mid", "page_id", "ts")
+    days = s.upserts("pages", jobs.firsts(rows, ["mid", "page_id"], "et"), "mid", "page_id", "_day")
+    return days().select("seq", "mid", "page_id", "ts")
 
 
-def routed_facts(w: Warehouse) -> DataFrame:
-    """Every table of the log, as a route may come for any."""
+def first_payment(w: Warehouse) -> DataFrame:
     s = Stage(w)
-    s.run(replay.change_log(s.tables), jobs.routed_facts(s.out, lambda batch: replay.fact_config(w.tables)))
-    return s.spark.read.parquet(s.out).select(
-        "sink_table", F.col("data")["id"].alias("id"), F.col("data")["op_type"].alias("op_type"), "ts", "seq")
+    paid = dwd.payments(s.log("payment_info")[0]).withColumn("ts", F.col("ts") * 1000)
+    days = s.upserts("payers", jobs.firsts(_timed(paid, "seq", "user_id", "ts"), ["user_id"], "et"), "user_id", "_day")
+    return first.new_payers_of(days().select("seq", "user_id", "ts", "_day"))
+
+
+def traffic(w: Warehouse) -> DataFrame:
+    """Views, visitors and sessions as three streams, and devices as a fourth; the marks are corrected when read."""
+    s = Stage(w)
+    rows = s.behaviour()
+    page = _page(rows)
+    dims = ("seq", "ts", "mid", *dws.TRAFFIC)
+    devices = _devices(s, rows)
+    sums = s.upserts("views", jobs.views(page.withWatermark("et", jobs.DELAY)), "et", "mid", *dws.TRAFFIC)
+    visits = s.upserts("visits", jobs.firsts(_timed(page, *dims), ["mid"], "et"), "mid", "_day")
+    sessions = s.upserts("sessions", jobs.firsts(page.select(*dims, "sid", "et"), ["sid"]), "sid")
+    parts = [
+        dws.traffic_part(sums(), pv=F.col("pv"), dur=F.col("dur")),
+        dws.traffic_part(visits(), uv=F.lit(1)), dws.traffic_part(sessions(), sv=F.lit(1)),
+    ]
+    return dws.traffic_sums(first.correct_new(reduce(DataFrame.unionByName, parts), devices()))
+
+
+def home_detail(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    rows = _timed(dws.home_or_detail(_page(s.behaviour())), "seq", "mid", "page_id", "ts")
+    return dws.home_detail_of(s.upserts("pages", jobs.firsts(rows, ["mid", "page_id"], "et"), "mid", "page_id", "_day")())
+
+
+def user_login(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    rows = _timed(dws.logins(_page(s.behaviour())), "seq", "uid", "ts")
+    return dws.user_login_of(first.returns_of(s.upserts("logins", jobs.firsts(rows, ["uid"], "et"), "uid", "_day")()))
 
 
 def payment(w: Warehouse) -> DataFrame:
-    """First payments of users; the lines come from the warehouse, the payments as a stream."""
+    """First payments of users: payments and lines are joined as streams, their first of the day is an upsert table."""
     s = Stage(w)
-    paid = dwd.paid_lines(replay.Changes(s.tables), w.order_detail)
-    s.run(paid.select("user_id", "et", "seq"), jobs.payment_suc(s.state, s.out))
-    return read_sums(s.spark, s.out, ["payment_suc_unique_user_count", "payment_suc_new_user_count"])
+    log, clock = s.log("order_detail", "payment_info")
+    paid = jobs.paid_lines(log, clock).select("user_id", "et", "seq")
+    pairs = s.appended("paid", paid)().distinct()
+    days = first.first_version(pairs.select("user_id", "et", F.unix_millis("et").alias("ts"), "seq", F.to_date("et").alias("_day")), ["user_id", "_day"], ["ts", "seq"])
+    return dws.payment_suc_of(first.new_payers_of(days))
+
+
+def split_log(w: Warehouse) -> DataFrame:
+    """All five facts of one pass over the lines, by kind; marks are corrected when read."""
+    s = Stage(w)
+    lines = replay.behaviour_lines(w.tables).join(replay.traffic(w.tables).select("seq", "et"), "seq")
+    logs = dwd.device_logs(s.topic("lines", lines).select("seq", "value"))
+    devices = _devices(s, logs)
+    facts = s.appended("facts", dwd.split_once(logs), "kind")
+    rows = first.correct_new(facts(), devices())
+    record = merge(F.col("record"), F.create_map(F.lit("is_new"), F.col("is_new")))
+    return rows.select("kind", "seq", "pos", "mid", record["ts"].cast("bigint").alias("ts"), record["is_new"].alias("is_new"))
+
+
+# --- joins ----------------------------------------------------------------------------
+
+LINE_TABLES = ("order_info", "order_detail", "order_detail_coupon", "order_detail_activity")
+
+
+def interval_join(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    rows = s.behaviour()
+
+    def side(kind: str, name: str) -> DataFrame:
+        return rows.where(F.col("event_type") == kind).select(*[F.col(c).alias(f"{name}_{c}") for c in ("uid", "seq", "et")])
+
+    pairs = jobs.paid_views(
+        side("purchase", "pay"), side("view", "view"), {"pay_uid": "view_uid"}, "pay_et", "view_et", "1 hour")
+    return s.appended("pairs", pairs.select("pay_uid", "pay_seq", "view_seq"))()
+
+
+def _lines(s: Stage, log: DataFrame, clock: DataFrame) -> Callable[[], DataFrame]:
+    found = s.upserts("lines", jobs.line_parts(log, clock), *jobs.LINE_KEYS, order=jobs.LINE_ORDER, mode="append")
+    return lambda: jobs.merged_lines(found())
 
 
 def order_detail(w: Warehouse) -> DataFrame:
     s = Stage(w)
-    s.run(replay.change_log(s.tables, *LINE_TABLES), jobs.order_detail(s.state, s.out))
-    return read_current(s.spark, s.out, ["id"]).drop("et")
+    return _lines(s, *s.log(*LINE_TABLES))().drop("et")
 
 
 def cancel_detail(w: Warehouse) -> DataFrame:
+    """Cancelled lines as an upsert table, with what the table of lines knows of them."""
+    s = Stage(w)
+    log, clock = s.log(*LINE_TABLES)
+    lines = _lines(s, log, clock)
+    found = s.upserts("cancelled", jobs.cancelled_lines(log, clock), "id", order=("seq",), mode="append")
+    return found().drop("seq").join(lines().drop("ts", "et"), "id")
+
+
+def paid_lines(w: Warehouse) -> DataFrame:
+    """Paid lines as an upsert table by payment and line, with what the table of lines knows of them."""
     s = Stage(w)
-    s.run(replay.change_log(s.tables, *LINE_TABLES), jobs.cancel_detail(s.state, s.out))
-    return read_current(s.spark, s.out, ["id"]).drop("et")
+    log, clock = s.log(*LINE_TABLES, "payment_info")
+    lines = _lines(s, log, clock)
+    found = s.upserts("paid", jobs.paid_lines(log, clock), "id", "detail_id", order=("_line_seq",), mode="append")
+    # The payment's own order and user stand; the line gives the rest.
+    line = lines().drop("order_id", "user_id", "ts", "et", "seq").withColumnRenamed("id", "detail_id")
+    rows = found().drop("_line_seq").join(line, "detail_id")
+    return dwd.named(rows, w.dictionary, payment_status_name="payment_status", payment_type_name="payment_type").drop("et")
 
 
 def refund(w: Warehouse) -> DataFrame:
     s = Stage(w)
-    s.run(replay.change_log(s.tables, "order_info", "order_refund_info"), jobs.refunds(s.state, s.out))
-    rows = s.spark.read.parquet(s.out)
+    rows = s.appended("refunds", jobs.refunds(*s.log("order_info", "order_refund_info"), WHOLE_DAYS))()
     return rows.select("id", "order_id", "sku_id", "province_id", "ts", "seq")
 
 
-def refund_payment(w: Warehouse) -> DataFrame:
-    s = Stage(w)
-    log = replay.change_log(s.tables, "order_info", "order_refund_info", "refund_payment")
-    s.run(log, jobs.refund_payments(s.state, s.out))
-    return s.spark.read.parquet(s.out).select("id", "order_id", "sku_id", "refund_amount", "out_trade_no")
+def refund_within(days: int) -> Query:
+    """Refunds with an order refunded so many days before or after, and the others with none, each once."""
 
+    def query(w: Warehouse) -> DataFrame:
+        s = Stage(w)
+        rows = s.appended("refunds", jobs.refunds(*s.log("order_info", "order_refund_info"), days, "leftOuter"))()
+        return rows.select("id", "seq", "order_id", "sku_id", "province_id", F.col("_order").isNotNull().alias("matched"))
 
-LINE_TABLES = ("order_info", "order_detail", "order_detail_coupon", "order_detail_activity")
+    return query
 
 
-def paid_lines(w: Warehouse) -> DataFrame:
-    """Payments and their lines, both as streams, before names are looked up."""
+def refund_payment(w: Warehouse) -> DataFrame:
     s = Stage(w)
-    s.run(replay.change_log(s.tables, *LINE_TABLES, "payment_info"), jobs.paid_lines(s.state, s.out))
-    rows = read_current(s.spark, s.out, ["id", "detail_id"])
-    return dwd.named(
-        rows, w.dictionary, payment_status_name="payment_status", payment_type_name="payment_type"
-    ).drop("et")
+    rows = s.appended("paid", jobs.refund_payments(*s.log("order_info", "order_refund_info", "refund_payment"), WHOLE_DAYS))()
+    return rows.select("id", "order_id", "sku_id", "refund_amount", "out_trade_no")
 
 
-def _windows(job: Callable[[Stage, Warehouse], Batch], *names: str) -> Callable[[Warehouse], DataFrame]:
+def payment_within(days: int) -> Query:
+    """Refund payments with the refunded lines so many days before or after; a payment without any comes once, alone."""
+
     def query(w: Warehouse) -> DataFrame:
         s = Stage(w)
-        s.run(replay.change_log(s.tables, *names), job(s, w))
-        return jobs.read_windows(s.spark, s.out)
+        log = s.log("order_info", "order_refund_info", "refund_payment")
+        rows = s.appended("paid", jobs.refund_payments(*log, days, "leftOuter"))()
+        return rows.select("id", "order_id", "sku_id", "refund_amount", "out_trade_no", F.col("_order").isNotNull().alias("matched"))
 
     return query
 
 
-sku_order = _windows(lambda s, w: jobs.sku_order(s.state, s.out, w.flat_sku), "order_detail")
-province_order = _windows(
-    lambda s, w: jobs.province_order(s.state, s.out, replay.province(w.tables)), "order_info", "order_detail")
-refund_windows = _windows(
-    lambda s, w: jobs.refund_windows(s.state, s.out, w.flat_sku), "order_info", "order_refund_info")
+# --- windows over facts ---------------------------------------------------------------
+
 
-QUERIES: dict[str, Callable[[Warehouse], DataFrame]] = {
+def sku_order(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    return dws.sku_order_of(s.appended("windows", jobs.sku_amounts(*s.log("order_detail")))(), w.flat_sku)
+
+
+def province_order(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    rows = s.appended("windows", jobs.province_amounts(*s.log("order_info", "order_detail")))()
+    return dws.province_order_of(rows, replay.province(w.tables))
+
+
+def refund_windows(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    return s.appended("windows", jobs.refund_windows(*s.log("order_info", "order_refund_info"), w.flat_sku, WHOLE_DAYS))()
+
+
+# --- routing --------------------------------------------------------------------------
+
+
+def dimensions(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    changes = s.topic("dimensions", replay.dimension_changes(w.tables))
+    out = f"{s.folder}/dimensions/rows"
+    s.run("dimensions", changes, jobs.dimensions(out, lambda batch: replay.dimension_config(w.tables)))
+    s.finished("dimensions")
+    rows = jobs.current_dimensions(s.spark.read.parquet(out), w.dimension_config)
+    return rows.select("sink_table", "row_key", F.col("data")["name"].alias("name"), "op_type")
+
+
+def routed_facts(w: Warehouse) -> DataFrame:
+    """Every table of the log, as a route may come for any."""
+    s = Stage(w)
+    out = f"{s.folder}/facts/rows"
+    s.run("facts", s.topic("changes", replay.change_log(w.tables)), jobs.routed_facts(out, lambda batch: replay.fact_config(w.tables)))
+    s.finished("facts")
+    return s.spark.read.parquet(out).select(
+        "sink_table", F.col("data")["id"].alias("id"), F.col("data")["op_type"].alias("op_type"), "ts", "seq")
+
+
+QUERIES: dict[str, Query] = {
     "t4_stream_keyword": keyword,
     "t4_stream_register": user_register,
     "t4_stream_cart_uu": cart_add_uu,
+    "t8_stream_late_counts": late_counts,
     "t10_stream_interval_join": interval_join,
+    "w5_stream_first_visit": first_visit,
+    "w6_stream_daily_unique": daily_unique,
+    "w7_stream_session_first": session_first,
+    "w8_stream_backflow": back_flow,
+    "w9_stream_page_unique": page_unique,
+    "w10_stream_first_payment": first_payment,
     "t9_stream_traffic": traffic,
     "t9_stream_home_detail": home_detail,
     "t9_stream_user_login": user_login,
+    "t9_stream_payment": payment,
     "t12_stream_split_log": split_log,
     "t11_stream_dimensions": dimensions,
     "s11_stream_routed_facts": routed_facts,
-    "t9_stream_payment": payment,
     "d4_stream_order_detail": order_detail,
     "d5_stream_cancel_detail": cancel_detail,
+    "d6_stream_pay_detail": paid_lines,
     "d7_stream_refund": refund,
     "d8_stream_refund_payment": refund_payment,
-    "d6_stream_pay_detail": paid_lines,
+    "j2_stream_refund_within": refund_within(300),
+    "j4_stream_payment_within": payment_within(300),
     "g9_stream_sku_order": sku_order,
     "g10_stream_province_order": province_order,
     "g11_stream_refund": refund_windows,

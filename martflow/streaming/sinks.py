@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from martflow.operators.first import latest_version
 
@@ -41,29 +42,49 @@ def read_part(like: DataFrame, path: str, batch_id: int) -> DataFrame:
     return read_parts(like, path).where(F.col("batch_id") == batch_id).select(*like.columns)
 
 
-def upsert_sink(path: str, every: int, keys: Sequence[str], order: Sequence[str] = ()) -> Batch:
-    """Rows of an upsert table, kept in generations; after `every` batches a new one begins.
+@dataclass(frozen=True)
+class UpsertTable:
+    """An upsert table in buckets by key hash, merged when it is read, compacted bucket by bucket.
 
-    `read_upserts` gives the current rows. A generation starts with the current rows of the one
-    before, tombstones included, as an earlier change may still arrive by `order`.
+    A batch writes one folder, `batch_id=…/bucket=…`: its own rows, and of the buckets whose turn it is also
+    the current rows of the batches before. Every bucket has its turn once in `every` batches, so a batch compacts
+    one part in `every` of the table and a reader opens `every` folders, however long the stream has run. A repeated
+    batch replaces its folder and reads earlier ones only. The latest row of a key is that of the greatest
+    `order`, then of the last batch; a row whose `deleted` is true removes the key, and is kept as a mark, as a
+    change that `order` puts before it may still arrive. Folders older than `every` batches are not read again.
     """
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        generation = batch_id // every
-        if generation and batch_id % every == 0:
-            before = f"{path}/generation={generation - 1}"
-            kept = latest_version(df.sparkSession.read.parquet(before), keys, [*order, "batch_id"])
-            write_part(kept.drop("batch_id"), f"{path}/generation={generation}", -1)
-        write_part(df, f"{path}/generation={generation}", batch_id)
-
-    return write
-
-
-def read_upserts(
-    spark: SparkSession, path: str, batch_id: int, every: int, keys: Sequence[str], order: Sequence[str] = ()
-) -> DataFrame:
-    """Current rows of an upsert table after a batch: of its last generation only."""
-    return read_current(spark, f"{path}/generation={batch_id // every}", keys, order)
+    path: str
+    schema: T.StructType
+    keys: tuple[str, ...]
+    order: tuple[str, ...] = ()
+    buckets: int = 16
+    every: int = 4
+
+    def _parts(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """What the buckets hold after a batch, each from its last turn on."""
+        first = max(0, batch_id - self.every + 1)
+        paths = [f"{self.path}/batch_id={k}" for k in range(first, batch_id + 1)]
+        more = [T.StructField("batch_id", T.LongType()), T.StructField("bucket", T.IntegerType())]
+        rows = spark.read.schema(T.StructType([*self.schema.fields, *more])).option("basePath", self.path).parquet(*paths)
+        since = F.lit(batch_id) - F.pmod(F.col("bucket") + batch_id, F.lit(self.every))
+        return rows.where(F.col("batch_id") >= since)
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        rows = df.select(*self.schema.names).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        if batch_id:
+            before = self._parts(df.sparkSession, batch_id - 1)
+            turn = F.pmod(F.col("bucket") + batch_id, F.lit(self.every)) == 0
+            rows = rows.unionByName(before.where(turn))
+        kept = latest_version(rows, list(self.keys), [*self.order, "batch_id"])
+        write_part(kept.drop("batch_id"), self.path, batch_id, "bucket")
+
+    def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Current rows after a batch."""
+        rows = latest_version(self._parts(spark, batch_id), list(self.keys), [*self.order, "batch_id"])
+        rows = rows.drop("batch_id", "bucket")
+        return rows.where("NOT coalesce(deleted, false)").drop("deleted") if "deleted" in self.schema.names else rows
 
 
 def append_sink(path: str, *by: str) -> Batch:
@@ -101,12 +122,11 @@ def read_sums(spark: SparkSession, path: str, measures: Sequence[str]) -> DataFr
     return rows.groupBy(*keys).agg(*[F.sum(m).alias(m) for m in measures])
 
 
-def compacted(spark: SparkSession, path: str, into: str, keys: Sequence[str], order: Sequence[str] = ()) -> None:
-    """Write the current rows of an upsert table as the first part of a new one."""
-    write_part(read_current(spark, path, keys, order), into, 0)
+def start(df: DataFrame, sink: Batch, checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
+    """Begin to process what is there, then stop; `trigger` replaces the availableNow trigger."""
+    writer: DataStreamWriter = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(sink).start()
 
 
 def run(df: DataFrame, sink: Batch, checkpoint: str, mode: str = "append", **trigger) -> None:
-    """Process what is there and stop; `trigger` replaces the availableNow trigger."""
-    writer: DataStreamWriter = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-    writer.trigger(**(trigger or {"availableNow": True})).foreachBatch(sink).start().awaitTermination()
+    start(df, sink, checkpoint, mode, **trigger).awaitTermination()

@@ -1,21 +1,21 @@
 """Streams over several micro-batches give what the batch jobs give."""
 
+import random
 from uuid import uuid4
 
 import pytest
 from pyspark.sql import functions as F
 
+from martflow.catalogue import catalogue
 from martflow.operators import first, routing
 from martflow.operators.windows import stamped, tumble
 from martflow.plans import dwd, dws
 from martflow.plans.warehouse import Warehouse
 from martflow.sources import replay
 from martflow.sources.tables import Tables
-from martflow.streaming import jobs
-from martflow.streaming.ledger import Ledger
-from martflow.streaming.sinks import (
-    append_sink, compacted, read_current, read_sums, read_upserts, run, text_sink, upsert_sink, write_part,
-)
+from martflow.streaming import jobs, queries
+from martflow.streaming.arrivals import Arrivals
+from martflow.streaming.sinks import UpsertTable, append_sink, read_current, run, text_sink, write_part
 from martflow.streaming.sources import StreamTables, arrival_number
 
 
@@ -55,40 +55,51 @@ def batches(spark, path):
     return spark.read.parquet(path).select("batch_id").distinct().count()
 
 
-@pytest.mark.parametrize(
-    "job, measures, name",
-    [
-        (jobs.traffic, jobs.TRAFFIC_SUMS, "traffic"),
-        (jobs.home_detail, ("home_uv_ct", "good_detail_uv_ct"), "home_detail"),
-        (jobs.user_login, ("back_ct", "uu_ct"), "user_login"),
-    ],
-)
-def test_first_time_jobs(spark, small, parts, tmp_path, job, measures, name):
-    rows = replay.traffic(StreamTables(spark, parts, files_per_trigger=1))
-    if name != "traffic":
-        rows = rows.where("page_id IS NOT NULL")
-    run(rows, job(f"{tmp_path}/state", f"{tmp_path}/out"), f"{tmp_path}/cp")
-    assert batches(spark, f"{tmp_path}/out") == 4
-    assert same(read_sums(spark, f"{tmp_path}/out", measures), Warehouse(spark, small).windows[name])
+def mixed(self, rows, time):
+    """Slices that have nothing to do with time."""
+    return F.pmod(F.xxhash64("seq"), F.lit(self.batches))
 
 
-def test_repeated_batch_changes_nothing(spark, small, tmp_path):
-    rows = replay.traffic(Tables(spark, small))
-    job = jobs.traffic(f"{tmp_path}/state", f"{tmp_path}/out")
-    for batch_id, cond in ((0, "seq < 400"), (1, "seq >= 400"), (1, "seq >= 400")):
-        job(rows.where(cond), batch_id)
-    found = read_sums(spark, f"{tmp_path}/out", jobs.TRAFFIC_SUMS)
-    assert same(found, Warehouse(spark, small).windows["traffic"])
+@pytest.mark.parametrize("name, want", [
+    ("w5_stream_first_visit", "w5_first_visit_fix"), ("w6_stream_daily_unique", "w6_daily_unique"),
+    ("w8_stream_backflow", "w8_backflow"), ("t9_stream_traffic", "g2_traffic"),
+])
+def test_first_times_in_any_order_of_arrival(spark, small, monkeypatch, name, want):
+    """A first row that comes after others takes their place, as long as the watermark lets it in."""
+    monkeypatch.setattr(Arrivals, "_slice", mixed)
+    monkeypatch.setattr(jobs, "DELAY", "5000 days")
+    w = Warehouse(spark, small)
+    assert same(queries.QUERIES[name](w), catalogue()[want](w))
 
 
-def test_payment_job(spark, spring, tmp_path):
+@pytest.mark.parametrize("name, want", [
+    ("d4_stream_order_detail", "d4_order_detail"), ("d5_stream_cancel_detail", "d5_cancel_detail"),
+    ("d6_stream_pay_detail", "d6_pay_detail"), ("d7_stream_refund", "d7_refund"),
+    ("g9_stream_sku_order", "g9_sku_order"), ("g11_stream_refund", "g11_refund"),
+])
+def test_joins_in_any_order_of_arrival(spark, spring, monkeypatch, name, want):
+    """Halves of a pair that come with different batches find each other."""
+    monkeypatch.setattr(Arrivals, "_slice", mixed)
+    monkeypatch.setattr(jobs, "DELAY", "5000 days")
     w = Warehouse(spark, spring)
-    job = jobs.payment_suc(f"{tmp_path}/state", f"{tmp_path}/out")
-    paid = w.pay_detail.select("user_id", "et", "seq").persist()
-    for batch_id, (low, high) in enumerate((("1990-01-01", "1995-01-10"), ("1995-01-10", "1995-02-01"), ("1995-02-01", "1999-01-01"))):
-        job(paid.where(f"et >= '{low}' AND et < '{high}'"), batch_id)
-    measures = ["payment_suc_unique_user_count", "payment_suc_new_user_count"]
-    assert same(read_sums(spark, f"{tmp_path}/out", measures), w.windows["payment_suc"])
+    found, full = queries.QUERIES[name](w), catalogue()[want](w)
+    shared = [c for c in found.columns if c in full.columns]
+    assert len(shared) > 3 and same(found.select(shared), full.select(shared))
+
+
+def test_state_goes_when_the_span_is_over(spark, small):
+    """An outer join with a span: every refund comes out once, and nothing is kept at the end."""
+    s = queries.Stage(Warehouse(spark, small))
+    rows = s.appended("refunds", jobs.refunds(*s.log("order_info", "order_refund_info"), 30, "leftOuter"))()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in s.progress("refunds")]
+    assert len(states) >= 6 and max(states) > 0 and states[-1] == 0
+    assert rows.count() == dwd.granted_refunds(s.warehouse.log).count()
+
+
+def test_every_stream_goes_through_several_batches(spark, small):
+    s = queries.Stage(Warehouse(spark, small))
+    devices = queries._devices(s, s.behaviour())
+    assert devices().count() and [p["batchId"] for p in s.progress("devices") if p["numInputRows"]] == [0, 1, 2, 3, 4]
 
 
 def test_native_windows(spark, small, parts, tmp_path):
@@ -139,21 +150,6 @@ def test_late_records_are_dropped(spark, tmp_path):
     assert found == {"2024-01-01 10:00:00": 2, "2024-01-01 10:10:00": 1}
 
 
-def test_order_lines_in_any_order_of_arrival(spark, spring, tmp_path):
-    w = Warehouse(spark, spring)
-    log = replay.change_log(
-        w.tables, "order_info", "order_detail", "order_detail_coupon", "order_detail_activity").persist()
-    job = jobs.order_detail(f"{tmp_path}/state", f"{tmp_path}/out")
-    late = F.pmod(F.xxhash64("table", "seq"), F.lit(3))
-    for batch_id in range(3):
-        job(log.where(late == batch_id), batch_id)
-    want = w.order_detail
-    found = read_current(spark, f"{tmp_path}/out", ["id"])
-    assert same(found, want)
-    compacted(spark, f"{tmp_path}/out", f"{tmp_path}/base", ["id"])
-    assert same(spark.read.parquet(f"{tmp_path}/base").drop("batch_id"), want)
-
-
 def test_dimensions_follow_the_configuration(spark, small, tmp_path):
     w = Warehouse(spark, small)
     changes = replay.dimension_changes(w.tables)
@@ -171,45 +167,6 @@ def test_dimensions_follow_the_configuration(spark, small, tmp_path):
     assert same(rows, want)
 
 
-@pytest.mark.parametrize("job, names, want", [
-    (jobs.refunds, ("order_info", "order_refund_info"), "d7_refund"),
-    (jobs.refund_payments, ("order_info", "order_refund_info", "refund_payment"), "d8_refund_payment"),
-    (jobs.cancel_detail, ("order_info", "order_detail", "order_detail_coupon", "order_detail_activity"), "d5_cancel_detail"),
-    (jobs.paid_lines, ("order_info", "order_detail", "order_detail_coupon", "order_detail_activity", "payment_info"), "d6_pay_detail"),
-])
-def test_joins_in_any_order_of_arrival(spark, spring, tmp_path, job, names, want):
-    """Halves of a pair that come with different batches, at any distance in time, find each other."""
-    w = Warehouse(spark, spring)
-    log = replay.change_log(w.tables, *names).persist()
-    write = job(f"{tmp_path}/state", f"{tmp_path}/out")
-    for batch_id in range(3):
-        write(log.where(F.pmod(F.xxhash64("table", "seq"), F.lit(3)) == batch_id), batch_id)
-    write(log.where(F.pmod(F.xxhash64("table", "seq"), F.lit(3)) == 2), 2)  # a repeated batch
-    rows = spark.read.parquet(f"{tmp_path}/out")
-    if job in (jobs.cancel_detail, jobs.paid_lines):
-        rows = read_current(spark, f"{tmp_path}/out", ["id"] if job is jobs.cancel_detail else ["id", "detail_id"])
-    from martflow.catalogue import catalogue
-    full = catalogue()[want](w)
-    shared = [c for c in rows.columns if c in full.columns]
-    assert len(shared) > 3 and same(rows.select(shared), full.select(shared))
-
-
-@pytest.mark.parametrize("name, tables", [
-    ("sku_order", ("order_detail",)),
-    ("province_order", ("order_info", "order_detail")),
-    ("refund", ("order_info", "order_refund_info")),
-])
-def test_windows_of_facts_in_any_order_of_arrival(spark, spring, tmp_path, name, tables):
-    w = Warehouse(spark, spring)
-    other = {"sku_order": w.flat_sku, "province_order": replay.province(w.tables), "refund": w.flat_sku}[name]
-    job = {"sku_order": jobs.sku_order, "province_order": jobs.province_order, "refund": jobs.refund_windows}[name]
-    log = replay.change_log(w.tables, *tables).persist()
-    write = job(f"{tmp_path}/state", f"{tmp_path}/out", other)
-    for batch_id in (0, 1, 2, 2):
-        write(log.where(F.pmod(F.xxhash64("table", "seq"), F.lit(3)) == batch_id), batch_id)
-    assert same(jobs.read_windows(spark, f"{tmp_path}/out"), w.windows[name])
-
-
 def test_repeated_batch_after_a_route_changed(spark, tmp_path):
     """Only the rows of the last try stay."""
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id INT, sink_table STRING")
@@ -236,23 +193,24 @@ def test_a_change_overtaken_stays_overtaken(spark):
     assert [(r.k, r.v) for r in routing.current(routing.apply_changes(table, late, ["k"])).collect()] == [(1, "new")]
 
 
-def test_upserts_with_tombstones_in_generations(spark, tmp_path):
-    schema = "id INT, v STRING, deleted BOOLEAN"
-    sink = upsert_sink(str(tmp_path), 2, ["id"])
-    for batch_id, rows in enumerate(([(1, "a", False), (2, "a", False)], [(1, None, True)], [(3, "c", False)], [(2, "d", False)])):
-        sink(spark.createDataFrame(rows, schema), batch_id)
-    sink(spark.createDataFrame([(2, "d", False)], schema), 3)
-    assert {tuple(r) for r in read_upserts(spark, str(tmp_path), 3, 2, ["id"]).collect()} == {(2, "d"), (3, "c")}
-    assert {tuple(r) for r in read_upserts(spark, str(tmp_path), 1, 2, ["id"]).collect()} == {(2, "a")}
-
-
-def test_a_batch_reads_only_its_buckets(spark, tmp_path):
-    ledger = Ledger(str(tmp_path), ("mid",))
-    rows = spark.createDataFrame([(f"m{i}", i, i) for i in range(200)], "mid STRING, ts BIGINT, seq BIGINT")
-    assert ledger.fresh(rows, 0).count() == 200
-    later = spark.createDataFrame([("m7", 900, 900), ("x", 901, 901)], "mid STRING, ts BIGINT, seq BIGINT")
-    assert [r.mid for r in ledger.fresh(later, 1).collect()] == ["x"]
-    assert ledger.earlier(later, 1).count() < 30
+def test_upsert_table_by_bucket(spark, tmp_path):
+    """Random changes and deletes over many batches, some repeated: always the rows of a dictionary."""
+    rng = random.Random(1)
+    df = lambda rows: spark.createDataFrame(rows, "id INT, v INT, at INT, deleted BOOLEAN")
+    table = UpsertTable(str(tmp_path), df([]).schema, ("id",), ("at",), buckets=5, every=3)
+    want = {}
+    for batch_id in range(9):
+        rows = [(rng.randint(0, 30), rng.randint(0, 99), 100 * rng.randint(0, batch_id) + k, rng.random() < 0.3) for k in range(8)]
+        table.write(df(rows), batch_id)
+        if batch_id % 4 == 2:
+            table.write(df(rows), batch_id)
+        for k, v, at, gone in rows:
+            if at >= want.get(k, (0, -1))[1]:
+                want[k] = (v, at, gone)
+        found = {(r.id, r.v) for r in table.read(spark, batch_id).collect()}
+        assert found == {(k, v) for k, (v, _, gone) in want.items() if not gone}
+    # However long the stream runs, a reader opens the last folders only.
+    assert len({f.split("batch_id=")[1][0] for f in table.read(spark, 8).inputFiles()}) <= 3
 
 
 def test_text_lines_through_a_stream(spark, small, tmp_path):
