@@ -306,6 +306,16 @@ def m4_increment(w: Warehouse) -> DataFrame:
     return routing.current(table).select("row_key", "seq", "price")
 
 
+def t11(w: Warehouse) -> DataFrame:
+    rows = dwd.routed_as_of(replay.routed_changes(w.tables), replay.route_log(w.tables))
+    return rows.select("sink_table", "op_type", "ts", "seq", _value("id"), _value("name"))
+
+
+def m5(w: Warehouse) -> DataFrame:
+    rows = dwd.living_dimensions(replay.routed_changes(w.tables), replay.route_log(w.tables))
+    return rows.select("sink_table", "row_key", "op_type", "ts", "seq", _value("name"))
+
+
 def d0(w: Warehouse) -> DataFrame:
     changes = dwd.dimension_log(replay.dimension_changes(w.tables), w.dimension_config)
     rows = routing.compact(changes, ["sink_table", "row_key"])
@@ -396,6 +406,8 @@ def catalogue() -> dict[str, Query]:
         "m3_op_filter": m3,
         "m4_dim_compaction": m4,
         "m4_dim_increment": m4_increment,
+        "t11_route_as_of": t11,
+        "m5_dimension_life": m5,
         "t13_explode_actions": t13,
         "d0_dimensions": d0,
         "d1_start": _log_part("start", "is_new", "entry", "loading_time"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from martflow.functions.scalar import keep_keys, merge, plain_op
@@ -26,6 +26,51 @@ def active_config(
     return latest_version(routes, list(keys), ["ts", "seq"]).where("op <> 'd'")
 
 
+def in_force(changes: DataFrame, sink_type: str) -> DataFrame:
+    """Routes with the span of time each was in force: from its change, until the next one of its table.
+
+    `since` is in the span, `until` (null: still in force) is not; of changes at one time the last one counts. A removed
+    route leaves a gap. The configuration is small beside what it routes: a table's versions are sorted in one task.
+    """
+    routes = parse_config(changes).where(F.col("sink_type") == sink_type)
+    after = F.lead("ts").over(Window.partitionBy("source_table").orderBy("ts", "seq"))
+    spans = routes.withColumn("until", after).where("op <> 'd' AND (until IS NULL OR until > ts)")
+    return spans.withColumnRenamed("ts", "since").drop("op", "seq")
+
+
+def route_as_of(changes: DataFrame, spans: DataFrame, normalise: bool = True) -> DataFrame:
+    """Changes joined with the route in force at their own time, wanted operations only.
+
+    Spark broadcasts the spans below its threshold, and else splits tables with many changes.
+    """
+    op = plain_op(F.col("type")) if normalise else F.col("type")
+    rules = spans.select("source_table", "source_type", "sink_table", "sink_columns", "sink_row_key", "since", "until")
+    now = (F.col("ts") >= F.col("since")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
+    routed = changes.withColumn("op_type", op).join(rules, (F.col("table") == F.col("source_table")) & now)
+    return routed.where(wanted_op()).drop("since", "until")
+
+
+def epochs(changes: DataFrame) -> DataFrame:
+    """Dimensions that exist, with the time their present life began: sink_table, born.
+
+    Creating a dimension leaves what is there; changing or removing its route drops its rows, and it
+    exists unless the last change removed it.
+    """
+    routes = parse_config(changes).where(F.col("sink_type") == "DIM")
+    found = routes.groupBy("sink_table").agg(
+        F.max(F.when(F.col("op").isin("u", "d"), F.struct("ts", "seq"))).alias("_drop"),
+        F.max_by("op", F.struct("ts", "seq")).alias("_last"),
+    )
+    return found.where("_last <> 'd'").select("sink_table", F.coalesce("_drop.ts", F.lit(-(2**63))).alias("born"))
+
+
+def living(rows: DataFrame, lives: DataFrame) -> DataFrame:
+    """Dimension changes of the present life of their dimension."""
+    lives = lives.withColumnRenamed("sink_table", "_sink")
+    found = rows.join(lives, (F.col("sink_table") == F.col("_sink")) & (F.col("ts") >= F.col("born")))
+    return found.drop("_sink", "born")
+
+
 def wanted_op():
     """Whether a route takes the operation of a change: ALL, or a comma list naming it."""
     return (F.col("source_type") == "ALL") | F.array_contains(

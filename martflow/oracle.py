@@ -167,6 +167,19 @@ COMMON: dict[str, str] = {
         CASE o_orderstatus WHEN 'O' THEN 'c' WHEN 'P' THEN 'u' ELSE 'd' END AS op,
         'table_' || o_custkey AS source_table, 'dim_' || o_custkey AS sink_table, o_orderpriority AS source_type,
         CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'DWD' ELSE 'DIM' END AS sink_type FROM orders""",
+    "route_log": """SELECT o_orderkey AS seq, CAST(epoch(o_orderdate) AS BIGINT) AS ts,
+        CASE o_orderstatus WHEN 'O' THEN 'c' WHEN 'P' THEN 'u' ELSE 'd' END AS op,
+        'table_' || o_custkey AS source_table, 'dim_' || o_custkey AS sink_table,
+        CASE o_orderpriority[1] WHEN '1' THEN ['insert', 'update', 'delete'] WHEN '2' THEN ['insert']
+          WHEN '3' THEN ['update', 'delete'] ELSE ['insert', 'update'] END AS wanted, o_orderpriority[1] < '4' AS named FROM orders""",
+    "line_changes": """SELECT 'table_' || l_suppkey AS tab, CASE WHEN l_returnflag = 'R' THEN 'delete' WHEN l_linestatus = 'F' THEN 'update'
+        ELSE 'insert' END AS op_type, CAST(epoch(l_shipdate) AS BIGINT) AS ts, CAST(l_partkey AS VARCHAR) AS id, id AS name, seq FROM li""",
+    "spans": """SELECT *, lead(ts) OVER (PARTITION BY source_table ORDER BY ts, seq) AS until FROM route_log""",
+    "as_of": """SELECT sink_table, op_type, c.ts, c.seq, c.id, CASE WHEN named THEN name END AS name FROM line_changes c
+        JOIN spans s ON tab = source_table AND c.ts >= s.ts AND (until IS NULL OR c.ts < until)
+        WHERE op <> 'd' AND list_contains(wanted, op_type)""",
+    "lives": """SELECT sink_table, coalesce(max(ts) FILTER (op IN ('u', 'd')), -1) AS born FROM route_log
+        GROUP BY sink_table HAVING arg_max(op, (ts, seq)) <> 'd'""",
     # ---- dimensions
     "sku": f"""SELECT CAST(p_partkey AS VARCHAR) AS sku_id, p_name AS sku_name,
         CAST(CAST(p_retailprice AS DECIMAL(16,2)) AS VARCHAR) AS price,
@@ -338,6 +351,10 @@ def _bodies() -> dict[str, str]:
               THEN 'ar,ch,entry,error_code,is_new,loading_time,mid,sid,ts,uid,vc'
               ELSE 'ar,ch,during_time,error_code,is_new,last_page_id,mid,page_id,sid,ts,uid,vc' END AS columns
             FROM traf WHERE event_type = 'error' OR event_type = 'click' AND k >= 90""",
+        "t11_route_as_of": "SELECT * FROM as_of",
+        "m5_dimension_life": """SELECT sink_table, row_key, op_type, ts, seq, name FROM (
+            SELECT as_of.sink_table, id AS row_key, op_type, ts, seq, name FROM as_of JOIN lives ON as_of.sink_table = lives.sink_table AND ts >= born
+            QUALIFY row_number() OVER (PARTITION BY as_of.sink_table, id ORDER BY ts DESC, seq DESC) = 1) WHERE op_type <> 'delete'""",
         "j1_left_chain": """SELECT id, seq, order_id, user_id, province_id, coupon_id, coupon_use_id,
             activity_id, activity_rule_id FROM versions""",
         "j2_inner_updates": "SELECT id, seq, order_id, sku_id, province_id FROM granted JOIN refunded USING (order_id)",
@@ -512,6 +529,12 @@ def _bodies() -> dict[str, str]:
             SELECT 'window' AS kind, strftime(w, {STAMP}) AS stt, event_type, count(*) AS n FROM judged WHERE NOT gone GROUP BY ALL
             UNION ALL SELECT 'lost rows', NULL, NULL, count(*) FILTER (gone) FROM judged
             UNION ALL SELECT 'lost groups', NULL, NULL, count(DISTINCT CASE WHEN gone THEN (w, event_type, b) END) FROM judged)""",
+        "t11_stream_route_as_of": q["t11_route_as_of"],
+        "m5_stream_dimension_life": q["m5_dimension_life"],
+        "t14_stream_upserts": """SELECT tab AS "table", id, name, ts, seq FROM (SELECT * FROM line_changes
+            QUALIFY row_number() OVER (PARTITION BY tab, id ORDER BY ts DESC, seq DESC) = 1) WHERE op_type <> 'delete'""",
+        "s10_stream_open_lines": """SELECT id, order_id, sku_id, sku_num, split_total_amount, seq FROM last_lines
+            WHERE order_id NOT IN (SELECT order_id FROM cancels)""",
         "w5_stream_first_visit": q["w5_first_visit_fix"],
         "w6_stream_daily_unique": q["w6_daily_unique"],
         "w7_stream_session_first": q["w7_session_first"],

@@ -288,6 +288,18 @@ def routed_facts(changes: DataFrame, config: DataFrame) -> DataFrame:
     return routed.select("sink_table", "data", "ts", "seq")
 
 
+def routed_as_of(changes: DataFrame, config: DataFrame) -> DataFrame:
+    """Changes with the destination and columns that were configured when they came."""
+    valid = ods.valid_changes(changes, codes.DIM_OPS)
+    return routing.prune(routing.route_as_of(valid, routing.in_force(config, "DIM")))
+
+
+def living_dimensions(changes: DataFrame, config: DataFrame) -> DataFrame:
+    """Current rows of the dimensions that exist: sink_table, row_key, op_type, data, ts, seq."""
+    rows = routing.dimension_changes(routed_as_of(changes, config))
+    return routing.compact(routing.living(rows, routing.epochs(config)), ["sink_table", "row_key"])
+
+
 def dimension_log(changes: DataFrame, config: DataFrame) -> DataFrame:
     """Changes of configured dimension tables, ready to be compacted or applied."""
     valid = ods.valid_changes(changes, codes.DIM_OPS)

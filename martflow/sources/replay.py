@@ -452,6 +452,34 @@ def config_changes(t: Tables) -> DataFrame:
     )
 
 
+def route_log(t: Tables) -> DataFrame:
+    """Orders as the life of routes, one dimension per customer: created, changed and removed as orders come."""
+    level = F.substring("o_orderpriority", 1, 1)
+    wanted = F.when(level == "1", "ALL").when(level == "2", "insert").when(level == "3", "update,delete").otherwise("insert,update")
+    route = F.struct(
+        F.concat_ws("_", F.lit("table"), "o_custkey").alias("source_table"), wanted.alias("source_type"),
+        F.concat_ws("_", F.lit("dim"), "o_custkey").alias("sink_table"), F.lit("DIM").alias("sink_type"),
+        F.lit("info").alias("sink_family"), F.when(level < "4", "id,name").otherwise("id").alias("sink_columns"),
+        F.lit("id").alias("sink_row_key"),
+    )
+    op = F.when(F.col("o_orderstatus") == "O", "c").when(F.col("o_orderstatus") == "P", "u").otherwise("d")
+    return t("orders").select(
+        F.col("o_orderkey").alias("seq"), seconds("o_orderdate").alias("ts"), op.alias("op"),
+        F.when(op != "c", route).alias("before"), F.when(op != "d", route).alias("after"),
+        F.col("o_orderdate").cast("timestamp").alias("et"),
+    )
+
+
+def routed_changes(t: Tables) -> DataFrame:
+    """Line items as changes of one table per supplier, over the years in which routes change."""
+    op = F.when(F.col("l_returnflag") == "R", "delete").when(F.col("l_linestatus") == "F", "update").otherwise("insert")
+    return t("lineitem").select(
+        F.concat_ws("_", F.lit("table"), "l_suppkey").alias("table"), F.lit(codes.DATABASE).alias("database"), op.alias("type"),
+        seconds("l_shipdate").alias("ts"), text_map(id=F.col("l_partkey"), name=detail_id()).alias("data"),
+        arrival().alias("seq"), F.col("l_shipdate").cast("timestamp").alias("et"),
+    )
+
+
 def _config_rows(t: Tables, rows: list[tuple]) -> DataFrame:
     """Literal routing changes (op, source table and types, sink, columns, key), in order."""
     values = ", ".join(str((n, *row)) for n, row in enumerate(rows, 1))

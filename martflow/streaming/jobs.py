@@ -200,6 +200,36 @@ def dimensions(out: str, config: Callable[[DataFrame], DataFrame]) -> Batch:
     return batch
 
 
+def routed_as_of(config: str, out: str) -> Batch:
+    """Routing changes and business changes of one stream: each change by the route in force at its time.
+
+    A batch adds its routing changes to a table, and its business changes find their routes in what that holds
+    then; a change must not come before the routes of its time, which the slices and a topic's order see to.
+    """
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        write_part(rows.where("op IS NOT NULL").select("seq", "ts", "op", "before", "after"), config, batch_id)
+        known = rows.sparkSession.read.parquet(config).where(F.col("batch_id") <= batch_id)
+        changes = rows.where("op IS NULL").select("table", "database", "type", "ts", "data", "seq")
+        write_part(routing.dimension_changes(dwd.routed_as_of(changes, known)), out, batch_id)
+
+    return batch
+
+
+def upserted(changes: DataFrame) -> DataFrame:
+    """Valid changes as rows of an upsert table by table and id; a delete is a tombstone."""
+    valid = ods.valid_changes(changes, codes.DIM_OPS)
+    return valid.select(
+        "table", F.col("data")["id"].alias("id"), F.col("data")["name"].alias("name"), "ts", "seq",
+        (F.col("type") == "delete").alias("deleted"))
+
+
+def open_lines(log: DataFrame, clock: DataFrame) -> DataFrame:
+    """Order lines as they come, and tombstones for those whose order is cancelled."""
+    gone = cancelled_lines(log, clock).select("id", "seq", F.lit(True).alias("deleted"))
+    return dwd.detail_rows(log).drop("ts", "et").withColumn("deleted", F.lit(False)).unionByName(gone, allowMissingColumns=True)
+
+
 def current_dimensions(log: DataFrame, routes: DataFrame) -> DataFrame:
     """Rows of all dimensions still configured; retired ones are gone."""
     alive = log.join(routes.select("sink_table").distinct(), "sink_table", "left_semi")

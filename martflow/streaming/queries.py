@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from martflow.functions.scalar import merge
-from martflow.operators import first
+from martflow.operators import first, routing
 from martflow.operators.windows import stamped, tumble
 from martflow.plans import dwd, dws
 from martflow.plans.warehouse import Warehouse
@@ -365,6 +365,43 @@ def routed_facts(w: Warehouse) -> DataFrame:
         "sink_table", F.col("data")["id"].alias("id"), F.col("data")["op_type"].alias("op_type"), "ts", "seq")
 
 
+def _as_of(w: Warehouse) -> tuple[DataFrame, DataFrame]:
+    """Changes of both kinds as one stream; the rows it writes, and the configuration it has gathered."""
+    s = Stage(w)
+    changes = s.topic("changes", replay.routed_changes(w.tables))
+    routes = s.topic("routes", replay.route_log(w.tables))
+    config, out = f"{s.folder}/config", f"{s.folder}/routed/rows"
+    s.run("routed", changes.unionByName(routes, allowMissingColumns=True), jobs.routed_as_of(config, out))
+    s.finished("routed")
+    return s.spark.read.parquet(out), s.spark.read.parquet(config)
+
+
+def route_as_of(w: Warehouse) -> DataFrame:
+    rows, _ = _as_of(w)
+    return rows.select("sink_table", "op_type", "ts", "seq", *[F.col("data")[n].alias(n) for n in ("id", "name")])
+
+
+def dimension_life(w: Warehouse) -> DataFrame:
+    rows, config = _as_of(w)
+    rows = routing.compact(routing.living(rows, routing.epochs(config)), ["sink_table", "row_key"])
+    return rows.select("sink_table", "row_key", "op_type", "ts", "seq", F.col("data")["name"].alias("name"))
+
+
+def upserts(w: Warehouse) -> DataFrame:
+    """An upsert table with deletes, whose slices have nothing to do with the order of the changes."""
+    s = Stage(w)
+    changes = s.topic("changes", replay.routed_changes(w.tables), slices=F.pmod(F.xxhash64("seq", "table"), F.lit(s.arrivals.batches)))
+    rows = s.upserts("rows", jobs.upserted(changes), "table", "id", order=("ts", "seq"), mode="append")
+    return rows().select("table", "id", "name", "ts", "seq")
+
+
+def open_lines(w: Warehouse) -> DataFrame:
+    s = Stage(w)
+    log = s.log("order_info", "order_detail")
+    rows = s.upserts("lines", jobs.open_lines(*log), "id", order=("seq", "deleted"), mode="append")
+    return rows().select("id", "order_id", "sku_id", "sku_num", "split_total_amount", "seq")
+
+
 QUERIES: dict[str, Query] = {
     "t4_stream_keyword": keyword,
     "t4_stream_register": user_register,
@@ -383,6 +420,10 @@ QUERIES: dict[str, Query] = {
     "t9_stream_payment": payment,
     "t12_stream_split_log": split_log,
     "t11_stream_dimensions": dimensions,
+    "t11_stream_route_as_of": route_as_of,
+    "m5_stream_dimension_life": dimension_life,
+    "t14_stream_upserts": upserts,
+    "s10_stream_open_lines": open_lines,
     "s11_stream_routed_facts": routed_facts,
     "d4_stream_order_detail": order_detail,
     "d5_stream_cancel_detail": cancel_detail,
