@@ -551,6 +551,7 @@ def _bodies() -> dict[str, str]:
             for kind in ("start", "page", "display", "action", "err")),
         "t9_stream_payment": q["g7_payment_suc"],
         "d6_stream_pay_detail": q["d6_pay_detail"],
+        "g8_stream_order": q["g8_order"],
         "g9_stream_sku_order": q["g9_sku_order"],
         "g10_stream_province_order": q["g10_province_order"],
         "g11_stream_refund": q["g11_refund"],

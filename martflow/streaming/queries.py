@@ -21,7 +21,7 @@ from martflow.plans import dwd, dws
 from martflow.plans.warehouse import Warehouse
 from martflow.session import scratch
 from martflow.sources import replay
-from martflow.streaming import jobs
+from martflow.streaming import jobs, running
 from martflow.streaming.arrivals import Arrivals
 from martflow.streaming.sinks import Batch, UpsertTable, append_sink, start
 
@@ -337,6 +337,19 @@ def province_order(w: Warehouse) -> DataFrame:
     return dws.province_order_of(rows, replay.province(w.tables))
 
 
+def order_windows(w: Warehouse) -> DataFrame:
+    """A join of streams, the minima of each user, then two groupings, in one query."""
+    s = Stage(w)
+    name, store = running.STORE
+    before = s.spark.conf.get(name)
+    s.spark.conf.set(name, store)
+    try:
+        lines = jobs.placed_lines(*s.log("order_info", "order_detail")).select("user_id", "et", "create_time")
+        return s.appended("windows", running.order_windows(lines))()
+    finally:
+        s.spark.conf.set(name, before)
+
+
 def refund_windows(w: Warehouse) -> DataFrame:
     s = Stage(w)
     return s.appended("windows", jobs.refund_windows(*s.log("order_info", "order_refund_info"), w.flat_sku, WHOLE_DAYS))()
@@ -432,6 +445,7 @@ QUERIES: dict[str, Query] = {
     "d8_stream_refund_payment": refund_payment,
     "j2_stream_refund_within": refund_within(300),
     "j4_stream_payment_within": payment_within(300),
+    "g8_stream_order": order_windows,
     "g9_stream_sku_order": sku_order,
     "g10_stream_province_order": province_order,
     "g11_stream_refund": refund_windows,
