@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,9 @@ from martflow.operators.joins import full_outer, interval_join, window_join, wit
 from martflow.operators.windows import distinct_per_window, stamped, tumble
 from martflow.plans import ads, dwd, dws
 from martflow.plans.warehouse import Warehouse
+from martflow.session import scratch
 from martflow.sources import ods, replay
+from martflow.sources.store import refresh, stored_days
 from martflow.streaming.queries import QUERIES as STREAMS
 
 Query = Callable[[Warehouse], DataFrame]
@@ -354,6 +357,19 @@ def _report(name: str) -> Query:
     return lambda w: ads.REPORTS[name](w.windows)
 
 
+def _stored_report(name: str, *tables: str, day: str | None = None, whole: bool = True) -> Query:
+    """A report from stored daily sums: loaded up to a month, then the months from there on written anew, as changes would."""
+
+    def query(w: Warehouse) -> DataFrame:
+        spark, path = w.tables.spark, f"{scratch(w.tables.spark)}/daily-{uuid4().hex}"
+        refresh(w.windows, path, tables, F.col("month") < 199807)
+        refresh(w.windows, path, tables, F.col("month") >= 199806)
+        stored = stored_days(spark, path, tables)
+        return ads.REPORTS[name](stored) if whole else ads.for_day(ads.REPORTS[name], stored, day)
+
+    return query
+
+
 def catalogue() -> dict[str, Query]:
     found: dict[str, Query] = {
         "p1_valid_change_log": _valid_changes(codes.DIM_OPS),
@@ -436,6 +452,12 @@ def catalogue() -> dict[str, Query]:
         "g10_province_order": _windows("province_order"),
         "g11_refund": _windows("refund"),
     }
+    found.update({
+        "s16_stored_r9": _stored_report("r9", "home_detail", "cart_add_uu", "order", "payment_suc"),
+        "s16_stored_r16": _stored_report("r16", "province_order", "order", "refund"),
+        "f22_report_of_a_day": _stored_report("r18", "province_order", day="19980315", whole=False),
+        "f22_report_of_today": _stored_report("r10", "order", "payment_suc", whole=False),
+    })
     found.update({name: _report(name) for name in ads.REPORTS})
     found.update(STREAMS)
     return found

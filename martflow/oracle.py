@@ -529,6 +529,10 @@ def _bodies() -> dict[str, str]:
             SELECT 'window' AS kind, strftime(w, {STAMP}) AS stt, event_type, count(*) AS n FROM judged WHERE NOT gone GROUP BY ALL
             UNION ALL SELECT 'lost rows', NULL, NULL, count(*) FILTER (gone) FROM judged
             UNION ALL SELECT 'lost groups', NULL, NULL, count(DISTINCT CASE WHEN gone THEN (w, event_type, b) END) FROM judged)""",
+        "s16_stored_r9": q["r9"],
+        "s16_stored_r16": q["r16"],
+        "f22_report_of_a_day": f"SELECT name, value FROM ({q['r18']}) WHERE cur_date = '1998-03-15'",
+        "f22_report_of_today": "SELECT unnest(['order', 'payment']) AS name, CAST(NULL AS BIGINT) AS num",
         "t11_stream_route_as_of": q["t11_route_as_of"],
         "m5_stream_dimension_life": q["m5_dimension_life"],
         "t14_stream_upserts": """SELECT tab AS "table", id, name, ts, seq FROM (SELECT * FROM line_changes

@@ -9,7 +9,9 @@ from martflow.operators import first
 from martflow.operators.joins import lookup
 from martflow.plans import ads, dws
 from martflow.plans.warehouse import Warehouse
-from martflow.sources.store import stored_windows, write_windows
+from martflow.functions.words import lexicon_words
+from martflow.sources.store import refresh, stored_days, stored_windows, write_windows
+
 
 def plan(df):
     return df._jdf.queryExecution().toString()
@@ -93,3 +95,31 @@ def test_wide_ids_and_amounts_are_kept(spark):
     row = dws.sku_order(lines, sku).first()
     assert (row.sku_id, row.spu_id, row.trademark_id, row.category3_id) == (3000000000, 3000000001, 40000, 70002)
     assert str(row.order_amount) == "199999999999999.98" and row.original_amount == 760000
+
+
+def test_stored_reports_read_no_raw_table(spark, small):
+    for name in ("s16_stored_r9", "s16_stored_r16", "f22_report_of_a_day"):
+        text = plan(entry.queries()[name](spark, small))
+        assert "daily-" in text and not re.search(r"(orders|lineitem|events|customer)\.parquet", text)
+
+
+def test_refreshing_months_replaces_them_only(spark, tmp_path):
+    df = lambda rows: spark.createDataFrame(rows, "d STRING, n BIGINT").select(
+        F.col("d").cast("timestamp").alias("stt"), F.col("d").cast("timestamp").alias("edt"),
+        F.col("d").cast("date").alias("cur_date"), F.col("n").alias("register_ct"))
+    first_load = df([("2024-01-30", 1), ("2024-01-30", 2), ("2024-02-01", 5), ("2024-03-01", 7)])
+    refresh({"user_register": first_load}, str(tmp_path), ["user_register"])
+    changed = df([("2024-01-30", 100), ("2024-02-01", 6), ("2024-02-03", 1)])
+    refresh({"user_register": changed}, str(tmp_path), ["user_register"], F.col("month") == 202402)
+    found = stored_days(spark, str(tmp_path), ["user_register"])["user_register"]
+    assert sorted((str(r.cur_date), r.register_ct) for r in found.collect()) == [
+        ("2024-01-30", 3), ("2024-02-01", 6), ("2024-02-03", 1), ("2024-03-01", 7)]
+
+
+def test_words_of_any_length_in_a_lexicon(spark):
+    """A word of fifty letters is found, and does not multiply what meets the lexicon."""
+    long = "abcdefghij" * 5
+    texts = spark.createDataFrame([(1, f"xx{long}yy ab"), (2, "日本語の辞書 a"), (3, None), (4, long[:-1])], "seq INT, item STRING")
+    lexicon = spark.createDataFrame([(w,) for w in (long, "ab", "a", "本語", "辞書", "語の辞書", "zz", "", long + "k")], "word STRING")
+    found = {(r.seq, r.word) for r in lexicon_words(texts, "item", lexicon).collect()}
+    assert found == {(1, long), (1, "ab"), (1, "a"), (2, "a"), (2, "本語"), (2, "辞書"), (2, "語の辞書"), (4, "ab"), (4, "a")}
