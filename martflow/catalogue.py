@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martflow import codes
-from martflow.functions.scalar import ratio, two_places
+from martflow.functions.scalar import merge, ratio, two_places
 from martflow.functions.words import lexicon_words, words
 from martflow.operators import changes as c
 from martflow.operators import first, routing
@@ -97,6 +97,17 @@ def p14(w: Warehouse) -> DataFrame:
     )
 
 
+def d1_one_pass(w: Warehouse) -> DataFrame:
+    """All five facts: the lines are read and parsed once, and written by kind; first days come from what is written."""
+    spark, path = w.tables.spark, f"{scratch(w.tables.spark)}/facts-{uuid4().hex}"
+    facts = dwd.split_once(dwd.device_logs(replay.behaviour_lines(w.tables)))
+    facts.write.partitionBy("kind").parquet(path)
+    rows = spark.read.schema(facts.schema).parquet(path)
+    fixed = first.correct_new(rows, first.first_days(rows))
+    record = merge(F.col("record"), F.create_map(F.lit("is_new"), F.col("is_new")))
+    return fixed.select("kind", "seq", "pos", "mid", record["ts"].cast("bigint").alias("ts"), record["is_new"].alias("is_new"))
+
+
 def t13(w: Warehouse) -> DataFrame:
     return _record(dwd.split_log(replay.behaviour_lines(w.tables))["action"],
                    "action_id", "page_id", "is_new", pos=True)
@@ -430,6 +441,7 @@ def catalogue() -> dict[str, Query]:
         "d1_page": _log_part("page", "is_new", "sid", "page_id", "last_page_id", "during_time"),
         "d1_display": _log_part("display", "is_new", "item", "page_id", pos=True),
         "d1_action": _log_part("action", "is_new", "action_id", "page_id", pos=True),
+        "d1_one_pass": d1_one_pass,
         "d1_err": _log_part("err", "is_new", "error_code", "entry"),
         "d2_comment_info": _fact(lambda w: dwd.comment_info(w.log, w.dictionary)),
         "d3_cart_add": _fact(lambda w: w.cart_add),

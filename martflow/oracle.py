@@ -529,6 +529,7 @@ def _bodies() -> dict[str, str]:
             SELECT 'window' AS kind, strftime(w, {STAMP}) AS stt, event_type, count(*) AS n FROM judged WHERE NOT gone GROUP BY ALL
             UNION ALL SELECT 'lost rows', NULL, NULL, count(*) FILTER (gone) FROM judged
             UNION ALL SELECT 'lost groups', NULL, NULL, count(DISTINCT CASE WHEN gone THEN (w, event_type, b) END) FROM judged)""",
+        "s13_stream_text_lines": q["p1_valid_change_log"],
         "s16_stored_r9": q["r9"],
         "s16_stored_r16": q["r16"],
         "f22_report_of_a_day": f"SELECT name, value FROM ({q['r18']}) WHERE cur_date = '1998-03-15'",
@@ -566,6 +567,7 @@ def _bodies() -> dict[str, str]:
         "t11_stream_dimensions": f"SELECT * EXCLUDE (columns) FROM ({q['d0_dimensions']})",
         "s11_stream_routed_facts": f"SELECT * EXCLUDE (columns) FROM ({q['d9_routed_facts']})",
     })
+    q["d1_one_pass"] = q["t12_stream_split_log"]
     return q
 
 

@@ -23,7 +23,7 @@ from martflow.session import scratch
 from martflow.sources import replay
 from martflow.streaming import jobs, running
 from martflow.streaming.arrivals import Arrivals
-from martflow.streaming.sinks import Batch, UpsertTable, append_sink, start
+from martflow.streaming.sinks import Batch, UpsertTable, append_sink, start, text_sink
 
 Query = Callable[[Warehouse], DataFrame]
 #: The given dates of an order and of its lines lie up to seven years apart; facts that must be whole wait for that.
@@ -415,6 +415,20 @@ def open_lines(w: Warehouse) -> DataFrame:
     return rows().select("id", "order_id", "sku_id", "sku_num", "split_total_amount", "seq")
 
 
+def text_lines(w: Warehouse) -> DataFrame:
+    """Valid changes of raw lines, written as JSON text by table and read back."""
+    s = Stage(w)
+    lines = replay.change_lines(w.tables)
+    topic = s.topic("lines", lines, slices=F.pmod(F.col("seq"), F.lit(s.arrivals.batches)))
+    out = f"{s.folder}/text/rows"
+    s.run("text", jobs.validated(topic), text_sink(out, "table"))
+    s.finished("text")
+    value = lambda path: F.get_json_object("value", path)
+    return s.spark.read.text(out).select(
+        value("$.seq").cast("bigint").alias("seq"), "table", value("$.type").alias("type"), value("$.ts").cast("bigint").alias("ts"),
+        value("$.data.id").alias("id"), value("$.data.user_id").alias("user_id"))
+
+
 QUERIES: dict[str, Query] = {
     "t4_stream_keyword": keyword,
     "t4_stream_register": user_register,
@@ -437,6 +451,7 @@ QUERIES: dict[str, Query] = {
     "m5_stream_dimension_life": dimension_life,
     "t14_stream_upserts": upserts,
     "s10_stream_open_lines": open_lines,
+    "s13_stream_text_lines": text_lines,
     "s11_stream_routed_facts": routed_facts,
     "d4_stream_order_detail": order_detail,
     "d5_stream_cancel_detail": cancel_detail,

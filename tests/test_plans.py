@@ -123,3 +123,16 @@ def test_words_of_any_length_in_a_lexicon(spark):
     lexicon = spark.createDataFrame([(w,) for w in (long, "ab", "a", "本語", "辞書", "語の辞書", "zz", "", long + "k")], "word STRING")
     found = {(r.seq, r.word) for r in lexicon_words(texts, "item", lexicon).collect()}
     assert found == {(1, long), (1, "ab"), (1, "a"), (2, "a"), (2, "本語"), (2, "辞書"), (2, "語の辞書"), (4, "ab"), (4, "a")}
+
+
+def test_reports_are_ordered(spark, small):
+    """Days ascend, and within a day the measure descends."""
+    for name, measure in (("r1", "uv_ct"), ("r2", "sv_ct"), ("r3", "pv_per_session"), ("r4", "dur_per_session")):
+        last = float("inf")
+        rows = [(r.cur_date, last if r[measure] is None else -r[measure]) for r in entry.queries()[name](spark, small).collect()]
+        assert len(rows) > 10 and rows == sorted(rows)
+
+
+def test_facts_of_one_pass_scan_the_lines_once(spark, small):
+    text = plan(entry.queries()["d1_one_pass"](spark, small))
+    assert "facts-" in text and "events.parquet" not in text and "from_json" not in text
