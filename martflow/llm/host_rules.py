@@ -5,8 +5,9 @@
 2. Failures are summed by host. A host's rate is shrunk towards the mean of all hosts by a beta prior
    fitted to the hosts' rates (method of moments), so that a host of few documents is judged by its
    documents only as far as they go.
-3. Hosts are `trusted`, `watched` or `rejected` by the shrunk rate. The verdicts are joined back: a document
-   of a trusted host may fail one soft rule, of a watched one none; of a rejected one none is kept.
+3. A host whose shrunk rate lies more than `AWAY` of the prior's standard deviations above its mean is `watched`,
+   others are `trusted`. The verdicts are joined back: a document of a trusted host may fail one soft rule, one of
+   a watched host none. A host's verdict takes this tolerance away and no more: a document that fails no rule stays.
 
 Hosts are summed before the shuffle. The host table is written to the shared folder, so Spark knows its
 size and broadcasts it only below its threshold; else it splits hot hosts of the join at run time.
@@ -14,6 +15,8 @@ size and broadcasts it only below its threshold; else it splits hot hosts of the
 
 from __future__ import annotations
 
+from math import sqrt
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -24,8 +27,8 @@ from martflow.llm.common import _BLANK, find_words, mix, row_slices, stored, str
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
-#: Shrunk failure rates from which a host is watched, and rejected.
-WATCHED, REJECTED = 0.05, 0.5
+#: The prior's standard deviations above its mean from which a host is watched.
+AWAY = 1.0
 #: Least and greatest number of documents that the prior counts as.
 STRENGTH = (1.0, 1000.0)
 _TYPE = T.StructType([T.StructField(name, T.LongType()) for name in MEASURES])
@@ -98,7 +101,8 @@ def host_verdicts(measured: DataFrame) -> DataFrame:
     strength = mean * (1 - mean) / spread - 1 if spread > 0 else STRENGTH[1]
     strength = min(max(strength, STRENGTH[0]), STRENGTH[1])
     rate = (F.col("failed") + strength * mean) / (F.col("n") + strength)
-    verdict = F.when(F.col("rate") >= REJECTED, "rejected").when(F.col("rate") >= WATCHED, "watched").otherwise("trusted")
+    limit = mean + AWAY * sqrt(mean * (1 - mean) / (strength + 1))
+    verdict = F.when(F.col("rate") > limit, "watched").otherwise("trusted")
     return hosts.withColumn("rate", rate).withColumn("verdict", verdict)
 
 
@@ -111,7 +115,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
     rows = docs.select(F.struct("*").alias("doc"), F.col(host).alias("host"), measure(F.col(text)).alias("m"))
     rows = rows.select("*", hard_failure("m").alias("hard"), soft_failures("m").alias("soft"))
     hosts = host_verdicts(rows.select("host", "hard", "soft")).select(F.col("host").alias("own"), "verdict")
-    allowed = F.when(F.col("verdict") == "trusted", 1).when(F.col("verdict") == "watched", 0).otherwise(-1)
+    allowed = F.when(F.col("verdict") == "trusted", 1).otherwise(0)
     kept = ~F.col("hard") & (F.col("soft") <= allowed)
     joined = rows.join(hosts, F.col("host").eqNullSafe(F.col("own")))
     return joined.select("doc", "m", "hard", "soft", "verdict", kept.alias("kept"))

@@ -45,11 +45,11 @@ hosts AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed OR n_
 fit AS (SELECT sum(failed) / sum(n) AS mean, var_pop(failed / n) AS spread FROM hosts),
 prior AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(mean * (1 - mean) / spread - 1, 1.0), 1000.0) ELSE 1000.0 END AS strength FROM fit),
 verdicts AS (
-  SELECT source, CASE WHEN rate >= 0.5 THEN 'rejected' WHEN rate >= 0.05 THEN 'watched' ELSE 'trusted' END AS host_verdict
-  FROM (SELECT source, (failed + strength * mean) / (n + strength) AS rate FROM hosts, prior)
+  SELECT source, CASE WHEN (failed + strength * mean) / (n + strength) > mean + sqrt(mean * (1 - mean) / (strength + 1)) THEN 'watched' ELSE 'trusted' END AS host_verdict
+  FROM hosts, prior
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_soft_failed <= CASE host_verdict WHEN 'trusted' THEN 1 WHEN 'watched' THEN 0 ELSE -1 END AS kept,
+  NOT base_failed AND n_soft_failed <= CASE host_verdict WHEN 'trusted' THEN 1 ELSE 0 END AS kept,
   n_soft_failed, host_verdict
 FROM f JOIN verdicts v ON f.source IS NOT DISTINCT FROM v.source
 """
