@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -163,9 +164,9 @@ N_FEATURES = 1 + len(KINDS) + len(LABELLERS) + 3
 def find_candidates(text: str) -> list[tuple[int, int, int, bool, int, list[float]]]:
     """(kind, start, end, base, pattern of votes, features), by kind and start."""
     found = list(_proposals(text))
-    taken = sorted((start, end) for _, start, end, fits in found if fits)
+    taken = _Taken([(start, end) for _, start, end, fits in found if fits])
     for kind, start, end in _loose(text):
-        if not any(a < end and start < b for a, b in _near(taken, start, end)):
+        if not taken.overlaps(start, end):
             found.append((kind, start, end, None))
     out = []
     for kind, start, end, fits in found:
@@ -175,11 +176,16 @@ def find_candidates(text: str) -> list[tuple[int, int, int, bool, int, list[floa
     return sorted(out, key=lambda x: x[:3])
 
 
-def _near(taken: list[tuple[int, int]], start: int, end: int):
-    """Of sorted base spans those that may overlap one."""
-    at = bisect_left(taken, (start, -1))
-    # Base spans of different kinds may overlap each other, never more than four at a place.
-    return taken[max(0, at - 4) : bisect_left(taken, (end, -1))]
+class _Taken:
+    """Base spans, which may be long and overlap each other: asked by the greatest end so far."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        spans = sorted(spans)
+        self.starts, self.ends = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+    def overlaps(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)  # spans that begin before the end
+        return before > 0 and self.ends[before - 1] > start
 
 
 @dataclass(frozen=True)
@@ -270,10 +276,10 @@ def find_spans(text: str, model: Model) -> list[tuple[int, int, int, bool]]:
     """(kind, start, end, base) by kind and start; added spans overlap neither base spans nor each other."""
     found = find_candidates(text)
     out = [(k, a, b, True) for k, a, b, base, _, _ in found if base]
-    taken = sorted((a, b) for _, a, b, _ in out)
+    taken = _Taken([(a, b) for _, a, b, _ in out])
     end = 0
     for a, b, k, f in sorted((a, b, k, f) for k, a, b, base, _, f in found if not base):
-        if a >= end and not any(x < b and a < y for x, y in _near(taken, a, b)) and model.accepts(f):
+        if a >= end and not taken.overlaps(a, b) and model.accepts(f):
             out.append((k, a, b, False))
             end = b
     return sorted(out)
