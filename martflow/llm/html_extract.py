@@ -55,6 +55,8 @@ WORDS = [
 OTHER_TAGS = [{"nav", "menu"}, {"header"}, {"footer"}, {"aside"}, {"form", "fieldset"}, UNSEEN]
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[A-Za-z][^>]*>|</?[A-Za-z][^<]*\Z", re.S)
+#: The same behind the page's last `>`, where no tag can close: looked for there, each would be read to the end.
+_TAIL = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?].*|</?[A-Za-z][^<]*\Z", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _MARKS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _LETTERS = re.compile("[a-z]+")
@@ -106,10 +108,13 @@ class Page:
                 if within:
                     self.linked[stack[-1]] += len(decoded)
 
-        for m in _TOKEN.finditer(html):
-            if m.start() < at:
+        last, look = html.rfind(">"), 0
+        while (look := html.find("<", max(look, at))) >= 0:
+            m = (_TOKEN if look < last else _TAIL).match(html, look)
+            if not m:
+                look += 1
                 continue
-            text(html[at : m.start()])
+            text(html[at:look])
             at = m.end()
             name = _NAME.match(m[0])
             if not name:
