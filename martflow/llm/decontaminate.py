@@ -204,6 +204,8 @@ def _share(part: np.ndarray, words: np.ndarray) -> float:
     return len(own & runs(words)) / len(own)
 
 
+#: From here down are the numbers of texts without an id.
+NAMELESS = -(1 << 62)
 _MATCH = T.StructType([T.StructField("id", T.LongType()), T.StructField("item", T.LongType())] + [T.StructField(n, T.DoubleType()) for n in ("score", "question", "answer")])
 
 
@@ -232,8 +234,10 @@ def _search(index: Index, threshold: float, overlap: float):
 
 def build_shards(items: DataFrame, id: str = "item_id", text: str = "text"):
     """The indexes of all texts of all items, one after another; each is of bounded size, an item's texts in one."""
-    rows = items.select(F.col(id).cast("long").alias("item"), F.col(text).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
-    rows = stored(rows.distinct().withColumn("entry", F.monotonically_increasing_id()), "items")
+    rows = items.select(F.col(id).cast("long").alias("item"), F.col(text).alias("text")).filter("text IS NOT NULL")
+    rows = rows.distinct().withColumn("entry", F.monotonically_increasing_id())
+    # A text without an id is an item of its own, by a number that no id has.
+    rows = stored(rows.withColumn("item", F.coalesce("item", F.lit(NAMELESS) - F.col("entry"))), "items")
     own = impacts(rows.select(F.col("entry").alias("item"), "text")).withColumnRenamed("item", "entry")
     postings = stored(own.join(rows.select("entry", "item"), "entry"), "index")
     n, size = postings.count(), rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -251,7 +255,8 @@ def find_contaminated(
 ) -> DataFrame:
     """`id`, `item`, `score`, `question` and `answer` (shares): the items that documents hold, a row each.
 
-    Null and empty texts hold nothing. Items without an id or a word are no items; of items that share an id
+    Null and empty texts hold nothing. Items without a word are no items; one without an id is an item of its
+    own, and its `item` is null; of items that share an id
     each text counts, with the best one's shares. Repeated documents give repeated rows. No rows, or no items, give no rows.
     """
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
@@ -261,7 +266,8 @@ def find_contaminated(
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], _MATCH)
-    return found.withColumnRenamed("id", id)
+    named = F.when(F.col("item") > NAMELESS, F.col("item")).alias("item")
+    return found.select(F.col("id").alias(id), named, "score", "question", "answer")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
