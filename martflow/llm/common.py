@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import uuid
 from functools import cache
 
@@ -42,6 +43,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stored tables of one long job, in a folder of its own; what no later plan reads can go while the job runs."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, folder(bounded(spark), name)
+        self._paths: dict[str, DataFrame] = {}
+        self._number = 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{self._number}"
+        self._number += 1
+        df.write.parquet(path)
+        self._paths[path] = self.spark.read.schema(df.schema).parquet(path)
+        return self._paths[path]
+
+    def keep(self, *tables: DataFrame | None) -> None:
+        """Remove all tables but these. Spark then also removes the shuffles that made them, once they are collected."""
+        for path in [p for p, df in self._paths.items() if not any(df is t for t in tables)]:
+            del self._paths[path]
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 @cache
 def _libc():
     try:
