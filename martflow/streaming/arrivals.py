@@ -61,6 +61,11 @@ class Arrivals:
             one.write.mode("append").parquet(path)
         return self._stream(path, one.schema, 1)
 
+    def size(self) -> int:
+        """Bytes of the topics' files."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/topics")
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
     def _stream(self, path: str, schema, files: int) -> DataFrame:
         return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(path)
 

@@ -28,6 +28,8 @@ from martflow.streaming.sinks import Batch, UpsertTable, append_sink, start, tex
 Query = Callable[[Warehouse], DataFrame]
 #: The given dates of an order and of its lines lie up to seven years apart; facts that must be whole wait for that.
 WHOLE_DAYS = 4000
+#: Staged bytes for a partition of state, at least.
+STATE_BYTES = 16 << 20
 
 
 class Stage:
@@ -50,7 +52,15 @@ class Stage:
         return self.topic("behaviour", replay.traffic(self.warehouse.tables))
 
     def run(self, name: str, stream: DataFrame, sink: Batch, mode: str = "append") -> None:
-        self.running[name] = start(stream, sink, f"{self.folder}/{name}/checkpoint", mode)
+        """Start a stream, with as many state partitions as the staged topics need; the session's number is the most."""
+        conf, key = self.spark.conf, "spark.sql.shuffle.partitions"
+        most = conf.get(key)
+        # A query takes the settings of its start, and keeps the number of its state's partitions for ever.
+        conf.set(key, str(min(int(most), max(8, self.arrivals.size() // STATE_BYTES))))
+        try:
+            self.running[name] = start(stream, sink, f"{self.folder}/{name}/checkpoint", mode)
+        finally:
+            conf.set(key, most)
 
     def upserts(self, name: str, stream: DataFrame, *keys: str, order: tuple[str, ...] = (), mode: str = "update") -> Callable[[], DataFrame]:
         """Start a stream into an upsert table; call the result, once all has run, for its current rows."""
