@@ -9,8 +9,9 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from martflow.session import scratch
 
@@ -68,6 +69,30 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+#: Bits of a summary of keys, which every task gets: one megabyte, whatever the input.
+SUMMARY_BITS = 1 << 23
+
+
+def _slots(key: str) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(k), F.col(key)), F.lit(SUMMARY_BITS)) for k in range(2)]
+
+
+def summary(keys: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter of fixed size, as bytes: two bits for each key. However full it gets, no key is missing."""
+    bits = keys.select(F.explode(F.array(*_slots(key))).alias("bit"))
+    word = F.floor(F.col("bit") / 32)
+    words = bits.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit % 32 AS INT))")).alias("bits")).toArrow()
+    full = np.zeros(SUMMARY_BITS // 32, "<u4")
+    full[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return full.view(np.uint8)
+
+
+def named(wanted: np.ndarray, key: str) -> Column:
+    """Whether a summary may hold the row's key."""
+    holds = lambda x: (wanted[x >> 3] >> (x & 7)) & 1 == 1
+    return F.arrow_udf(lambda x, y: pa.array(holds(x.to_numpy()) & holds(y.to_numpy())), T.BooleanType())(*_slots(key))
+
+
 @cache
 def _libc():
     try:
