@@ -3,9 +3,10 @@
 1. Every text gets the digest of its content and of the tokenizer's files and settings. The content is
    normalised to the form that the count depends on: null becomes the empty text; nothing else is
    changed, as every other change could change the count.
-2. Digests are made distinct before the shuffle and in it, so copies of one text are one row of a task.
-3. Those that the cache lacks are encoded and appended to it; a repeated append is harmless, as reading
-   takes one count for each digest.
+2. Digests are made distinct, without their texts, and those that the cache has are ruled out.
+3. Texts of the others are found by a summary of fixed size, made distinct before the shuffle and in it, so
+   copies of one text are one row of a task, encoded and appended to the cache; a repeated append is harmless,
+   as reading takes one count for each digest. Texts that the cache knows are not shuffled.
 4. Documents get their counts by a join on the digest, without their texts.
 """
 
@@ -24,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martflow.llm.common import batch_slices, stored
+from martflow.llm.common import batch_slices, named, stored, summary
 from martflow.llm.pretokens import pretokens
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -96,14 +97,13 @@ def _count(path: str):
 
 
 def read_cache(spark: SparkSession, where: str) -> DataFrame:
-    """`digest`, `n_tokens`; empty where nothing has been written yet."""
+    """`digest`, `n_tokens`, a row for each time a digest was counted; empty where nothing has been written yet."""
     try:
-        found = spark.read.schema(_CACHE).parquet(where)
+        return spark.read.schema(_CACHE).parquet(where)
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], _CACHE)
-    return found.groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
 def count_tokens(docs: DataFrame, cache_path: str, path: str | None = None, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -111,16 +111,18 @@ def count_tokens(docs: DataFrame, cache_path: str, path: str | None = None, id:
 
     Null and empty texts have no bytes and no tokens. Special strings in a text are handled as the library
     does by default. `path` names the tokenizer (.json or .model), which every executor can read. Only the
-    two named columns are looked at.
+    two named columns are looked at. Texts of any length are encoded whole, repeated rows stay, no rows give no rows.
     """
     spark, path = docs.sparkSession, path or public_tokenizers.path(TOKENIZER)
     content = F.coalesce(F.col(text), F.lit(""))
     digest = F.unhex(F.sha2(F.encode(F.concat(F.lit(version(path) + "|"), content), "utf-8"), 256))
     rows = docs.select(F.col(id).alias("id"), content.alias("text"), digest.alias("digest"))
-    distinct = rows.groupBy("digest").agg(F.any_value("text").alias("text"))
-    misses = distinct.join(read_cache(spark, cache_path), "digest", "left_anti")
-    misses.mapInArrow(_count(path), _CACHE).write.mode("append").parquet(cache_path)
-    slim = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
-    # Written, so that both sides of the last join are plain tables, of which a hot digest can be split.
-    known = read_cache(spark, cache_path).join(slim.select("digest").distinct(), "digest", "left_semi")
-    return slim.join(stored(known, "token-counts"), "digest").select(F.col("id").alias(id), "n_bytes", "n_tokens")
+    # Tables without texts are written, so that texts are digested once for them and a hot digest can be split.
+    slim = stored(rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"), "digests")
+    digests = slim.select("digest").distinct()
+    misses = stored(digests.join(read_cache(spark, cache_path), "digest", "left_anti"), "misses")
+    if not misses.isEmpty():
+        texts = rows.filter(named(summary(misses, "digest"), "digest")).groupBy("digest").agg(F.any_value("text").alias("text"))
+        texts.join(misses, "digest", "left_semi").mapInArrow(_count(path), _CACHE).write.mode("append").parquet(cache_path)
+    counts = read_cache(spark, cache_path).join(digests, "digest", "left_semi").groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
+    return slim.join(stored(counts, "token-counts"), "digest").select(F.col("id").alias(id), "n_bytes", "n_tokens")
