@@ -1,6 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, and columns whose names clash."""
 
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +121,33 @@ def test_pages(spark):
     assert found.columns == ["page_id", "url", "features", "text"] and found.count() == len(pages)
     assert found.filter("text IS NULL").count() == 0
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_secrets_in_a_very_long_text(spark):
+    rng = random.Random(3)
+    signs = secret_scan.ALPHABET
+    parts = ["token: abc123 ", "word ", "AKIA" + "A1B2" * 5 + " ", "0af9" * 8 + " "]
+    text = "".join(rng.choice([*parts, "".join(rng.choice(signs) for _ in range(30)) + " "]) for _ in range(100_000))
+    begin = time.monotonic()
+    found = secret_scan.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert time.monotonic() - begin < 90
+    for kind, pattern, group, least in secret_scan.KINDS:
+        want = [m.span() for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+        assert [(s.start, s.end) for s in found[kind]] == want
+    assert found["entropy"] and all(text[s.start : s.end] == s.word for s in found["entropy"])
+
+
+def test_one_document_of_a_group_stays(spark):
+    """Also of rows that share the least id, and of a group without ids; other columns do not part rows."""
+    rows = [(1, PLAIN, "a"), (1, PLAIN, "b"), (1, PLAIN + " more", "c"), (2, PLAIN, "d"), (None, LONG, "e"), (None, LONG, "f"), (3, "", "g"), (3, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, group string")
+    left = chosen_path.drop_near_duplicates(docs)
+    assert left.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in left.collect()) == ["1", "3", "3", "None"]
+
+
+def test_cached_texts_are_not_moved(docs, none, spark, same, monkeypatch):
+    where = folder(spark, "cache")
+    want = sorted(map(str, token_counts.count_tokens(docs, where).collect()))
+    monkeypatch.setattr(token_counts, "named", None)  # no text is looked for again
+    assert sorted(map(str, token_counts.count_tokens(docs, where).collect())) == want
