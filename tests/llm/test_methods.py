@@ -162,6 +162,40 @@ def test_pairs_in_a_crowd_are_found(spark):
     assert [p for p in pairs if found[p[0]] != found[p[1]]] == []
 
 
+@pytest.mark.parametrize("crowd, deep", [(8, 3), (20, 6)])
+def test_strangers_and_blocks(spark, same, monkeypatch, crowd, deep):
+    """Strangers meet a crowd in blocks, crowds branch, and end in blocks that meet each other."""
+    monkeypatch.setattr(chosen_path, "SMALL", 4)
+    monkeypatch.setattr(chosen_path, "CROWD", crowd)
+    monkeypatch.setattr(chosen_path, "DEEP", deep)
+    rng = random.Random(5)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(100)]
+    docs = [(k, " ".join(_mutated(rng, base, rng.choice([0.0, 0.02, 0.05, 0.1])))) for k in range(120)]
+    found = chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=2)
+    same(found, ["doc_id", "n_shingles", "component"], [r[:3] for r in brute.op3(docs)])
+
+
+def test_bins_let_linked_sets_through():
+    """Sets at the threshold always pass, those far below it do not."""
+    rng, texts = random.Random(6), []
+    for n in (3, 30, 300, 3000):
+        for common in (0.9, 0.89, 0.6):
+            for _ in range(60):
+                words = [f"a{rng.randrange(10**9)}" for _ in range(n)]
+                kept = round(common * n)
+                texts += [" ".join(words), " ".join(words[:kept] + [f"b{rng.randrange(10**9)}" for _ in range(n - kept)])]
+    batch = pa.RecordBatch.from_arrays([pa.array([b""] * len(texts), pa.binary()), pa.array(texts)], ["digest", "text"])
+    parts = list(chosen_path._bins(1)([batch]))
+    bins = np.concatenate([chosen_path._matrix(x["bins"], chosen_path.BINS) for x in parts])
+    n = np.concatenate([x["n"].to_numpy() for x in parts])
+    i = np.arange(0, len(texts), 2)
+    passed = chosen_path._alike(bins, n, i, i + 1, 80)
+    sets = [set(x.split()) for x in texts]
+    linked = np.array([100 * len(sets[k] & sets[k + 1]) >= 80 * len(sets[k] | sets[k + 1]) for k in i])
+    far = (n[i] >= 300) & ~linked & np.array([len(sets[k] & sets[k + 1]) < 0.7 * len(sets[k] | sets[k + 1]) for k in i])
+    assert linked.sum() >= 150 and passed[linked].all() and far.sum() >= 120 and not passed[far].any()
+
+
 def test_stated_recall():
     assert chosen_path.miss(0.8, 0) < 1e-7 and chosen_path.miss(0.8, 1) < 1e-7
     assert chosen_path.miss(0.8, chosen_path.DEEP) < 5e-5
