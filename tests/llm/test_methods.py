@@ -189,11 +189,22 @@ def test_bins_let_linked_sets_through():
     bins = np.concatenate([chosen_path._matrix(x["bins"], chosen_path.BINS) for x in parts])
     n = np.concatenate([x["n"].to_numpy() for x in parts])
     i = np.arange(0, len(texts), 2)
-    passed = chosen_path._alike(bins, n, i, i + 1, 80)
+    passed, sure = chosen_path._alike(bins, n, i, i + 1, 80)
     sets = [set(x.split()) for x in texts]
     linked = np.array([100 * len(sets[k] & sets[k + 1]) >= 80 * len(sets[k] | sets[k + 1]) for k in i])
     far = (n[i] >= 300) & ~linked & np.array([len(sets[k] & sets[k + 1]) < 0.7 * len(sets[k] | sets[k + 1]) for k in i])
     assert linked.sum() >= 150 and passed[linked].all() and far.sum() >= 120 and not passed[far].any()
+    assert not sure[~linked].any()
+
+
+def test_forest_and_least_node():
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 60, 80), rng.integers(0, 60, 80)
+    chosen, tree = chosen_path._forest(a, b, 60)
+    assert (tree[a] == tree[b]).all() and chosen.sum() == 60 - len(np.unique(tree))
+    nodes = pa.array([[5, 2], [2, 9, 5], [9], []], pa.list_(pa.int64()))
+    own, i, j = np.array([5, 5, 9, 7]), np.array([1, 2, 1]), np.array([0, 1, 2])
+    assert chosen_path._named_before(nodes, own, i, j).tolist() == [True, False, False]
 
 
 def test_stated_recall():
