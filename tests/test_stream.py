@@ -13,7 +13,7 @@ from martflow.plans import dwd, dws
 from martflow.plans.warehouse import Warehouse
 from martflow.sources import replay
 from martflow.sources.tables import Tables
-from martflow.streaming import jobs, queries
+from martflow.streaming import arrivals, jobs, queries
 from martflow.streaming.arrivals import Arrivals
 from martflow.streaming.sinks import UpsertTable, append_sink, read_current, run, text_sink, write_part
 from martflow.streaming.sources import StreamTables, arrival_number
@@ -230,3 +230,19 @@ def test_upserts(spark, tmp_path):
         write_part(spark.createDataFrame(rows, "id INT, v STRING"), path, min(batch_id, 1))
     found = {tuple(r) for r in read_current(spark, path, ["id"]).collect()}
     assert found == {(1, "a"), (2, "b"), (3, "b")}
+
+
+def test_a_slice_of_several_files_is_one_batch(spark, small, tmp_path, monkeypatch):
+    """A large topic is written and read by several tasks; each micro-batch still holds one slice, however few rows that has."""
+    monkeypatch.setattr(arrivals, "FILE_BYTES", 1 << 10)
+    topics = Arrivals(spark, str(tmp_path))
+    rows = replay.traffic(Tables(spark, small)).select("seq", "et")
+    # The second slice has one row, the third none.
+    slices = F.when(F.col("seq") < 400, 0).when(F.col("seq") == 400, 1).when(F.col("seq") < 700, 3).otherwise(4)
+    stream = topics.topic("events", rows, slices=slices)
+    files = spark.read.parquet(f"{tmp_path}/topics/events").inputFiles()
+    assert len(files) % topics.batches == 0 and len(files) > topics.batches
+    run(stream, append_sink(f"{tmp_path}/out"), f"{tmp_path}/cp")
+    found = spark.read.parquet(f"{tmp_path}/out").groupBy("batch_id").agg(F.min("seq"), F.max("seq"), F.count("*")).collect()
+    n = rows.count()
+    assert sorted(map(tuple, found)) == [(0, 0, 399, 400), (1, 400, 400, 1), (3, 401, 699, 299), (4, 700, n - 1, n - 700)]
