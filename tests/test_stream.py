@@ -13,7 +13,7 @@ from martflow.plans import dwd, dws
 from martflow.plans.warehouse import Warehouse
 from martflow.sources import replay
 from martflow.sources.tables import Tables
-from martflow.streaming import arrivals, jobs, queries
+from martflow.streaming import arrivals, jobs, queries, running
 from martflow.streaming.arrivals import Arrivals
 from martflow.streaming.sinks import UpsertTable, append_sink, read_current, run, text_sink, write_part
 from martflow.streaming.sources import StreamTables, arrival_number
@@ -246,3 +246,14 @@ def test_a_slice_of_several_files_is_one_batch(spark, small, tmp_path, monkeypat
     found = spark.read.parquet(f"{tmp_path}/out").groupBy("batch_id").agg(F.min("seq"), F.max("seq"), F.count("*")).collect()
     n = rows.count()
     assert sorted(map(tuple, found)) == [(0, 0, 399, 400), (1, 400, 400, 1), (3, 401, 699, 299), (4, 700, n - 1, n - 700)]
+
+
+def test_a_user_is_one_value_of_state(spark, spring):
+    """The running minima of a user are one state row, however many days are open: a read and a write a batch."""
+    s = queries.Stage(Warehouse(spark, spring))
+    lines = jobs.placed_lines(*s.log("order_info", "order_detail")).select("user_id", "et", "create_time")
+    users = s.warehouse.detail_versions.select("user_id").where("user_id IS NOT NULL").distinct().count()
+    with s.settings(running.STORE):
+        s.appended("windows", running.order_windows(lines))()
+    held = [o["numRowsTotal"] for p in s.progress("windows") for o in p["stateOperators"] if o["operatorName"].startswith("transformWithState")]
+    assert 0 < max(held) <= users
