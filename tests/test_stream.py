@@ -248,6 +248,23 @@ def test_a_slice_of_several_files_is_one_batch(spark, small, tmp_path, monkeypat
     assert sorted(map(tuple, found)) == [(0, 0, 399, 400), (1, 400, 400, 1), (3, 401, 699, 299), (4, 700, n - 1, n - 700)]
 
 
+def test_searched_items_are_split_by_the_stream(spark, small):
+    """The keyword topic has a row for an item, whatever number of words it has."""
+    w = Warehouse(spark, small)
+    seen = []
+    monitor = queries.Stage.topic
+
+    def topic(self, name, rows, time="et", **how):
+        seen.append((name, rows.count()))
+        return monitor(self, name, rows, time, **how)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(queries.Stage, "topic", topic)
+        found = queries.QUERIES["t4_stream_keyword"](w)
+    assert seen == [("searches", w.tables("documents").count())]
+    assert same(found, catalogue()["g1_keyword"](w))
+
+
 def test_a_user_is_one_value_of_state(spark, spring):
     """The running minima of a user are one state row, however many days are open: a read and a write a batch."""
     s = queries.Stage(Warehouse(spark, spring))
