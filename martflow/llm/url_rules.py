@@ -3,7 +3,8 @@
 1. A url becomes host, path and distinct tokens: words of the host (`h:`), of the path (`p:`) and of what
    follows (`q:`), ASCII letters in lower case, numbers as `#`.
 2. Labelled urls are those that the list (or the caller) decides. Tokens are counted by label; a labelled url
-   keeps the `WIDTH` frequent tokens that part the labels best, so one url gives at most 2^WIDTH combinations.
+   keeps all its frequent tokens, so no combination that reaches the support is left out. The work grows with the number
+   of such combinations; a caller may bound it by `width`, the frequent tokens of a url that part the labels best.
 3. Spark's FP-growth mines the combinations of these with the labels. Rules "tokens -> label" stand from the
    least support and confidence on, unless a rule of one token less is as sure.
 4. Each rule is indexed under its rarest token. The tokens of the other urls meet that index, rules whose
@@ -28,8 +29,8 @@ from martflow.llm.common import stored
 
 #: Host, path, verdict. Fixed values.
 LIST = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: Share and number of labelled urls that a combination must have; confidence of a rule; tokens of a url that are combined.
-SUPPORT, LEAST, CONFIDENCE, WIDTH = 0.01, 3, 0.8, 8
+#: Share and number of labelled urls that a combination must have; confidence of a rule; tokens of a url that are combined (all).
+SUPPORT, LEAST, CONFIDENCE, WIDTH = 0.01, 3, 0.8, None
 #: A token: ASCII letters, digits and underscores, and all signs beyond ASCII.
 TOKEN = r"[^\x00-\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]+"
 
@@ -70,7 +71,7 @@ def listed(rules: Sequence[tuple[str, str, str]] = LIST) -> tuple[Column, Column
 
 
 def mine_rules(
-    labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, width: int = WIDTH
+    labelled: DataFrame, support: float = SUPPORT, least: int = LEAST, confidence: float = CONFIDENCE, width: int | None = WIDTH
 ) -> DataFrame:
     """`anchor`, `items`, `text`, `verdict`, `confidence`, `support` of the rules of rows with `row`, `tokens`, `verdict`.
 
@@ -85,7 +86,8 @@ def mine_rules(
     gain = counts[0] - (counts[1] if len(counts) > 1 else F.lit(0))
     known = stored(each.groupBy("token").agg(F.count("*").alias("n"), F.abs(gain).alias("gain")).filter(F.col("n") >= enough), "url-tokens")
     best = F.array_sort(F.collect_list(F.struct((-F.col("gain")).alias("gain"), "token")))
-    rows = each.join(known.select("token", "gain"), "token").groupBy("row", "verdict").agg(F.slice(best, 1, width)["token"].alias("items"))
+    chosen = best if width is None else F.slice(best, 1, width)
+    rows = each.join(known.select("token", "gain"), "token").groupBy("row", "verdict").agg(chosen["token"].alias("items"))
     # A url all of whose tokens are rare still counts for the number of urls, by its label.
     rows = labelled.select("row", "verdict").join(rows.drop("verdict"), "row", "left")
     rows = rows.select(F.concat(F.coalesce("items", F.array().cast("array<string>")), F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))

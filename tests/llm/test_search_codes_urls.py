@@ -246,3 +246,19 @@ def test_rules_generalise(spark):
     rules = url_rules.mine_rules(df.filter("row < 300"))
     best = {r.row: r.verdict for r in url_rules.match(df.filter("row >= 300"), rules).collect()}
     assert sum(best.get(k, "allow") == v for k, _, v in rows[300:]) >= 0.98 * 300
+
+
+def test_rules_of_tokens_that_part_nothing_alone(spark):
+    """Two tokens decide together and neither alone; eight others of the url part the labels a little, each by itself."""
+    rows = []
+    for k in range(400):
+        x, y = k % 2, k // 2 % 2
+        verdict = "block" if x != y else "allow"
+        noise = [f"w{n}" for n in range(8) if verdict == "block" or k % 16 != 4 * (n % 4)]
+        rows.append((k, f"https://h.example/x{x}/y{y}/{'/'.join(noise)}", verdict))
+    df = spark.createDataFrame(rows, "row long, url string, verdict string").withColumns(url_rules.parts(F.col("url"))).withColumn("tokens", url_rules.tokens())
+    rules = url_rules.mine_rules(df)
+    found = {r.text: (r.verdict, r.confidence) for r in rules.collect()}
+    assert found["p:x0 p:y1"] == found["p:x1 p:y0"] == ("block", 1.0) and found["p:x0 p:y0"] == found["p:x1 p:y1"] == ("allow", 1.0)
+    best = {r.row: r.verdict for r in url_rules.match(df, rules).collect()}
+    assert all(best.get(k) == v for k, _, v in rows)
