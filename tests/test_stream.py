@@ -274,3 +274,27 @@ def test_a_user_is_one_value_of_state(spark, spring):
         s.appended("windows", running.order_windows(lines))()
     held = [o["numRowsTotal"] for p in s.progress("windows") for o in p["stateOperators"] if o["operatorName"].startswith("transformWithState")]
     assert 0 < max(held) <= users
+
+
+def test_a_topic_is_written_once_with_a_column_a_value(spark, spring):
+    """The log of a table is a topic of its own, without maps; no copy of it is staged before, and its slices come in order."""
+    s = queries.Stage(Warehouse(spark, spring))
+    log, _ = s.log("order_info", "order_refund_info")
+    assert set(log) == {"order_info", "order_refund_info"}
+    assert not any(f.dataType.typeName() == "map" for rows in log.values() for f in rows.schema.fields)
+    system, folder = s.arrivals._where(s.folder)
+    assert {f.getPath().getName() for f in system.listStatus(folder)} == {"topics", "empty"}
+    for name in log:
+        changes = replay.Changes(s.warehouse.tables)[name]
+        assert same(spark.read.schema(changes.schema).parquet(f"{s.folder}/topics/{name}/_slice=*"), changes)
+    slices = [s.arrivals._files(f"{s.folder}/topics/order_info/_slice={k}") for k in range(s.arrivals.batches)]
+    times = [{system.getFileStatus(f).getModificationTime() for f in files} for files in slices]
+    assert len({len(files) for files in slices}) == 1
+    assert all(max(a) < min(b) for a, b in zip(times, times[1:]))
+
+
+def test_rows_without_a_slice_are_kept(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0), (2, None), (3, 4)], "seq BIGINT, k INT")
+    topics = Arrivals(spark, str(tmp_path))
+    run(topics.topic("rows", rows, slices=F.col("k")), append_sink(f"{tmp_path}/out"), f"{tmp_path}/cp")
+    assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").select("seq").collect()) == [1, 2, 3]
