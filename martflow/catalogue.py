@@ -20,7 +20,7 @@ from martflow.plans import ads, dwd, dws
 from martflow.plans.warehouse import Warehouse
 from martflow.session import scratch
 from martflow.sources import ods, replay
-from martflow.sources.store import refresh, stored_days
+from martflow.sources.store import refresh, stored_days, stored_windows, write_months
 from martflow.streaming.queries import QUERIES as STREAMS
 
 Query = Callable[[Warehouse], DataFrame]
@@ -373,9 +373,12 @@ def _stored_report(name: str, *tables: str, day: str | None = None, whole: bool
 
     def query(w: Warehouse) -> DataFrame:
         spark, path = w.tables.spark, f"{scratch(w.tables.spark)}/daily-{uuid4().hex}"
-        refresh(w.windows, path, tables, F.col("month") < 199807)
-        refresh(w.windows, path, tables, F.col("month") >= 199806)
-        stored = stored_days(spark, path, tables)
+        # The windows are made once; both loads read their months of them.
+        write_months(w.windows, f"{path}/windows", tables)
+        windows = stored_windows(spark, f"{path}/windows", tables)
+        refresh(windows, f"{path}/days", tables, F.col("month") < 199807)
+        refresh(windows, f"{path}/days", tables, F.col("month") >= 199806)
+        stored = stored_days(spark, f"{path}/days", tables)
         return ads.REPORTS[name](stored) if whole else ads.for_day(ads.REPORTS[name], stored, day)
 
     return query

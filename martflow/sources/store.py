@@ -30,8 +30,15 @@ def write_windows(tables: Mapping[str, DataFrame], path: str, names: Iterable[st
         )
 
 
+def write_months(tables: Mapping[str, DataFrame], path: str, names: Iterable[str]) -> None:
+    """Write window tables by month (yyyymm), for jobs that take whole months of them, such as `refresh`."""
+    for name in names:
+        rows = tables[name].withColumn("month", F.date_format("cur_date", "yyyyMM").cast("int"))
+        rows.hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(f"{path}/{name}")
+
+
 def stored_windows(spark: SparkSession, path: str, names: Iterable[str]) -> WindowTables:
-    """Stored window tables; a filter on cur_date reads that day's folder only."""
+    """Stored window tables; a filter on cur_date, or on month where they lie by month, reads those folders only."""
 
     def reader(name: str):
         return lambda: spark.read.parquet(f"{path}/{name}")
@@ -59,7 +66,9 @@ def refresh(tables: Mapping[str, DataFrame], path: str, names: Iterable[str], mo
     Daily sums are few rows a day, so a folder holds a month: changed windows cost the sums of their months.
     """
     for name in names:
-        rows = tables[name].withColumn("month", F.date_format("cur_date", "yyyyMM").cast("int"))
+        rows = tables[name]
+        if "month" not in rows.columns:
+            rows = rows.withColumn("month", F.date_format("cur_date", "yyyyMM").cast("int"))
         rows = rolled({name: rows if months is None else rows.where(months)}, name)
         (
             rows.hint("rebalance", "month").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from martflow.operators import first
 from martflow.operators.joins import lookup
+from martflow import catalogue
 from martflow.plans import ads, dws
 from martflow.plans.warehouse import Warehouse
 from martflow.functions.words import lexicon_words
@@ -103,6 +104,19 @@ def test_stored_reports_read_no_raw_table(spark, small):
         assert "daily-" in text and not re.search(r"(orders|lineitem|events|customer)\.parquet", text)
 
 
+def test_stored_reports_make_their_windows_once(spark, small, monkeypatch):
+    """Both loads of the daily sums read stored windows; none makes them from the raw tables anew."""
+    plans = []
+
+    def seen(tables, path, names, months=None):
+        plans.extend(plan(tables[name]) for name in names)
+        refresh(tables, path, names, months)
+
+    monkeypatch.setattr(catalogue, "refresh", seen)
+    entry.queries()["f22_report_of_a_day"](spark, small)
+    assert len(plans) == 2 and not any(re.search(r"(orders|lineitem|events|customer)\.parquet", text) for text in plans)
+
+
 def test_refreshing_months_replaces_them_only(spark, tmp_path):
     df = lambda rows: spark.createDataFrame(rows, "d STRING, n BIGINT").select(
         F.col("d").cast("timestamp").alias("stt"), F.col("d").cast("timestamp").alias("edt"),
