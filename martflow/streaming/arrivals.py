@@ -21,6 +21,8 @@ FILE_BYTES = 32 << 20
 #: The last tick, after anything a table holds; the ticks before it; the text of a tick.
 FAR, NEVER, TICK = "2200-01-01 00:00:00", "1900-01-01 00:00:00", "tick"
 _NUMBER = "_slice"
+#: Bytes of a row group, about: a file of long texts is read in as many parts.
+GROUP_BYTES = 4 << 20
 
 
 def _row_bytes(schema: T.StructType) -> int:
@@ -63,7 +65,8 @@ class Arrivals:
         try:
             numbered = rows.withColumn(_NUMBER, F.coalesce(slices.cast("int"), F.lit(0)))
             most = max(1, FILE_BYTES // _row_bytes(rows.schema))
-            numbered.write.option("maxRecordsPerFile", most).partitionBy(_NUMBER).parquet(path)
+            writer = numbered.write.option("maxRecordsPerFile", most).option("parquet.block.size", GROUP_BYTES)
+            writer.partitionBy(_NUMBER).parquet(path)
         finally:
             self.spark.conf.set(key, before)
         rows.limit(0).write.parquet(f"{self.folder}/empty/{name}")

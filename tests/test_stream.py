@@ -3,6 +3,7 @@
 import random
 from uuid import uuid4
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,3 +299,14 @@ def test_rows_without_a_slice_are_kept(spark, tmp_path):
     topics = Arrivals(spark, str(tmp_path))
     run(topics.topic("rows", rows, slices=F.col("k")), append_sink(f"{tmp_path}/out"), f"{tmp_path}/cp")
     assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/out").select("seq").collect()) == [1, 2, 3]
+
+
+def test_a_file_of_long_texts_is_read_in_parts(spark, tmp_path, monkeypatch):
+    """A file of a topic has row groups of bounded size, so that no task need read it whole."""
+    monkeypatch.setattr(arrivals, "GROUP_BYTES", 1 << 16)
+    topics = Arrivals(spark, str(tmp_path))
+    rows = spark.range(0, 20_000, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 512).alias("value"))
+    topics.topic("texts", rows, slices=F.lit(0))
+    groups = [pq.ParquetFile(f.removeprefix("file:")).num_row_groups for f in map(str, [
+        p.toString() for p in topics._files(f"{tmp_path}/topics/texts/_slice=0")])]
+    assert max(groups) > 4
