@@ -1,6 +1,6 @@
 """Byte-level BPE encoding by replaying the merges over all words at once, and decoding.
 
-A task takes the distinct words (pre-tokens) of its chunk of documents as one corpus. The bytes of all
+A task takes the new distinct words (pre-tokens) of `CORPUS` signs of its documents as one corpus. The bytes of all
 words are laid out in one array; an inverted index leads from each pair of neighbouring tokens, named by
 the rank of the token they make, to the positions where it stands. Ranks are taken in order; a merge
 looks at its positions from left to right and updates the two neighbours it touches. If a merge makes a
@@ -14,9 +14,10 @@ every word, so the index is per task: no shuffle at all, and no driver.
 from __future__ import annotations
 
 import base64
-from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
 from heapq import heappop, heappush
+from typing import TypeVar
 
 import numpy as np
 import public_tokenizers
@@ -31,8 +32,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 KEPT_WORDS = 200_000
 #: Bytes; longer words are replayed one by one.
 LONG_WORD = 256
-#: Bytes of text whose words make one corpus.
-CORPUS = 1 << 20
+#: Bytes of text that are split into words at once; signs of text whose new words make one corpus.
+SLICE, CORPUS = 1 << 20, 4 << 20
+T = TypeVar("T")
 
 
 @cache
@@ -49,7 +51,7 @@ def vocabulary(path: str) -> dict[int, bytes]:
 
 @cache
 def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys (left id << 32 | right id) of all pairs that make a token, and the token's rank."""
+    """Sorted keys (left id << 32 | right id) of all pairs that make a token, and the token's rank; a key above all at the end."""
     rank, keys, made = ranks(path), [], []
     for token, r in rank.items():
         for k in range(1, len(token)):
@@ -57,12 +59,13 @@ def pair_table(path: str) -> tuple[np.ndarray, np.ndarray]:
             if left is not None and right is not None:
                 keys.append(left << 32 | right)
                 made.append(r)
+    keys, made = np.array([*keys, np.iinfo(np.int64).max], np.int64), np.array([*made, -1], np.int64)
     order = np.argsort(keys)
-    return np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
+    return keys[order], made[order]
 
 
 class Replay:
-    """Token ids of words. Ids of word number k are flat[at[k]:at[k + 1]]."""
+    """Token ids of words. Ids of word number k are flat[at[k]:at[k + 1]]; words yet to be replayed have a number, and no ids."""
 
     def __init__(self, path: str):
         self.rank, self.token = ranks(path), vocabulary(path)
@@ -72,48 +75,62 @@ class Replay:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.flat, self.at = array("i"), array("q", [0])
-
-    def add(self, words: set[str]) -> None:
-        """Replay the words that are not known yet."""
-        if len(self.number) + len(words) > KEPT_WORDS:
-            self.clear()
-        corpus, long = [], []
-        for word in words - self.number.keys():
+        self.new: list[str] = []
+        self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _replay_new(self) -> None:
+        """Replay the words that have no ids yet, as one corpus."""
+        corpus, long, places, ids, counts = [], [], [], [], []
+        whole_places, whole_ids, corpus_places, long_places = [], [], [], []
+        for k, word in enumerate(self.new):
             raw = word.encode()
             if (whole := self.rank.get(raw)) is not None:
-                self._put(word, [whole])
+                whole_places.append(k)
+                whole_ids.append(whole)
+            elif len(raw) <= LONG_WORD:
+                corpus_places.append(k)
+                corpus.append(raw)
             else:
-                (corpus if len(raw) <= LONG_WORD else long).append((word, raw))
-        for part, replay in ((corpus, self._merge_corpus), (long, self._merge_long)):
-            for (word, _), ids in zip(part, replay([raw for _, raw in part])):
-                self._put(word, ids)
-
-    def _put(self, word: str, ids: list[int]) -> None:
-        self.number[word] = len(self.number)
-        self.flat.extend(ids)
-        self.at.append(len(self.flat))
+                long_places.append(k)
+                long.append(raw)
+        for own, (found, n) in (
+            (whole_places, (np.array(whole_ids, np.int32), np.ones(len(whole_ids), np.int64))),
+            (corpus_places, self._merge_corpus(corpus)),
+            (long_places, self._merge_long(long)),
+        ):
+            places.append(np.array(own, np.int64))
+            ids.append(found)
+            counts.append(n)
+        place, count, flat = np.concatenate(places), np.concatenate(counts), np.concatenate(ids)
+        ends = np.zeros(len(self.new), np.int64)
+        ends[place] = count
+        order = np.argsort(np.repeat(place, count), kind="stable")
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(ends)])
+        self.flat = np.concatenate([self.flat, flat[order].astype(np.int32)])
+        self.new = []
 
     def _lay_out(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words' bytes, an edge (-1) after each word; each position's word."""
-        lengths = np.array([len(w) + 1 for w in words], np.int64)
-        symbol = self.single.astype(np.int32)[np.frombuffer(b"\0".join([*words, b""]), np.uint8)]
+        """The ids of all words' bytes, an edge (-1) before the first word and after each; each position's word."""
+        lengths = np.array([1, *(len(w) + 1 for w in words)], np.int64)
+        symbol = self.single[np.frombuffer(b"\0".join([b"", *words, b""]), np.uint8)]
         symbol[np.cumsum(lengths) - 1] = -1
-        return symbol, np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+        return symbol, np.repeat(np.arange(-1, len(words), dtype=np.int32), lengths)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The rank of the token that each pair of neighbours makes, or -1."""
-        key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.made[at], -1)
+        """The rank of the token that each pair of neighbours makes, or -1. An edge makes a key that no pair has."""
+        key = left << 32 | right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.made[at], -1)
 
-    def _merge_corpus(self, words: list[bytes]) -> list[list[int]]:
+    def _merge_corpus(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has."""
         if not words:
-            return []
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
         symbol, owner = self._lay_out(words)
         n = len(symbol)
         after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
-        found = np.append(self._ranks(symbol[:-1], symbol[1:]), -1)
+        # Of each position the rank of its pair now, so that a place in the index is known to be out of date.
+        found = np.append(self._ranks(symbol[:-1], symbol[1:]), -1).astype(np.int32)
         places = np.flatnonzero(found >= 0)
         places = places[np.argsort(found[places], kind="stable")]
         order, begins = np.unique(found[places], return_index=True)
@@ -126,27 +143,25 @@ class Replay:
             if r in pushed:
                 more = np.array(pushed.pop(r), np.int64)
                 at = np.unique(more if at is None else np.concatenate([at, more]))
-            at = at[symbol[at] >= 0]  # others went into another merge meanwhile
-            at = at[self._ranks(symbol[at], symbol[after[at]]) == r]
+            at = at[found[at] == r]  # others went into another merge meanwhile
             if not len(at):
                 heappop(order)
                 continue
             # The leftmost of each word; its others wait, as this merge may make a pair of lower rank.
-            first = np.ones(len(at), bool)
-            first[1:] = owner[at[1:]] != owner[at[:-1]]
-            if not first.all():
+            own = owner[at]
+            later = own[1:] == own[:-1]
+            if later.any():
+                first = np.append(True, ~later)
                 index[r], at = at[~first], at[first]
             else:
                 heappop(order)
-            gone = after[at]
+            gone, left = after[at], before[at]
             then = after[gone]
-            symbol[at], symbol[gone], after[at], before[then] = r, -2, then, at
-            left = before[at]
-            left = left[left >= 0]
-            left = left[symbol[left] >= 0]
+            symbol[at], symbol[gone], found[gone], after[at], before[then] = r, -2, -1, then, at
             touched = np.concatenate([left, at])
-            new = self._ranks(symbol[touched], symbol[after[touched]])
-            some = new >= 0
+            new = self._ranks(symbol[touched], symbol[np.concatenate([at, then])])
+            found[touched] = new
+            some = np.flatnonzero(new >= 0)
             for x, p in zip(new[some].tolist(), touched[some].tolist()):
                 if x in pushed:
                     pushed[x].append(p)
@@ -155,13 +170,12 @@ class Replay:
                     if x not in index:
                         heappush(order, x)
         alive = symbol >= 0
-        ends = np.cumsum(np.bincount(owner[alive], minlength=len(words)))
-        ids = symbol[alive].tolist()
-        return [ids[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return symbol[alive], np.bincount(owner[alive], minlength=len(words))
 
-    def _merge_long(self, words: list[bytes]) -> list[list[int]]:
+    def _merge_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The same for long words, position by position, so that a word of one repeated sign stays fast."""
-        return [self._merge_word(raw) for raw in words]
+        ids = [np.array(self._merge_word(raw), np.int32) for raw in words]
+        return np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
 
     def _merge_word(self, raw: bytes) -> list[int]:
         rank, token, known = self.rank, self.token, {}
@@ -201,16 +215,45 @@ class Replay:
                 del index[r]
         return [x for x in symbol if x >= 0]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, and where each text's ids begin (one more entry than texts)."""
-        words, edges = pretokens(texts)
-        self.add(set(words))
-        own = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        flat, at = np.frombuffer(self.flat, np.int32) if self.flat else np.zeros(0, np.int32), np.frombuffer(self.at, np.int64)
-        begin, count = at[own], at[own + 1] - at[own]
+    def _ids(self, own: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, count = self.at[own], self.at[own + 1] - self.at[own]
         ends = np.cumsum(count)
         place = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - count), count)
-        return flat[place], np.concatenate([[0], ends])[edges]
+        return self.flat[place], np.concatenate([[0], ends])[edges]
+
+    def encode_all(self, parts: Iterable[tuple[T, list[str]]]) -> Iterator[tuple[T, np.ndarray, np.ndarray]]:
+        """Each part's name, the ids of all its texts, and where each text's ids begin (one more entry than texts).
+
+        Parts wait as numbers of their words until `CORPUS` signs have come; then the new words of all are replayed at once.
+        """
+        waiting, size = [], 0
+
+        def done():
+            self._replay_new()
+            for name, own, edges in waiting:
+                yield name, *self._ids(own, edges)
+            waiting.clear()
+
+        for name, texts in parts:
+            words, edges = pretokens(texts)
+            new = set(words).difference(self.number)
+            if len(self.number) + len(new) > KEPT_WORDS:
+                yield from done()
+                self.clear()
+                new, size = set(words), 0
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.new.extend(new)
+            waiting.append((name, np.fromiter(map(self.number.__getitem__, words), np.int32, len(words)), edges))
+            size += sum(map(len, texts))
+            if size >= CORPUS:
+                yield from done()
+                size = 0
+        yield from done()
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's ids begin (one more entry than texts)."""
+        [(_, ids, at)] = self.encode_all([(None, texts)])
+        return ids, at
 
 
 _REPLAYS: dict[str, Replay] = {}
@@ -218,12 +261,13 @@ _REPLAYS: dict[str, Replay] = {}
 
 def _encode(path: str):
     def run(batches):
-        # Kept for the worker's later tasks.
-        replay = _REPLAYS.setdefault(path, Replay(path)) if path not in _REPLAYS else _REPLAYS[path]
-        for batch in batches:
-            for part in batch_slices(batch, "text", CORPUS):
-                ids, at = replay.encode([t or "" for t in part["text"].to_pylist()])
-                yield pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], ["id", "ids"])
+        # Kept for the worker's later tasks; one that ended early may have left words without ids.
+        replay = _REPLAYS.pop(path, None) or Replay(path)
+        parts = (part for batch in batches for part in batch_slices(batch, "text", SLICE))
+        texts = ((part["id"], [t or "" for t in part["text"].to_pylist()]) for part in parts)
+        for id, ids, at in replay.encode_all(texts):
+            yield pa.RecordBatch.from_arrays([id, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids))], ["id", "ids"])
+        _REPLAYS[path] = replay
 
     return run
 

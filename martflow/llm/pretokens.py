@@ -20,7 +20,8 @@ WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680,
 @cache
 def _classes() -> np.ndarray:
     kinds = {"L": LETTER, "N": DIGIT}
-    out = np.array([kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)], np.uint8)
+    signs = range(sys.maxunicode + 1)
+    out = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in signs), np.uint8, len(signs))
     for a, b in WHITE_SPACE:
         out[a : b + 1] = SPACE
     return out

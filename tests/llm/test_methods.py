@@ -55,6 +55,21 @@ def test_a_small_store_of_words_gives_the_same_ids(monkeypatch):
         assert replay.encode([text])[0].tolist() == TIKTOKEN.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("kept", [200_000, 6])
+def test_new_words_of_several_slices_are_one_corpus(monkeypatch, kept):
+    monkeypatch.setattr(merge_replay, "KEPT_WORDS", kept)
+    replay, corpora = merge_replay.Replay(public_tokenizers.path("byte_bpe_50k.tiktoken")), []
+    merge = replay._merge_corpus
+    monkeypatch.setattr(replay, "_merge_corpus", lambda words: corpora.append(len(words)) or merge(words))
+    texts = ["xqzt vbnmk", "", "xqzt zzzqk aaaaaaa", "the vbnmk " + "w" * 300, "qqxz"]
+    for _ in range(2):
+        for k, ids, at in replay.encode_all((k, [t, t]) for k, t in enumerate(texts)):
+            want = TIKTOKEN.encode_ordinary(texts[k])
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [want, want]
+    if kept > 6:
+        assert corpora[0] >= 5 and not any(corpora[1:])
+
+
 def test_token_cache(spark):
     where = folder(spark, "cache")
     first = spark.createDataFrame([(1, "one text"), (2, "one text"), (3, "another")], "doc_id long, text string")
