@@ -190,6 +190,43 @@ def test_strangers_and_blocks(spark, same, monkeypatch, crowd, deep):
     same(found, ["doc_id", "n_shingles", "component"], [r[:3] for r in brute.op3(docs)])
 
 
+@pytest.mark.parametrize("marked", [2048, 95])
+def test_pairs_of_a_crowd_just_below_the_threshold_are_not_confirmed(spark, same, monkeypatch, marked):
+    """Nearly all pairs of these are at 0.7 to 0.8: what is handed on to be confirmed does not grow with their number."""
+    monkeypatch.setattr(chosen_path, "MARKED", marked)
+    monkeypatch.setattr(chosen_path, "SMALL", 4)
+    rng, asked = random.Random(6), []
+    base = [f"t{rng.randrange(10**6)}" for _ in range(100)]
+    docs = [(k, " ".join(_mutated(rng, base, rng.choice([0.0, 0.03, 0.06, 0.07, 0.08]))[: rng.choice([94, 97, 100])])) for k in range(150)]
+    confirmed = chosen_path._Search.confirmed
+    monkeypatch.setattr(chosen_path._Search, "confirmed", lambda self, pairs: asked.append(pairs.count()) or confirmed(self, pairs))
+    found = chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=2)
+    same(found, ["doc_id", "n_shingles", "component"], [r[:3] for r in brute.op3(docs)])
+    if marked == 2048:
+        assert max(asked) < 10 * len(docs), asked
+
+
+def test_marks_miss_no_linked_pair(monkeypatch):
+    monkeypatch.setattr(chosen_path, "MARKED", 300)
+    rng = np.random.default_rng(4)
+    sets = []
+    for n in rng.integers(1, 400, 60):
+        words = rng.integers(0, 10**9, n)
+        sets += [words, np.where(rng.random(n) < rng.choice([0.05, 0.1, 0.12]), rng.integers(0, 10**9, n), words)]
+    texts = [" ".join(map(str, s)) for s in sets]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x"] * len(texts)), pa.array(texts)], ["digest", "text"])
+    flat = pa.Table.from_batches(chosen_path._bins(1, 240)([batch])).to_struct_array().combine_chunks()
+    i, j = np.tril_indices(len(texts), -1)
+    may, sure = chosen_path._sets_alike(flat, i, j, 80)
+    own = [set(s) for s in sets]
+    linked = np.array([100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b]) for a, b in zip(i, j)])
+    assert linked.any() and not (linked & ~may).any() and not (sure & ~linked).any()
+    small = np.array([max(len(own[a]), len(own[b])) <= 300 for a, b in zip(i, j)])
+    assert (may & ~linked & small).sum() <= 4
+    assert linked[~small].any() and sure.any()
+
+
+
 def test_bins_let_linked_sets_through():
     """Sets at the threshold always pass, those far below it do not."""
     rng, texts = random.Random(6), []
