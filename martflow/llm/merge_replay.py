@@ -112,13 +112,13 @@ class Replay:
     def _lay_out(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words' bytes, an edge (-1) before the first word and after each; each position's word."""
         lengths = np.array([1, *(len(w) + 1 for w in words)], np.int64)
-        symbol = self.single[np.frombuffer(b"\0".join([b"", *words, b""]), np.uint8)]
+        symbol = self.single.astype(np.int32)[np.frombuffer(b"\0".join([b"", *words, b""]), np.uint8)]
         symbol[np.cumsum(lengths) - 1] = -1
         return symbol, np.repeat(np.arange(-1, len(words), dtype=np.int32), lengths)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of the token that each pair of neighbours makes, or -1. An edge makes a key that no pair has."""
-        key = left << 32 | right
+        key = left.astype(np.int64) << 32 | right
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.made[at], -1)
 
@@ -130,7 +130,9 @@ class Replay:
         n = len(symbol)
         after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         # Of each position the rank of its pair now, so that a place in the index is known to be out of date.
-        found = np.append(self._ranks(symbol[:-1], symbol[1:]), -1).astype(np.int32)
+        found, run = np.full(n, -1, np.int32), 1 << 16
+        for k in range(0, n - 1, run):
+            found[k : min(k + run, n - 1)] = self._ranks(symbol[k : min(k + run, n - 1)], symbol[k + 1 : k + 1 + run])
         places = np.flatnonzero(found >= 0)
         places = places[np.argsort(found[places], kind="stable")]
         order, begins = np.unique(found[places], return_index=True)
