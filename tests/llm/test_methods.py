@@ -206,6 +206,19 @@ def test_pairs_of_a_crowd_just_below_the_threshold_are_not_confirmed(spark, same
         assert max(asked) < 10 * len(docs), asked
 
 
+def test_unlinked_pairs_of_a_crowd_are_not_handed_on():
+    """All pairs of these 60 texts are near 0.76; bins alone would leave many of them to be confirmed."""
+    rng = random.Random(9)
+    sets = [{*range(100)} - set(rng.sample(range(100), 7)) | {1000 * k + x for x in range(1, 8)} for k in range(1, 61)]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"x"] * 60), pa.array([" ".join(map(str, sorted(x))) for x in sets])], ["digest", "text"])
+    known = pa.Table.from_batches(chosen_path._bins(1)([batch])).drop_columns("digest").to_pylist()
+    texts = [{"key": k, "group": k, "bytes": bytes(64), **row} for k, row in enumerate(known)]
+    lists = pa.RecordBatch.from_arrays([pa.array([texts])], ["texts"])
+    pairs = sum(b.num_rows for b in chosen_path._pairs_in(80)([lists]))
+    linked = sum(100 * len(a & b) >= 80 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    assert linked <= pairs <= linked + 10
+
+
 def test_marks_miss_no_linked_pair(monkeypatch):
     monkeypatch.setattr(chosen_path, "MARKED", 300)
     rng = np.random.default_rng(4)
