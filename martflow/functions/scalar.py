@@ -69,10 +69,14 @@ def merge(*maps: Column) -> Column:
     return F.map_concat(*[F.coalesce(m, empty) for m in maps])
 
 
-def keep_keys(data: Column, listed: Column) -> Column:
-    """Entries of a map whose key stands in a comma list; `op_type` always stays."""
-    wanted = F.concat(F.split(listed, ","), F.array(F.lit("op_type")))
-    return F.map_filter(data, lambda k, _: F.array_contains(wanted, k))
+def kept_keys(listed: Column) -> Column:
+    """The keys of a comma list, and `op_type`."""
+    return F.concat(F.split(listed, ","), F.array(F.lit("op_type")))
+
+
+def keep_keys(data: Column, kept: Column) -> Column:
+    """Entries of a map whose key is among the kept ones."""
+    return F.map_filter(data, lambda k, _: F.array_contains(kept, k))
 
 
 def plain_op(op: Column) -> Column:

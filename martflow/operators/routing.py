@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from martflow.functions.scalar import keep_keys, merge, plain_op
+from martflow.functions.scalar import keep_keys, kept_keys, merge, plain_op
 from martflow.operators.first import latest_version
 
 
@@ -44,10 +44,10 @@ def route_as_of(changes: DataFrame, spans: DataFrame, normalise: bool = True) ->
     Spark broadcasts the spans below its threshold, and else splits tables with many changes.
     """
     op = plain_op(F.col("type")) if normalise else F.col("type")
-    rules = spans.select("source_table", "source_type", "sink_table", "sink_columns", "sink_row_key", "since", "until")
+    rules = rules_of(spans, "since", "until")
     now = (F.col("ts") >= F.col("since")) & (F.col("until").isNull() | (F.col("ts") < F.col("until")))
     routed = changes.withColumn("op_type", op).join(rules, (F.col("table") == F.col("source_table")) & now)
-    return routed.where(wanted_op()).drop("since", "until")
+    return routed.where(wanted_op()).drop("since", "until", "_ops")
 
 
 def epochs(changes: DataFrame) -> DataFrame:
@@ -71,11 +71,17 @@ def living(rows: DataFrame, lives: DataFrame) -> DataFrame:
     return found.drop("_sink", "born")
 
 
+def rules_of(routes: DataFrame, *more: str) -> DataFrame:
+    """What a change needs of its route; lists are parted here, once a route and not for every change."""
+    return routes.select(
+        "source_table", "source_type", "sink_table", "sink_columns", "sink_row_key", *more,
+        F.split("source_type", ",").alias("_ops"), kept_keys(F.col("sink_columns")).alias("_kept"),
+    )
+
+
 def wanted_op():
     """Whether a route takes the operation of a change: ALL, or a comma list naming it."""
-    return (F.col("source_type") == "ALL") | F.array_contains(
-        F.split("source_type", ","), F.col("op_type")
-    )
+    return (F.col("source_type") == "ALL") | F.array_contains("_ops", F.col("op_type"))
 
 
 def route(changes: DataFrame, config: DataFrame, normalise: bool = True) -> DataFrame:
@@ -84,25 +90,31 @@ def route(changes: DataFrame, config: DataFrame, normalise: bool = True) -> Data
     `normalise` turns a snapshot row into an insert; a fact router leaves operations as is.
     """
     op = plain_op(F.col("type")) if normalise else F.col("type")
-    rules = config.select("source_table", "source_type", "sink_table", "sink_columns", "sink_row_key")
     return (
         changes.withColumn("op_type", op)
-        .join(rules, F.col("table") == F.col("source_table"))
+        .join(rules_of(config), F.col("table") == F.col("source_table"))
         .where(wanted_op())
+        .drop("_ops")
     )
 
 
 def prune(routed: DataFrame) -> DataFrame:
-    """Only the configured columns of each record, plus its operation."""
+    """Only the configured columns of each record, plus its operation; `row_key` is the value of the key among them.
+
+    The key is found without the pruned record, which a filter on it would otherwise make once more for every change.
+    """
     marked = merge(F.col("data"), F.create_map(F.lit("op_type"), F.col("op_type")))
-    return routed.withColumn("data", keep_keys(marked, F.col("sink_columns")))
+    key = F.col("sink_row_key")
+    own = F.when(key == "op_type", F.col("op_type")).otherwise(F.element_at("data", key))
+    row_key = F.when(F.array_contains("_kept", key), own)
+    return routed.withColumns({"data": keep_keys(marked, F.col("_kept")), "row_key": row_key}).drop("_kept")
 
 
 def dimension_changes(routed: DataFrame) -> DataFrame:
-    """sink_table, row key, operation, record and order of each dimension change."""
+    """sink_table, row key, operation, record and order of each dimension change that `prune` gives."""
     return routed.select(
         "sink_table",
-        F.element_at("data", F.col("sink_row_key")).alias("row_key"),
+        "row_key",
         "op_type",
         "data",
         "ts",

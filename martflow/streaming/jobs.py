@@ -201,17 +201,21 @@ def dimensions(out: str, config: Callable[[DataFrame], DataFrame]) -> Batch:
     return batch
 
 
-def routed_as_of(config: str, out: str) -> Batch:
+def routed_as_of(config: str, out: str, record: Column | None = None) -> Batch:
     """Routing changes and business changes of one stream: each change by the route in force at its time.
 
+    `record` makes a change's map of the stream's columns; without it `data` is that map.
+
     A batch adds its routing changes to a table, and its business changes find their routes in what that holds
     then; a change must not come before the routes of its time, which the slices and a topic's order see to.
     """
 
+    data = F.col("data") if record is None else record
+
     def batch(rows: DataFrame, batch_id: int) -> None:
         write_part(rows.where("op IS NOT NULL").select("seq", "ts", "op", "before", "after"), config, batch_id)
         known = rows.sparkSession.read.parquet(config).where(F.col("batch_id") <= batch_id)
-        changes = rows.where("op IS NULL").select("table", "database", "type", "ts", "data", "seq")
+        changes = rows.where("op IS NULL").select("table", "database", "type", "ts", data.alias("data"), "seq")
         write_part(routing.dimension_changes(dwd.routed_as_of(changes, known)), out, batch_id)
 
     return batch

@@ -5,7 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from martflow.operators import first
+from martflow.operators import first, routing
 from martflow.operators.joins import lookup
 from martflow import catalogue
 from martflow.plans import ads, dws
@@ -150,3 +150,18 @@ def test_reports_are_ordered(spark, small):
 def test_facts_of_one_pass_scan_the_lines_once(spark, small):
     text = plan(entry.queries()["d1_one_pass"](spark, small))
     assert "facts-" in text and "events.parquet" not in text and "from_json" not in text
+
+
+def test_records_are_pruned_once_for_each_change(spark):
+    """The filter on the row key must not prune the record anew, and lists of a route are parted on its side of the join."""
+    changes = spark.sql("SELECT 't' AS table, 'update' AS type, map('id', id, 'op_type', 'x', 'no', 'y') AS data, id AS ts, id AS seq FROM VALUES ('1'), (null) AS v(id)")
+    routes = spark.createDataFrame(
+        [("t", "insert,update", s, c, k) for s, c, k in [("a", "id,name", "id"), ("b", "name", "id"), ("c", "id", "op_type"), ("d", None, "op_type"), ("e", "id", None)]],
+        "source_table string, source_type string, sink_table string, sink_columns string, sink_row_key string")
+    found = routing.dimension_changes(routing.prune(routing.route(changes, routes)))
+    rows = [(r.sink_table, r.row_key, r.data) for r in found.collect()]
+    gone = {"op_type": "update"}
+    assert sorted(rows, key=str) == sorted([("a", "1", {"id": "1", **gone}), *[("c", "update", {"id": i, **gone}) for i in ("1", None)]], key=str)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("map_filter") == 1
+    assert "split" not in text[: text.index("Join")]
