@@ -206,6 +206,36 @@ def test_pairs_of_a_crowd_just_below_the_threshold_are_not_confirmed(spark, same
         assert max(asked) < 10 * len(docs), asked
 
 
+def test_strangers_by_the_thousand_are_compared_without_branching(spark, same, monkeypatch):
+    """A crowd of 700 texts near 0.6, one in ten with a near copy: its lists are compared, no row of a child is made."""
+    rng, made = random.Random(12), []
+    base = [f"t{rng.randrange(10**6)}" for _ in range(60)]
+    docs = [_mutated(rng, base, 0.1) for _ in range(640)]
+    docs = [(k, " ".join(x)) for k, x in enumerate(docs + [_mutated(rng, x, 0.03) for x in docs[:60]])]
+    stored = chosen_path.Scratch.stored
+    monkeypatch.setattr(chosen_path.Scratch, "stored", lambda self, df, name: made.append(name) or stored(self, df, name))
+    found = chosen_path.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=2)
+    same(found, ["doc_id", "n_shingles", "component"], [r[:3] for r in brute.op3(docs)])
+    assert "greatest" in made and "children" not in made
+
+
+def test_long_lists_give_the_pairs_of_short_ones(monkeypatch):
+    """Lists compared block by block, between shorter ones that are compared together."""
+    rng = np.random.default_rng(3)
+    texts = rng.integers(0, 256, (330, chosen_path.COORDINATES), dtype=np.uint8)
+    texts[::2, :37] = texts[0, :37]
+    texts[::2, 37:40] &= 1
+    rows = [{"key": k, "group": k // 2 if k % 5 else -1, "bytes": x.tobytes()} for k, x in enumerate(texts)]
+    lists = pa.RecordBatch.from_arrays([pa.array([rows[:20], rows[20:25], rows[25:225], [], rows[225:300], rows[300:303], rows[303:]])], ["texts"])
+    found = {}
+    for long in (10**6, 50, 0):
+        monkeypatch.setattr(chosen_path, "LONG", long)
+        monkeypatch.setattr(chosen_path, "PAIRS", 700)
+        pairs = pa.Table.from_batches(chosen_path._pairs_in(80)([lists])).to_pylist()
+        found[long] = sorted((x["a"], x["b"]) for x in pairs)
+    assert len(found[50]) > 1000 and found[50] == found[0] == found[10**6]
+
+
 def test_unlinked_pairs_of_a_crowd_are_not_handed_on():
     """All pairs of these 60 texts are near 0.76; bins alone would leave many of them to be confirmed."""
     rng = random.Random(9)
