@@ -23,6 +23,8 @@ FAR, NEVER, TICK = "2200-01-01 00:00:00", "1900-01-01 00:00:00", "tick"
 _NUMBER = "_slice"
 #: Bytes of a row group, about: a file of long texts is read in as many parts.
 GROUP_BYTES = 4 << 20
+#: Bytes of the given files behind a slice at most, about, where a topic is bounded.
+SLICE_BYTES = 128 << 20
 
 
 def _row_bytes(schema: T.StructType) -> int:
@@ -44,6 +46,14 @@ class Arrivals:
     batches: int = BATCHES
     cuts: list[int] | None = field(default=None)
 
+    def bound(self, *tables: DataFrame) -> None:
+        """As many more slices as keep the given files behind one below `SLICE_BYTES`; before the first topic.
+
+        A micro-batch, and with it the state that does not outlive one by much, is then bounded however large the tables are.
+        """
+        files = {file for rows in tables for file in rows.inputFiles()}
+        self.batches = max(self.batches, -(-sum(map(self._bytes, files)) // SLICE_BYTES))
+
     def _slice(self, rows: DataFrame, time: str) -> Column:
         micros = F.unix_micros(time)
         if self.cuts is None:
@@ -65,7 +75,7 @@ class Arrivals:
         try:
             numbered = rows.withColumn(_NUMBER, F.coalesce(slices.cast("int"), F.lit(0)))
             most = max(1, FILE_BYTES // _row_bytes(rows.schema))
-            writer = numbered.write.option("maxRecordsPerFile", most).option("parquet.block.size", GROUP_BYTES)
+            writer = numbered.write.options(**{"maxRecordsPerFile": most, "parquet.block.size": GROUP_BYTES, "compression": "zstd"})
             writer.partitionBy(_NUMBER).parquet(path)
         finally:
             self.spark.conf.set(key, before)
@@ -92,10 +102,17 @@ class Arrivals:
 
     def clock(self) -> DataFrame:
         """Ticks as a stream: `tick`, an idle one with each slice, and after them the one that closes everything."""
-        path = f"{self.folder}/topics/clock"
-        for tick in [NEVER] * self.batches + [FAR]:
+        path, files = f"{self.folder}/topics/clock", []
+        for name, tick in (("idle", NEVER), ("last", FAR)):
             one = self.spark.range(0, 1, 1, 1).select(F.lit(tick).cast("timestamp").alias("tick"))
-            one.write.mode("append").parquet(path)
+            one.write.parquet(f"{self.folder}/empty/clock-{name}")
+            files += self._files(f"{self.folder}/empty/clock-{name}")
+        (system, _), conf = self._where(path), self.spark._jsc.hadoopConfiguration()
+        now = self.spark._jvm.java.lang.System.currentTimeMillis() // 1000 * 1000
+        for k, file in enumerate([files[0]] * self.batches + [files[1]]):
+            copy = self._where(f"{path}/part-{k:05d}.parquet")[1]
+            self.spark._jvm.org.apache.hadoop.fs.FileUtil.copy(system, file, system, copy, False, conf)
+            system.setTimes(copy, now + k * 1000, -1)
         return self._stream(path, one.schema, 1)
 
     def size(self) -> int:

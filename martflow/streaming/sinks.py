@@ -22,10 +22,16 @@ def write_part(df: DataFrame, path: str, batch_id: int, *by: str) -> None:
     The batch's folder is replaced whole, so nothing of an earlier try stays, whatever that one
     wrote; other batches are left alone.
     """
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    writer = df.write.mode("overwrite").options(partitionOverwriteMode="static", compression="zstd")
     (writer.partitionBy(*by) if by else writer).parquet(f"{path}/batch_id={batch_id}")
 
 
+def drop_part(spark: SparkSession, path: str, batch_id: int) -> None:
+    """Remove what a batch wrote, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch_id={batch_id}")
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def read_parts(like: DataFrame, path: str) -> DataFrame:
     """Everything written so far, with `batch_id`; empty before the first batch."""
     schema = T.StructType([*like.schema.fields, T.StructField("batch_id", T.LongType())])
@@ -51,7 +57,8 @@ class UpsertTable:
     one part in `every` of the table and a reader opens `every` folders, however long the stream has run. A repeated
     batch replaces its folder and reads earlier ones only. The latest row of a key is that of the greatest
     `order`, then of the last batch; a row whose `deleted` is true removes the key, and is kept as a mark, as a
-    change that `order` puts before it may still arrive. Folders older than `every` batches are not read again.
+    change that `order` puts before it may still arrive. A folder goes once neither a reader nor a repeated batch
+    reads it: the last `every` and one more stay.
     """
 
     path: str
@@ -77,12 +84,16 @@ class UpsertTable:
             before = self._parts(df.sparkSession, batch_id - 1)
             turn = F.pmod(F.col("bucket") + batch_id, F.lit(self.every)) == 0
             rows = rows.unionByName(before.where(turn))
-        kept = latest_version(rows, list(self.keys), [*self.order, "batch_id"])
+        # The sort by bucket and key that finds the latest is the one that the files are written in.
+        kept = latest_version(rows, ["bucket", *self.keys], [*self.order, "batch_id"])
         write_part(kept.drop("batch_id"), self.path, batch_id, "bucket")
+        if batch_id > self.every:
+            drop_part(df.sparkSession, self.path, batch_id - self.every - 1)
 
-    def read(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """Current rows after a batch."""
-        rows = latest_version(self._parts(spark, batch_id), list(self.keys), [*self.order, "batch_id"])
+    def read(self, spark: SparkSession, batch_id: int, *by: str) -> DataFrame:
+        """Current rows after a batch; dealt out by `by`, some of the keys, so that what groups or joins by them shuffles no more."""
+        rows = self._parts(spark, batch_id)
+        rows = latest_version(rows.repartition(*by) if by else rows, list(self.keys), [*self.order, "batch_id"])
         rows = rows.drop("batch_id", "bucket")
         return rows.where("NOT coalesce(deleted, false)").drop("deleted") if "deleted" in self.schema.names else rows
 
