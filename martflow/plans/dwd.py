@@ -149,7 +149,12 @@ def order_detail_parts(log: c.Log, keep_time: bool = False) -> dict[str, DataFra
 
 
 def join_order_detail(parts: dict[str, DataFrame]) -> DataFrame:
-    """Order lines with order, coupon and activity, where there are any.
+    """Order lines with order, coupon and activity, where there are any."""
+    return with_order(join_line_parts(parts), parts["order"]).select(*DETAIL, *DETAIL_MORE, "ts", "et", "seq")
+
+
+def join_line_parts(parts: dict[str, DataFrame]) -> DataFrame:
+    """Order lines with coupon and activity, where there are any.
 
     Coupon and activity are reduced to the latest row of a line first, so no line is
     multiplied; they arrive partitioned by line id, as the lines themselves are.
@@ -162,11 +167,15 @@ def join_order_detail(parts: dict[str, DataFrame]) -> DataFrame:
     return (
         detail.join(coupon, detail.id == coupon._cd, "left")
         .join(activity, F.col("id") == F.col("_ad"), "left")
-        .join(parts["order"], F.col("order_id") == F.col("_order"), "left")
-        .select(*DETAIL, *DETAIL_MORE, "ts", "et", "seq")
+        .drop("_cd", "_ad")
     )
 
 
+def with_order(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    """Rows that name an order with what it adds, where there is one."""
+    return rows.join(orders, F.col("order_id") == F.col("_order"), "left").drop("_order")
+
+
 def order_detail(log: c.Log) -> DataFrame:
     """One row per order line: the last state an upsert by line id would leave."""
     parts = order_detail_parts(log)
@@ -215,7 +224,7 @@ def paid_lines(log: c.Log, lines: DataFrame) -> DataFrame:
 def paid_with(paid: DataFrame, lines: DataFrame) -> DataFrame:
     mine = lines.select(
         F.col("id").alias("detail_id"), F.col("order_id").alias("_order"),
-        *[x for x in (*DETAIL, *DETAIL_MORE) if x not in ("id", "order_id", "user_id")],
+        *[x for x in (*DETAIL, *DETAIL_MORE) if x in lines.columns and x not in ("id", "order_id", "user_id")],
         F.col("et").alias("_line_et"),
     )
     return interval_join(
@@ -223,10 +232,20 @@ def paid_with(paid: DataFrame, lines: DataFrame) -> DataFrame:
     ).drop("_order", "_line_et")
 
 
-def pay_detail(log: c.Log, lines: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Paid lines with the names of status and type."""
+def pay_detail(log: c.Log, dictionary: DataFrame) -> DataFrame:
+    """Paid lines with the names of status and type, one row per payment and line.
+
+    A payment and its lines name the same order, so the order joins the payments, which are fewer and narrower
+    than the lines, before the lines do.
+    """
+    parts = order_detail_parts(log)
+    parts["detail"] = latest_version(parts["detail"], ["id"])
+    paid = payments(log)
+    rows = paid_with(with_order(paid, parts["order"].drop("user_id")), join_line_parts(parts))
+    more = [x for x in (*DETAIL, *DETAIL_MORE) if x not in ("id", "order_id", "user_id")]
     return named(
-        paid_lines(log, lines), dictionary, payment_status_name="payment_status", payment_type_name="payment_type"
+        rows.select(*paid.columns, "detail_id", *more), dictionary,
+        payment_status_name="payment_status", payment_type_name="payment_type",
     )
 
 

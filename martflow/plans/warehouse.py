@@ -97,7 +97,7 @@ class Warehouse:
 
     @cached_property
     def pay_detail(self) -> DataFrame:
-        return dwd.pay_detail(self.log, self.order_detail, self.dictionary)
+        return dwd.pay_detail(self.log, self.dictionary)
 
     @cached_property
     def refund(self) -> DataFrame:

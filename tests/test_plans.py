@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from martflow.operators import first, routing
 from martflow.operators.joins import lookup
-from martflow import catalogue
-from martflow.plans import ads, dws
+from martflow import catalogue, codes
+from martflow.plans import ads, dwd, dws
 from martflow.plans.warehouse import Warehouse
 from martflow.functions.words import lexicon_words
 from martflow.sources.store import refresh, stored_days, stored_windows, write_windows
@@ -165,3 +165,42 @@ def test_records_are_pruned_once_for_each_change(spark):
     text = found._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("map_filter") == 1
     assert "split" not in text[: text.index("Join")]
+
+
+def test_orders_join_payments_and_not_their_lines(spark, small, monkeypatch):
+    """Paid lines meet their order through the payment, so lines are not shuffled once more for it."""
+    seen = []
+    joined = dwd.with_order
+    monkeypatch.setattr(dwd, "with_order", lambda rows, orders: seen.append(rows.columns) or joined(rows, orders))
+    w = Warehouse(spark, small)
+    found = w.pay_detail
+    assert len(seen) == 1 and "payment_type" in seen[0] and "split_total_amount" not in seen[0]
+    monkeypatch.undo()
+    shared = ["id", "detail_id", "user_id", "order_id", "province_id", "coupon_id", "activity_id", "sku_num", "seq"]
+    want = dwd.paid_lines(w.log, w.order_detail)
+    assert sorted(map(str, found.select(shared).collect())) == sorted(map(str, want.select(shared).collect()))
+
+
+def test_repeated_and_missing_orders_of_paid_lines(spark):
+    """An order that comes twice gives its lines twice, one that is missing leaves the province empty."""
+    def rows(table, op, names, values, old=()):
+        more = [f"data_{n} STRING" for n in names] + [f"old_{n} STRING" for n in old]
+        schema = "table STRING, database STRING, type STRING, ts BIGINT, seq BIGINT, " + ", ".join(more)
+        df = spark.createDataFrame([(table, codes.DATABASE, op, ts, seq, *rest) for ts, seq, *rest in values], schema)
+        return df.withColumn("et", F.timestamp_seconds("ts"))
+
+    pay = ("id", "user_id", "order_id", "trade_no", "total_amount", "payment_status", "payment_type", "callback_time")
+    log = {
+        "order_detail": rows("order_detail", "insert", dwd.DETAIL, [
+            (100, 1, "a", "1", "s", "1", "1", "1", "1", "x"), (100, 2, "b", "2", "s", "1", "1", "1", "1", "x"),
+            (100, 3, "c", None, "s", "1", "1", "1", "1", "x")]),
+        "order_info": rows("order_info", "insert", ("id", "user_id", "province_id"), [(100, 1, "1", "u", "7"), (100, 2, "1", "u", "8"), (100, 3, None, "u", "9")]),
+        "order_detail_coupon": rows("order_detail_coupon", "insert", ("order_detail_id", "coupon_id", "coupon_use_id"), [(1, 1, "b", "k", "l")]),
+        "order_detail_activity": rows("order_detail_activity", "insert", ("order_detail_id", "activity_id", "activity_rule_id"), [(1, 1, "a", "m", "n")]),
+        "payment_info": rows("payment_info", "update", pay, [
+            (n, n, "p", "u", order, "t", "1", codes.PAYMENT_DONE, "1101", "c", codes.PAYMENT_OPEN) for n, order in ((200, "1"), (201, "2"), (202, None))],
+            ("payment_status",)),
+    }
+    found = dwd.pay_detail(log, spark.createDataFrame([("1101", "p")], "id STRING, dic_name STRING"))
+    got = [(r.detail_id, r.province_id, r.coupon_id, r.activity_id) for r in found.collect()]
+    assert sorted(got, key=str) == sorted([("a", "7", None, "m"), ("a", "8", None, "m"), ("b", None, "k", None)], key=str)
