@@ -3,6 +3,7 @@
 import random
 from uuid import uuid4
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -310,3 +311,88 @@ def test_a_file_of_long_texts_is_read_in_parts(spark, tmp_path, monkeypatch):
     groups = [pq.ParquetFile(f.removeprefix("file:")).num_row_groups for f in map(str, [
         p.toString() for p in topics._files(f"{tmp_path}/topics/texts/_slice=0")])]
     assert max(groups) > 4
+
+
+def test_folders_that_nobody_reads_again_go(spark, tmp_path):
+    """An upsert table keeps the folders of its last batches only, however many it has written."""
+    df = lambda k: spark.createDataFrame([(n, k) for n in range(k, k + 20)], "id INT, v INT")
+    table = UpsertTable(str(tmp_path), df(0).schema, ("id",), buckets=4, every=2)
+    for k in range(7):
+        table.write(df(k), k)
+        assert {int(f.name.split("=")[1]) for f in tmp_path.glob("batch_id=*")} == set(range(max(0, k - 2), k + 1))
+        want = {n: min(n, k) for n in range(k + 20)}
+        assert {r.id: r.v for r in table.read(spark, k, "id").collect()} == want
+
+
+def test_slices_are_bounded(spark, spring, monkeypatch):
+    """Larger tables arrive in more slices, and so more batches; where state lives for all days, in as many as ever."""
+    monkeypatch.setattr(arrivals, "SLICE_BYTES", 1_500)
+    w = Warehouse(spark, spring)
+    s = queries.Stage(w)
+    rows = s.appended("windows", jobs.sku_amounts(*s.log("order_detail")))()
+    assert s.arrivals.batches > arrivals.BATCHES
+    assert len([p for p in s.progress("windows") if p["numInputRows"]]) > s.arrivals.batches
+    assert same(dws.sku_order_of(rows, w.flat_sku), catalogue()["g9_sku_order"](w))
+    s = queries.Stage(w)
+    s.log("order_detail", days=queries.WHOLE_DAYS)
+    assert s.arrivals.batches == arrivals.BATCHES
+
+
+def test_topics_are_packed(spark, tmp_path):
+    topics = Arrivals(spark, str(tmp_path))
+    topics.topic("rows", spark.range(9), slices=F.lit(0))
+    files = [f.toString().removeprefix("file:") for f in topics._files(f"{tmp_path}/topics/rows/_slice=0")]
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if pq.ParquetFile(f).metadata.num_rows} == {"ZSTD"}
+
+
+def test_users_share_a_value_of_state(spark, spring):
+    """Users are dealt into groups, each one row of state, however many users it has; the windows are those of the batch job."""
+    w = Warehouse(spark, spring)
+    s = queries.Stage(w)
+    lines = jobs.placed_lines(*s.log("order_info", "order_detail")).select("user_id", "et", "create_time")
+    with s.settings(running.STORE):
+        rows = s.appended("windows", running.order_windows(lines, 5))()
+    held = [o["numRowsTotal"] for p in s.progress("windows") for o in p["stateOperators"] if o["operatorName"].startswith("transformWithState")]
+    assert max(held) == 5 < w.detail_versions.select("user_id").distinct().count()
+    assert same(rows, catalogue()["g8_order"](w))
+
+
+def test_running_minimum_of_groups():
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 3), rng.randint(0, 9), rng.randint(-5, 5) * 10**12) for _ in range(200)]
+    found = running.running_min(*map(np.array, zip(*rows)))
+    assert found.tolist() == [min(v for h, n, v in rows if h == g and n <= m) for g, m, _ in rows]
+    assert running.least(np.array([1, 0, 1]), np.array([3, 4, 2])).tolist() == [4, 2]
+
+
+def test_state_of_words_is_on_disk(spark, small, monkeypatch):
+    seen = []
+    start = queries.start
+
+    def noted(*args):
+        seen.append(spark.conf.get("spark.sql.streaming.stateStore.providerClass"))
+        return start(*args)
+
+    monkeypatch.setattr(queries, "start", noted)
+    w = Warehouse(spark, small)
+    assert same(queries.QUERIES["t4_stream_keyword"](w), catalogue()["g1_keyword"](w))
+    assert [name.rsplit(".", 1)[1] for name in seen] == ["RocksDBStateStoreProvider"]
+
+
+def test_a_payment_comes_once(spark, spring):
+    """First payments need a payment that has lines once, not once a line."""
+    s = queries.Stage(Warehouse(spark, spring))
+    seen = []
+    appended = s.appended
+
+    def noted(name, stream, *by):
+        rows = appended(name, stream, *by)
+        seen.append(rows)
+        return rows
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(queries, "Stage", lambda w: s)
+        patch.setattr(s, "appended", noted)
+        found = queries.QUERIES["t9_stream_payment"](s.warehouse)
+    assert same(found, catalogue()["g7_payment_suc"](s.warehouse))
+    assert seen[0]().count() == seen[0]().distinct().count() > 0
